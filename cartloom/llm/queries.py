@@ -32,6 +32,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated runs of lines: doc_id, text, n_deleted."""
+    from cartloom.llm.line_dedup import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict for all documents."""
     from cartloom.llm.quality import quality_rules
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
     "op10_dart_minhash": op10_dart_minhash,
+    "op5_line_dedup": op5_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
