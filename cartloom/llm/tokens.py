@@ -25,13 +25,17 @@ class ChunkEncoder:
     limit: so many distinct chunks are held at most; beyond it the memory of chunks starts anew.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = next(iter(marks.items()))
+        self.first = os.path.commonprefix(self.special)
         self.clear()
 
     def clear(self) -> None:
@@ -43,6 +47,40 @@ class ChunkEncoder:
         self.sizes = np.zeros(0, np.int64)
         self.opens = np.zeros(0, bool)
         self.closes = np.zeros(0, bool)
+        self.seen = np.zeros(0, np.int64)
+
+    def renew(self) -> None:
+        """Keep the chunks that were found twice or more, if they are few enough; forget the others."""
+        again = np.flatnonzero(self.seen > 1)
+        if len(again) > self.limit // 2:
+            return self.clear()
+        keys = list(self.index)
+        kept = [keys[i] for i in again.tolist()]
+        self.index.clear()
+        self.index.update(zip(kept, range(len(kept)), strict=True))
+        self.known, sizes = len(kept), self.sizes[again]
+        at = np.repeat(self.starts[again] - (np.cumsum(sizes) - sizes), sizes)
+        self.flat = self.flat[at + np.arange(len(at))]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.opens, self.closes = self.opens[again], self.closes[again]
+        self.seen = np.ones(len(kept), np.int64)
+
+    def encode_each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of strings, many at a time: a special token's text between two keeps them apart."""
+        mark, mark_id = self.mark
+        alone = [i for i, x in enumerate(strings) if self.first in x and any(m in x for m in self.special)]
+        joined = [mark.join(strings[i : i + 1000]) for i in range(0, len(strings), 1000)] if not alone else []
+        if not joined:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        ids, sizes = [], []
+        for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            own = np.array(x.ids, np.uint32)
+            cut = own == mark_id
+            ends = np.append(np.flatnonzero(cut), len(own))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(own[~cut])
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def learn(self) -> None:
         """Encode the chunks that are new in index."""
@@ -50,26 +88,33 @@ class ChunkEncoder:
         if not new:
             return
         self.known = len(self.index)
-        got = [
-            x.ids
-            for i in range(0, len(new), 50_000)
-            for x in self.tokenizer.encode_batch_fast(
-                [x[0] if type(x) is tuple else f" {x}" for x in new[i : i + 50_000]], add_special_tokens=False
-            )
-        ]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        bare = [x[0] if type(x) is tuple else x for x in new]
-        opens = np.fromiter((not x or blank(x[0]) for x in bare), bool, len(bare))
-        closes = np.fromiter((not x or blank(x[-1]) for x in bare), bool, len(bare))
-        for name, x in (("flat", ids), ("starts", starts), ("sizes", sizes), ("opens", opens), ("closes", closes)):
+        strings = [x[0] if type(x) is tuple else f" {x}" for x in new]
+        odd = [i for i, x in enumerate(strings) if self.first in x and any(m in x for m in self.special)]
+        if odd:  # they hold a special token's text themselves; they come last, encoded one by one
+            apart = set(odd)
+            order = [i for i in range(len(new)) if i not in apart] + odd
+            some, sizes = self.encode_each([strings[i] for i in order[: len(new) - len(odd)]]) if len(odd) < len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            rest, more = self.encode_each([strings[i] for i in odd])
+            ids, by_order = np.concatenate([some, rest]), np.concatenate([sizes, more])
+            sizes, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            sizes[order], starts[order] = by_order, np.cumsum(by_order) - by_order
+        else:
+            ids, sizes = self.encode_each(strings)
+            starts = np.cumsum(sizes) - sizes
+        added = [("flat", ids), ("starts", len(self.flat) + starts), ("sizes", sizes), ("seen", np.zeros(len(new), np.int64))]
+        if self.keeps_space:
+            bare = [x[0] if type(x) is tuple else x for x in new]
+            added.append(("opens", np.fromiter((not x or blank(x[0]) for x in bare), bool, len(bare))))
+            added.append(("closes", np.fromiter((not x or blank(x[-1]) for x in bare), bool, len(bare))))
+        else:
+            added += [("opens", np.zeros(len(new), bool)), ("closes", np.zeros(len(new), bool))]
+        for name, x in added:
             setattr(self, name, np.concatenate([getattr(self, name), x]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
         if len(self.index) > self.limit:
-            self.clear()
+            self.renew()
         each = self.index.__getitem__
         parts, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -81,6 +126,7 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), counts
         self.learn()
         where = np.concatenate(parts)
+        self.seen += np.bincount(where, minlength=self.known)
         ends = np.cumsum(counts)
         sizes = self.sizes[where]
         lengths = np.add.reduceat(sizes, ends - counts) if len(where) else np.zeros(len(texts), np.int64)
