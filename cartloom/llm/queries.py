@@ -25,6 +25,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, dictionary, manifest, ids=False)
 
 
+PII_KEY = "cartloom-pseudonyms-1"
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data as pseudonyms: doc_id, text, n_found."""
+    from cartloom.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens, a row for each piece."""
     from cartloom.llm.packing import pack
@@ -56,6 +66,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_packing": op4_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op5_line_dedup": op5_line_dedup,
