@@ -3,7 +3,7 @@
 A value is first checked (Luhn, ranges, calendar), so that ordinary numbers stay. Its digits or letters
 then go through a keyed Feistel network over their own domain: a permutation, so equal values get
 equal pseudonyms in every document and different values different ones, and the result has the same
-length, separators and validity. Nothing is collected or joined: each document is done on its own.
+separators, number of digits (an octet may take one to three) and validity. Nothing is collected or joined: each document is done on its own.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ ROUNDS = 8
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|\b\d{2}\.\d{2}\.\d{4}\b"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b"
+PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b"
 CARD = r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b|\b\d{4}[ -]?\d{6}[ -]?\d{5}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-SECRET = r"\b[0-9a-f]{32,64}\b"
+SECRET = r"\b[0-9a-f]{32,64}\b|\b[0-9A-F]{32,64}\b"
 FOUND = "|".join((EMAIL, IP, DATE, PHONE, SSN, CARD, SECRET))
 #: The day number of 1901-01-01 and the days of 28 years, in which the calendar repeats: 10227 = 21 * 487.
 DAY0, ERA, ERA_A, ERA_B = -25202, 10227, 21, 487
@@ -187,7 +187,7 @@ def email(key: str, value: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """email, ip, date, card, phone, ssn, secret, or null for what isn't valid."""
+    """email, ip, date, card, phone, ssn, secret, or null for what isn't valid: such a number is no one's and stays."""
     digits = _digits(value)
     octet = lambda i: F.split_part(value, F.lit("."), F.lit(i)).cast("int") <= 255
     return (
@@ -196,8 +196,8 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), F.when(_day(value).between("1901-01-01", "2096-12-31"), "date"))
         .when(value.rlike(r"^(\+|\()") | value.rlike(r"^\d{3}-\d{3}-\d{4}$"), F.when(F.length(digits).between(8, 16), "phone"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~value.rlike(r"^(000|666|9)|-00-|-0000$"), "ssn"))
-        .when(value.rlike(r"^[\d -]+$") & F.length(digits).between(13, 19), F.when(luhn_sum(digits) % 10 == 0, "card").otherwise("number"))
-        .when(value.rlike(r"^[0-9a-f]{32,64}$"), F.when(value.rlike("[a-f]") & value.rlike("[0-9]"), "secret"))
+        .when(value.rlike(r"^[\d -]+$") & F.length(digits).between(13, 19), F.when(luhn_sum(digits) % 10 == 0, "card"))
+        .when(value.rlike(r"^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), F.when(value.rlike("[a-fA-F]") & value.rlike("[0-9]"), "secret"))
     )
 
 
@@ -212,8 +212,7 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(k == "card", card(key, value))
         .when(k == "phone", phone(key, value))
         .when(k == "ssn", number(key, value, "ssn"))
-        .when(k == "number", number(key, value, "number"))
-        .when(k == "secret", letters(key, value, HEX, "secret"))
+        .when(k == "secret", F.when(value.rlike("[a-f]"), letters(key, value, HEX, "secret")).otherwise(F.upper(letters(key, F.lower(value), HEX, "secret"))))
         .otherwise(value),
     )
 
