@@ -49,6 +49,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; only labels of rows that aren't held out are learned from."""
+    from cartloom.llm.toxicity import fit, held_out, toxic_passages
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    found = toxic_passages(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "n_segments", "best_from", "best_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict for all documents."""
     from cartloom.llm.quality import quality_rules
@@ -70,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op5_line_dedup": op5_line_dedup,
+    "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
 }
 
