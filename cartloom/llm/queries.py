@@ -49,6 +49,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the pair occurrence index."""
+    from cartloom.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; only labels of rows that aren't held out are learned from."""
     from cartloom.llm.toxicity import fit, held_out, toxic_passages
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
 }
