@@ -56,6 +56,47 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    """The records of pages as a replica that has lost bits: a byte of about one in 256 records, and the last record of one archive in 16."""
+    from cartloom.llm.warc import archives
+
+    own = archives(pages)
+    hit = F.md5(F.col("page_id").cast("string")).startswith("00")
+    flipped = own.withColumn("record", F.when(hit, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
+    last = own.groupBy("archive").agg(F.max("page_id").alias("page_id")).filter(F.md5(F.col("archive").cast("string")).startswith("0"))
+    return flipped.join(last, ["archive", "page_id"], "left_anti")
+
+
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, and a damaged replica of them: the records that the audit finds."""
+    from cartloom.llm.warc import archives, audit, build_tree, manifest
+
+    pages = table(spark, sf_dir, "pages")
+    return audit(spark, build_tree(manifest(archives(pages))), build_tree(manifest(damaged_replica(pages))))
+
+
+OP7_SQL = """
+WITH records AS (
+  SELECT coalesce(page_id // 1000, -1) AS archive, page_id,
+    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(page_id::VARCHAR, ''),
+      '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, ''))::VARCHAR,
+      chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
+  FROM pages),
+placed AS (
+  SELECT archive, page_id, record, strlen(record) AS length, sha256(record) AS digest FROM records),
+ordered AS (
+  SELECT *, row_number() OVER w - 1 AS pos,
+    sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length ROWS UNBOUNDED PRECEDING) - length AS offset_,
+    page_id = max(page_id) OVER (PARTITION BY archive) AND md5(archive::VARCHAR) LIKE '0%' AS lost,
+    coalesce(md5(page_id::VARCHAR) LIKE '00%', false) AS hit
+  FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length))
+SELECT archive::BIGINT AS archive, pos::BIGINT AS pos, page_id, offset_::BIGINT AS "offset", length::BIGINT AS length,
+  CASE WHEN lost THEN 'missing' ELSE 'altered' END AS status, digest,
+  CASE WHEN lost THEN NULL ELSE sha256('w' || substr(record, 2)) END AS replica_digest
+FROM ordered WHERE coalesce(lost, false) OR hit
+"""
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; only labels of rows that aren't held out are learned from."""
     from cartloom.llm.toxicity import fit, held_out, toxic_passages
@@ -88,8 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_dart_minhash": op10_dart_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_merkle_fixity": op7_merkle_fixity,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL}
