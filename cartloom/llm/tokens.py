@@ -15,8 +15,12 @@ from collections import defaultdict
 import numpy as np
 
 
-def blank(c: str) -> bool:
-    return c.isspace() or c == "᠎"
+BLANK = np.array([c for c in range(0x110000) if chr(c).isspace() or c == 0x180E], np.uint32)
+
+
+def blanks(chars: list[str]) -> np.ndarray:
+    """Which of the characters are white space; none at all counts as such."""
+    return np.isin(np.frombuffer("".join([c or " " for c in chars]).encode("utf-32-le"), np.uint32), BLANK)
 
 
 class ChunkEncoder:
@@ -25,7 +29,7 @@ class ChunkEncoder:
     limit: so many distinct chunks are held at most; beyond it the memory of chunks starts anew.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 800_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,19 +70,20 @@ class ChunkEncoder:
         self.seen = np.ones(len(kept), np.int64)
 
     def encode_each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and numbers of ids of strings, many at a time: a special token's text between two keeps them apart."""
+        """The ids of strings, one after another, and their numbers of ids; 1000 at a time, kept apart by a special token's text."""
         mark, mark_id = self.mark
-        alone = [i for i, x in enumerate(strings) if self.first in x and any(m in x for m in self.special)]
-        joined = [mark.join(strings[i : i + 1000]) for i in range(0, len(strings), 1000)] if not alone else []
-        if not joined:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        batches = [strings[i : i + 1000] for i in range(0, len(strings), 1000)]
+        joined = [mark.join(x) for x in batches]
         ids, sizes = [], []
-        for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+        for strings, text, x in zip(batches, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            if text.count(self.first) != len(strings) - 1:  # one holds a special token's text itself, perhaps
+                got = [y.ids for y in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+                ids.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32))
+                continue
             own = np.array(x.ids, np.uint32)
             cut = own == mark_id
-            ends = np.append(np.flatnonzero(cut), len(own))
-            sizes.append(np.diff(ends, prepend=-1) - 1)
+            sizes.append(np.diff(np.append(np.flatnonzero(cut), len(own)), prepend=-1) - 1)
             ids.append(own[~cut])
         return np.concatenate(ids), np.concatenate(sizes)
 
@@ -88,24 +93,12 @@ class ChunkEncoder:
         if not new:
             return
         self.known = len(self.index)
-        strings = [x[0] if type(x) is tuple else f" {x}" for x in new]
-        odd = [i for i, x in enumerate(strings) if self.first in x and any(m in x for m in self.special)]
-        if odd:  # they hold a special token's text themselves; they come last, encoded one by one
-            apart = set(odd)
-            order = [i for i in range(len(new)) if i not in apart] + odd
-            some, sizes = self.encode_each([strings[i] for i in order[: len(new) - len(odd)]]) if len(odd) < len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-            rest, more = self.encode_each([strings[i] for i in odd])
-            ids, by_order = np.concatenate([some, rest]), np.concatenate([sizes, more])
-            sizes, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            sizes[order], starts[order] = by_order, np.cumsum(by_order) - by_order
-        else:
-            ids, sizes = self.encode_each(strings)
-            starts = np.cumsum(sizes) - sizes
+        ids, sizes = self.encode_each([x[0] if type(x) is tuple else f" {x}" for x in new])
+        starts = np.cumsum(sizes) - sizes
         added = [("flat", ids), ("starts", len(self.flat) + starts), ("sizes", sizes), ("seen", np.zeros(len(new), np.int64))]
         if self.keeps_space:
             bare = [x[0] if type(x) is tuple else x for x in new]
-            added.append(("opens", np.fromiter((not x or blank(x[0]) for x in bare), bool, len(bare))))
-            added.append(("closes", np.fromiter((not x or blank(x[-1]) for x in bare), bool, len(bare))))
+            added += [("opens", blanks([x[:1] for x in bare])), ("closes", blanks([x[-1:] for x in bare]))]
         else:
             added += [("opens", np.zeros(len(new), bool)), ("closes", np.zeros(len(new), bool))]
         for name, x in added:
