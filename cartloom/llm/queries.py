@@ -16,6 +16,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as pictures, with the class of their copies. The tables have no media column, so the pictures are rendered."""
+    from cartloom.llm.media import image_copies, rendered
+
+    return image_copies(rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids as token files and read them back: doc_id, start, n_tokens, ids_crc32, bytes."""
     from cartloom.llm.token_files import read_token_files, write_token_files
@@ -123,6 +130,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_token_files": op2_token_files,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_packing": op4_packing,
