@@ -67,6 +67,23 @@ def in_band(size: int, whole: float, low: float, high: float) -> bool:
     return least <= whole <= most and (size < CHUNK_BYTES or (low >= CHUNK_BAND[0] and high <= CHUNK_BAND[1]))
 
 
+def measured(text: str, squeeze: zstandard.ZstdCompressor) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the three ratios of a text."""
+    raw = text.encode()
+    words = raw.split()
+    n = len(words)
+    index: defaultdict = defaultdict()
+    index.default_factory = index.__len__
+    repeated = repeated_words(np.fromiter(map(index.__getitem__, words), np.int64, n)) if n > 5 else 0
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    failed = n < 10 or 100 * repeated > 20 * n
+    whole, low, high = ratios(raw, squeeze)
+    return (
+        n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated,
+        failed, not failed and in_band(len(raw), whole, low, high), whole, low, high,
+    )
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """A row for each document of docs (doc_id, text) with its counts, ratios and verdict (see SCHEMA).
 
@@ -79,24 +96,24 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            index: defaultdict = defaultdict()
-            index.default_factory = index.__len__
-            rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                raw = text.encode()
-                words = raw.split()
-                n = len(words)
-                repeated = repeated_words(np.fromiter(map(index.__getitem__, words), np.int64, n)) if n > 5 else 0
-                lines = [x for x in text.split("\n") if x.strip(SPACES)]
-                failed = n < 10 or 100 * repeated > 20 * n
-                whole, low, high = ratios(raw, squeeze)
-                rows.append(
-                    (n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated,
-                     failed, not failed and in_band(len(raw), whole, low, high), whole, low, high)
-                )
+            rows = [measured(text or "", squeeze) for text in batch.column("text").to_pylist()]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
             own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text, ...) that the rules keep, with all their columns as they are. See quality_rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(x or "", squeeze) for x in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def verdict(text: str, squeeze: zstandard.ZstdCompressor) -> bool:
+    return measured(text, squeeze)[6]
