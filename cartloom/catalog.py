@@ -141,6 +141,10 @@ def _type_pairs(spark, sf):
     return B.item_pairs(spark, sf, "p_type")
 
 
+def _type_rows(spark, sf):
+    return B.item_rows(spark, sf, "p_type")
+
+
 @query(f"WITH {pairs_sql('p_type')} SELECT i item, string_agg(o::VARCHAR, ',' ORDER BY o) tids FROM pairs GROUP BY 1")
 def tid_lists(spark, sf):
     return _text(E.tid_lists(_type_pairs(spark, sf)), "tids", "tids")
@@ -225,6 +229,10 @@ def _brand_pairs(spark, sf):
     return B.item_pairs(spark, sf, "p_brand")
 
 
+def _brand_rows(spark, sf):
+    return B.item_rows(spark, sf, "p_brand")
+
+
 @query(f"WITH {pairs_sql('p_brand')}, {F1} SELECT concat_ws(',', a.i, b.i) itemset FROM f1 a JOIN f1 b ON a.i < b.i")
 def candidate_pairs(spark, sf):
     return _text(C.candidate_pairs(M.frequent_items(_brand_pairs(spark, sf), BRAND)), "cand")
@@ -234,7 +242,7 @@ F2 = f"f2 AS (SELECT i1, i2 FROM (SELECT b1.i i1, b2.i i2, count(*) c FROM pairs
 
 
 def _brand_f2(spark, sf):
-    return M.mine(_brand_pairs(spark, sf), BRAND, max_k=2).filter("k = 2")
+    return M.mine(_brand_rows(spark, sf), BRAND, max_k=2).filter("k = 2")
 
 
 @query(f"WITH {pairs_sql('p_brand')}, {F2} SELECT concat_ws(',', a.i1, a.i2, b.i2) itemset FROM f2 a JOIN f2 b ON a.i1 = b.i1 AND a.i2 < b.i2")
@@ -258,7 +266,7 @@ def lattice_size(spark, sf):
 
 # Miners ---------------------------------------------------------------------------------------------
 def frequent_itemsets_type_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return M.mine_preset(_type_pairs(spark, sf), "tid", 0.1)
+    return M.mine_preset(_type_rows(spark, sf), "tid", 0.1)
 
 
 @query(mine_sql("p_type", 0.1, 6))
@@ -283,12 +291,12 @@ def freq_items_min1(spark, sf):
 
 @query(mine_sql("p_name", 0.003, 3))
 def mine_tid(spark, sf):
-    return _text(M.mine_preset(B.item_pairs(spark, sf, "p_name"), "tid", 0.003, max_k=3))
+    return _text(M.mine_preset(B.item_rows(spark, sf, "p_name"), "tid", 0.003, max_k=3))
 
 
 def _wdpa(strategy: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _text(M.mine_preset(_brand_pairs(spark, sf), "wdpa", BRAND, strategy=strategy, processors=4))
+        return _text(M.mine_preset(_brand_rows(spark, sf), "wdpa", BRAND, strategy=strategy, processors=4))
 
     run.__name__ = f"mine_wdpa_{strategy.lower()}"
     return run
@@ -300,12 +308,12 @@ for _s in D.STRATEGIES:
 
 @query(mine_sql("p_brand", BRAND, 4, "fraction"))
 def mine_naive(spark, sf):
-    return _text(M.mine_preset(_brand_pairs(spark, sf), "naive", BRAND))
+    return _text(M.mine_preset(_brand_rows(spark, sf), "naive", BRAND))
 
 
 @query(mine_sql("p_type", 0.05, 5))
 def mine_ye(spark, sf):
-    return _text(M.mine_preset(_type_pairs(spark, sf), "ye", 0.05))
+    return _text(M.mine_preset(_type_rows(spark, sf), "ye", 0.05))
 
 
 @query(mine_sql("p_brand", BRAND, 4, "fraction"))
@@ -320,7 +328,7 @@ def mine_fpgrowth_floor(spark, sf):
 
 @query(f"SELECT k, count(*) itemsets FROM ({mine_sql('p_type', 0.05, 6)}) GROUP BY 1")
 def itemsets_per_level(spark, sf):
-    return M.itemsets_per_level(M.mine_preset(_type_pairs(spark, sf), "tid", 0.05))
+    return M.itemsets_per_level(M.mine_preset(_type_rows(spark, sf), "tid", 0.05))
 
 
 SWEEP = (0.05, 0.1, 0.2)
@@ -549,7 +557,7 @@ def max_processor_view(spark, sf):
 SIZES = (50_000, 100_000, 150_000)
 
 
-@query(f"""WITH runs AS {RUNS}, sized AS (SELECT s.unnest dataset_size, strategy, processors, round(computation_time * s.unnest / 150000, 6) computation_time FROM runs, (SELECT unnest({list(SIZES)})) s WHERE abs(support - 0.002::DOUBLE) < 0.00001::DOUBLE)
+@query(f"""WITH runs AS {RUNS}, sized AS (SELECT s.size dataset_size, strategy, processors, round(computation_time * s.size / 150000, 6) computation_time FROM runs, (SELECT unnest({list(SIZES)})::INT AS size) s WHERE abs(support - 0.002::DOUBLE) < 0.00001::DOUBLE)
 SELECT dataset_size, strategy, processors, computation_time, round(computation_time / first_value(computation_time) OVER (PARTITION BY strategy, processors ORDER BY dataset_size), 4) growth FROM sized""")
 def cross_run_scaling(spark, sf):
     sizes = spark.createDataFrame([(s,) for s in SIZES], "dataset_size int")

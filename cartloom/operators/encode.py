@@ -26,7 +26,7 @@ def tid_bitmaps(pairs: DataFrame) -> DataFrame:
 
 def basket_matrix(pairs: DataFrame, items: list) -> DataFrame:
     """order_id and a byte for each of the given items: for small domains alone, as it has a column for each."""
-    wide = pairs.groupBy("order_id").pivot("item", items).agg(F.count("*"))
+    wide = pairs.groupBy("order_id").pivot("item", items).agg(F.count(F.lit(1)))
     return wide.select("order_id", *[(F.coalesce(F.col(f"`{i}`"), F.lit(0)) > 0).cast("byte").alias(str(i)) for i in items])
 
 

@@ -18,6 +18,7 @@ from cartloom.operators import candidates as C
 from cartloom.operators import distribute as D
 from cartloom.operators import encode as E
 from cartloom.operators import support as S
+from cartloom.sources.shared import written
 
 PRESETS = {
     "tid": {"threshold": "floor", "max_k": 10, "counting": "extension"},
@@ -28,7 +29,8 @@ PRESETS = {
 
 
 def _keep(df: DataFrame) -> tuple[DataFrame, int]:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df as a table, and its rows: a level's plan would hold those of all levels before it, several times."""
+    df = written(df, "level")
     return df, df.count()
 
 
@@ -48,7 +50,7 @@ def mine(
     pairs: DataFrame, min_support: float, threshold: str = "floor", max_k: int | None = None, counting: str = "extension",
     strategy: str = "CWT", processors: int = 4, strict: bool = False,
 ) -> DataFrame:
-    """Frequent itemsets of distinct pairs (order_id, item): k, itemset (sorted), count, support.
+    """Frequent itemsets of rows (order_id, item): k, itemset (sorted), count, support. Repeated rows count once.
 
     counting: extension (of occurrences), containment (candidates offered to transactions) or bitmap
     (candidates dealt to processors by strategy, bitmaps ANDed). All give the same rows. No orders, or
@@ -61,15 +63,17 @@ def mine(
         raise ValueError(f"unknown strategy {strategy}")
     if strict and counting != "bitmap":
         raise ValueError("strict needs the bitmap counting")
-    n = E.count_orders(pairs)
+    whole = E.transactions(pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    n, each = whole.count(), whole.select("order_id", F.explode("items").alias("item"))
     least = S.min_count(min_support, n, threshold, strict)
-    level, found = _keep(frequent_items(pairs, min_support, threshold, n, strict))
+    level, found = _keep(frequent_items(each, min_support, threshold, n, strict))
     levels, k = [level], 1
     if counting == "bitmap":
-        data = E.tid_bitmaps(pairs).persist(StorageLevel.MEMORY_AND_DISK)
+        data = E.tid_bitmaps(each).persist(StorageLevel.MEMORY_AND_DISK)
         counts = level.select(F.get("itemset", F.lit(0)).alias("item"), "count")
     else:
-        kept = pairs.join(S.near(level.select(F.get("itemset", F.lit(0)).alias("item")), found), "item", "left_semi")
+        # whole is already dealt by order, so the regrouping of the frequent items doesn't shuffle
+        kept = each.join(S.near(level.select(F.get("itemset", F.lit(0)).alias("item")), found), "item", "left_semi")
         data = E.transactions(kept).persist(StorageLevel.MEMORY_AND_DISK)
         occurrences = data.select(F.posexplode("items").alias("i", "x"), "items").select(F.array("x").alias("itemset"), F.slice("items", F.col("i") + 2, F.size("items")).alias("rest"))
     while found and (max_k is None or k < max_k):

@@ -50,13 +50,18 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return orders, lines, parts
 
 
-def item_pairs(spark: SparkSession, sf_dir: str, column: str = "p_type") -> DataFrame:
-    """Distinct (order_id, item) with an attribute of the part as the item."""
+def item_rows(spark: SparkSession, sf_dir: str, column: str = "p_type") -> DataFrame:
+    """(order_id, item), a row for each line, with an attribute of the part as the item: for miners, which group by order anyway."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("p_partkey"))
     if column == "l_partkey":
-        return distinct_pairs(lines, "order_id", "p_partkey")
+        return lines.select("order_id", F.col("p_partkey").alias("item")).na.drop()
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", column)
-    return distinct_pairs(lines.join(parts, "p_partkey"), "order_id", column)
+    return lines.join(parts, "p_partkey").select("order_id", F.col(column).alias("item")).na.drop()
+
+
+def item_pairs(spark: SparkSession, sf_dir: str, column: str = "p_type") -> DataFrame:
+    """Distinct (order_id, item) with an attribute of the part as the item."""
+    return item_rows(spark, sf_dir, column).distinct()
 
 
 def distinct_pairs(basket: DataFrame, order_col: str = "order_id", item_col: str = "product_id") -> DataFrame:
