@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,6 +11,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.sources.shared import scratch, shared_root, written
+
+__all__ = ["bucket_links", "column", "components", "file_system", "prepare", "scratch", "shared_root", "table", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
     """Python workers can import this package, and get rows in small batches, as texts can be long."""
@@ -28,33 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="cartloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared folder through Hadoop, whatever the store is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a URI and the path in it, for use in a task."""
     if uri.startswith("file:"):
@@ -127,6 +101,3 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
-
-def session_parallelism(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
