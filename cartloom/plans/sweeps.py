@@ -21,10 +21,10 @@ def timed(spark: SparkSession, job: Callable[[], int], timeout: float | None = N
 
     def cancel() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout, cancel) if timeout else None
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         if timer:
             timer.start()
@@ -34,7 +34,7 @@ def timed(spark: SparkSession, job: Callable[[], int], timeout: float | None = N
     finally:
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     return status, time.perf_counter() - began, n
 
 
