@@ -117,6 +117,35 @@ def report_lines(runs: DataFrame) -> DataFrame:
     return m.select(F.row_number().over(Window.orderBy("support", "strategy", "processors")).alias("n"), text.alias("value"))
 
 
+def detailed_report(runs: DataFrame, levels: DataFrame, processors: list[int]) -> DataFrame:
+    """The five tables of a detailed summary, with averages and best configurations, as lines: n and value.
+
+    runs (support, strategy, processors, computation_time, total_time), levels (support, k, itemsets).
+    A report has a line for each support and strategy, so its lines are numbered in one task.
+    """
+    m = speedup_metrics(runs).withColumn("percent", F.col("efficiency") * 100)
+    wide = [
+        ("1 Computation time (s)", by_processors(runs, "computation_time", processors)),
+        ("2 Speedup", by_processors(m, "speedup", processors)),
+        ("3 Efficiency (%)", by_processors(m, "percent", processors)),
+        ("4 Overhead (%)", by_processors(overhead(runs), "overhead_pct", processors)),
+    ]
+    head = "".join(f"{f'{p}p':>10}" for p in processors)
+    cell = lambda c: F.lpad(F.coalesce(F.format_number(c, 2), F.lit("-")), 10, " ")
+    key = [F.lpad(F.format_number("support", 4), 8, " "), F.lit("  "), F.rpad("strategy", 6, " ")]
+    parts = [t.select(F.lit(title).alias("section"), F.col("support"), F.col("strategy"), F.concat(*key, *[cell(f"p{p}") for p in processors]).alias("value")) for title, t in wide]
+    parts.append(levels.select(F.lit("5 Itemsets by level"), "support", F.format_string("%02d", "k"), F.concat(key[0], F.lit("  k="), F.col("k").cast("string"), F.lpad(F.format_number("itemsets", 0), 10, " "))))
+    averages = strategy_averages(runs)
+    parts.append(averages.select(F.lit("6 Averages"), F.lit(0.0), "strategy", F.concat(F.rpad("strategy", 6, " "), *[cell(f"{n}_speedup") for n in ("avg", "min", "max")])))
+    parts.append(best_config(runs).select(F.lit("7 Best at most processors"), "support", "strategy", F.concat(*key, cell("computation_time"))))
+    spark = runs.sparkSession
+    titles = spark.createDataFrame([(t, -1.0, "", t[2:] + (head if t[0] in "1234" else "")) for t in ("1 Computation time (s)", "2 Speedup", "3 Efficiency (%)", "4 Overhead (%)", "5 Itemsets by level", "6 Averages", "7 Best at most processors")], "section string, support double, strategy string, value string")
+    lines = titles
+    for part in parts:
+        lines = lines.union(part)
+    return lines.select(F.row_number().over(Window.orderBy("section", "support", "strategy")).alias("n"), "value")
+
+
 #: Published computation times (s) for 1, 2, 4, 8 and 16 processors, and their overhead (%).
 PROCESSORS = (1, 2, 4, 8, 16)
 PUBLISHED_TIMES = {

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cartloom import schema as S
+from cartloom.functions import metrics as R
 from cartloom.functions.scalars import memory_gib, parse_run_key
 from cartloom.operators import candidates as C
 from cartloom.operators import distribute as D
@@ -220,3 +221,12 @@ def test_grid_and_timeout(spark, demo):
 
     status, seconds, _ = timed(spark, slow, 2)
     assert status == "timeout" and seconds < 60
+
+
+def test_detailed_report(spark, tmp_path):
+    lines = R.detailed_report(R.published_runs(spark), R.published_levels(spark), list(R.PROCESSORS))
+    got = [r.value for r in lines.orderBy("n").collect()]
+    assert len(got) == 7 + 4 * 20 + 20 + 4 + 5
+    assert got[0].startswith("Computation time") and any("13.38" in x and "3.96" in x for x in got)
+    K.write_report(lines, str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == got
