@@ -132,7 +132,7 @@ def test_prune(spark):
 orders = st.dictionaries(st.integers(1, 8), st.lists(st.integers(1, 5), min_size=1, max_size=6), min_size=1, max_size=8)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(orders, st.sampled_from([0.2, 0.34, 0.5, 1.0]))
 def test_miners_equal_brute_force(spark, x, support):
     rows = pairs_of(spark, x)
