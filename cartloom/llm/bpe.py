@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from cartloom.llm.common import texts
+from cartloom.llm.tokens import gathered
 
 BLOCK_CHARS = 8_000_000
 #: The byte-level pre-tokenizer's split (fixed by the vocabulary).
@@ -217,14 +218,6 @@ class PairIndexBPE:
 DOUBLE = regex.compile(r"\s\s")
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of flat that where names, one after another, and their sizes."""
-    n = sizes[where]
-    at = np.repeat(starts[where] - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    return flat[at], n
-
-
 def sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of successive stretches of x, of so many elements each; a stretch may be empty."""
     total = np.concatenate([[0], np.cumsum(x)])

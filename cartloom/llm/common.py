@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.sources.shared import scratch, shared_root, written
 
-__all__ = ["bucket_links", "column", "components", "file_system", "prepare", "scratch", "shared_root", "table", "texts", "written"]
+__all__ = ["bucket_links", "column", "components", "file_system", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
     """Python workers can import this package, and get rows in small batches, as texts can be long."""
@@ -53,6 +53,24 @@ def texts(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[
         yield held, got
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[pa.RecordBatch], pa.Array]]:
+    """The same with the texts as one Arrow array, of about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column("text").nbytes
+        if n >= chars:
+            yield held, joined_texts(held)
+            held, n = [], 0
+    if held:
+        yield held, joined_texts(held)
+
+
+def joined_texts(held: list[pa.RecordBatch]) -> pa.Array:
+    return pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held]).fill_null("")
+
+
 def column(held: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([b.column(name) for b in held])
 

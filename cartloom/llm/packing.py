@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import column, texts, written
+from cartloom.llm.common import column, text_blocks, written
 from cartloom.llm.tokens import encoder
 
 BLOCK_CHARS = 6_000_000
@@ -61,7 +61,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, block in texts(batches, BLOCK_CHARS):
+        for held, block in text_blocks(batches, BLOCK_CHARS):
             ids, lengths = encoder(tokenizer, False).encode(block)
             docs = column(held, "doc_id").cast(pa.int64()).to_pylist()
             tail = np.array([end_id], np.uint32)

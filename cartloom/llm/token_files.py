@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import column, file_system, texts, written
+from cartloom.llm.common import column, file_system, text_blocks, written
 from cartloom.llm.tokens import encoder
 
 MAGIC = b"CLTOKS01"
@@ -115,7 +115,7 @@ def _encoding(tokenizer: str, end_id: int, width: int, dictionary: bytes, bounds
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_data(dictionary), write_content_size=True)
         edges = np.array(bounds, np.int64)
-        for held, block in texts(batches, BLOCK_CHARS):
+        for held, block in text_blocks(batches, BLOCK_CHARS):
             ids, lengths = encoder(tokenizer, True).encode(block)
             ends = np.cumsum(lengths)
             if width == 2 and len(ids) and ids.max() > 0xFFFF:
@@ -182,7 +182,7 @@ def write_token_files(
     docs = docs.select("doc_id", "text")
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in texts(batches, BLOCK_CHARS):
+        for _, block in text_blocks(batches, BLOCK_CHARS):
             ids, lengths = encoder(tokenizer, True).encode(block)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])], pa.binary())], ["ids"]

@@ -13,6 +13,8 @@ import os
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 BLANK = np.array([c for c in range(0x110000) if chr(c).isspace() or c == 0x180E], np.uint32)
@@ -23,6 +25,14 @@ def blanks(chars: list[str]) -> np.ndarray:
     return np.isin(np.frombuffer("".join([c or " " for c in chars]).encode("utf-32-le"), np.uint32), BLANK)
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat that where names, one after another, and their sizes."""
+    n = sizes[where]
+    at = np.repeat(starts[where] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat[at], n
+
+
 class ChunkEncoder:
     """encode() gives the ids of texts. keeps_space: whether white space has tokens of its own.
 
@@ -63,8 +73,7 @@ class ChunkEncoder:
         self.index.clear()
         self.index.update(zip(kept, range(len(kept)), strict=True))
         self.known, sizes = len(kept), self.sizes[again]
-        at = np.repeat(self.starts[again] - (np.cumsum(sizes) - sizes), sizes)
-        self.flat = self.flat[at + np.arange(len(at))]
+        self.flat, _ = gathered(self.flat, self.starts, self.sizes, again)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.opens, self.closes = self.opens[again], self.closes[again]
         self.seen = np.ones(len(kept), np.int64)
@@ -104,28 +113,27 @@ class ChunkEncoder:
         for name, x in added:
             setattr(self, name, np.concatenate([getattr(self, name), x]))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, and each text's number of ids."""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (without nulls), one after another, and each text's number of ids.
+
+        Arrow cuts the texts and finds the distinct chunks of the block, so Python sees each of these once.
+        """
         if len(self.index) > self.limit:
             self.renew()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        chunks, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy())
+        firsts = np.append(0, ends[:-1])
+        coded = chunks.dictionary_encode()
         each = self.index.__getitem__
-        parts, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words: list = text.split(" ")
-            words[0] = (words[0],)
-            counts[i] = len(words)
-            parts.append(np.fromiter(map(each, words), np.int32, len(words)))
-        if not parts:
-            return np.zeros(0, np.uint32), counts
+        where = np.fromiter(map(each, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
+        where[firsts] = np.fromiter((each((x,)) for x in chunks.take(pa.array(firsts)).to_pylist()), np.int32, len(firsts))
         self.learn()
-        where = np.concatenate(parts)
         self.seen += np.bincount(where, minlength=self.known)
-        ends = np.cumsum(counts)
-        sizes = self.sizes[where]
-        lengths = np.add.reduceat(sizes, ends - counts) if len(where) else np.zeros(len(texts), np.int64)
-        at = np.repeat(self.starts[where] - (np.cumsum(sizes) - sizes), sizes)
-        at += np.arange(len(at))
-        ids = self.flat[at]
+        ids, sizes = gathered(self.flat, self.starts, self.sizes, where)
+        lengths = np.add.reduceat(sizes, firsts)
         if self.keeps_space:
             bad = self.closes[where[:-1]] & self.opens[where[1:]]
             bad[ends[:-1] - 1] = False  # between two texts
@@ -133,7 +141,7 @@ class ChunkEncoder:
                 whole = np.unique(np.searchsorted(ends, np.flatnonzero(bad), side="right"))
                 pieces = np.split(ids, np.cumsum(lengths)[:-1])
                 for i in whole:
-                    pieces[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                    pieces[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
                     lengths[i] = len(pieces[i])
                 ids = np.concatenate(pieces)
         return ids, lengths
