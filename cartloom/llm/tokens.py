@@ -64,10 +64,11 @@ class ChunkEncoder:
         self.seen = np.zeros(0, np.int64)
 
     def renew(self) -> None:
-        """Keep the chunks that were found twice or more, if they are few enough; forget the others."""
+        """Keep the chunks that were found twice or more, the most frequent half of the limit at most; forget the others."""
         again = np.flatnonzero(self.seen > 1)
         if len(again) > self.limit // 2:
-            return self.clear()
+            order = np.argsort(-self.seen[again], kind="stable")
+            again = np.sort(again[order[: self.limit // 2]])
         keys = list(self.index)
         kept = [keys[i] for i in again.tolist()]
         self.index.clear()
@@ -81,19 +82,20 @@ class ChunkEncoder:
     def encode_each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of strings, one after another, and their numbers of ids; 1000 at a time, kept apart by a special token's text."""
         mark, mark_id = self.mark
-        batches = [strings[i : i + 1000] for i in range(0, len(strings), 1000)]
-        joined = [mark.join(x) for x in batches]
         ids, sizes = [], []
-        for strings, text, x in zip(batches, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            if text.count(self.first) != len(strings) - 1:  # one holds a special token's text itself, perhaps
-                got = [y.ids for y in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-                ids.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32))
-                continue
-            own = np.array(x.ids, np.uint32)
-            cut = own == mark_id
-            sizes.append(np.diff(np.append(np.flatnonzero(cut), len(own)), prepend=-1) - 1)
-            ids.append(own[~cut])
+        for start in range(0, len(strings), 20_000):  # the library's own results are large, so few at a time
+            batches = [strings[i : i + 1000] for i in range(start, min(start + 20_000, len(strings)), 1000)]
+            joined = [mark.join(x) for x in batches]
+            for own_strings, text, x in zip(batches, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                if text.count(self.first) != len(own_strings) - 1:  # one holds a special token's text itself, perhaps
+                    got = [y.ids for y in self.tokenizer.encode_batch_fast(own_strings, add_special_tokens=False)]
+                    sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+                    ids.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32))
+                    continue
+                own = np.array(x.ids, np.uint32)
+                cut = own == mark_id
+                sizes.append(np.diff(np.append(np.flatnonzero(cut), len(own)), prepend=-1) - 1)
+                ids.append(own[~cut])
         return np.concatenate(ids), np.concatenate(sizes)
 
     def learn(self) -> None:
