@@ -16,7 +16,7 @@ from cartloom.operators import encode as E
 from cartloom.operators import rules as A
 from cartloom.operators import support as U
 from cartloom.plans import mine as M
-from cartloom.plans.sweeps import run_grid, timed
+from cartloom.plans.sweeps import run_grid, scalability, timed
 from cartloom.sources import basket as B
 from cartloom.sources import sinks as K
 
@@ -230,3 +230,8 @@ def test_detailed_report(spark, tmp_path):
     assert got[0].startswith("Computation time") and any("13.38" in x and "3.96" in x for x in got)
     K.write_report(lines, str(tmp_path / "r"))
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == got
+
+
+def test_scalability(spark):
+    got = scalability(spark, "/root/testdata/sf0.001", [(300, 10)], [0.1, 0.2])
+    assert [r["status"] for r in got] == ["success", "success"] and got[0]["itemsets"] >= got[1]["itemsets"]
