@@ -7,7 +7,8 @@ their weighted Jaccard similarity, as the darts of a region are the same in ever
 document needs few darts of each region, so a signature costs about K ln K darts and the shingles.
 
 Bands of the signature are bucket keys. Candidates of a bucket are compared with one leader of it,
-never all with all; every candidate pair is then compared exactly.
+never all with all; every candidate pair is then compared exactly. Buckets that still hold several
+components in the end are finished by a prefix-filter join, which leaves out no pair that can be a link.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8**5)**25 = 5e-5.
 BANDS, BAND_ROWS = 25, 5
 K = BANDS * BAND_ROWS
+#: Counters of how many open documents have a unit region. They only order the regions, so a shared counter costs time, not links.
+COUNTERS = 1 << 18
 #: So many darts in expectation: with K ln K + 2 K few coordinates stay empty, and those get a second throw.
 DARTS = K * np.log(K) + 2 * K
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -185,6 +188,91 @@ def bridges(buckets: DataFrame, roots: DataFrame, tested: DataFrame, turn: int)
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def prefix_rows(regions: DataFrame, opened: DataFrame, threshold: float) -> DataFrame:
+    """unit, node, root, size and rest for the rarest unit regions of opened (node, root), enough of them for any link.
+
+    The regions of all documents are in one order, rare ones first. rest is how many of its size regions a document
+    has from this one on: two documents whose first common region this is have no more than the smaller rest in common.
+    """
+    own = regions.join(opened, "node")
+    spot = F.pmod(F.col("unit"), F.lit(COUNTERS)).cast("int").alias("spot")
+    counted = own.select(F.explode("units").alias("unit")).groupBy(spot).count().toArrow()
+    counters = np.zeros(COUNTERS, np.int32)
+    counters[counted["spot"].to_numpy()] = np.minimum(counted["count"].to_numpy(), 2**31 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, x in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("units"), strict=True):
+                x = x.values.to_numpy()
+                often = counters[x % COUNTERS]
+                order = np.lexsort((x, often))
+                rest = len(x) - np.arange(len(x))
+                order = order[rest >= threshold * len(x) - 1e-6]
+                chosen = often[order] > 1  # the others are in one document
+                order, rest = order[chosen], rest[: len(order)][chosen]
+                n = len(order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[order]), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(np.full(n, len(x))), pa.array(rest)], ["unit", "node", "root", "size", "rest"]
+                )
+
+    return own.select("node", "root", "units").mapInArrow(run, "unit long, node long, root long, size long, rest long")
+
+
+def pairs_of_unit(node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the documents of a unit region that are of two components and, if it is their first common one, can be a link.
+
+    A link of sizes s and t has threshold / (1 + threshold) * (s + t) regions in common or more, so its shorter
+    document has a rest of twice that share of its size. Pairs have such a document, and one outside of the largest
+    component: the fewer of these are walked.
+    """
+    share = threshold / (1 + threshold)
+    able = np.flatnonzero(rest >= 2 * share * size - 1e-6)
+    values, counts = np.unique(root, return_counts=True)
+    minor = np.flatnonzero(root != values[counts.argmax()])
+    got = []
+    for i in able if len(able) < len(minor) else minor:
+        j = np.flatnonzero((root != root[i]) & (np.minimum(rest[i], rest) >= share * (size[i] + size) - 1e-6))
+        if len(j):
+            got.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+    return got
+
+
+def left_pairs(buckets: DataFrame, roots: DataFrame, regions: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """All untested pairs that can be links between the components that a bucket still holds."""
+    of = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    opened = written(of.join(several, "key").select("node", "root").distinct(), "dart-open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("unit", "node", "root", "size", "rest")
+
+        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            unit, node, root, size, rest = np.concatenate(parts, 1)
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            able = rest >= 2 * threshold / (1 + threshold) * size - 1e-6
+            mixed = (np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)) & np.logical_or.reduceat(able, starts)
+            for a, b in zip(starts[mixed], np.append(starts[1:], len(unit))[mixed], strict=True):
+                for x, y in pairs_of_unit(node[a:b], root[a:b], size[a:b], rest[a:b], threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+        held: list[np.ndarray] = []  # of the last unit, whose rows may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in names])
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if cut or (held and held[0][0, 0] != rows[0, 0]):
+                if held or cut:
+                    yield from out([*held, rows[:, :cut]])
+                held = []
+            held.append(rows[:, cut:])
+        if held:
+            yield from out(held)
+
+    rows = prefix_rows(regions, opened, threshold).repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int = 3) -> DataFrame:
     """A row for each document of docs (doc_id, text): doc_id, th (xxhash64 of the text), class_id.
 
@@ -196,7 +284,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int =
 
     Nodes of a bucket are compared with the bucket's least node, then, for so many turns, a delegate
     of each component that the bucket still holds with one of another, drawn anew for each bucket and
-    turn. Work is linear in the rows of buckets however large a group is.
+    turn. These are linear in the rows of buckets however large a group is. What a bucket holds of
+    several components after them is compared in all pairs that the prefix filter can't rule out, so
+    each link of two nodes that share a bucket is found.
     """
     all_rows = written(signatures(docs), "dart-signatures")
     nodes = all_rows.groupBy("node", "more").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
@@ -206,16 +296,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int =
     pairs = written(bucket_links(buckets, "key", "node"), "dart-pairs")
     wanted = nodes.select("node", "doc_id").join(buckets.select("node").distinct(), "node").select("doc_id").distinct()
     regions = written(regions_of(docs, wanted), "dart-regions")
-    links, tested, roots = None, None, None
-    for turn in range(turns + 1):
+
+    def added(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         found = written(compared(pairs, regions), "dart-compared")
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.filter(F.col("similarity") >= threshold).select("a", "b")
-        roots = components(links, "dart-components")
-        if turn < turns:
-            pairs = written(bridges(buckets, roots, tested.select("a", "b"), turn), "dart-pairs")
-            if pairs.isEmpty():
-                break
+        return tested, components(tested.filter(F.col("similarity") >= threshold).select("a", "b"), "dart-components")
+
+    tested, roots = added(pairs, None)
+    for turn in range(turns):
+        pairs = written(bridges(buckets, roots, tested.select("a", "b"), turn), "dart-pairs")
+        if pairs.isEmpty():
+            break
+        tested, roots = added(pairs, tested)
+    pairs = written(left_pairs(buckets, roots, regions, tested.select("a", "b"), threshold), "dart-pairs")
+    if not pairs.isEmpty():
+        tested, roots = added(pairs, tested)
     own = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = own.join(least, "root").groupBy("node").agg(F.min("class_id").alias("class_id"))

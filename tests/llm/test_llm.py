@@ -251,6 +251,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def template_family(n):
+    """Documents of 600 shared and 100 own shingles, 0.75 alike; from document n on, one for every second of them that is just over 0.8 alike to it alone."""
+    rng = random.Random(6)
+    shared = [f"t{i}" for i in range(604)]
+    own = [[f"o{rng.randrange(10**9)}" for _ in range(100)] for _ in range(n)]
+    pairs = [(d, n + k) for k, d in enumerate(range(0, n, 2))]
+    twins = [own[d][:24] + [f"p{rng.randrange(10**9)}" for _ in range(76)] for d, _ in pairs]
+    return [(i, " ".join(shared + x)) for i, x in enumerate(own + twins)], pairs
+
+
+def test_near_duplicates_in_a_template_family(spark):
+    docs, pairs = template_family(300)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, docs)).collect()}
+    assert got == {i: i for i, _ in docs} | {b: a for a, b in pairs}
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
