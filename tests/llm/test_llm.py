@@ -174,6 +174,20 @@ def test_quality_rules(spark, edge, empty):
     assert quality.in_band(3000, 2.0, 2.0, 2.0) and not quality.in_band(3000, 1.1, 1.1, 1.1) and not quality.in_band(9000, 2.5, 2.5, 9.0)
 
 
+def test_quality_rules_reject_base64_in_any_chunk():
+    import base64
+
+    import zstandard
+
+    squeeze, rng = zstandard.ZstdCompressor(level=3), random.Random(12)
+    prose = "".join(f"{w} " for w in words(rng, 20_000, 3000).split())
+    code = base64.b64encode(rng.randbytes(6000)).decode()
+    coded = " ".join(code[i : i + 76] for i in range(0, len(code), 76))
+    assert quality.verdict(prose[:8186], squeeze)
+    assert not quality.verdict(prose[:4096] + coded[:4090], squeeze)
+    assert not quality.verdict(prose[: 4096 * 8] + coded[:4096] + prose[:8192], squeeze)
+
+
 def brute_lines(docs, least):
     """Text and deleted lines by comparing all starts: docs is a list of (key, text) in order."""
     lines = [[(j, x, len(x.encode().split())) for j, x in enumerate((t or "").split("\n"))] for _, t in docs]
