@@ -111,6 +111,8 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
     found = toxic_passages(docs, model)
+    best = F.array_max(F.transform("segments", lambda x: F.struct(x["score"], x["first"], x["last"])))
+    found = found.withColumn("n_segments", F.size("segments").cast("long")).withColumn("best_from", best["first"]).withColumn("best_to", best["last"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "n_segments", "best_from", "best_to")
 
 

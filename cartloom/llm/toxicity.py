@@ -109,11 +109,15 @@ def root_decay(scores: np.ndarray, rates: np.ndarray, other: float) -> float:
     return max(low, 1e-3)
 
 
-def evidence(n: int, segments: list[tuple[float, int, int]], decay: float) -> tuple[float, int]:
-    """The sum of -ln E of the significant segments, and how many these are."""
-    each = [decay * s - math.log(K_FACTOR * max(n, 1)) for s, _, _ in segments]
-    good = [x for x in each if x >= -math.log(LEAST_E)]
-    return min(sum(good), MOST_EVIDENCE), len(good)
+def significant(n: int, segments: list[tuple[float, int, int]], decay: float) -> list[tuple[int, int, float, float]]:
+    """The significant segments: first word, last word, score and -ln E."""
+    each = [(i, j, s, decay * s - math.log(K_FACTOR * max(n, 1))) for s, i, j in segments]
+    return [x for x in each if x[3] >= -math.log(LEAST_E)]
+
+
+def evidence(good: list[tuple[int, int, float, float]]) -> float:
+    """The sum of -ln E of the significant segments."""
+    return min(sum(x for *_, x in good), MOST_EVIDENCE)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -193,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rates = np.array([(chance[s] + 0.5 / max(len(typical), 1)) / (words[0] + 1) for s in typical])
     if typical:
         model.decay = root_decay(np.array(typical), rates, model.other)
-    x = np.array([evidence(r.n, maximal_segments(np.array(r.at), np.array(r.score), model.other), model.decay)[0] for r in rows])
+    x = np.array([evidence(significant(r.n, maximal_segments(np.array(r.at), np.array(r.score), model.other), model.decay)) for r in rows])
     y = np.array([float(r.toxic == 1) for r in rows])
     if len(rows) and 0 < y.sum() < len(y):
         model.weights = logistic(x, y)
@@ -201,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each document of docs (doc_id, text): its score, evidence, significant segments and the best of them.
+    """A row for each document of docs (doc_id, text): its score, evidence and significant segments.
 
-    score is a probability; best_from and best_to are word numbers, null without a segment; null and
-    empty texts have no words and the score of no evidence. Null and repeated doc_ids are kept as
+    score is a probability; segments are in the order of the text, with the numbers of their first and
+    last word, their score and E, an empty array if there are none; null and empty texts have no words and the score of no evidence. Null and repeated doc_ids are kept as
     they are; no documents give no rows; further columns are not read.
     """
 
@@ -216,14 +220,15 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 n, at, own = hits(text or "", scores)
                 segments = maximal_segments(at, own, model.other) if len(at) else []
-                x, good = evidence(n, segments, model.decay)
-                _, i, j = max(segments, default=(0, None, None))
-                rows.append((1 / (1 + math.exp(-(a + b * x))), x, good, i, j))
-            kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                good = significant(n, segments, model.decay)
+                x = evidence(good)
+                spans = [{"first": i, "last": j, "score": s, "e": math.exp(-y)} for i, j, s, y in good]
+                rows.append((1 / (1 + math.exp(-(a + b * x))), x, spans))
+            kinds = (pa.float64(), pa.float64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e", pa.float64())])))
             own = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], ["doc_id", "score", "evidence", "n_segments", "best_from", "best_to"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], ["doc_id", "score", "evidence", "segments"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double, n_segments long, best_from long, best_to long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double, segments array<struct<first: long, last: long, score: double, e: double>>")
 
 
 def held_out(doc_id: Column) -> Column:

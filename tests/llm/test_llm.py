@@ -394,6 +394,14 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.fit(table, rows.limit(0)).tokens == {}
 
 
+def test_toxic_passages_lists_all_segments(spark):
+    model = toxicity.Model({"vilest": 5.0, "mild": 0.5}, -0.5, 1.0, (-3.0, 1.0))
+    calm = ["calm"] * 100
+    rows = docs_of(spark, [(1, " ".join([*calm, *["vilest"] * 3, *calm, *["vilest"] * 2, *calm])), (2, "mild words"), (3, None)])
+    got = {r.doc_id: [(x.first, x.last) for x in r.segments] for r in toxicity.toxic_passages(rows, model).collect()}
+    assert got == {1: [(100, 102), (203, 204)], 2: [], 3: []}
+
+
 def pages_of(spark, n, skip=()):
     return spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(n) if i not in skip], "page_id long, url string, html string")
 
