@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own on a local master; executors elsewhere couldn't see it, so that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="cartloom-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, or the first of name_1, name_2, ... that no column has; case doesn't tell names apart."""
+    used = {x.lower() for x in taken}
+    return next(x for x in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if x.lower() not in used)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
