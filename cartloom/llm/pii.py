@@ -2,18 +2,29 @@
 
 A value is first checked (Luhn, ranges, calendar), so that ordinary numbers stay. Its digits or letters
 then go through a keyed Feistel network over their own domain: a permutation, so equal values get
-equal pseudonyms in every document and different values different ones, and the result has the same
-separators, number of digits (an octet may take one to three) and validity. Nothing is collected or joined: each document is done on its own.
+equal pseudonyms in every document and different values different ones, and a valid value stays valid.
+Separators, letter case and the number of digits stay, except that an octet of an IP address may take
+one to three digits. The domain of a mail address stays in clear. Nothing is collected or joined: each
+document is done on its own.
+
+The patterns are bounded (an address by its grammar: 64 characters before the @, labels of 63, 127 of
+them), so the search is linear in the text and its stack is bounded, whatever the text is.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.sources.shared import free_name
+
 ROUNDS = 8
-# Fixed formats, written for Java and RE2 alike: no look-around. The order is that of preference.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A key as it stands in a plan, which Spark then prints as "*********(redacted)".
+KEY_MARK, KEY_PATTERN = "pseudonym-key-", "pseudonym-key-[0-9a-f]{64}"
+# Fixed formats. The order is that of preference.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,127}[A-Za-z]{2,63}"
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|\b\d{2}\.\d{2}\.\d{4}\b"
 PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b"
@@ -72,12 +83,14 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _fill(shape: Column, chars: Column, kind: str) -> Column:
-    """shape with its characters of a kind (a class of a pattern) replaced by chars, in order."""
+    """shape with its characters of a kind (a class of a pattern) replaced by chars, in order; a capital gets a capital."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
     def put(acc: Column, c: Column) -> Column:
         hit = c.rlike(f"^[{kind}]$")
-        return F.struct(F.concat(acc["s"], F.when(hit, F.substr(chars, acc["i"], F.lit(1))).otherwise(c)).alias("s"), (acc["i"] + hit.cast("int")).alias("i"))
+        new = F.substr(chars, acc["i"], F.lit(1))
+        new = F.when(c.rlike("^[A-Z]$"), F.upper(new)).otherwise(new)
+        return F.struct(F.concat(acc["s"], F.when(hit, new).otherwise(c)).alias("s"), (acc["i"] + hit.cast("int")).alias("i"))
 
     return F.aggregate(F.split(shape, ""), start, put)["s"]
 
@@ -100,6 +113,21 @@ def number(key: str, value: Column, tag: str) -> Column:
     return _let(permuted_digits(key, _digits(value), F.lit(tag)), lambda d: _fill(value, d, "0-9"))
 
 
+def ssn(key: str, value: Column) -> Column:
+    """A social security number: a permutation of the valid ones (898 areas, 99 groups, 9999 serial numbers)."""
+    part = lambda i: F.split_part(value, F.lit("-"), F.lit(i)).cast("long")
+    area = part(1) - 1 - (part(1) > 666).cast("long")
+    both = _feistel(key, area * 99 + part(2) - 1, part(3) - 1, F.lit(898 * 99), F.lit(9999), F.lit("ssn"))
+
+    def written_out(p: Column) -> Column:
+        a = F.floor(p["l"] / 99) + 1
+        a = a + (a >= 666).cast("long")
+        each = (a, 3), (p["l"] % 99 + 1, 2), (p["r"] + 1, 4)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), F.lit(n), F.lit("0")) for x, n in each])
+
+    return _let(both, written_out)
+
+
 def phone(key: str, value: Column) -> Column:
     """A phone number: the country code, up to the first separator, and all separators stay."""
     head = F.regexp_extract(value, r"^(\+\d{1,3}[ .(-]+|\+\d)?(.*)$", 1)
@@ -168,22 +196,24 @@ def letters(key: str, value: Column, alphabet: str, tag: str) -> Column:
 
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
 HEX = "0123456789abcdef"
 
 
 def email(key: str, value: Column) -> Column:
-    """An address: letters (as small ones) and digits of the local part are permuted; its dots and its domain stay.
+    """An address: letters and digits of the local part are permuted; its dots, its case and its domain stay.
 
-    Addresses that differ in case alone are one, so they get one pseudonym.
+    Addresses that differ in case alone are one, so their pseudonyms differ in case alone too.
     """
-    local, domain = F.lower(F.split_part(value, F.lit("@"), F.lit(1))), F.lower(F.split_part(value, F.lit("@"), F.lit(2)))
-    small = F.regexp_replace(local, "[^a-z]", "")
+    local = F.split_part(value, F.lit("@"), F.lit(1))
+    small = F.regexp_replace(F.lower(local), "[^a-z]", "")
     figures = F.regexp_replace(local, "[^0-9]", "")
     # digits are permuted under a key of the letters, letters under that of the shape
     new_small = F.when(F.length(small) > 0, letters(key, small, LOWER, "email")).otherwise("")
-    new_figures = F.when((F.length(figures) > 0) & (F.length(figures) <= 36), permuted_digits(key, figures, F.concat(F.lit("email"), small))).otherwise(figures)
-    filled = _let(new_small, lambda s: _fill(local, s, "a-z"))
-    return _let(filled, lambda f: F.concat(_let(new_figures, lambda d: _fill(f, d, "0-9")), F.lit("@"), domain))
+    few = permuted_digits(key, figures, F.concat(F.lit("email"), small))
+    new_figures = F.when(F.length(figures) == 0, "").when(F.length(figures) <= 36, few).otherwise(letters(key, figures, DIGITS, "email"))
+    filled = _let(new_small, lambda s: _fill(local, s, "A-Za-z"))
+    return _let(filled, lambda f: F.concat(_let(new_figures, lambda d: _fill(f, d, "0-9")), F.lit("@"), F.split_part(value, F.lit("@"), F.lit(2))))
 
 
 def kind_of(value: Column) -> Column:
@@ -211,7 +241,7 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(k == "date", date(key, value))
         .when(k == "card", card(key, value))
         .when(k == "phone", phone(key, value))
-        .when(k == "ssn", number(key, value, "ssn"))
+        .when(k == "ssn", ssn(key, value))
         .when(k == "secret", F.when(value.rlike("[a-f]"), letters(key, value, HEX, "secret")).otherwise(F.upper(letters(key, F.lower(value), HEX, "secret"))))
         .otherwise(value),
     )
@@ -221,14 +251,22 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs (text, ...) with the values of text as pseudonyms, and n_found: how many values of each kind were found.
 
     A null text stays null and has none; nulls in other columns, ties and repeated rows stay as they
-    are; no documents give no rows. A text without a digit is not searched, as every format but that
-    of an address has one; an address has an @.
+    are; no documents give no rows. All other columns stay, whatever their names: if there is an
+    n_found already, the number's name is the first free one of n_found_1, n_found_2, ... A text without
+    a digit or @ is not searched, as every format has one.
+
+    The key is hashed, and plans show it redacted.
     """
+    spark, names = docs.sparkSession, docs.columns
+    spark.conf.set("spark.sql.redaction.string.regex", KEY_PATTERN)
+    key = KEY_MARK + hashlib.sha256(key.encode()).hexdigest()
+    held, made, gaps, number_name = (free_name(names, x) for x in ("_found", "_new", "_between", "n_found"))
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))
-    kept = docs.withColumn("_found", F.when(F.size(found) > 0, found))
-    between = F.split("text", FOUND, -1)
-    new = F.transform("_found", lambda v: F.struct(pseudonym(key, v).alias("new"), kind_of(v).alias("kind")))
-    made = kept.withColumn("_new", F.when(F.col("_found").isNotNull(), new)).withColumn("_between", F.when(F.col("_found").isNotNull(), between))
-    joined = F.array_join(F.flatten(F.transform("_between", lambda b, i: F.array(b, F.coalesce(F.get("_new", i)["new"], F.lit(""))))), "")
-    n = F.coalesce(F.size(F.filter("_new", lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long")
-    return made.select(*[F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("_new").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_found"))
+    kept = docs.withColumn(held, F.when(F.size(found) > 0, found))
+    new = F.transform(held, lambda v: F.struct(pseudonym(key, v).alias("new"), kind_of(v).alias("kind")))
+    done = kept.withColumn(made, F.when(F.col(held).isNotNull(), new)).withColumn(gaps, F.when(F.col(held).isNotNull(), F.split("text", FOUND, -1)))
+    joined = F.array_join(F.flatten(F.transform(gaps, lambda b, i: F.array(b, F.coalesce(F.get(F.col(made), i)["new"], F.lit(""))))), "")
+    text = F.when(F.col(made).isNotNull(), joined).otherwise(F.col("text")).alias("text")
+    n = F.coalesce(F.size(F.filter(made, lambda x: x["kind"].isNotNull())), F.lit(0))
+    number_of = F.when(F.col(made).isNull(), F.lit(0)).otherwise(n).cast("long").alias(number_name)
+    return done.select(*[text if c == "text" else F.col(f"`{c}`") for c in names], number_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +34,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, dictionary, manifest, ids=False)
 
 
-PII_KEY = "cartloom-pseudonyms-1"
+#: Used where the session has no key of its own; it is public, so pseudonyms made with it can be undone.
+PUBLIC_KEY = "cartloom-pseudonyms-1"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: spark.cartloom.pseudonym.key of the session, or $CARTLOOM_PSEUDONYM_KEY."""
+    key = spark.conf.get("spark.cartloom.pseudonym.key", None) or os.environ.get("CARTLOOM_PSEUDONYM_KEY")
+    if not key:
+        warnings.warn("no spark.cartloom.pseudonym.key is set: pseudonyms are made with a public key", stacklevel=2)
+    return key or PUBLIC_KEY
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal data as pseudonyms: doc_id, text, n_found."""
     from cartloom.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

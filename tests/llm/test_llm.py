@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cartloom.llm import bpe, line_dedup, media, minhash, packing, pii, quality, token_files, toxicity, warc
 from cartloom.llm.common import components, prepare, scratch
-from cartloom.llm.queries import PII_KEY, QUERIES, damaged_replica, tokenizer_file
+from cartloom.llm.queries import PUBLIC_KEY, QUERIES, damaged_replica, tokenizer_file
 from cartloom.llm.tokens import ChunkEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -320,7 +320,7 @@ def luhn(d):
 def test_pseudonyms(spark):
     text = "card 4845168114407329 and 4845 1681 1440 7329, not 1234567812345678; mail Ann.b7@x.example.com; call +1 (017) 555-7713 161.17.88.162 or 999.1.1.1 on 2024-02-29, 30/01/1999, 2023-02-30 SSN 123-45-6789"
     rows = docs_of(spark, [(1, text), (2, text), (3, None), (4, ""), (5, "no numbers"), (6, "5 apples")])
-    got = {r.doc_id: r for r in pii.pseudonymise(rows, PII_KEY).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, PUBLIC_KEY).collect()}
     new = got[1].text
     assert got[2].text == new and got[3].text is None and (got[5].text, got[6].text) == ("no numbers", "5 apples") and got[6].n_found == 0
     assert got[1].n_found == 8
@@ -334,8 +334,8 @@ def test_pseudonyms(spark):
     assert b.replace(" ", "") == a and luhn(a)
     other = pii.pseudonymise(rows, "other key").filter("doc_id = 1").first().text
     assert other != new
-    assert pii.pseudonymise(rows.limit(0), PII_KEY).count() == 0
-    assert pii.pseudonymise(rows, PII_KEY).columns == [*rows.columns, "n_found"]
+    assert pii.pseudonymise(rows.limit(0), PUBLIC_KEY).count() == 0
+    assert pii.pseudonymise(rows, PUBLIC_KEY).columns == [*rows.columns, "n_found"]
 
 
 def test_pseudonyms_are_permutations(spark):
