@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.llm import line_dedup, minhash, packing, pii, quality
 from cartloom.llm.common import prepare, table, written
-from cartloom.llm.queries import PII_KEY, tokenizer_file
+from cartloom.llm.queries import pseudonym_key, tokenizer_file
 
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data as pseudonyms."""
-    return _as_documents(pii.pseudonymise(docs, PII_KEY), docs.columns)
+    return _as_documents(pii.pseudonymise(docs, pseudonym_key(spark)), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
