@@ -80,7 +80,8 @@ def bucket_links(buckets: DataFrame, key: str, node: str) -> DataFrame:
 
     Linear in the rows: a bucket of n nodes gives n - 1 pairs, never all pairs.
     """
-    least = buckets.groupBy(key).agg(F.min(node).alias("b"), F.max(node).alias("_max")).filter("b < _max").drop("_max")
+    # Both sides of the join are tables, so that a bucket with very many nodes can be split among tasks.
+    least = written(buckets.groupBy(key).agg(F.min(node).alias("b"), F.max(node).alias("_max")).filter("b < _max").drop("_max"), "bucket-least")
     return buckets.join(least, key).filter(F.col(node) > F.col("b")).select(F.col(node).alias("a"), "b").distinct()
 
 
@@ -88,8 +89,9 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """Connected components of links (a, b): rows (node, root), root being the least node, for nodes with a link.
 
     Alternating large-star and small-star steps. A step takes the least neighbour of each node (an
-    aggregate that is combined before the shuffle) and joins it back, so that a node with very many
-    links never has to be in one task as a list. Each step is a table in the shared folder.
+    aggregate that is combined before the shuffle) and joins it back. Links and least neighbours are
+    tables in the shared folder: adaptive execution splits the links of a hub among tasks, as nothing
+    but the join needs them together.
     """
     spark = links.sparkSession
 
@@ -102,11 +104,11 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     seen = print_of(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
         # large star: each larger neighbour of u is linked with the least of u's neighbourhood
         large = edges.join(least, edges.b == least.u).select("a", F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: the smaller neighbours of u, and u, are linked with the least of them
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), f"{name}-low")
         step = large.join(low, large.a == low.u)
         small = step.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = written(small.filter("a <> b").distinct(), name)

@@ -181,9 +181,9 @@ def bridges(buckets: DataFrame, roots: DataFrame, tested: DataFrame, turn: int)
     """
     of = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     draw = F.xxhash64("node", "key", F.lit(turn))
-    delegates = of.groupBy("key", "root").agg(F.min(F.struct(draw.alias("h"), "node")).alias("d"))
-    leaders = delegates.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key", F.lit(turn)).alias("h"), "root", F.col("d.node").alias("leader"))).alias("l"), F.count("*").alias("n")).filter("n > 1")
-    pairs = delegates.join(leaders, "key").filter(F.col("root") != F.col("l.root")).select(F.col("d.node").alias("p"), F.col("l.leader").alias("q"))
+    delegates = written(of.groupBy("key", "root").agg(F.min(F.struct(draw.alias("h"), "node")).alias("d")), "dart-delegates")
+    leaders = delegates.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key", F.lit(turn)).alias("h"), "root", F.col("d.node").alias("leader"))).alias("l"), F.count("*").alias("n"))
+    pairs = delegates.join(written(leaders.filter("n > 1"), "dart-leaders"), "key").filter(F.col("root") != F.col("l.root")).select(F.col("d.node").alias("p"), F.col("l.leader").alias("q"))
     pairs = pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -311,9 +311,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int =
     pairs = written(left_pairs(buckets, roots, regions, tested.select("a", "b"), threshold), "dart-pairs")
     if not pairs.isEmpty():
         tested, roots = added(pairs, tested)
-    own = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = own.join(least, "root").groupBy("node").agg(F.min("class_id").alias("class_id"))
+    # Rows of a node or of a component can be very many: they only meet small tables, so these joins can be split.
+    linked = written(nodes.select("node", "doc_id").join(roots, "node"), "dart-linked")
+    least = written(linked.groupBy("root").agg(F.min("doc_id").alias("class_id")), "dart-least")
+    classes = linked.join(least, "root").select("node", "class_id").union(nodes.select("node", F.col("doc_id").alias("class_id")))
+    classes = written(classes.groupBy("node").agg(F.min("class_id").alias("class_id")), "dart-classes")
     result = all_rows.select("doc_id", "th", "node").join(classes, "node").select("doc_id", "th", "class_id")
     unnamed = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.lit(None).cast("long").alias("class_id"))
     return result.unionByName(unnamed)
