@@ -11,9 +11,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.sources.shared import scratch, shared_root, written
+from cartloom.sources.shared import free_name, scratch, shared_root, written
 
-__all__ = ["bucket_links", "column", "components", "file_system", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
+__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
     """Python workers can import this package, and get rows in small batches, as texts can be long."""

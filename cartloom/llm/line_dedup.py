@@ -5,9 +5,12 @@
    as a whole, and the suffix array needs each distinct stretch once.
 2. Prefix doubling: the rank of a suffix by its first 2**h lines, from pairs of ranks by 2**(h-1)
    lines. Pairs are ranked by a range partitioning, so no task sorts them all.
-3. Suffixes in rank order, with the longest common prefixes of neighbours, are cut to clusters that
-   share their first min_words words. A scan with a stack over each cluster's LCP intervals gives
-   for each suffix the longest prefix that an earlier suffix has too: a later copy, which goes.
+3. Suffixes in rank order are cut to clusters that share their first min_words words. A suffix whose
+   line before is that of its neighbour in the order has one line less in common with it than the
+   suffix before has with its own neighbour. So only the other pairs, the irreducible ones, are compared by their
+   lines: a run that is shared by two documents is compared once, not at each of its lines.
+4. A scan with a stack over each cluster's LCP intervals gives for each suffix the longest prefix
+   that an earlier suffix has too: a later copy. Of these, the maximal runs go.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import written
+from cartloom.llm.common import free_name, written
 
 MIN_WORDS = 25
 _END = -1
@@ -109,32 +113,71 @@ def suffix_ranks(distinct: DataFrame) -> DataFrame:
 
 
 def _suffixes(min_words: int):
-    """Rows of suffixes: the cluster they belong to, rank, place, and as much of their content as a common prefix can have."""
+    """Rows of suffixes: their cluster, rank and place, the line before, and how many lines a common prefix can have at most."""
+    names = ("cluster", "rank", "sid", "i", "doc_id", "th", "k", "need", "reach", "prev")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
             scalars = (batch.column(c).to_pylist() for c in ("sid", "doc_id", "th", "k0"))
             arrays = (batch.column(c) for c in ("ids", "words", "ranks", "depth"))
             for sid, doc, th, k0, *lists in zip(*scalars, *arrays, strict=True):
                 ids, words, ranks, depth = (x.values.to_numpy() for x in lists)
+                n = len(ids)
                 total = np.concatenate([[0], np.cumsum(words)])
                 # the least number of lines from i with min_words words in all
-                need = np.searchsorted(total, total[:-1] + min_words, side="left") - np.arange(len(ids))
-                for i in range(len(ids)):
-                    if depth[i] < 0 or i + need[i] > len(ids):
-                        continue
-                    reach = min(len(ids) - i, 1 << (int(depth[i]) + 1))
-                    if reach < need[i]:
-                        continue
-                    cluster = xxhash.xxh3_64_intdigest(ids[i : i + need[i]].tobytes()) - (1 << 63)
-                    row = (cluster, int(ranks[i]), sid, doc, th, k0 + i, int(need[i]), ids[i : i + reach])
-                    for x, v in zip(out, row, strict=True):
-                        x.append(v)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["cluster", "rank", "sid", "doc_id", "th", "k", "need", "content"])
+                need = np.searchsorted(total, total[:-1] + min_words, side="left") - np.arange(n)
+                reach = np.where(depth < 0, 0, np.minimum(n - np.arange(n), 1 << (np.maximum(depth, 0).astype(np.int64) + 1)))
+                at = np.flatnonzero((np.arange(n) + need <= n) & (reach >= need))
+                raw = ids.astype("<i8").tobytes()
+                clusters = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * (i + m)]) - (1 << 63) for i, m in zip(at.tolist(), need[at].tolist(), strict=True)]
+                prev = [ids[i - 1] if i else None for i in at.tolist()]
+                same = lambda v, t: pa.array([v] * len(at), t)
+                own = [pa.array(clusters, pa.int64()), pa.array(ranks[at], pa.int64()), same(sid, pa.int64()), pa.array(at, pa.int32()), same(doc, pa.int64()), same(th, pa.int64()),
+                       pa.array(at + k0, pa.int32()), pa.array(need[at], pa.int32()), pa.array(reach[at], pa.int32()), pa.array(prev, pa.int64())]
+                yield pa.RecordBatch.from_arrays(own, list(names))
+
+    return run, "cluster long, rank long, sid long, i int, doc_id long, th long, k int, need int, reach int, prev long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters come sorted; the suffix before each in its cluster (p_sid null: none), and whether their common prefix has to be compared."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        table = pa.concat_tables([last, own]) if last is not None else own
+        first = table.num_rows - own.num_rows
+        shift = lambda c: pa.concat_arrays([pa.nulls(1 - first, table.schema.field(c).type), table.column(c).combine_chunks()[: own.num_rows - 1 + first]])
+        before = {c: shift(c) for c in ("cluster", "sid", "i", "reach", "prev")}
+        met = pc.fill_null(pc.equal(before["cluster"], batch.column("cluster")), False)
+        reducible = pc.fill_null(pc.equal(before["prev"], batch.column("prev")), False)
+        blank = lambda x: pc.if_else(met, x, pa.scalar(None, x.type))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("cluster", "rank", "sid", "i", "doc_id", "th", "k", "need")), blank(before["sid"]), blank(before["i"]),
+             pc.min_element_wise(before["reach"], batch.column("reach")), pc.and_(met, pc.invert(reducible))],
+            ["cluster", "rank", "sid", "i", "doc_id", "th", "k", "need", "p_sid", "p_i", "reach", "compare"],
+        )
+        last = own.slice(own.num_rows - 1)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lcp = [common_prefix(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("i"), pa.array(lcp, pa.int32())], ["sid", "i", "lcp"])
 
-    return run, "cluster long, rank long, sid long, doc_id long, th long, k int, need int, content array<long>"
+
+def common_prefixes(neighbours: DataFrame, distinct: DataFrame) -> DataFrame:
+    """neighbours with low: how many lines a suffix has in common with the one before it in its cluster, 0 for the first."""
+    pairs = written(neighbours.filter("compare").select("sid", "i", "p_sid", "p_i", "reach"), "line-irreducible")
+    lines = distinct.select(F.col("sid").alias("s"), "ids")
+    part = lambda at: F.slice("ids", F.col(at) + 1, F.col("reach"))
+    x = written(pairs.join(lines, F.col("sid") == F.col("s")).select("sid", "i", "p_sid", "p_i", "reach", part("i").alias("x")), "line-left")
+    both = x.join(lines, F.col("p_sid") == F.col("s")).select("sid", "i", "x", part("p_i").alias("y"))
+    compared = both.mapInArrow(_compared, "sid long, i int, lcp int")
+    along = Window.partitionBy("sid").orderBy("i")
+    chained = F.last(F.col("lcp") + F.col("i"), True).over(along) - F.col("i")
+    return neighbours.join(compared, ["sid", "i"], "left").withColumn("low", F.when(F.col("p_sid").isNull(), 0).otherwise(chained))
 
 
 def earlier_prefixes(places: list, lcps: list[int]) -> list[int]:
@@ -163,12 +206,12 @@ def common_prefix(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clusters come sorted; rows (doc_id, th, k, n): n lines from k on are a later copy.
+    """Clusters come sorted, with low (see common_prefixes); rows (sid, i, n): n lines from i on are a later copy.
 
     The stack goes on from batch to batch, so a task holds the open intervals of one cluster alone.
     """
     stack: list[list] = []  # [place, row, lcp with the suffix below it on the stack, lines needed]
-    cluster, last = None, None
+    cluster = None
     out: list[tuple] = []
 
     def settle(top: list, lcp: int) -> None:
@@ -176,28 +219,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((*top[1], lcp))
 
     def rows() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        got = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "th", "k", "n"])
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        got = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["sid", "i", "n"])
         out.clear()
         return got
 
     for batch in batches:
-        names = ("cluster", "doc_id", "th", "k", "need")
-        for c, doc, th, k, need, content in zip(*(batch.column(x).to_pylist() for x in names), batch.column("content"), strict=True):
-            content = content.values.to_numpy()
+        for c, sid, i, doc, th, k, need, low in zip(*(batch.column(x).to_pylist() for x in ("cluster", "sid", "i", "doc_id", "th", "k", "need", "low")), strict=True):
             if c != cluster:
                 for top in stack:
                     settle(top, top[2])
-                stack, cluster, low = [], c, 0
-            else:
-                low = common_prefix(last, content)
-            last = content
+                stack, cluster = [], c
             place = (doc is not None, doc or 0, th, k)
             while stack and place < stack[-1][0]:
                 top = stack.pop()
                 settle(top, max(top[2], low))
                 low = min(low, top[2])
-            stack.append([place, (doc, th, k), low, need])
+            stack.append([place, (sid, i), low, need])
         yield rows()
     for top in stack:
         settle(top, top[2])
@@ -225,32 +263,50 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = suffix_ranks(distinct.select("sid", "ids"))
     cut, kinds = _suffixes(min_words)
     suffixes = distinct.drop("lines").join(ranks, "sid").mapInArrow(cut, kinds)
-    ordered = suffixes.repartition("cluster").sortWithinPartitions("cluster", "rank", "doc_id", "th", "k")
-    found = ordered.mapInArrow(_scan, "doc_id long, th long, k int, n int")
-    # back from numbers among lines with words to lines
-    place_of = distinct.select("doc_id", "th", F.col("k0"), "lines")
-    inner = (
-        found.join(place_of.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-        .filter("k >= k0 AND k < k0 + size(lines)")
-        .select("doc_id", "th", F.expr("lines[k - k0]").alias("first_line"), F.expr("lines[k - k0 + n - 1]").alias("last_line"))
+    order = ("cluster", "rank", "doc_id", "th", "k")
+    kinds = "cluster long, rank long, sid long, i int, doc_id long, th long, k int, need int, p_sid long, p_i int, reach int, compare boolean"
+    neighbours = written(suffixes.repartition("cluster").sortWithinPartitions(*order).mapInArrow(_neighbours, kinds), "line-neighbours")
+    placed = common_prefixes(neighbours, distinct).select(*order, "sid", "i", "need", "low")
+    found = placed.repartition("cluster").sortWithinPartitions(*order).mapInArrow(_scan, "sid long, i int, n int")
+    covered = F.max(F.col("i") + F.col("n")).over(Window.partitionBy("sid").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    maximal = found.withColumn("c", covered).filter("c IS NULL OR i + n > c")
+    # back from numbers in a stretch to lines
+    inner = maximal.join(distinct.select("sid", "doc_id", "th", "lines"), "sid").select(
+        "doc_id", "th", F.expr("lines[i]").alias("first_line"), F.expr("lines[i + n - 1]").alias("last_line")
     )
     return whole.unionByName(inner)
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte for each line of a document up to the last that goes: 1 if it goes."""
+    for batch in batches:
+        masks = []
+        for runs in batch.column("runs"):
+            first, last = (runs.values.field(c).to_numpy() for c in ("first_line", "last_line"))
+            edges = np.zeros(int(last.max()) + 2, np.int64)
+            np.add.at(edges, first, 1)
+            np.add.at(edges, last + 1, -1)
+            masks.append((np.cumsum(edges[:-1]) > 0).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(masks, pa.binary())], ["doc_id", "th", "mask"])
+
+
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with the later copies of repeated runs of lines deleted from text; n_deleted tells how many lines.
 
     A text that is a copy from end to end becomes empty; its row stays. Other columns stay as they
-    are. Nulls, ties and repeated rows: see repeated_runs. Documents without a repeated run keep
-    their text to the byte; no documents give no rows.
+    are, whatever their names; if there is an n_deleted already, the number's name is the first free
+    one of n_deleted_1, n_deleted_2, ... Nulls, ties and repeated rows: see repeated_runs. Documents
+    without a repeated run keep their text to the byte; no documents give no rows.
     """
-    runs = written(repeated_runs(docs, min_words), "line-runs").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("first_line", "last_line")).alias("_runs"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    # the runs are the side that is held, so texts are shuffled but never sorted
-    joined = keyed.join(runs.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.exists("_runs", lambda r: (r["first_line"] <= i) & (i <= r["last_line"])))
-    split = joined.withColumn("_kept", F.when(F.col("_runs").isNotNull(), kept))
-    lost = F.when(F.col("_runs").isNotNull(), F.size(F.split("text", "\n", -1)) - F.size("_kept")).otherwise(0)
-    return split.select(
-        *[F.coalesce(F.array_join("_kept", "\n"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], lost.cast("long").alias("n_deleted")
-    )
+    names = docs.columns
+    key, d, t, mask, kept, number = (free_name(names, x) for x in ("_th", "_d", "_t", "_mask", "_kept", "n_deleted"))
+    runs = written(repeated_runs(docs, min_words), "line-runs").groupBy("doc_id", "th").agg(F.collect_list(F.struct("first_line", "last_line")).alias("runs"))
+    masks = runs.mapInArrow(_masks, "doc_id long, th long, mask binary").select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("mask").alias(mask))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    # the masks are the side that is held, so texts are shuffled but never sorted
+    joined = keyed.join(masks.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
+    lines = F.split("text", "\n", -1)
+    stays = F.filter(lines, lambda _, i: F.coalesce(F.substr(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\x01"), F.lit(True)))
+    split = joined.withColumn(kept, F.when(F.col(mask).isNotNull(), stays))
+    lost = F.when(F.col(mask).isNotNull(), F.size(lines) - F.size(kept)).otherwise(0)
+    return split.select(*[F.coalesce(F.array_join(kept, "\n"), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names], lost.cast("long").alias(number))

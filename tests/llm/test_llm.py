@@ -215,6 +215,37 @@ def test_line_dedup_equals_brute_force(spark):
     assert [got[i] for i, _ in rows] == brute_lines(rows, 8)
 
 
+def test_line_dedup_of_copies_inside_longer_runs(spark):
+    """Few kinds of lines and longer runs, so that suffixes have neighbours of all kinds."""
+    rng = random.Random(21)
+    for least in (3, 9):
+        pool = ["a b", "c", "d e f"]
+        rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 30)))) for i in range(25)]
+        got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs_of(spark, rows), min_words=least).collect()}
+        assert [got[i] for i, _ in rows] == brute_lines(rows, least)
+
+
+def test_line_dedup_of_very_long_common_runs(spark):
+    """Two unequal documents with 20,000 lines in common, and one line 20,000 times: content is compared once, not at each line."""
+    rng = random.Random(13)
+    common = [words(rng, 6, 10**6) for _ in range(20_000)]
+    rows = [(1, "\n".join(["first of all here", *common, "x y z one end"])), (2, "\n".join(["x y z one end", *common, "first of all here"])), (3, "\n".join(["same line a b c"] * 20_000))]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.drop_repeated_lines(docs_of(spark, rows).repartition(3)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("x y z one end\nfirst of all here", 20_000)
+    assert got[3] == ("same line a b c", 19_999)
+
+
+def test_line_dedup_clashing_names(spark):
+    text = "\n".join(f"{i} a b c d e f g h i" for i in range(9))
+    docs = docs_of(spark, [(1, text), (2, text)])
+    for c in ("_th", "_d", "_t", "_runs", "_mask", "_kept", "n_deleted"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = line_dedup.drop_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "n_deleted_1"]
+    assert all(r[c] == c for r in out.collect() for c in ("_th", "_d", "_t", "_runs", "_mask", "_kept", "n_deleted"))
+    assert {r.doc_id: r.n_deleted_1 for r in out.collect()} == {1: 0, 2: 9}
+
+
 def test_earlier_prefixes():
     s = [3, 1, 3, 1, 3]
     order = sorted(range(5), key=lambda i: s[i:])
