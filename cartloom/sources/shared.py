@@ -11,15 +11,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders that were made where no shared one is set, by application.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a folder of our own on a local master; executors elsewhere couldn't see it, so that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="cartloom-")
+        root = _own.get(spark.sparkContext.applicationId)
+    if not root:
+        root = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="cartloom-")
         atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
