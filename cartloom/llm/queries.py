@@ -30,8 +30,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartloom.llm.token_files import read_token_files, write_token_files
 
     folder = scratch(spark, "token-files")
-    dictionary, manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
-    return read_token_files(spark, folder, dictionary, manifest, ids=False)
+    dictionary, _ = write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return read_token_files(spark, folder, dictionary, ids=False)
 
 
 #: Used where the session has no key of its own; it is public, so pseudonyms made with it can be undone.

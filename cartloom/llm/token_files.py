@@ -2,7 +2,7 @@
 
 File format (little-endian), a folder of shard files in ascending order of doc_id:
 
-    8 bytes   magic "CLTOKS01"
+    8 bytes   magic "CLTOKS02"
     32 bytes  SHA-256 of the dictionary (all zeros: no dictionary)
     4 bytes   width of a serialized id in bytes: 2 or 4
     frames    one zstandard frame for each document
@@ -10,31 +10,38 @@ File format (little-endian), a folder of shard files in ascending order of doc_i
               frame, its length, number of ids
     8 bytes   position of the index
     8 bytes   number of documents
+    8 bytes   number of ids of all documents
     8 bytes   magic again
 
 The index makes one document readable by two short reads. The dictionary lies beside the shards as
-"<sha256>.dict".
+"<sha256>.dict". The shards are all that a reader needs: their order is that of their names, and each
+tells its number of ids.
 """
 
 from __future__ import annotations
 
 import hashlib
-
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import column, file_system, text_blocks, written
 from cartloom.llm.tokens import encoder
+from cartloom.operators.running import running_sums
 
-MAGIC = b"CLTOKS01"
+MAGIC = b"CLTOKS02"
 BLOCK_CHARS = 6_000_000
+#: Range partitions; a task of each writes as many files as it takes.
+MOST_SHARDS = 20_000
 ROW = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i8")])
 
 
@@ -71,89 +78,80 @@ class ShardWriter:
         self.n += n
 
     def close(self) -> None:
-        self.out.write(np.array(self.rows, ROW).tobytes() + struct.pack("<qq", self.at, len(self.rows)) + MAGIC)
+        self.out.write(np.array(self.rows, ROW).tobytes() + struct.pack("<qqq", self.at, len(self.rows), self.n) + MAGIC)
         self.out.close()
         self.fs.move(self.temporary, self.final)
 
 
-def read_index(blob: bytes) -> tuple[np.ndarray, bytes, int]:
-    """A shard's index rows, digest of the dictionary and width of an id."""
-    at, n = struct.unpack("<qq", blob[-24:-8])
-    if blob[:8] != MAGIC or blob[-8:] != MAGIC:
-        raise ValueError("not a whole token file")
-    return np.frombuffer(blob, ROW, n, at), blob[8:40], struct.unpack("<i", blob[40:44])[0]
+@dataclass
+class Shard:
+    """An open shard file: its index alone is read, documents on demand."""
+
+    file: pa.NativeFile
+    dictionary: bytes
+
+    def __post_init__(self) -> None:
+        head, tail = self.file.read_at(44, 0), self.file.read_at(32, self.file.size() - 32)
+        if head[:8] != MAGIC or tail[-8:] != MAGIC:
+            raise ValueError("not a whole token file")
+        if head[8:40] != _digest(self.dictionary):
+            raise ValueError("the token file was written with another dictionary")
+        self.width = struct.unpack("<i", head[40:44])[0]
+        self.at, self.docs, self.n = struct.unpack("<qqq", tail[:24])
+        self.back = zstandard.ZstdDecompressor(dict_data=_data(self.dictionary))
+
+    def index(self, first: int = 0, docs: int | None = None) -> np.ndarray:
+        docs = self.docs - first if docs is None else min(docs, self.docs - first)
+        return np.frombuffer(self.file.read_at(docs * ROW.itemsize, self.at + first * ROW.itemsize), ROW)
+
+    def read(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of documents, given as rows of the index that follow each other in the file."""
+        if len(rows):
+            base = int(rows[0]["at"])
+            blob = self.file.read_at(int(rows[-1]["at"] + rows[-1]["size"]) - base, base)
+            for r in rows:
+                yield np.frombuffer(self.back.decompress(blob[r["at"] - base : r["at"] - base + r["size"]]), f"<u{self.width}")
 
 
-def read_shard(blob: bytes, dictionary: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of each document of a shard, in its order."""
-    index, digest, width = read_index(blob)
-    if digest != _digest(dictionary):
-        raise ValueError("the token file was written with another dictionary")
-    back = zstandard.ZstdDecompressor(dict_data=_data(dictionary))
-    for r in index:
-        raw = back.decompress(blob[r["at"] : r["at"] + r["size"]])
-        yield int(r["doc_id"]) if r["has_id"] else None, np.frombuffer(raw, f"<u{width}")
+@contextmanager
+def open_shard(path: str, dictionary: bytes) -> Iterator[Shard]:
+    fs, name = file_system(path)
+    with fs.open_input_file(name) as f:
+        yield Shard(f, dictionary)
 
 
 def read_document(folder: str, shard: str, doc_id: int, dictionary: bytes) -> list[np.ndarray]:
     """The ids of a document, read alone: the end of the file, its index, then the document's frames."""
-    fs, path = file_system(folder)
-    with fs.open_input_file(f"{path}/{shard}") as f:
-        size = f.size()
-        head, tail = f.read_at(44, 0), f.read_at(24, size - 24)
-        at, n = struct.unpack("<qq", tail[:16])
-        if head[8:40] != _digest(dictionary):
-            raise ValueError("the token file was written with another dictionary")
-        index = np.frombuffer(f.read_at(n * ROW.itemsize, at), ROW)
-        back = zstandard.ZstdDecompressor(dict_data=_data(dictionary))
-        width = struct.unpack("<i", head[40:44])[0]
+    with open_shard(f"{folder}/{shard}", dictionary) as f:
+        index = f.index()
         found = index[(index["doc_id"] == doc_id) & (index["has_id"] == 1)]
-        return [np.frombuffer(back.decompress(f.read_at(r["size"], r["at"])), f"<u{width}") for r in found]
+        return [x for r in found for x in f.read(np.array([r]))]
 
 
-def _encoding(tokenizer: str, end_id: int, width: int, dictionary: bytes, bounds: list[int], level: int) -> Callable:
+def _writing(tokenizer: str, folder: str, end_id: int, width: int, dictionary: bytes, level: int, shard_bytes: int) -> Callable:
+    """Sorted documents are encoded block by block, compressed and written; a partition is a shard of one or more files."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_data(dictionary), write_content_size=True)
-        edges = np.array(bounds, np.int64)
+        shard, part, writer, done = TaskContext.get().partitionId(), 0, None, []
+
+        def end() -> None:
+            writer.close()
+            done.append((shard, part, len(writer.rows), writer.n, writer.at))
+
         for held, block in text_blocks(batches, BLOCK_CHARS):
             ids, lengths = encoder(tokenizer, True).encode(block)
-            ends = np.cumsum(lengths)
             if width == 2 and len(ids) and ids.max() > 0xFFFF:
                 raise ValueError("ids need a width of 4 bytes")
             small = ids.astype(f"<u{width}")
             tail = np.array([end_id], f"<u{width}").tobytes()
-            frames = [squeeze.compress(small[e - n : e].tobytes() + tail) for e, n in zip(ends, lengths, strict=True)]
-            docs = column(held, "doc_id").cast(pa.int64())
-            shard = np.searchsorted(edges, docs.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-            for i in range(0, len(frames), 2000):
-                part = slice(i, i + 2000)
-                yield pa.RecordBatch.from_arrays(
-                    [docs.combine_chunks()[part] if docs.num_chunks else pa.array([], pa.int64()), pa.array(shard[part], pa.int32()), pa.array(lengths[part] + 1, pa.int64()), pa.array(frames[part], pa.binary())],
-                    ["doc_id", "shard", "n", "frame"],
-                )
-
-    return run
-
-
-def _writing(folder: str, dictionary: bytes, width: int, shard_bytes: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, shard, part, done = None, None, 0, []
-
-        def end() -> None:
-            writer.close()
-            done.append((shard, part, len(writer.rows), writer.n, writer.at))
-
-        for batch in batches:
-            for d, s, n, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "n", "frame")), strict=True):
-                if writer and (s != shard or writer.at >= shard_bytes):
+            docs = column(held, "doc_id").to_pylist()
+            for doc, e, n in zip(docs, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                if writer and writer.at >= shard_bytes:
                     end()
-                    part = part + 1 if s == shard else 0
-                    writer = None
-                if not writer:
-                    part = part if s == shard else 0
-                    shard = s
-                    writer = ShardWriter(folder, f"shard-{s:08d}-{part:06d}.tok", dictionary, width)
-                writer.add(d, frame, n)
+                    writer, part = None, part + 1
+                writer = writer or ShardWriter(folder, f"shard-{shard:08d}-{part:06d}.tok", dictionary, width)
+                writer.add(doc, squeeze.compress(small[e - n : e].tobytes() + tail), n + 1)
         if writer:
             end()
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -164,87 +162,77 @@ def _writing(folder: str, dictionary: bytes, width: int, shard_bytes: int) -> Ca
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, width: int = 2, level: int = 3,
-    sample_docs: int = 512, dictionary_bytes: int = 65_536, shard_docs: int = 8_192, shard_bytes: int = 64 << 20,
+    sample_docs: int = 512, sample_ids: int = 65_536, dictionary_bytes: int = 65_536, shard_docs: int = 8_192, shard_bytes: int = 64 << 20,
 ) -> tuple[bytes, DataFrame]:
     """Encode every whole text of docs (doc_id, text) and write it to folder in ascending order of doc_id.
 
-    Returns the dictionary and the manifest (shard, part, docs, n, bytes), a row for each file.
-    A null text is empty, an empty text has the end id only; null doc_ids come first; rows of equal
-    doc_id keep together, in the order of their frames. No documents give no file. Further columns
-    are not read.
+    Returns the dictionary and a report (shard, part, docs, n, bytes), a row for each file; a reader
+    needs no report. A null text is empty, an empty text has the end id only; null doc_ids come first;
+    rows of equal doc_id follow each other in an order of their texts. No documents give no file.
+    Further columns are not read.
 
-    The dictionary is trained on sample_docs whole documents, those with the least hash of doc_id: a
-    dictionary changes how small the files are, not what they hold. Shards are ranges of doc_id with
-    about shard_docs documents each; a file ends at shard_bytes and the shard goes on in a next part,
-    so no doc_id, however many rows it has, makes a task hold more than the file it writes.
+    The dictionary is trained on sample_docs documents, those with the least hash of doc_id, the first
+    sample_ids ids of each: a dictionary changes how small the files are, not what they hold. Texts
+    are range-partitioned by doc_id and a hash of the text, so a doc_id with very many rows takes
+    several shards; a shard has about shard_docs documents (more, if there were over MOST_SHARDS
+    shards), and a file of it ends at shard_bytes. A task holds a block of texts.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in text_blocks(batches, BLOCK_CHARS):
             ids, lengths = encoder(tokenizer, True).encode(block)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])], pa.binary())], ["ids"]
-            )
-
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
-    got = sample.mapInArrow(serialize, "ids binary").limit(2 * sample_docs).collect()
-    dictionary = train_dictionary([bytes(r.ids) for r in got], dictionary_bytes)
-    n = docs.count()
-    shards = max(1, -(-n // shard_docs))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 1 / (8 * shards)))) if shards > 1 else []
-    frames = docs.mapInArrow(
-        _encoding(tokenizer, end_id, width, dictionary, [int(x) for x in bounds], level), "doc_id long, shard int, n long, frame binary"
-    )
-    ordered = frames.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n", "frame")
+            each = [x[:sample_ids].astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary())], ["ids"])
+
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").limit(sample_docs)
+    dictionary = train_dictionary([bytes(r.ids) for r in sample.mapInArrow(serialize, "ids binary").collect()], dictionary_bytes)
+    shards = min(MOST_SHARDS, max(1, -(-docs.count() // shard_docs)))
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text")
     fs, path = file_system(folder)
     fs.create_dir(path)
-    manifest = written(
-        ordered.mapInArrow(_writing(folder, dictionary, width, shard_bytes), "shard int, part int, docs long, n long, bytes long"), "token-manifest"
-    )
+    write = _writing(tokenizer, folder, end_id, width, dictionary, level, shard_bytes)
+    report = written(ordered.select("doc_id", "text").mapInArrow(write, "shard int, part int, docs long, n long, bytes long"), "token-report")
     with fs.open_output_stream(f"{path}/{_digest(dictionary).hex()}.dict") as f:
         f.write(dictionary)
-    return dictionary, manifest
+    return dictionary, report
 
 
-def read_token_files(spark, folder: str, dictionary: bytes, manifest: DataFrame, ids: bool = True) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, dictionary: bytes, ids: bool = True, docs: int = 2_000) -> DataFrame:
     """The documents of a folder: doc_id, start, n_tokens, ids_crc32, bytes and, if asked for, ids.
 
-    start counts the ids of all documents before; the crc is that of the ids as 32-bit integers.
+    start counts the ids of all documents before, summed over the files' own ends; the crc is that of
+    the ids as 32-bit integers. A task reads ranges of about so many documents by the files' indexes.
     """
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, blob in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                shard, part = (int(x) for x in path.rsplit("/", 1)[1][6:-4].split("-"))
-                sizes = read_index(blob)[0]["size"]
-                rows, start = [], 0
-                for (doc, x), size in zip(read_shard(blob, dictionary), sizes, strict=True):
-                    wide = x.astype("<u4")
-                    rows.append((doc, start, len(x), zlib.crc32(wide.tobytes()), int(size), wide.tolist() if ids else None))
-                    start += len(x)
-                    if len(rows) == 2000:
-                        yield pack(shard, part, rows)
-                        rows = []
-                yield pack(shard, part, rows)
-
-    def pack(shard: int, part: int, rows: list) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-        own = [pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int32()), *own[: None if ids else 5]], names
-        )
-
-    names = ["shard", "part", "doc_id", "within", "n_tokens", "ids_crc32", "bytes", *["ids"] * ids]
-    kinds = "shard int, part int, doc_id long, within long, n_tokens long, ids_crc32 long, bytes long" + ", ids array<long>" * ids
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file here
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    # One row for each file, so small beside the ids that it stands for; the running sum needs one task.
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(decode, kinds).join(bases, ["shard", "part"])
-    return rows.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "bytes", *["ids"] * ids)
-
+            got = []
+            for path in batch.column("path").to_pylist():
+                with open_shard(path, dictionary) as f:
+                    got.append((f.docs, f.n))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([x[i] for x in got], pa.int64()) for i in range(2))], ["path", "docs", "n"])
 
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, base, first in zip(*(batch.column(c).to_pylist() for c in ("path", "base", "first")), strict=True):
+                with open_shard(path, dictionary) as f:
+                    index = f.index(0, first + docs)
+                    start, index = base + int(index["n"][:first].sum()), index[first:]
+                    rows = []
+                    for r, x in zip(index, f.read(index), strict=True):
+                        wide = x.astype("<u4")
+                        rows.append((int(r["doc_id"]) if r["has_id"] else None, start, len(x), zlib.crc32(wide.tobytes()), int(r["size"]), wide.tolist() if ids else None))
+                        start += len(x)
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * ids
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "bytes", *["ids"] * ids]
+    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long, bytes long" + ", ids array<long>" * ids
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path")
+    sizes = written(files.mapInArrow(ends, "path string, docs long, n long"), "token-ends")
+    placed = running_sums(sizes, [F.regexp_extract("path", r"([^/]+)$", 1)], {"base": F.col("n")})
+    ranges = placed.select("path", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.lit(docs).cast("long"))).alias("first"))
+    return ranges.repartition(n, "path", "first").mapInArrow(decode, kinds)
