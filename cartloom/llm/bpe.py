@@ -45,6 +45,8 @@ class PairIndexBPE:
         model, chars = spec["model"], byte_chars()
         if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("not a plain byte-level BPE file")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take white space or whole words aren't supported")
         vocab = model["vocab"]
         back = {c: b for b, c in enumerate(chars)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -9,8 +9,10 @@ by the library at once. The results equal those of encode() on whole texts.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,21 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.
     return flat[at], n
 
 
+def refuse_others(path: str, keeps_space: bool) -> None:
+    """Raise ValueError unless cutting at spaces is right for a tokenizer file: byte-level without normalizer, or words of folded white space."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    normalizer, pre = spec.get("normalizer") or {"type": None}, spec.get("pre_tokenizer") or {"type": None}
+    if keeps_space:
+        fits = normalizer["type"] is None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
+    else:
+        steps, cuts = normalizer.get("normalizers", []), pre.get("pretokenizers", [])
+        fits = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        fits = fits and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"]
+    plain = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    if not (fits and plain and spec["model"]["type"] == "BPE" and spec["added_tokens"]):
+        raise ValueError(f"{path} isn't a tokenizer whose texts can be cut at spaces")
+
+
 class ChunkEncoder:
     """encode() gives the ids of texts. keeps_space: whether white space has tokens of its own.
 
@@ -43,6 +60,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        refuse_others(path, keeps_space)
         self.tokenizer, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
