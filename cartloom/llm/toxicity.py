@@ -2,11 +2,12 @@
 
 Tokens are words and their first letters (4 to 6), so that an inflected word has the evidence of its
 stem. The log-odds of a token's presence in labelled toxic and clean documents, under an informative
-Dirichlet prior, are its score where they are significant; all other tokens share one small negative
-score. A linear scan gives all maximal segments of a document (Ruzzo and Tompa). A segment's score S
-among n tokens has an expected number of equal or better chance segments E = K n exp(-lambda S), with
-lambda the root of the clean scores' moment equation (Karlin and Altschul). The evidence of a
-document is the sum of -ln E over its significant segments; a logistic curve makes it a probability.
+Dirichlet prior, are its score where they are significant, for either label; all other tokens share
+one small negative score. A linear scan gives all maximal segments of a document (Ruzzo and Tompa). A
+segment's score S among n tokens has an expected number of equal or better chance segments
+E = K n exp(-lambda S), with lambda the root of the clean scores' moment equation (Karlin and
+Altschul) and K from the number of high segments in clean documents. The evidence of a document is
+the sum of -ln E over its significant segments; a logistic curve makes it a probability.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
 #: The prior's weight in documents, and what a token needs: documents, z score, log-odds.
 PRIOR, LEAST_DOCS, LEAST_Z, LEAST_ODDS = 50.0, 8, 4.0, 1.5
-#: Bounds of the fitted model: tokens kept (the most significant), labelled documents for the calibration.
-MODEL_TOKENS, FIT_DOCS = 50_000, 30_000
-#: Up to so many rows of labels are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-K_FACTOR, LEAST_E, MOST_EVIDENCE = 0.1, 0.05, 30.0
+#: Labelled documents for the calibration.
+FIT_DOCS = 30_000
+#: Up to so many rows of labels (two numbers each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+LEAST_E, MOST_EVIDENCE = 0.05, 30.0
 
 
 @dataclass
@@ -40,6 +41,7 @@ class Model:
     tokens: dict[str, float] = field(default_factory=dict)
     other: float = -0.01
     decay: float = 1.0  # lambda
+    factor: float = 0.1  # K
     weights: tuple[float, float] = (-3.0, 0.0)
 
 
@@ -48,7 +50,7 @@ def stems(word: str) -> set[str]:
 
 
 class WordScores(dict):
-    """A word's score: that of its most significant token; 0 for others. Remembers words."""
+    """A word's score: its tokens' largest one above 0, else their least; 0 for others. Remembers words."""
 
     def __init__(self, tokens: dict[str, float]):
         self.tokens = tokens
@@ -57,7 +59,8 @@ class WordScores(dict):
         got = [self.tokens[x] for x in stems(word) if x in self.tokens]
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = x = max(got, default=0.0)
+        best = max(got, default=0.0)
+        self[word] = x = best if best > 0 else min(got, default=0.0)
         return x
 
 
@@ -72,7 +75,7 @@ def hits(text: str, scores: WordScores) -> tuple[int, np.ndarray, np.ndarray]:
 def maximal_segments(places: np.ndarray, scores: np.ndarray, other: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first place, last place) in linear time.
 
-    Between two places with scores all tokens score other (below 0), so only the places are walked.
+    They start and end at scores above 0. Between two places with scores all tokens score other (below 0), so only the places are walked.
     """
     found: list[list] = []  # [sum before, sum after, first, last]
     total, last = 0.0, None
@@ -81,6 +84,8 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, other: float) -> li
         last = place
         new = [total, total + score, place, place]
         total += score
+        if score <= 0:
+            continue
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= new[0]:
@@ -109,12 +114,22 @@ def root_decay(scores: np.ndarray, rates: np.ndarray, other: float) -> float:
     return max(low, 1e-3)
 
 
-def significant(n: int, segments: list[tuple[float, int, int]], decay: float) -> list[tuple[int, int, float, float]]:
+def significant(n: int, segments: list[tuple[float, int, int]], model: Model) -> list[tuple[int, int, float, float]]:
     """The significant segments: first word, last word, score and -ln E."""
-    each = [(i, j, s, decay * s - math.log(K_FACTOR * max(n, 1))) for s, i, j in segments]
+    each = [(i, j, s, model.decay * s - math.log(model.factor * max(n, 1))) for s, i, j in segments]
     return [x for x in each if x[3] >= -math.log(LEAST_E)]
 
 
+def tail_factor(scores: np.ndarray, counts: np.ndarray, words: int, decay: float) -> float:
+    """K, such that K words exp(-decay S) segments of clean words have a score of S or more; S is that of their highest tenth."""
+    if not counts.sum():
+        return 0.1
+    order = np.argsort(-scores)
+    above = np.cumsum(counts[order])
+    at = int(np.searchsorted(above, counts.sum() / 10))
+    return float(np.clip(above[at] / max(words, 1) * np.exp(min(decay * scores[order][at], 50.0)), 1e-3, 10.0))
+
+
 def evidence(good: list[tuple[int, int, float, float]]) -> float:
     """The sum of -ln E of the significant segments."""
     return min(sum(x for *_, x in good), MOST_EVIDENCE)
@@ -135,9 +150,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows (doc_id, toxic 0 or 1) of documents (doc_id, text).
 
-    Counts cover all labelled rows, a text that is found more than once counting once. The model is
-    bounded (MODEL_TOKENS), and so are the documents for its calibration (FIT_DOCS, those with the
-    least hash). Without toxic or without clean rows nothing is toxic.
+    Counts cover all labelled rows, a text that is found more than once counting once. All tokens that
+    are significant for a label are in the model; it is calibrated on FIT_DOCS labelled documents, those
+    with the least hash, of which the driver gets sums and a row of four numbers each. Without toxic or
+    without clean rows nothing is toxic.
     """
     rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     small = rows.count() <= BROADCAST_ROWS
@@ -173,8 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a = F.lit(PRIOR / (n1 + n0)) * (F.col("n1") + F.col("n0"))
     odds = F.log((F.col("n1") + a) / (n1 + PRIOR - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0 + PRIOR - F.col("n0") - a))
     z = odds / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    best = counts.filter(F.col("n1") >= LEAST_DOCS).select("token", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    model = Model({r.token: r.odds for r in best.orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()})
+    rated = counts.filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).select("token", "n1", odds.alias("odds"), z.alias("z"))
+    toxic_sign = (F.col("n1") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)
+    clean_sign = F.col("z") <= -LEAST_Z
+    model = Model({r.token: r.odds for r in rated.filter(toxic_sign | clean_sign).select("token", "odds").toLocalIterator()})
 
     tokens = model.tokens
 
@@ -188,19 +206,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             )
 
     sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    rows = texts.join(near(sample) if small else F.broadcast(sample), "doc_id").mapInArrow(find, "toxic int, n long, at array<long>, score array<double>").collect()
-    words = {y: sum(r.n for r in rows if r.toxic == y) for y in (0, 1)}
-    rate = {y: (sum(len(r.at) for r in rows if r.toxic == y) + 0.5) / (words[y] + 1) for y in (0, 1)}
+    one_each = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = written(one_each.mapInArrow(find, "toxic int, n long, at array<long>, score array<double>"), "toxicity-hits")
+    sums = {r.toxic: r for r in found.groupBy("toxic").agg(F.sum("n").alias("words"), F.sum(F.size("at")).alias("hits")).collect()}
+    words = {y: sums[y].words or 0 if y in sums else 0 for y in (0, 1)}
+    rate = {y: ((sums[y].hits or 0 if y in sums else 0) + 0.5) / (words[y] + 1) for y in (0, 1)}
     model.other = min(-1e-3, math.log((1 - min(rate[1], 0.5)) / (1 - min(rate[0], 0.5))))
-    chance = Counter(round(s, 2) for r in rows if r.toxic == 0 for s in r.score)
+    clean = found.filter("toxic = 0")
+    chance = {r.s: r["count"] for r in clean.select(F.explode("score").alias("s")).groupBy(F.round("s", 2).alias("s")).count().collect()}
     typical = sorted(set(round(s, 2) for s in tokens.values()))
-    rates = np.array([(chance[s] + 0.5 / max(len(typical), 1)) / (words[0] + 1) for s in typical])
+    rates = np.array([(chance.get(s, 0) + 0.5 / max(len(typical), 1)) / (words[0] + 1) for s in typical])
     if typical:
         model.decay = root_decay(np.array(typical), rates, model.other)
-    x = np.array([evidence(significant(r.n, maximal_segments(np.array(r.at), np.array(r.score), model.other), model.decay)) for r in rows])
+
+    def segments_of(batch: pa.RecordBatch) -> Iterator[list[tuple[float, int, int]]]:
+        for at, own in zip(batch.column("at"), batch.column("score"), strict=True):
+            yield maximal_segments(at.values.to_numpy(), own.values.to_numpy(), model.other) if len(at) else []
+
+    def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([round(s, 1) for x in segments_of(batch) for s, _, _ in x], pa.float64())], ["s"])
+
+    tail = clean.mapInArrow(high, "s double").groupBy("s").count().collect()
+    model.factor = tail_factor(np.array([r.s for r in tail]), np.array([r["count"] for r in tail]), words[0], model.decay)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [evidence(significant(n, segments, model)) for n, segments in zip(batch.column("n").to_pylist(), segments_of(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], ["toxic", "x"])
+
+    rows = found.mapInArrow(weigh, "toxic int, x double").collect()
     y = np.array([float(r.toxic == 1) for r in rows])
     if len(rows) and 0 < y.sum() < len(y):
-        model.weights = logistic(x, y)
+        model.weights = logistic(np.array([r.x for r in rows]), y)
     return model
 
 
@@ -220,7 +258,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 n, at, own = hits(text or "", scores)
                 segments = maximal_segments(at, own, model.other) if len(at) else []
-                good = significant(n, segments, model.decay)
+                good = significant(n, segments, model)
                 x = evidence(good)
                 spans = [{"first": i, "last": j, "score": s, "e": math.exp(-y)} for i, j, s, y in good]
                 rows.append((1 / (1 + math.exp(-(a + b * x))), x, spans))

@@ -57,6 +57,21 @@ def test_chunk_encoder_equals_library(name, keeps):
         assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])][: len(part)] == want
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+    from pathlib import Path
+
+    spec = json.loads(Path(tokenizer_file("byte_bpe_50k.json")).read_text())
+    for i, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]})):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(spec | change))
+        for made in (lambda p: ChunkEncoder(p, True), bpe.PairIndexBPE):
+            with pytest.raises(ValueError):
+                made(str(path))
+    with pytest.raises(ValueError):
+        ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), False)
+
+
 def test_pair_index_bpe_equals_library():
     from tokenizers import Tokenizer
 
@@ -82,21 +97,24 @@ def test_token_files(spark, edge, empty):
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     folder = scratch(spark, "tok")
-    dictionary, manifest = token_files.write_token_files(edge, tokenizer_file("byte_bpe_50k.json"), folder, shard_docs=3, shard_bytes=2000)
-    got = token_files.read_token_files(spark, folder, dictionary, manifest).orderBy("start").collect()
-    assert [r.start for r in got] == [sum(len(x.ids) for x in got[:i]) for i in range(len(got))]
-    ids = [r.doc_id for r in got]
-    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(ids) == edge.count()
-    want = Counter((r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in edge.collect())
-    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
-    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
-    one = manifest.orderBy("shard", "part").collect()[-1]
+    dictionary, report = token_files.write_token_files(edge, tokenizer_file("byte_bpe_50k.json"), folder, shard_docs=3, shard_bytes=2000)
+    files = report.orderBy("shard", "part").collect()
+    assert sum(r.docs for r in files) == edge.count() and len(files) > 1
+    for docs in (1, 2, 100):
+        got = token_files.read_token_files(spark, folder, dictionary, docs=docs).orderBy("start").collect()
+        assert [r.start for r in got] == [sum(len(x.ids) for x in got[:i]) for i in range(len(got))]
+        ids = [r.doc_id for r in got]
+        assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(ids) == edge.count()
+        want = Counter((r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in edge.collect())
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+    one = files[-1]
     alone = token_files.read_document(folder, f"shard-{one.shard:08d}-{one.part:06d}.tok", 6, dictionary)
     assert {tuple(x) for x in alone} <= {tuple(r.ids) for r in got if r.doc_id == 6} and alone
     with pytest.raises(ValueError):
         token_files.read_document(folder, f"shard-{one.shard:08d}-{one.part:06d}.tok", 6, b"other" * 99)
-    dictionary, manifest = token_files.write_token_files(empty, tokenizer_file("byte_bpe_50k.json"), folder + "-e")
-    assert dictionary == b"" and manifest.count() == 0
+    dictionary, report = token_files.write_token_files(empty, tokenizer_file("byte_bpe_50k.json"), folder + "-e")
+    assert dictionary == b"" and report.count() == 0
 
 
 def test_first_fit_decreasing_equals_brute_force():
@@ -396,8 +414,8 @@ def brute_segments(scores):
 def test_maximal_segments_equal_brute_force():
     rng = random.Random(8)
     for _ in range(40):
-        scores = [rng.choice([-1.0, -1.0, -1.0, 2.37, 0.91, 4.13]) for _ in range(rng.randrange(1, 25))]
-        at = np.array([i for i, s in enumerate(scores) if s > 0], int)
+        scores = [rng.choice([-1.0, -1.0, -1.0, -3.3, 2.37, 0.91, 4.13]) for _ in range(rng.randrange(1, 25))]
+        at = np.array([i for i, s in enumerate(scores) if s != -1], int)
         got = toxicity.maximal_segments(at, np.array([scores[i] for i in at]), -1.0)
         assert sorted((i, j) for _, i, j in got) == sorted(brute_segments(scores))
 
@@ -425,8 +443,46 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.fit(table, rows.limit(0)).tokens == {}
 
 
+def test_toxicity_odds_equal_brute_force(spark):
+    """Scores of both signs, by the formula on plain counts; clean words that toxic documents avoid score below 0."""
+    import math
+
+    rng = random.Random(31)
+    docs = [(i, " ".join([*words(rng, 30).split(), *(["vilest"] if i % 3 == 0 else ["please", "thanks"])])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity.fit(docs_of(spark, docs), labels)
+    sets = [(i % 3 == 0, set().union(*map(toxicity.stems, toxicity.WORD.findall(t)))) for i, t in docs]
+    n1, n0, want = 100, 200, {}
+    for token in set().union(*(x for _, x in sets)):
+        c1, c0 = sum(y and token in x for y, x in sets), sum(not y and token in x for y, x in sets)
+        a = toxicity.PRIOR * (c1 + c0) / 300
+        odds = math.log((c1 + a) / (n1 + toxicity.PRIOR - c1 - a)) - math.log((c0 + a) / (n0 + toxicity.PRIOR - c0 - a))
+        z = odds / math.sqrt(1 / (c1 + a) + 1 / (c0 + a))
+        if (c1 >= 8 and z >= 4 and odds >= 1.5) or (c1 + c0 >= 8 and z <= -4):
+            want[token] = odds
+    assert got.tokens == pytest.approx(want) and got.tokens["please"] < 0 < got.tokens["vilest"]
+
+
+def test_extreme_value_calibration():
+    """lambda is a root of the moment equation, and E is the number of chance segments in random clean words."""
+    rng = np.random.default_rng(2)
+    scores, rates, other = np.array([2.0, -1.0]), np.array([0.02, 0.1]), -0.2
+    decay = toxicity.root_decay(scores, rates, other)
+    assert abs((rates * np.exp(decay * scores)).sum() + 0.88 * np.exp(decay * other) - 1) < 1e-6
+    found, words_ = [], 0
+    for _ in range(400):
+        drawn = rng.choice(3, 1000, p=[0.02, 0.1, 0.88])
+        at = np.flatnonzero(drawn < 2)
+        found += [round(s, 1) for s, _, _ in toxicity.maximal_segments(at, scores[drawn[at]], other)]
+        words_ += 1000
+    values, counts = np.unique(found, return_counts=True)
+    factor = toxicity.tail_factor(values, counts, words_, decay)
+    high = np.quantile(found, 0.99)
+    assert 0.5 < (np.array(found) >= high).sum() / (factor * words_ * np.exp(-decay * high)) < 2
+
+
 def test_toxic_passages_lists_all_segments(spark):
-    model = toxicity.Model({"vilest": 5.0, "mild": 0.5}, -0.5, 1.0, (-3.0, 1.0))
+    model = toxicity.Model({"vilest": 5.0, "mild": 0.5}, -0.5, 1.0, 0.1, (-3.0, 1.0))
     calm = ["calm"] * 100
     rows = docs_of(spark, [(1, " ".join([*calm, *["vilest"] * 3, *calm, *["vilest"] * 2, *calm])), (2, "mild words"), (3, None)])
     got = {r.doc_id: [(x.first, x.last) for x in r.segments] for r in toxicity.toxic_passages(rows, model).collect()}
