@@ -1,14 +1,23 @@
-"""Quality rules: word and line counts, and bands of zstandard ratios of whole texts and fixed chunks."""
+"""Quality rules: word and line counts, and bands of zstandard ratios of whole texts and fixed chunks.
+
+A ratio has to lie in a general band for texts of its length, which holds for any corpus (random and
+encoded bytes below it, loops above), and in one of the corpus: SPREADS robust standard deviations
+about the median of all documents of like length that pass the base rules.
+"""
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cartloom.llm.common import written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -24,7 +33,11 @@ BANDS = (
 #: The least is that of a whole text of this size: over base64 (1.31), under prose (2.05 at least on sf0.1). A block
 #: of base64 that lies half in one chunk and half in the next can be over it.
 CHUNK_BAND = (1.45, 4.0)
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_low double, chunk_high double"
+#: The corpus's bands: lengths in quarters of a doubling; a band needs LEAST_DOCS documents, and is LEAST_WIDTH of its median wide at least.
+SPREADS, LEAST_DOCS, LEAST_WIDTH, STEPS = 6.0, 100, 0.05, 4
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_general boolean, size long, ratio double, chunk_low double, chunk_high double"
+#: Band (size is in it if floor(STEPS * log2(size)) is), measure -> least, largest.
+Limits = dict[tuple[int, str], tuple[float, float]]
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -72,8 +85,20 @@ def in_band(size: int, whole: float, low: float, high: float) -> bool:
     return least <= whole <= most and (size < CHUNK_BYTES or (low >= CHUNK_BAND[0] and high <= CHUNK_BAND[1]))
 
 
+def band_of(size: int) -> int:
+    return math.floor(STEPS * math.log2(max(size, 1)))
+
+
+def in_limits(size: int, whole: float, low: float, high: float, limits: Limits) -> bool:
+    """Whether the ratios are in the corpus's bands; chunks are all of one size, so they have one band (-1)."""
+    checks = [((band_of(size), "ratio"), whole)]
+    if size >= CHUNK_BYTES:
+        checks += [((-1, "chunk_low"), low), ((-1, "chunk_high"), high)]
+    return all(limits[k][0] <= x <= limits[k][1] for k, x in checks if k in limits)
+
+
 def measured(text: str, squeeze: zstandard.ZstdCompressor) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the three ratios of a text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, in_general, size and the three ratios of a text."""
     raw = text.encode()
     words = raw.split()
     n = len(words)
@@ -85,40 +110,81 @@ def measured(text: str, squeeze: zstandard.ZstdCompressor) -> tuple:
     whole, low, high = ratios(raw, squeeze)
     return (
         n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated,
-        failed, not failed and in_band(len(raw), whole, low, high), whole, low, high,
+        failed, in_band(len(raw), whole, low, high), len(raw), whole, low, high,
     )
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """A row for each document of docs (doc_id, text) with its counts, ratios and verdict (see SCHEMA).
-
-    Words are runs of other characters than the six white ones of ASCII. base_failed: fewer than 10
-    words, or over a fifth of the words in repeated windows. kept: not base_failed, and all ratios in
-    their bands. A null text has no words and fails; null and repeated doc_ids are kept as they are;
-    no documents give no rows; further columns are not read.
-    """
+def measures(docs: DataFrame) -> DataFrame:
+    """A row for each document with its counts and ratios (see MEASURES), as a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = [measured(text or "", squeeze) for text in batch.column("text").to_pylist()]
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
-            own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], [x.split()[0] for x in SCHEMA.split(", ")])
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
+            own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], [x.split()[0] for x in MEASURES.split(", ")])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, MEASURES), "quality-measures")
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+def band_column() -> Column:
+    return F.floor(F.lit(STEPS) * F.log2(F.greatest("size", F.lit(1)))).cast("int")
+
+
+def corpus_limits(found: DataFrame) -> Limits:
+    """The corpus's bands of all documents that pass the base rules: a few for each length, so the driver gets some hundred rows at most."""
+    good = found.filter("NOT base_failed")
+    each = [good.select(band_column().alias("band"), F.lit("ratio").alias("measure"), F.col("ratio").alias("x"))]
+    each += [good.filter(F.col("size") >= CHUNK_BYTES).select(F.lit(-1).alias("band"), F.lit(c).alias("measure"), F.col(c).alias("x")) for c in ("chunk_low", "chunk_high")]
+    points = each[0].union(each[1]).union(each[2]).groupBy("band", "measure").agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("n"))
+    got: Limits = {}
+    for r in points.filter(F.col("n") >= LEAST_DOCS).collect():
+        a, middle, b = r.q
+        half = max(SPREADS * (b - a) / 1.349, LEAST_WIDTH * middle)  # 1.349: quartiles of a normal distribution lie so many deviations apart
+        got[r.band, r.measure] = middle - half, middle + half
+    return got
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """A row for each document of docs (doc_id, text): its counts, ratios, base_failed and kept.
+
+    Words are runs of other characters than the six white ones of ASCII. base_failed: fewer than 10
+    words, or over a fifth of the words in repeated windows. kept: not base_failed, and all ratios in
+    their general bands and those of the corpus, which are taken from all rows. A null text has no
+    words and fails; null and repeated doc_ids are kept as they are; no documents give no rows;
+    further columns are not read.
+    """
+    found = measures(docs)
+    limits = corpus_limits(found)
+    ranges = [F.lit(True)]
+    for c in ("ratio", "chunk_low", "chunk_high"):
+        own = {b: x for (b, m), x in limits.items() if m == c}
+        if own:
+            sides = F.create_map(*[F.lit(x) for b, (least, most) in own.items() for x in (b, F.array(F.lit(least), F.lit(most)))])
+            side = sides[band_column()] if c == "ratio" else F.when(F.col("size") >= CHUNK_BYTES, sides[F.lit(-1)])
+            ranges.append(F.coalesce(F.col(c).between(side[0], side[1]), F.lit(True)))
+    kept = ~F.col("base_failed") & F.col("in_general")
+    for x in ranges:
+        kept = kept & x
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "ratio", "chunk_low", "chunk_high")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs (text, ...) that the rules keep, with all their columns as they are. See quality_rules."""
+    """The rows of docs (text, ...) that the rules keep, with all their columns as they are. See quality_rules.
+
+    Texts are read twice, for the bands of the corpus and for the verdict, and never shuffled.
+    """
+    limits = corpus_limits(measures(docs.select(F.lit(0).cast("long").alias("doc_id"), "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield batch.filter(pa.array([verdict(x or "", squeeze) for x in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([verdict(x or "", squeeze, limits) for x in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def verdict(text: str, squeeze: zstandard.ZstdCompressor) -> bool:
-    return measured(text, squeeze)[6]
+def verdict(text: str, squeeze: zstandard.ZstdCompressor, limits: Limits) -> bool:
+    *_, failed, general, size, whole, low, high = measured(text, squeeze)
+    return not failed and general and in_limits(size, whole, low, high, limits)

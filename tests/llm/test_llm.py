@@ -1,12 +1,14 @@
 """The operators of the training-data subpackage against brute force, round trips and edges."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -201,9 +203,28 @@ def test_quality_rules_reject_base64_in_any_chunk():
     prose = "".join(f"{w} " for w in words(rng, 20_000, 3000).split())
     code = base64.b64encode(rng.randbytes(6000)).decode()
     coded = " ".join(code[i : i + 76] for i in range(0, len(code), 76))
-    assert quality.verdict(prose[:8186], squeeze)
-    assert not quality.verdict(prose[:4096] + coded[:4090], squeeze)
-    assert not quality.verdict(prose[: 4096 * 8] + coded[:4096] + prose[:8192], squeeze)
+    assert quality.verdict(prose[:8186], squeeze, {})
+    assert not quality.verdict(prose[:4096] + coded[:4090], squeeze, {})
+    assert not quality.verdict(prose[: 4096 * 8] + coded[:4096] + prose[:8192], squeeze, {})
+
+
+def test_quality_bands_of_the_corpus(spark):
+    """Texts of half as many kinds of words as the others are out of the corpus's bands, though in the general ones; quantiles by NumPy."""
+    rng = random.Random(17)
+    rows = [(i, words(rng, rng.randrange(900, 1400), 5000)) for i in range(300)] + [(1000 + i, words(rng, rng.randrange(1000, 1300), 150)) for i in range(12)]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(12))
+    assert {r.doc_id for r in quality.kept_documents(docs).collect()} == set(range(300))
+    limits = quality.corpus_limits(quality.measures(docs))
+    assert len(limits) >= 3
+    for (band, measure), (least, most) in limits.items():
+        of = [getattr(got[i], measure) for i, t in rows if not got[i].base_failed and (band == -1 and len(t) >= 4096 or quality.band_of(len(t)) == band)]
+        a, m, b = (sorted(of)[math.ceil(q * len(of)) - 1] for q in (0.25, 0.5, 0.75))
+        half = max(6 * (b - a) / 1.349, 0.05 * m)
+        assert (least, most) == pytest.approx((m - half, m + half)), (band, measure)
+    plain = {i: quality.verdict(t, zstandard.ZstdCompressor(level=3), limits) for i, t in rows}
+    assert plain == {i: r.kept for i, r in got.items()}
 
 
 def brute_lines(docs, least):
