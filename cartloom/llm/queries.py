@@ -75,14 +75,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:
-    """The records of pages as a replica that has lost bits: a byte of about one in 256 records, and the last record of one archive in 16."""
+    """The records of pages as a replica that has lost bits: a byte of about one in 256 records, the last record
+    of one archive in 16, and one in the middle of another one in 16, which shifts all behind it."""
     from cartloom.llm.warc import archives
 
     own = archives(pages)
-    hit = F.md5(F.col("page_id").cast("string")).startswith("00")
-    flipped = own.withColumn("record", F.when(hit, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
-    last = own.groupBy("archive").agg(F.max("page_id").alias("page_id")).filter(F.md5(F.col("archive").cast("string")).startswith("0"))
-    return flipped.join(last, ["archive", "page_id"], "left_anti")
+    digest, of_archive = F.md5(F.col("page_id").cast("string")), F.md5(F.col("archive").cast("string"))
+    flipped = own.withColumn("record", F.when(digest.startswith("00"), F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
+    last = own.groupBy("archive").agg(F.max("page_id").alias("page_id")).filter(of_archive.startswith("0"))
+    middle = of_archive.startswith("1") & (F.col("page_id") % 1000 == 500)
+    return flipped.join(last, ["archive", "page_id"], "left_anti").filter(~F.coalesce(middle, F.lit(False)))
 
 
 def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ placed AS (
 ordered AS (
   SELECT *, row_number() OVER w - 1 AS pos,
     sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length ROWS UNBOUNDED PRECEDING) - length AS offset_,
-    page_id = max(page_id) OVER (PARTITION BY archive) AND md5(archive::VARCHAR) LIKE '0%' AS lost,
+    (page_id = max(page_id) OVER (PARTITION BY archive) AND md5(archive::VARCHAR) LIKE '0%') OR (page_id % 1000 = 500 AND md5(archive::VARCHAR) LIKE '1%') AS lost,
     coalesce(md5(page_id::VARCHAR) LIKE '00%', false) AS hit
   FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length))
 SELECT archive::BIGINT AS archive, pos::BIGINT AS pos, page_id, offset_::BIGINT AS "offset", length::BIGINT AS length,

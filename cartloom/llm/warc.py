@@ -3,7 +3,7 @@
 A leaf is the hash of a record's offset, length and SHA-256; a node is the hash of the FAN nodes below
 it, in order, and so of an unbroken range of offsets. Trees are tables in the shared folder, a folder
 for each level. An audit joins the roots of two replicas, and on each further level only the
-children of nodes that differ, down to the records.
+children of nodes that differ, down to the records; in the ranges that differ records are aligned.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import scratch
+from cartloom.llm.common import scratch, written
 
 FAN = 16
+#: Up to so many archives with differences are named in a scan's filter; beyond, the level is joined with the suspect nodes alone.
+MOST_LISTED = 1000
 ARCHIVE_PAGES = 1000
 
 
@@ -49,53 +51,92 @@ def manifest(records: DataFrame) -> DataFrame:
 
 
 def build_tree(places: DataFrame, fan: int = FAN) -> str:
-    """Write the tree over a manifest; the folder has level=0 (records) to the roots, and is returned.
+    """Write the tree over a manifest; the folder has level=0 (records) to the roots, and "height", and is returned.
 
-    Level 0 also keeps the manifest's columns. Each group has at most fan rows.
+    Level 0 also keeps the manifest's columns. Each group has at most fan rows. Each level is ordered
+    by archive, so that a reader of few archives skips most of its files.
     """
     spark = places.sparkSession
     folder = scratch(spark, "merkle")
     leaf = F.sha2(F.concat_ws("|", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
-    places.select("archive", F.col("pos").alias("node"), "page_id", "offset", "length", "digest", leaf.alias("hash")).write.parquet(f"{folder}/level=0")
-    top = spark.read.parquet(f"{folder}/level=0").agg(F.max("node")).first()[0] or 0
-    level = 0
-    while top > 0:
-        below = spark.read.parquet(f"{folder}/level={level}").select("archive", "node", "hash", F.col("offset"), F.col("length"))
+    rows, level = places.select("archive", F.col("pos").alias("node"), "page_id", "offset", "length", "digest", leaf.alias("hash")), 0
+    top = None
+    while True:
+        rows.repartitionByRange("archive", "node").sortWithinPartitions("archive", "node").write.parquet(f"{folder}/level={level}")
+        below = spark.read.parquet(f"{folder}/level={level}").select("archive", "node", "hash", "offset", "length")
+        top = below.agg(F.max("node")).first()[0] or 0 if top is None else top // fan
+        if top == 0:
+            break
         up = below.groupBy("archive", F.expr(f"node div {fan}").alias("up")).agg(
             F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"), F.min("offset").alias("offset"), F.sum("length").alias("length")
         )
         level += 1
-        up.select("archive", F.col("up").alias("node"), F.sha2(F.concat(F.col("offset").cast("string"), F.lit("|"), F.array_join("c.hash", "|")), 256).alias("hash"), "offset", "length").write.parquet(f"{folder}/level={level}")
-        top //= fan
+        rows = up.select("archive", F.col("up").alias("node"), F.sha2(F.concat(F.col("offset").cast("string"), F.lit("|"), F.array_join("c.hash", "|")), 256).alias("hash"), "offset", "length")
+    spark.createDataFrame([(level,)], "height int").coalesce(1).write.parquet(f"{folder}/height")
     return folder
 
 
 def tree_height(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return max(int(x.getPath().getName().split("=")[1]) for x in found)
+    return spark.read.parquet(f"{folder}/height").first().height
 
 
-def audit(spark: SparkSession, tree: str, replica: str, fan: int = FAN) -> DataFrame:
+def _level(spark: SparkSession, folder: str, level: int, suspect: DataFrame | None, archives: list[int] | None, fan: int) -> DataFrame:
+    """A level's nodes, below suspect ones only. archives, if given, holds theirs, and the scan skips what is outside of them."""
+    rows = spark.read.parquet(f"{folder}/level={level}")
+    if suspect is None:
+        return rows
+    if archives is not None:
+        rows = rows.filter(F.col("archive").isin(archives))
+    return rows.withColumn("up", F.expr(f"node div {fan}")).join(suspect, ["archive", "up"], "left_semi").drop("up")
+
+
+def audit(spark: SparkSession, tree: str, replica: str, fan: int = FAN, moved: bool = False) -> DataFrame:
     """Records that differ between two trees: archive, pos, page_id, offset, length, status, digest, replica_digest.
 
-    status: altered, missing (in the replica) or added. Trees that are equal give no rows, and are
-    read at their roots alone. A root of the lower tree is compared with the same range of the higher.
+    Trees that are equal give no rows and are read at their roots alone; a level is read only below
+    nodes that differ. A root of the lower tree is compared with the same range of the higher.
+
+    A record that is lost or added shifts those behind it, so in the ranges that differ records are
+    aligned: by page_id and digest first (the same record at another offset: status moved, left out
+    unless asked for), then what is left by page_id. status: altered, missing (in the replica) or added.
+    pos and offset are the place in the tree, for added records in the replica.
     """
     height = min(tree_height(spark, tree), tree_height(spark, replica))
-    suspect = None
-    for level in range(height, -1, -1):
-        mine, other = (spark.read.parquet(f"{f}/level={level}") for f in (tree, replica))
-        if suspect is not None:
-            keys = [F.col("archive"), F.expr(f"node div {fan}").alias("up")]
-            mine, other = (x.withColumn("up", keys[1]).join(suspect, ["archive", "up"], "left_semi") for x in (mine, other))
-        extra = ["page_id", "offset", "length", "digest"] if level == 0 else []
-        a = mine.select("archive", "node", F.col("hash").alias("a"), *extra)
-        b = other.select("archive", "node", F.col("hash").alias("b"), *[F.col(c).alias(f"r_{c}") for c in extra])
-        differ = a.join(b, ["archive", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-        suspect = differ.select("archive", F.col("node").alias("up"))
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("altered")
-    return differ.select(
-        "archive", F.col("node").alias("pos"), F.coalesce("page_id", "r_page_id").alias("page_id"), F.coalesce("offset", "r_offset").alias("offset"),
-        F.coalesce("length", "r_length").alias("length"), status.alias("status"), "digest", F.col("r_digest").alias("replica_digest"),
+    suspect, archives = None, None
+    for level in range(height, 0, -1):
+        mine, other = (_level(spark, f, level, suspect, archives, fan).select("archive", "node", F.col("hash").alias(c)) for f, c in ((tree, "a"), (replica, "b")))
+        differ = mine.join(other, ["archive", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+        suspect = written(differ.select("archive", F.col("node").alias("up")), "merkle-suspect")
+        found = [r.archive for r in suspect.select("archive").distinct().limit(MOST_LISTED + 1).collect()]
+        archives = found if len(found) <= MOST_LISTED else None
+        if not found:
+            break
+    columns = ("archive", "node", "page_id", "offset", "length", "digest", "hash")
+    mine, other = (_level(spark, f, 0, suspect, archives, fan).select(*columns) for f in (tree, replica))
+    # leaves that are equal at their place are done
+    place = ["archive", "node", "hash"]
+    left, right = written(mine.join(other.select(place), place, "left_anti"), "merkle-left"), written(other.join(mine.select(place), place, "left_anti"), "merkle-right")
+
+    def nth(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("node")))
+
+    def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = nth(a, keys).alias("a"), nth(b, keys).alias("b")
+        same = F.lit(True)
+        for k in [*keys, "nth"]:
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        return a.join(b, same, "full").select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+
+    exact = written(aligned(left, right, ["archive", "page_id", "digest"]), "merkle-aligned")
+    both = F.col("a.node").isNotNull() & F.col("b.node").isNotNull()
+    rest = exact.filter(~both)
+    by_page = aligned(rest.filter("a.node IS NOT NULL").select("a.*").drop("nth"), rest.filter("b.node IS NOT NULL").select("b.*").drop("nth"), ["archive", "page_id"])
+    status = F.when(F.col("b.node").isNull(), "missing").when(F.col("a.node").isNull(), "added").otherwise("altered")
+    out = by_page.withColumn("status", status)
+    if moved:
+        out = out.unionByName(exact.filter(both).withColumn("status", F.lit("moved")))
+    of = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
+    return out.select(
+        of("archive").alias("archive"), of("node").alias("pos"), of("page_id").alias("page_id"), of("offset").alias("offset"), of("length").alias("length"),
+        "status", F.col("a.digest").alias("digest"), F.col("b.digest").alias("replica_digest"),
     )

@@ -524,6 +524,12 @@ def test_fixity(spark):
     short = warc.archives(pages, 500).filter("page_id IS NULL OR page_id <> 1099")
     found = warc.audit(spark, tree, warc.build_tree(warc.manifest(short), 4), 4).collect()
     assert [(r.page_id, r.status) for r in found] == [(1099, "missing")]
+    gap = warc.archives(pages, 500).filter("page_id IS NULL OR page_id NOT IN (20, 600)")
+    replica = warc.build_tree(warc.manifest(gap), 4)
+    found = warc.audit(spark, tree, replica, 4).collect()
+    assert {(r.page_id, r.status) for r in found} == {(20, "missing"), (600, "missing")} and all(r.replica_digest is None for r in found)
+    assert {(r.page_id, r.status) for r in warc.audit(spark, replica, tree, 4).collect()} == {(20, "added"), (600, "added")}
+    assert warc.audit(spark, tree, replica, 4, moved=True).filter("status = 'moved'").count() == 479 + 399  # all behind in these archives
     none = warc.build_tree(warc.manifest(warc.archives(pages.limit(0))))
     assert warc.audit(spark, none, none).count() == 0
     assert damaged_replica(pages).count() <= pages.count()
