@@ -555,6 +555,67 @@ def test_image_copies(spark):
     assert media.image_copies(spark.createDataFrame([], "vec_id long, image binary")).count() == 0
 
 
+def edited_views(n, copies, seed=1):
+    """Base images of n canvases, and cropped, noisy, turned and rescaled views of the first ones, all by bilinear samples."""
+    rng = np.random.default_rng(seed)
+    c = media.box(media.box(rng.normal(size=(n, 112, 112)), 2), 2)
+    c = (c - c.mean((1, 2), keepdims=True)) / c.std((1, 2), keepdims=True)
+    grid = np.arange(64) - 31.5
+    yy, xx = np.meshgrid(grid, grid, indexing="ij")
+
+    def view(x, angle=0.0, zoom=1.0, cy=56, cx=56, noise=0.0, gain=45, light=128):
+        y, z = cy + (yy * np.cos(angle) - xx * np.sin(angle)) / zoom, cx + (yy * np.sin(angle) + xx * np.cos(angle)) / zoom
+        i, j = y.astype(int), z.astype(int)
+        a, b = y - i, z - j
+        got = (x[:, i, j] * (1 - a) + x[:, i + 1, j] * a) * (1 - b) + (x[:, i, j + 1] * (1 - a) + x[:, i + 1, j + 1] * a) * b
+        return np.clip(np.rint((got + rng.normal(size=got.shape) * noise) * gain + light), 0, 255).astype(np.uint8)
+
+    few = c[:copies]
+    return view(c), [view(few, cy=50, cx=48, noise=0.1, gain=38, light=140), view(few, noise=0.2), view(few, angle=0.35, noise=0.05), view(few, zoom=0.8, noise=0.05)]
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_recall_of_edited_images(spark, n):
+    """The same keys at each size: at least 0.9 of the edited pairs that consensus accepts are found, of each kind, and hardly any other."""
+    base, views = edited_views(n, 40)
+    rows = [(i, x.tobytes()) for i, x in enumerate(base)] + [((k + 1) * 10**6 + i, x.tobytes()) for k, v in enumerate(views) for i, x in enumerate(v)]
+    path = scratch(spark, "views")
+    spark.createDataFrame(rows, "vec_id long, image binary").write.parquet(path)
+    got = {r.vec_id: r.class_id for r in media.image_copies(spark.read.parquet(path)).collect()}
+    own = media.features(base[:40])
+    for k, v in enumerate(views):
+        links = [i for i, f in enumerate(media.features(v)) if media.consensus(own[i], f) >= media.LEAST_INLIERS]
+        assert len(links) >= 30 and sum(got[(k + 1) * 10**6 + i] == got[i] for i in links) >= 0.9 * len(links)
+    assert sum(got[i] != i for i in range(n)) <= 3
+
+
+def test_images_of_several_shapes(spark):
+    """A crop of other dimensions is found; bytes that don't fit their shape are copies of equal ones alone."""
+    rng = np.random.default_rng(5)
+    big = media.box(media.box(rng.normal(size=(3, 100, 120)), 2), 2)
+    big = np.clip(np.rint(big / big.std() * 45 + 128), 0, 255).astype(np.uint8)
+    rows = [(i, x.tobytes(), 100, 120, "k") for i, x in enumerate(big)] + [(10 + i, x[10:90, 20:100].copy().tobytes(), 80, 80, "k") for i, x in enumerate(big)]
+    rows += [(20, b"abc", 80, 80, "k"), (21, b"abc", None, 80, "k"), (22, big[0].tobytes(), 120, 100, "k"), (23, b"abc", 80, 80, None)]
+    got = {r.vec_id: r.class_id for r in media.image_copies(spark.createDataFrame(rows, "vec_id long, image binary, height int, width int, key string")).collect()}
+    assert [got[10 + i] for i in range(3)] == [0, 1, 2] and (got[20], got[21], got[22], got[23]) == (20, 21, 22, 20)
+
+
+def test_cells_of_a_bucket():
+    """Each descriptor joins the nearest earlier leader; blocks and large sets of leaders give what a plain loop gives."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    bits = np.array([centres[rng.integers(40)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (rng.integers(1, 9), 4)).astype(np.uint64), axis=0) for _ in range(700)])
+    leaders, want = [], []
+    for i, x in enumerate(bits):
+        d = [int(np.bitwise_count(x ^ bits[j]).sum()) for j in leaders]
+        want.append(leaders[int(np.argmin(d))] if d and min(d) <= media.CELL_DISTANCE else i)
+        leaders += [i] * (want[-1] == i)
+    for block in (1, 64, 256, 1000):
+        got, far = media.cells(bits, block)
+        assert (far <= media.CELL_DISTANCE).all() and set(got[got != np.arange(len(got))]) <= set(np.flatnonzero(got == np.arange(len(got))))
+    assert (media.cells(bits, 1)[0] == want).all()
+
+
 def test_rendering(spark):
     rows = spark.createDataFrame([(1, [0.5] * 8), (2, None), (None, [0.1] * 8)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.image for r in media.rendered(rows).collect()}
