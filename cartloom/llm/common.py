@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.sources.shared import free_name, scratch, shared_root, written
 
-__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
+__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "joined_components", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
     """Python workers can import this package, and get rows in small batches, as texts can be long."""
@@ -121,3 +121,12 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
+
+def joined_components(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """roots (see components) after further links: only the components that these join are worked on, each as one node."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+    moves = written(components(between, name).select(F.col("node").alias("was"), F.col("root").alias("now")), f"{name}-moves")
+    moved = roots.join(moves, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    single = moves.join(roots.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return written(moved.union(single), f"{name}-roots")

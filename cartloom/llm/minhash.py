@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import bucket_links, components, written
+from cartloom.llm.common import bucket_links, components, joined_components, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8**5)**25 = 5e-5.
 BANDS, BAND_ROWS = 25, 5
 K = BANDS * BAND_ROWS
+#: Members of a bucket's largest component that a turn compares others with, and turns at most before the exact join.
+DRAWN, TURNS = 4, 3
 #: Counters of how many open documents have a unit region. They only order the regions, so a shared counter costs time, not links.
 COUNTERS = 1 << 18
 #: So many darts in expectation: with K ln K + 2 K few coordinates stay empty, and those get a second throw.
@@ -175,16 +177,19 @@ def compared(pairs: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def bridges(buckets: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Untested pairs that could join different components of a bucket: a delegate of each with one of the leader's.
+    """Untested pairs that could join different components of a bucket: each node outside of the bucket's largest component with one inside.
 
-    Delegates and leaders change with the bucket and the turn.
+    That one is drawn for each node from DRAWN members, and these for each bucket and turn. So a bucket
+    gives no more pairs than it has nodes, and a node that is like a good part of a large group soon finds it.
     """
     of = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    draw = F.xxhash64("node", "key", F.lit(turn))
-    delegates = written(of.groupBy("key", "root").agg(F.min(F.struct(draw.alias("h"), "node")).alias("d")), "dart-delegates")
-    leaders = delegates.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key", F.lit(turn)).alias("h"), "root", F.col("d.node").alias("leader"))).alias("l"), F.count("*").alias("n"))
-    pairs = delegates.join(written(leaders.filter("n > 1"), "dart-leaders"), "key").filter(F.col("root") != F.col("l.root")).select(F.col("d.node").alias("p"), F.col("l.leader").alias("q"))
-    pairs = pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+    sizes = of.groupBy("key", "root").count()
+    majors = sizes.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("major"), F.count("*").alias("n")).filter("n > 1").select("key", "major")
+    opened = written(of.join(written(majors, "dart-majors"), "key"), "dart-mixed")
+    members = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn), F.lit(i)), "node"))["node"] for i in range(DRAWN)]
+    drawn = written(opened.filter("root = major").groupBy("key").agg(F.array(*members).alias("drawn")), "dart-drawn")
+    met = opened.filter("root <> major").join(drawn, "key").select("node", F.get("drawn", F.pmod(F.xxhash64("node", "key"), F.lit(DRAWN))).alias("q"))
+    pairs = met.select(F.greatest("node", "q").alias("a"), F.least("node", "q").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -273,7 +278,7 @@ def left_pairs(buckets: DataFrame, roots: DataFrame, regions: DataFrame, tested:
     return rows.mapInArrow(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int = TURNS) -> DataFrame:
     """A row for each document of docs (doc_id, text): doc_id, th (xxhash64 of the text), class_id.
 
     class_id is the least doc_id of the connected documents, a link being a weighted Jaccard
@@ -282,9 +287,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int =
     rows are documents of one class. Rows without doc_id can't be named: they get a null class_id.
     Further columns are not read.
 
-    Nodes of a bucket are compared with the bucket's least node, then, for so many turns, a delegate
-    of each component that the bucket still holds with one of another, drawn anew for each bucket and
-    turn. These are linear in the rows of buckets however large a group is. What a bucket holds of
+    Nodes of a bucket are compared with the bucket's least node, then, for so many turns, with members
+    of the bucket's largest component, drawn anew for each bucket and turn. These are linear in the rows of buckets however large a group is. What a bucket holds of
     several components after them is compared in all pairs that the prefix filter can't rule out, so
     each link of two nodes that share a bucket is found.
     """
@@ -297,20 +301,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, turns: int =
     wanted = nodes.select("node", "doc_id").join(buckets.select("node").distinct(), "node").select("doc_id").distinct()
     regions = written(regions_of(docs, wanted), "dart-regions")
 
-    def added(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def compared_now(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = written(compared(pairs, regions), "dart-compared")
-        tested = found if tested is None else tested.unionByName(found)
-        return tested, components(tested.filter(F.col("similarity") >= threshold).select("a", "b"), "dart-components")
-
-    tested, roots = added(pairs, None)
-    for turn in range(turns):
-        pairs = written(bridges(buckets, roots, tested.select("a", "b"), turn), "dart-pairs")
-        if pairs.isEmpty():
-            break
-        tested, roots = added(pairs, tested)
-    pairs = written(left_pairs(buckets, roots, regions, tested.select("a", "b"), threshold), "dart-pairs")
-    if not pairs.isEmpty():
-        tested, roots = added(pairs, tested)
+        return found.select("a", "b"), found.filter(F.col("similarity") >= threshold).select("a", "b")
+
+    tested, links = compared_now(pairs)
+    roots = written(components(links, "dart-components"), "dart-roots")
+    for turn in range(turns + 1):
+        if turn < turns:
+            pairs = bridges(buckets, roots, tested, turn)
+        else:
+            pairs = left_pairs(buckets, roots, regions, tested, threshold)
+        new, links = compared_now(written(pairs, "dart-pairs"))
+        tested = tested.unionByName(new)
+        if not links.isEmpty():
+            roots = joined_components(roots, links, "dart-joined")
     # Rows of a node or of a component can be very many: they only meet small tables, so these joins can be split.
     linked = written(nodes.select("node", "doc_id").join(roots, "node"), "dart-linked")
     least = written(linked.groupBy("root").agg(F.min("doc_id").alias("class_id")), "dart-least")
