@@ -18,7 +18,9 @@ from cartloom.operators import distribute as D
 from cartloom.operators import encode as E
 from cartloom.operators import rules as A
 from cartloom.operators import support as S
+from cartloom.operators.running import numbered
 from cartloom.plans import mine as M
+from cartloom import schema as T
 from cartloom.sources import basket as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,19 +406,10 @@ def chunk_candidates(spark, sf):
 @query(f"WITH t AS (SELECT DISTINCT l_orderkey order_id FROM lineitem), n AS (SELECT count(*) n FROM t), r AS (SELECT order_id, row_number() OVER (ORDER BY order_id) - 1 idx FROM t) SELECT chunk, count(*) transactions FROM (SELECT idx // greatest(1, (n + {P} - 1) // {P}) chunk FROM r, n) GROUP BY 1")
 def chunk_transactions(spark, sf):
     orders = B.tpch_tables(spark, sf)[1].select("order_id").distinct()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = orders.repartitionByRange(n, "order_id").sortWithinPartitions("order_id").withColumn("_p", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("_p").count()
-    before = {r["_p"]: r["count"] for r in sizes.collect()}  # a number for each partition
-    base = F.lit(0).cast("long")
-    for p in before:
-        base = F.when(F.col("_p") == p, sum(c for q, c in before.items() if q < p)).otherwise(base)
-    # within a partition the id's low 33 bits are the row number
-    idx = base + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return D.ceil_chunked(placed.withColumn("idx", idx), P, sum(before.values())).groupBy("chunk").agg(F.count("*").alias("transactions"))
-
-
-@query()
+    return D.ceil_chunked(numbered(orders, [F.col("order_id")], "idx"), P, orders.count()).groupBy("chunk").agg(F.count("*").alias("transactions"))
+
+
+@query(f"SELECT idx, proc_id, proc_id::INT AS partition, true AS in_place FROM ({ASSIGNED['CWT']})")
 def physical_placement(spark, sf):
     dealt = D.placed(D.distribute(_weighted(spark, sf), "CWT", P), P)
     return dealt.select("idx", "proc_id", F.spark_partition_id().alias("partition"), (F.spark_partition_id() == F.col("proc_id")).alias("in_place"))
@@ -580,7 +573,7 @@ def results_filter(spark, sf):
 KEYS = ("wdpa_BL_1p", "wdpa_CWT_16p", "wdpa_BL", "naive_parallel", "ye_parallel_4p", "needs 12.5 GiB", "needs 512 MiB of memory")
 
 
-@query(f"SELECT k AS key, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 1), '') strategy, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 2), '')::INT processors, CASE WHEN k LIKE '%GiB%' THEN regexp_extract(k, '(\\d+\\.?\\d*)\\s*(GiB|MiB|GB|MB)', 1)::DOUBLE WHEN k LIKE '%MiB%' THEN regexp_extract(k, '(\\d+\\.?\\d*)\\s*(GiB|MiB|GB|MB)', 1)::DOUBLE / 1024 END gib FROM (SELECT unnest({list(KEYS)}) k)")
+@query(f"SELECT k AS key, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 1), '') strategy, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 2), '')::INT processors, CASE WHEN k LIKE '% GiB%' THEN split_part(split_part(k, ' GiB', 1), ' ', -1)::DOUBLE WHEN k LIKE '% MiB%' THEN split_part(split_part(k, ' MiB', 1), ' ', -1)::DOUBLE / 1024 END gib FROM (SELECT unnest({list(KEYS)}) k)")
 def parse_result_key(spark, sf):
     keys = spark.createDataFrame([(k,) for k in KEYS], "key string")
     strategy, processors = parse_run_key(F.col("key"))
@@ -591,3 +584,38 @@ def parse_result_key(spark, sf):
 SELECT orders, items, round(pair_gib, 6) pair_gib, round(matrix_gib, 6) matrix_gib, CASE WHEN pair_gib > 8.0 THEN 'skipped_memory_error' ELSE 'success' END traditional_status, CASE WHEN matrix_gib > 10.0 THEN 'skipped_memory' ELSE 'success' END naive_status FROM g""")
 def memory_admission(spark, sf):
     return _rounded(R.memory_admission(E.matrix_density(B.item_pairs(spark, sf, "l_partkey")).select("orders", "items")))
+
+
+# Runs, all kinds of statuses --------------------------------------------------------------------------
+TRIED = ((0.1, "wdpa", "BL", 1, 9.0, 6.0, 40, "success"), (0.1, "wdpa", "BL", 2, 5.0, None, 40, "success"), (0.1, "naive_parallel", None, 8, 60.0, None, 0, "timeout"), (0.2, "ye_parallel", None, 4, 3.0, None, 12, "success"), (0.2, "ye_parallel", None, 4, 5.0, 2.0, 12, "success"))
+TRIED_SQL = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, str | int) else f"{x}::DOUBLE" for x in r) + ")" for r in TRIED) + ") t(support, algorithm, strategy, processors, total_time, computation_time, itemsets, status))"
+
+
+def _tried(spark):
+    return spark.createDataFrame(TRIED, T.RUNS)
+
+
+@query(f"SELECT support, algorithm, strategy, processors::INT processors, total_time, computation_time::DOUBLE computation_time, itemsets::BIGINT itemsets, status FROM {TRIED_SQL} WHERE status = 'success'")
+def successful_runs(spark, sf):
+    return R.successful(_tried(spark))
+
+
+@query(f"SELECT support, algorithm, processors::INT processors, coalesce(computation_time::DOUBLE, total_time) computation_time, total_time FROM {TRIED_SQL}")
+def computation_fallback(spark, sf):
+    return R.with_computation(_tried(spark)).select("support", "algorithm", "processors", "computation_time", "total_time")
+
+
+@query(f"SELECT 'support' kind, support::VARCHAR AS key FROM {TRIED_SQL} UNION SELECT 'strategy', strategy FROM {TRIED_SQL} WHERE strategy IS NOT NULL UNION SELECT 'processors', processors::VARCHAR FROM {TRIED_SQL}")
+def run_keys(spark, sf):
+    return R.run_keys(_tried(spark))
+
+
+@query(f"SELECT algorithm, strategy, processors::INT processors, count(*) runs, count(*) FILTER (status = 'success') successes, avg(total_time) FILTER (status = 'success') mean_time, max(itemsets)::BIGINT most_itemsets FROM {TRIED_SQL} GROUP BY ALL")
+def summary_rows(spark, sf):
+    return R.summary_rows(_tried(spark))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY k, count DESC, string_split(itemset, ',')) n, * FROM ({mine_sql('p_type', 0.1, 5)})")
+def sorted_levels(spark, sf):
+    found = M.sorted_itemsets(M.mine_preset(_type_pairs(spark, sf), "wdpa", 0.1))
+    return _text(numbered(found, [F.col("k"), F.desc("count"), F.col("itemset")], "n").withColumn("n", F.col("n") + 1))

@@ -10,6 +10,43 @@ from cartloom.functions.scalars import near, overhead_percent, safe_divide
 ORDER = ("BL", "CL", "BWT", "CWT")
 
 
+def successful(runs: DataFrame) -> DataFrame:
+    return runs.filter("status = 'success'")
+
+
+def with_computation(runs: DataFrame) -> DataFrame:
+    """Runs whose missing computation time is their total time."""
+    return runs.withColumn("computation_time", F.coalesce("computation_time", "total_time"))
+
+
+def run_keys(runs: DataFrame) -> DataFrame:
+    """The distinct supports, strategies and processors of runs: kind and key, as texts."""
+    each = [runs.select(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key")) for c in ("support", "strategy", "processors")]
+    return each[0].union(each[1]).union(each[2]).filter("key IS NOT NULL").distinct()
+
+
+def summary_rows(runs: DataFrame) -> DataFrame:
+    """A row for each algorithm, strategy and number of processors: how many runs and successes, mean time of these, most itemsets."""
+    ok = F.col("status") == "success"
+    return runs.groupBy("algorithm", "strategy", "processors").agg(
+        F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.avg(F.when(ok, F.col("total_time"))).alias("mean_time"), F.max("itemsets").alias("most_itemsets")
+    )
+
+
+def scaling_summary(runs: DataFrame, title: str = "Processor scaling") -> DataFrame:
+    """A text report of the successful runs of one strategy and support, by processors, against the fewest: n and value."""
+    good = scaling_vs_lowest(successful(runs))
+    line = lambda *x: F.format_string("%-12s %14s %10s %12s", *x)
+    body = good.select(
+        (F.row_number().over(Window.partitionBy("support", "strategy").orderBy("processors")) + 2).alias("n"),
+        line(F.col("processors").cast("string"), F.format_number(F.col("total_time") / 60, 2), F.format_string("%.2fx", "speedup"), F.format_string("%.1f%%", F.col("efficiency") * 100)).alias("value"),
+    )
+    head = runs.sparkSession.createDataFrame([(1, title), (2, "%-12s %14s %10s %12s" % ("processors", "minutes", "speedup", "efficiency"))], "n int, value string")
+    best = good.agg(F.min(F.struct("total_time", "processors", "speedup")).alias("b")).filter("b IS NOT NULL")
+    foot = best.select(F.lit(1_000_000).alias("n"), F.format_string("fastest: %d processors, %.2f minutes, %.2fx", "b.processors", F.col("b.total_time") / 60, "b.speedup").alias("value"))
+    return head.union(body).union(foot)
+
+
 def with_baseline(runs: DataFrame) -> DataFrame:
     """Each run with the computation time of its own one-processor run, null if there is none."""
     base = runs.filter("processors = 1").select("support", "strategy", F.col("computation_time").alias("baseline_time"))
@@ -105,6 +142,7 @@ def memory_admission(sizes: DataFrame, pair_limit: float = 8.0, matrix_limit: fl
     cells = F.col("orders").cast("double") * F.col("items") / 2**30
     return sizes.select(
         "orders", "items", pairs.alias("pair_gib"), cells.alias("matrix_gib"),
+        # fixed values: the names of these statuses
         F.when(pairs > pair_limit, "skipped_memory_error").otherwise("success").alias("traditional_status"),
         F.when(cells > matrix_limit, "skipped_memory").otherwise("success").alias("naive_status"),
     )

@@ -22,11 +22,17 @@ def parse_run_key(key: Column) -> tuple[Column, Column]:
     return F.when(hit, F.regexp_extract(key, shape, 1)), F.when(hit, F.regexp_extract(key, shape, 2).cast("int"))
 
 
+#: Units of memory sizes in messages, in GiB; decimal ones are taken for binary ones.
+UNITS = {"gib": 1.0, "gb": 1.0, "mib": 1 / 1024, "mb": 1 / 1024}
+
+
 def memory_gib(text: Column) -> Column:
-    """The first memory size of a message, in GiB; null without one."""
-    shape = r"(\d+\.?\d*)\s*(GiB|MiB|GB|MB)"
-    unit = F.regexp_extract(text, shape, 2)
-    return F.when(text.rlike(shape), F.regexp_extract(text, shape, 1).cast("double") / F.when(unit.isin("MiB", "MB"), 1024.0).otherwise(1.0))
+    """The first memory size of a message, in GiB; null without one. A size is a number, then a unit, with or without a space."""
+    words = F.split(F.regexp_replace(F.lower(text), "([0-9])([a-z])", "$1 $2"), " +")
+    unit = lambda w: F.regexp_extract(w, "^[a-z]+", 0)
+    pairs = F.transform(words, lambda w, i: F.struct(F.get(words, i - 1).try_cast("double").alias("size"), F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[unit(w)].alias("unit")))
+    hit = F.get(F.filter(pairs, lambda p: p["size"].isNotNull() & p["unit"].isNotNull()), F.lit(0))
+    return hit["size"] * hit["unit"]
 
 
 def near(a: Column, b: Column, tolerance: float = 1e-5) -> Column:

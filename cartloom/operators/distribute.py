@@ -5,26 +5,26 @@ Candidates are rows (idx, cand), idx numbering them from 0; results add weight a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.operators.running import numbered, running_sums
+from cartloom.sources.shared import written
+
 STRATEGIES = ("BL", "CL", "BWT", "CWT")
 
 
-def indexed(candidates: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def indexed(candidates: DataFrame, counts: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """idx and cand: in the order of the items' counts (descending, then item) for pairs if counts (item, count) are given, else by itemset.
 
-    Numbers come from one sorted window: candidates are the model's size, not the data's.
+    many: the number of candidates, if known; few are numbered in one task, others by range partitions.
     """
     if counts is None:
-        order = [F.col("cand")]
-        rows = candidates
-    else:
-        rank = counts.select("item", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("item"))).alias("r"))
-        each = candidates.select("cand", F.explode("cand").alias("item")).join(rank, "item")
-        rows = each.groupBy("cand").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-        order = [F.col("rs")]
-    return rows.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("idx"), "cand")
+        return numbered(candidates.select("cand"), [F.col("cand")], "idx", many).select("idx", "cand")
+    # an item's place is told by (-count, item), so items need no numbers
+    each = candidates.select("cand", F.explode("cand").alias("item")).join(counts.select("item", "count"), "item")
+    placed = each.groupBy("cand").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "item"))).alias("place"))
+    return numbered(placed, [F.col("place")], "idx", many).select("idx", "cand")
 
 
 def weighted(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -48,45 +48,45 @@ def cyclic(candidates: DataFrame, p: int) -> DataFrame:
     return candidates.withColumn("proc_id", F.col("idx") % p)
 
 
-def _by_weight() -> Window:
-    return Window.orderBy(F.desc("weight"), "idx")
+def _order() -> list:
+    return [F.desc("weight"), F.asc("idx")]
 
 
-def cyclic_by_weight(candidates: DataFrame, p: int) -> DataFrame:
+def cyclic_by_weight(candidates: DataFrame, p: int, many: int | None = None) -> DataFrame:
     """CWT: rank by weight, descending, modulo p."""
-    return candidates.withColumn("proc_id", ((F.row_number().over(_by_weight()) - 1) % p).cast("long"))
+    return numbered(candidates, _order(), "r", many).withColumn("proc_id", F.col("r") % p).drop("r")
 
 
 def block_by_weight(candidates: DataFrame, p: int) -> DataFrame:
     """BWT: by descending weight to one processor until it has total / p, then to the next, which starts from 0; the last takes the rest.
 
-    A fold over the sorted weights keeps the numbers at which a processor starts (p - 1 at most);
-    candidates find theirs by a lookup in these.
+    A processor ends at the first candidate whose running sum of weights has grown by total / p since
+    the processor before ended. The p - 1 ends are looked up one after another in the written sums.
     """
-    ranked = candidates.withColumn("r", F.row_number().over(_by_weight()) - 1)
-    weights = ranked.agg(F.array_sort(F.collect_list(F.struct("r", "weight"))).alias("ws"), F.sum("weight").alias("total"))
-    start = F.struct(F.lit(0).cast("bigint").alias("w"), F.array().cast("array<int>").alias("cuts"))
-    target = F.col("total").cast("double") / p
-
-    def step(acc, x):
-        w = acc["w"] + x["weight"]
-        full = (w.cast("double") >= target) & (F.size(acc["cuts"]) < p - 1)
-        return F.struct(F.when(full, F.lit(0).cast("bigint")).otherwise(w).alias("w"), F.when(full, F.array_append(acc["cuts"], x["r"] + 1)).otherwise(acc["cuts"]).alias("cuts"))
-
-    cuts = weights.select(F.aggregate("ws", start, step)["cuts"].alias("cuts"))
-    return ranked.crossJoin(F.broadcast(cuts)).withColumn("proc_id", F.size(F.filter("cuts", lambda c: c <= F.col("r"))).cast("long")).drop("r", "cuts")
-
-
-def distribute(candidates: DataFrame, strategy: str, p: int) -> DataFrame:
-    """candidates (idx, cand, weight) with their proc_id under a strategy; another name raises ValueError."""
+    sums = written(running_sums(candidates, _order(), {"before": F.col("weight"), "r": F.lit(1)}), "weights")
+    sums = sums.withColumn("after", F.col("before") + F.col("weight"))
+    target = (sums.agg(F.sum("weight")).first()[0] or 0) / p
+    cuts, base = [], 0
+    for _ in range(p - 1):
+        last = sums.filter((F.col("r") >= (cuts[-1] if cuts else 0)) & ((F.col("after") - base).cast("double") >= target)).agg(F.min(F.struct("r", "after"))).first()[0]
+        if last is None:
+            break
+        cuts.append(last.r + 1)
+        base = last.after
+    proc = sum(((F.col("r") >= c).cast("long") for c in cuts), F.lit(0).cast("long"))
+    return sums.withColumn("proc_id", proc).select(*candidates.columns, "proc_id")
+
+
+def distribute(candidates: DataFrame, strategy: str, p: int, many: int | None = None) -> DataFrame:
+    """candidates (idx, cand, weight) with their proc_id under a strategy; another name raises ValueError. many: their number, if known."""
     if strategy == "BL":
-        return block(candidates, p, candidates.count())
+        return block(candidates, p, candidates.count() if many is None else many)
     if strategy == "CL":
         return cyclic(candidates, p)
     if strategy == "BWT":
         return block_by_weight(candidates, p)
     if strategy == "CWT":
-        return cyclic_by_weight(candidates, p)
+        return cyclic_by_weight(candidates, p, many)
     raise ValueError(f"unknown strategy {strategy}")
 
 

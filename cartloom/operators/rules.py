@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: An itemset of k items has 2**k - 2 splits; larger ones than this raise an error.
 MOST_ITEMS = 20
 
 
 def association_rules(itemsets: DataFrame, metric: str = "lift", least: float = 1.0) -> DataFrame:
     """antecedent, consequent, their supports, support, confidence and lift, for itemsets (k, itemset, support).
 
-    Every subset but the empty one and the whole is an antecedent: 2**k - 2 splits, so k is held to
-    MOST_ITEMS. Supports of both sides are looked up by equi-joins on the sorted arrays.
+    Every subset but the empty one and the whole is an antecedent: 2**k - 2 splits. An itemset of more
+    than MOST_ITEMS items fails the job, so none is left out. Supports of both sides are looked up by
+    equi-joins on the sorted arrays.
     """
     if metric not in ("lift", "confidence", "support"):
         raise ValueError(f"unknown metric {metric}")
     pick = lambda m, bit: F.filter("itemset", lambda _, j: F.getbit(m, j) == bit)
-    splits = itemsets.filter((F.col("k") >= 2) & (F.col("k") <= MOST_ITEMS)).select("itemset", "support", F.explode(F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.col("k")) - 2).cast("long"))).alias("m"))
+    last = F.when(F.col("k") > MOST_ITEMS, F.raise_error(F.format_string("an itemset of %d items has too many splits", "k")).cast("long")).otherwise(F.expr("shiftleft(1L, k) - 2"))
+    splits = itemsets.filter(F.col("k") >= 2).select("itemset", "support", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("m"))
     sides = splits.select("support", pick(F.col("m"), 1).alias("antecedent"), pick(F.col("m"), 0).alias("consequent"))
     of = lambda side: itemsets.select(F.col("itemset").alias(side), F.col("support").alias(f"{side}_support"))
     found = sides.join(of("antecedent"), "antecedent").join(of("consequent"), "consequent")

@@ -28,6 +28,12 @@ def running_sums(rows: DataFrame, order: list[Column], values: dict[str, Column]
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c not in values], *sums)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their number in order, from 0."""
+#: Up to so many rows, if their number is known, are numbered in one task.
+ONE_TASK = 100_000
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, known: int | None = None) -> DataFrame:
+    """rows with their number in order, from 0. known: how many rows there are, if that is known."""
+    if known is not None and known <= ONE_TASK:
+        return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     return running_sums(rows, order, {name: F.lit(1)})

@@ -6,6 +6,9 @@ for unknown items and for the empty itemset.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,41 @@ def bitmap_support(candidates: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return candidates.select("cand").join(counts, "cand", "left").select("cand", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+def placed_support(assigned: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """cand and count for candidates (idx, cand, proc_id) of one size, each counted by its processor.
+
+    A processor gets the bitmaps of its candidates' items, once for each bucket, and ANDs them there; its
+    counts alone move on. A task holds one processor's items in one bucket.
+    """
+
+    def count(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        idx = asked.column("idx").to_numpy()
+        order = np.argsort(idx, kind="stable")
+        ids, sizes = np.unique(idx, return_counts=True)
+        items = mine.column("item").combine_chunks()
+        at = pc.fill_null(pc.index_in(asked.column("item").combine_chunks(), value_set=items), -1).to_numpy()[order]
+        bits = np.frombuffer(b"".join(mine.column("bm").to_pylist()), np.uint64).reshape(len(items), -1) if len(items) else np.zeros((0, 1), np.uint64)
+        k = int(sizes.max()) if len(sizes) else 1
+        rows = at.reshape(-1, k)
+        whole = np.flatnonzero((rows >= 0).all(1))  # others have an item that the bucket lacks
+        counts = np.zeros(len(whole), np.int64)
+        for i in range(0, len(whole), 1000):
+            part = rows[whole[i : i + 1000]]
+            both = bits[part[:, 0]]
+            for j in range(1, k):
+                both &= bits[part[:, j]]
+            counts[i : i + 1000] = np.bitwise_count(both).sum(1)
+        return pa.table({"idx": pa.array(ids[whole], pa.int64()), "n": pa.array(counts, pa.int64())})
+
+    asked = assigned.select("proc_id", "idx", F.explode("cand").alias("item"))
+    needed = asked.select("proc_id", "item").distinct().join(bitmaps, "item").select("proc_id", "bucket", "item", "bm")
+    spots = needed.select("proc_id", "bucket").distinct()
+    offered = asked.join(spots, "proc_id").select(*[F.col(c).alias(c) for c in ("proc_id", "bucket", "idx", "item")])  # columns of its own beside needed's
+    counted = needed.groupBy("proc_id", "bucket").cogroup(offered.groupBy("proc_id", "bucket")).applyInArrow(count, "idx long, n long")
+    totals = counted.groupBy("idx").agg(F.sum("n").alias("count"))
+    return assigned.select("idx", "cand").join(totals, "idx", "left").select("cand", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
 def containment_support(candidates: DataFrame, horizontal: DataFrame) -> DataFrame:
     """cand and count: a candidate is offered to each transaction that has its first item, and tested there."""
     first = candidates.filter(F.size("cand") > 0).select("cand", F.get("cand", F.lit(0)).alias("item"), F.slice("cand", 2, 1_000_000).alias("rest"))
@@ -73,5 +111,5 @@ def conjunction_support(matrix: DataFrame, itemsets: list[list[str]]) -> DataFra
 
 def worker_counts(assigned: DataFrame, bitmaps: DataFrame, least: int) -> DataFrame:
     """For candidates with a proc_id: how many each processor intersected, and how many of them are frequent."""
-    counts = bitmap_support(assigned.select("cand"), bitmaps)
+    counts = placed_support(assigned, bitmaps)
     return assigned.join(counts, "cand").groupBy("proc_id").agg(F.count("*").alias("intersections"), F.sum((F.col("count") >= least).cast("long")).alias("frequent"))

@@ -7,6 +7,7 @@ shuffle by order; only candidates and counts, combined before the shuffle, move.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -48,14 +49,15 @@ def frequent_items(pairs: DataFrame, min_support: float, threshold: str = "floor
 
 def mine(
     pairs: DataFrame, min_support: float, threshold: str = "floor", max_k: int | None = None, counting: str = "extension",
-    strategy: str = "CWT", processors: int = 4, strict: bool = False,
+    strategy: str = "CWT", processors: int = 4, strict: bool = False, times: dict[int, float] | None = None,
 ) -> DataFrame:
     """Frequent itemsets of rows (order_id, item): k, itemset (sorted), count, support. Repeated rows count once.
 
     counting: extension (of occurrences), containment (candidates offered to transactions) or bitmap
     (candidates dealt to processors by strategy, bitmaps ANDed). All give the same rows. No orders, or
     no frequent item, give no rows. strict keeps a floor of 0, at which candidates that no order
-    holds are frequent too; it needs the bitmap counting.
+    holds are frequent too; it needs the bitmap counting. times is filled with the seconds that the
+    candidates of each level took to be counted, for levels from 2 on that have any frequent itemset.
     """
     if counting not in ("extension", "containment", "bitmap"):
         raise ValueError(f"unknown counting {counting}")
@@ -67,7 +69,7 @@ def mine(
     n, each = whole.count(), whole.select("order_id", F.explode("items").alias("item"))
     least = S.min_count(min_support, n, threshold, strict)
     level, found = _keep(frequent_items(each, min_support, threshold, n, strict))
-    levels, k = [level], 1
+    levels, k, held = [level], 1, [whole]
     if counting == "bitmap":
         data = E.tid_bitmaps(each).persist(StorageLevel.MEMORY_AND_DISK)
         counts = level.select(F.get("itemset", F.lit(0)).alias("item"), "count")
@@ -76,6 +78,7 @@ def mine(
         kept = each.join(S.near(level.select(F.get("itemset", F.lit(0)).alias("item")), found), "item", "left_semi")
         data = E.transactions(kept).persist(StorageLevel.MEMORY_AND_DISK)
         occurrences = data.select(F.posexplode("items").alias("i", "x"), "items").select(F.array("x").alias("itemset"), F.slice("items", F.col("i") + 2, F.size("items")).alias("rest"))
+    held.append(data)
     while found and (max_k is None or k < max_k):
         k += 1
         if counting == "extension" and k == 2:
@@ -85,11 +88,12 @@ def mine(
             if not many:
                 break
         if counting == "bitmap":
-            numbered = D.weighted(D.indexed(cands, counts if k == 2 else None), counts)
-            dealt = D.distribute(numbered, strategy, processors)
+            numbered = D.weighted(D.indexed(cands, counts if k == 2 else None, many), counts)
             if D.runs_parallel(many, processors):
-                dealt = D.placed(dealt, processors)
-            counted = S.bitmap_support(dealt.select("cand"), data).withColumnRenamed("cand", "itemset")
+                dealt = written(D.distribute(numbered, strategy, processors, many), "dealt")
+            else:  # a level that isn't worth the processors is one processor's
+                dealt = numbered.withColumn("proc_id", F.lit(0).cast("long"))
+            counted = S.placed_support(dealt, data).withColumnRenamed("cand", "itemset")
         elif counting == "containment":
             counted = S.containment_support(S.near(cands, many), data).withColumnRenamed("cand", "itemset")
         else:
@@ -99,8 +103,15 @@ def mine(
                 grown = grown.join(S.near(cands.withColumnRenamed("cand", "itemset"), many), "itemset", "left_semi")
             occurrences = grown.persist(StorageLevel.MEMORY_AND_DISK)
             counted = occurrences.groupBy("itemset").agg(F.count("*").alias("count"))
+        began = time.perf_counter()
         level, found = _keep(_level(k, counted.filter(F.col("count") >= least), max(n, 1)))
+        if times is not None and found:
+            times[k] = time.perf_counter() - began
         levels.append(level)
+        if counting == "extension":
+            held.append(occurrences)
+    for df in held:
+        df.unpersist()
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -116,6 +127,11 @@ def mine_fpgrowth(pairs: DataFrame, min_support: float, threshold: str = "fracti
     return found.filter(F.col("freq") >= least).select(F.size("items").alias("k"), F.array_sort("items").alias("itemset"), F.col("freq").alias("count"), (F.col("freq") / F.lit(float(max(n, 1)))).alias("support"))
 
 
+def sorted_itemsets(itemsets: DataFrame) -> DataFrame:
+    """Levels in order, each by descending count, then itemset."""
+    return itemsets.orderBy("k", F.desc("count"), "itemset")
+
+
 def itemsets_per_level(itemsets: DataFrame) -> DataFrame:
     return itemsets.groupBy("k").agg(F.count("*").alias("itemsets"))
 

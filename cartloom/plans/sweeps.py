@@ -15,7 +15,7 @@ from cartloom.sources import basket as B
 
 
 def timed(spark: SparkSession, job: Callable[[], int], timeout: float | None = None) -> tuple[str, float, int]:
-    """Status (success, timeout, error: ...), seconds and the job's number. A job that is too slow is cancelled on the cluster."""
+    """Status (success, timeout, memory_error, error: ...), seconds and the job's number. A job that is too slow is cancelled on the cluster."""
     tag, began = f"cartloom-{uuid.uuid4().hex}", time.perf_counter()
     late = threading.Event()
 
@@ -30,7 +30,8 @@ def timed(spark: SparkSession, job: Callable[[], int], timeout: float | None = N
             timer.start()
         n, status = job(), "success"
     except Exception as e:
-        n, status = 0, "timeout" if late.is_set() else f"error: {type(e).__name__}"
+        memory = isinstance(e, MemoryError) or "OutOfMemoryError" in str(e)
+        n, status = 0, "timeout" if late.is_set() else "memory_error" if memory else f"error: {type(e).__name__}"
     finally:
         if timer:
             timer.cancel()
@@ -39,13 +40,14 @@ def timed(spark: SparkSession, job: Callable[[], int], timeout: float | None = N
 
 
 def run_grid(spark: SparkSession, pairs: DataFrame, supports: Iterable[float], strategies: Iterable[str], processors: Iterable[int], max_k: int | None = 5, timeout: float | None = None) -> DataFrame:
-    """A row of schema.RUNS for each cell of the grid, mined with bitmaps. An error in a cell is its status."""
+    """A row of schema.RUNS for each cell of the grid, mined with bitmaps; computation time is that of the levels. An error in a cell is its status."""
     rows = []
     for s in supports:
         for strategy in strategies:
             for p in processors:
-                status, seconds, n = timed(spark, lambda s=s, strategy=strategy, p=p: mine(pairs, s, max_k=max_k, counting="bitmap", strategy=strategy, processors=p).count(), timeout)
-                rows.append((float(s), "wdpa", strategy, p, seconds, seconds, n, status))
+                times: dict[int, float] = {}
+                status, seconds, n = timed(spark, lambda s=s, strategy=strategy, p=p, times=times: mine(pairs, s, max_k=max_k, counting="bitmap", strategy=strategy, processors=p, times=times).count(), timeout)
+                rows.append((float(s), "wdpa", strategy, p, seconds, sum(times.values()), n, status))
     return spark.createDataFrame(rows, S.RUNS)
 
 

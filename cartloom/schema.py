@@ -22,6 +22,8 @@ RUNS = _struct(
     support=T.DoubleType(), algorithm=STRING, strategy=STRING, processors=T.IntegerType(),
     total_time=T.DoubleType(), computation_time=T.DoubleType(), itemsets=LONG, status=STRING,
 )
+#: Rows of a benchmark: runs with what their speedup is measured against; null where there is nothing.
+BENCHMARK = T.StructType([*RUNS.fields, *_struct(baseline=STRING, speedup=T.DoubleType(), efficiency=T.DoubleType()).fields])
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,18 @@ class BasketSpec:
     name_col: str = "product_name"
 
 
+@dataclass(frozen=True)
+class Algorithm:
+    """A miner of a benchmark: traditional, naive_parallel, wdpa or ye_parallel."""
+
+    name: str
+    enabled: bool = False
+    strategies: tuple[str, ...] = ()
+    processors: tuple[int, ...] = (1,)
+    max_k: int | None = None
+    timeout: float | None = None
+
+
 @dataclass(frozen=True)
 class MiningConfig:
     """Parameters of a run. threshold: floor, floor_min1 or fraction; max_k: None for no limit."""
@@ -48,3 +62,6 @@ class MiningConfig:
     max_k: int | None = 5
     min_confidence: float = 0.5
     min_lift: float = 1.0
+    chunk_size: int = 5000
+    algorithms: tuple[Algorithm, ...] = ()
+    results_directory: str = "results/benchmark"

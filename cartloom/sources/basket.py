@@ -15,11 +15,45 @@ def read_csv(spark: SparkSession, path: str, kind) -> DataFrame:
     return spark.read.schema(kind).option("header", True).csv(path)
 
 
+#: Fixed names of configuration documents: section -> key -> field. None: a text or a switch of output, read by no one.
+CONFIG_KEYS = {
+    "dataset": {"sample_size": "sample_size", "max_items": "max_items", "chunk_size": "chunk_size", "random_seed": "seed"},
+    "mining_parameters": {"support_thresholds": "min_supports", "min_confidence": "min_confidence", "min_lift": "min_lift"},
+    "output": {"results_directory": "results_directory", "save_individual_results": None, "save_comparison_summary": None, "generate_speedup_metrics": None},
+}
+ALGORITHM_KEYS = {"enabled": "enabled", "strategies": "strategies", "num_processors": "processors", "num_workers": "processors", "max_k": "max_k", "timeout": "timeout", "name": None, "method": None}
+ALGORITHMS = ("traditional", "naive_parallel", "wdpa", "ye_parallel")
+
+
+def parse_config(document: dict) -> S.MiningConfig:
+    """A configuration document: sections (see CONFIG_KEYS) and algorithms, or fields of MiningConfig at the top.
+
+    Keys that start with _, and description, are comments. Any other unknown key raises ValueError.
+    """
+
+    def keys_of(section: dict, known: dict, where: str) -> dict:
+        own = {k: v for k, v in section.items() if not k.startswith("_") and k != "description"}
+        if unknown := sorted(set(own) - set(known)):
+            raise ValueError(f"unknown keys in {where}: {', '.join(unknown)}")
+        return {known[k]: tuple(v) if isinstance(v, list) else v for k, v in own.items() if known[k]}
+
+    sections = {k: document[k] for k in (*CONFIG_KEYS, "algorithms") if k in document}
+    flat = {k: k for k in S.MiningConfig.__dataclass_fields__ if k != "algorithms"}
+    fields = keys_of({k: v for k, v in document.items() if k not in sections}, flat, "the document")
+    for name, known in CONFIG_KEYS.items():
+        fields |= keys_of(sections.get(name, {}), known, name)
+    algorithms = []
+    for name, section in keys_of(sections.get("algorithms", {}), {x: x for x in ALGORITHMS}, "algorithms").items():
+        own = keys_of(section, ALGORITHM_KEYS, name)
+        if not isinstance(own.get("processors", ()), tuple):
+            own["processors"] = (own["processors"],)
+        algorithms.append(S.Algorithm(name, **own))
+    return S.MiningConfig(**fields, algorithms=tuple(algorithms))
+
+
 def load_config(spark: SparkSession, path: str) -> S.MiningConfig:
-    """A configuration document; keys that the engine doesn't know are ignored."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    known = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items() if k in S.MiningConfig.__dataclass_fields__}
-    return S.MiningConfig(**known)
+    """A configuration document of a file; see parse_config."""
+    return parse_config(json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())))
 
 
 def read_results(spark: SparkSession, *paths: str) -> DataFrame:

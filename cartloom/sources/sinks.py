@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.functions.metrics import summary_rows
+
 
 def write_analysis(results: DataFrame, folder: str, tag: str = "", suffix: str = "") -> str:
     """All results as JSON rows with their nested types."""
@@ -22,6 +27,27 @@ def write_summary(results: DataFrame, folder: str) -> None:
     results.select("min_support", "frequent_itemsets_count", "rules_count").write.mode("overwrite").json(folder)
 
 
+def write_scalability(spark, rows: list[dict], path: str) -> None:
+    """The rows of plans.sweeps.scalability as JSON."""
+    spark.createDataFrame(rows, "sample_size long, max_items long, min_support double, itemsets long, seconds double, status string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_benchmark(results: DataFrame, config, orders: int, items: int, folder: str) -> None:
+    """A benchmark's folder: results as typed JSON rows, its configuration and size, and the summary of its runs."""
+    results.write.mode("overwrite").json(f"{folder}/benchmark_results.json")
+    about = results.sparkSession.createDataFrame([(json.dumps(asdict(config)), orders, items)], "config string, orders long, items long")
+    about.withColumn("written_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("overwrite").json(f"{folder}/metadata.json")
+    summary_rows(results).write.mode("overwrite").json(f"{folder}/summary.json")
+
+
+def preview(rows: DataFrame, n: int = 5) -> str:
+    """The first n rows as a text table, as a console shows them."""
+    shown = rows.limit(n).collect()
+    cells = [rows.columns, *[[", ".join(map(str, x)) if isinstance(x, list) else str(x) for x in r] for r in shown]]
+    width = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, width, strict=True)).rstrip() for r in cells)
+
+
 def append_json(rows: DataFrame, folder: str) -> None:
     rows.withColumn("written_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("append").json(folder)
 

@@ -1,5 +1,7 @@
 """The five-order demo, cross-checks between the miners, properties and edges."""
 
+import json
+import random
 from itertools import combinations
 
 import pytest
@@ -15,7 +17,9 @@ from cartloom.operators import distribute as D
 from cartloom.operators import encode as E
 from cartloom.operators import rules as A
 from cartloom.operators import support as U
+from cartloom.operators.running import numbered, running_sums
 from cartloom.plans import mine as M
+from cartloom.plans.benchmark import run_benchmark
 from cartloom.plans.sweeps import run_grid, scalability, timed
 from cartloom.sources import basket as B
 from cartloom.sources import sinks as K
@@ -189,7 +193,7 @@ def test_scalars(spark):
 def test_csv_config_sinks_and_cache(spark, tmp_path):
     (tmp_path / "products.csv").write_text("product_id,product_name\n1,x\n2,y\n")
     assert B.read_csv(spark, str(tmp_path / "products.csv"), S.PRODUCTS).count() == 2
-    (tmp_path / "config.json").write_text('{"sample_size": 5, "min_supports": [0.5], "other": 1}')
+    (tmp_path / "config.json").write_text('{"sample_size": 5, "min_supports": [0.5], "_comment": 1}')
     config = B.load_config(spark, str(tmp_path / "config.json"))
     assert (config.sample_size, config.min_supports, config.max_k) == (5, (0.5,), 5)
     results = spark.createDataFrame([(0.1, 3, 2), (0.2, 1, 0)], "min_support double, frequent_itemsets_count long, rules_count long")
@@ -235,3 +239,85 @@ def test_detailed_report(spark, tmp_path):
 def test_scalability(spark):
     got = scalability(spark, "/root/testdata/sf0.001", [(300, 10)], [0.1, 0.2])
     assert [r["status"] for r in got] == ["success", "success"] and got[0]["itemsets"] >= got[1]["itemsets"]
+
+
+def test_nested_config(spark, tmp_path):
+    document = {
+        "description": "x", "dataset": {"sample_size": 77, "max_items": 5, "chunk_size": 9, "random_seed": 3, "_comment": "y"},
+        "algorithms": {"traditional": {"enabled": False, "name": "t", "method": "m"}, "wdpa": {"enabled": True, "strategies": ["BL", "CWT"], "num_processors": [1, 2], "max_k": 4}, "naive_parallel": {"enabled": True, "num_workers": 8, "timeout": 60, "_warning": "z"}},
+        "mining_parameters": {"support_thresholds": [0.3], "min_confidence": 0.6, "min_lift": 1.2}, "output": {"results_directory": "r", "save_individual_results": True},
+    }
+    (tmp_path / "c.json").write_text(json.dumps(document))
+    c = B.load_config(spark, str(tmp_path / "c.json"))
+    assert (c.sample_size, c.max_items, c.chunk_size, c.seed, c.min_supports, c.min_confidence, c.min_lift, c.results_directory) == (77, 5, 9, 3, (0.3,), 0.6, 1.2, "r")
+    assert c.algorithms[1:] == (S.Algorithm("wdpa", True, ("BL", "CWT"), (1, 2), 4), S.Algorithm("naive_parallel", True, (), (8,), None, 60)) and not c.algorithms[0].enabled
+    for section, key in (("dataset", "size"), ("algorithms", "other"), ("mining_parameters", "support")):
+        with pytest.raises(ValueError, match=key):
+            B.parse_config(document | {section: document[section] | {key: {}}})
+    with pytest.raises(ValueError, match="extra"):
+        B.parse_config(document | {"extra": 1})
+
+
+def test_benchmark_run(spark, demo, tmp_path):
+    wdpa = S.Algorithm("wdpa", True, ("BL",), (2, 1, 4), 5)
+    config = S.MiningConfig(min_supports=(0.4,), algorithms=(S.Algorithm("traditional", True), S.Algorithm("naive_parallel", True, (), (3,)), wdpa, S.Algorithm("ye_parallel", True, (), (1, 2), 5)))
+    got = run_benchmark(spark, demo, config)
+    rows = got.collect()
+    assert [(r.algorithm, r.processors, r.status, r.baseline) for r in rows] == [
+        ("traditional", 1, "success", None), ("naive_parallel", 3, "success", "traditional"), ("wdpa", 2, "success", "traditional"), ("wdpa", 1, "success", "wdpa BL 1p"),
+        ("wdpa", 4, "success", "wdpa BL 1p"), ("ye_parallel", 1, "success", "traditional"), ("ye_parallel", 2, "success", "traditional"),
+    ]
+    assert [r.itemsets for r in rows[2:]] == [11] * 5 and all(0 < r.computation_time < r.total_time for r in rows[2:5])
+    assert rows[4].speedup == pytest.approx(rows[3].computation_time / rows[4].computation_time) and rows[4].efficiency == pytest.approx(rows[4].speedup / 4)
+    assert R.overhead(got.filter("algorithm = 'wdpa'")).filter("overhead_pct > 0").count() == 3
+    off = run_benchmark(spark, demo, S.MiningConfig(min_supports=(0.4,), algorithms=(S.Algorithm("wdpa"), S.Algorithm("ye_parallel", True, (), (2,), 5))))
+    assert [(r.algorithm, r.baseline) for r in off.collect()] == [("ye_parallel", None)]
+    K.write_benchmark(got, config, 5, 6, str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run/benchmark_results.json")).count() == 7
+    assert json.loads(spark.read.json(str(tmp_path / "run/metadata.json")).first().config)["min_supports"] == [0.4]
+    K.write_scalability(spark, [{"sample_size": 3, "max_items": 2, "min_support": 0.1, "itemsets": 4, "seconds": 0.5, "status": "success"}], str(tmp_path / "scal"))
+    assert spark.read.json(str(tmp_path / "scal")).first().itemsets == 4
+    assert B.read_results(spark, str(tmp_path / "run/benchmark_results.json/*.json")).count() >= 1
+
+
+def test_scaling_summary_and_preview(spark):
+    runs = spark.createDataFrame([(0.1, "wdpa", "CWT", 2, 120.0, 1.0, 5, "success"), (0.1, "wdpa", "CWT", 8, 60.0, 1.0, 5, "success"), (0.1, "wdpa", "CWT", 1, 1.0, 1.0, 0, "timeout")], S.RUNS)
+    lines = [r.value for r in R.scaling_summary(runs).orderBy("n").collect()]
+    assert len(lines) == 5 and lines[2].split() == ["2", "2.00", "1.00x", "50.0%"] and lines[3].split() == ["8", "1.00", "2.00x", "25.0%"] and lines[4] == "fastest: 8 processors, 1.00 minutes, 2.00x"
+    assert K.preview(spark.createDataFrame([([1, 2], 0.5), ([3], 1.0)], "itemset array<int>, support double"), 1) == "itemset  support\n1, 2     0.5"
+
+
+def test_running_sums_and_numbers_over_partitions(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 37 % 101).alias("w")).repartition(7)
+    got = running_sums(rows, [F.desc("w"), F.asc("id")], {"before": F.col("w"), "r": F.lit(1)}).collect()
+    total = 0
+    for i, r in enumerate(sorted(got, key=lambda r: (-r.w, r.id))):
+        assert (r.r, r.before) == (i, total)
+        total += r.w
+    assert [r.n for r in numbered(rows, [F.col("id")], "n").orderBy("id").collect()] == list(range(1000))
+    assert [r.n for r in numbered(rows, [F.col("id")], "n", 1000).orderBy("id").collect()] == list(range(1000))
+
+
+def test_block_by_weight_equals_a_fold(spark):
+    rng = random.Random(3)
+    for p, weights in ((3, [rng.randrange(50) for _ in range(60)]), (5, [0] * 7), (4, [100, 1, 1]), (6, [])):
+        rows = spark.createDataFrame([(i, [i], w) for i, w in enumerate(weights)], "idx long, cand array<long>, weight long")
+        used, proc, want = 0, 0, {}
+        for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
+            want[i] = proc
+            used += weights[i]
+            if used >= sum(weights) / p and proc < p - 1:
+                used, proc = 0, proc + 1
+        assert {r.idx: r.proc_id for r in D.block_by_weight(rows, p).collect()} == want
+
+
+def test_placed_support(spark, demo):
+    cands = spark.createDataFrame([(0, [1, 3], 0), (1, [3, 4], 1), (2, [1, 6], 0), (3, [6, 7], 1), (4, [1, 99], 1)], "idx long, cand array<long>, proc_id long")
+    got = {tuple(r.cand): r["count"] for r in U.placed_support(cands, E.tid_bitmaps(demo)).collect()}
+    assert got == {(1, 3): 3, (3, 4): 3, (1, 6): 1, (6, 7): 0, (1, 99): 0}
+
+
+def test_rules_of_too_large_itemsets_raise(spark):
+    big = spark.createDataFrame([(21, list(range(21)), 0.5)], "k int, itemset array<long>, support double")
+    with pytest.raises(Exception, match="21 items"):
+        A.association_rules(big).count()
