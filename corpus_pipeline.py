@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed training sequences, in five stages; each stage's rows are a table.
 
 quality rules -> line dedup -> near-duplicates -> pseudonyms -> packing. All stages but the last
-return the columns of documents; n_chars follows the text.
+return the columns of documents; n_chars follows the text. Null texts fail the quality rules; the other
+stages keep them, and rows without doc_id too. Repeated rows are copies. Further columns stay as they
+are, whatever their names. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -12,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.llm import line_dedup, minhash, packing, pii, quality
-from cartloom.llm.common import prepare, table, written
+from cartloom.llm.common import free_name, prepare, table, written
 from cartloom.llm.queries import pseudonym_key, tokenizer_file
 
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars counted anew where it is one."""
-    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +38,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the least doc_id. Rows without doc_id stay."""
     prepare(spark)
+    d, t, n, s, key = (free_name(docs.columns, x) for x in ("_d", "_t", "_n", "_s", "_th"))
     classes = written(minhash.near_duplicates(docs), "near-classes")
-    stay = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.count("*").alias("_n"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    kept = keyed.join(stay.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")))
+    stay = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias(d), F.col("th").alias(t)).agg(F.count("*").alias(n))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(stay.hint("shuffle_hash"), (F.col("doc_id") == F.col(d)) & (F.col(key) == F.col(t)))
     # Rows that share the doc_id of a class: one of them stays. These are few, if any, and are sorted alone.
-    several = written(stay.groupBy("_d").agg(F.sum("_n").alias("n")).filter("n > 1").select(F.col("_d").alias("_s")), "near-repeated")
+    several = written(stay.groupBy(d).agg(F.sum(n).alias("n")).filter("n > 1").select(F.col(d).alias(s)), "near-repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     unnamed = docs.filter("doc_id IS NULL")
     if several.isEmpty():
-        return kept.select(docs.columns).unionByName(unnamed)
-    own = F.col("doc_id") == F.col("_s")
+        return kept.select(columns).unionByName(unnamed)
+    own = F.col("doc_id") == F.col(s)
     single, repeated = kept.join(several, own, "left_anti"), kept.join(several, own, "left_semi").dropDuplicates(["doc_id"])
-    return single.select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(unnamed)
+    return single.select(columns).unionByName(repeated.select(columns)).unionByName(unnamed)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
