@@ -636,6 +636,33 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()
 
 
+CLASHES = ("_d", "_t", "_n", "_s", "_th", "_found", "_new", "_between", "_mask", "_kept", "n_found", "n_deleted", "node", "key", "class_id", "start")
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_edges(spark, edge, empty, at):
+    """Each stage on nulls, empty and long texts, ties, repeated rows and clashing names, and on no rows at all."""
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = edge.drop("node", "key")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(c))
+    path = scratch(spark, "stage-in")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    if name == "packing":
+        assert len(rows) >= docs.count()
+        assert stage(spark, empty, SF).count() == 0
+        return
+    assert got.columns == docs.columns and all(r[c] == c for r in rows for c in CLASHES)
+    ids = Counter(r.doc_id for r in rows)
+    want = {"quality rules": set(), "line dedup": {1, 2, 3, 4, 5, 6, None}, "near-duplicates": {1, 3, 4, 6, None}, "pseudonyms": {1, 2, 3, 4, 5, 6, None}}[name]
+    assert set(ids) >= want and (name != "quality rules" or not set(ids) & {1, 2, 3, 6})
+    assert (ids[5], ids[6]) == {"quality rules": (2, 0), "line dedup": (2, 2), "near-duplicates": (0, 2), "pseudonyms": (2, 2)}[name] or name == "near-duplicates" and ids[5] == 0
+    assert stage(spark, empty, SF).count() == 0 and stage(spark, empty, SF).columns == empty.columns
+
+
 def test_near_duplicate_stage_keeps_one(spark):
     text = " ".join(f"t{i}" for i in range(40))
     rows = docs_of(spark, [(3, text), (2, text), (2, text), (9, "other words here now again"), (None, text), (None, None)])
