@@ -22,6 +22,18 @@ def candidate_join(frequent: DataFrame, k: int) -> DataFrame:
     return a.join(b, (a["head"] == b["head"]) & (F.col("x") < F.col("y"))).select(F.concat("itemset", F.array("y")).alias("cand"))
 
 
+def difference_join(frequent: DataFrame, k: int) -> DataFrame:
+    """Candidates of k items, each once: unions of two frequent itemsets that differ in one item of each.
+
+    Such itemsets share one of their subsets of k - 2 items, so these are the keys of an equi-join. It
+    gives all that candidate_join does and others that the prune drops.
+    """
+    if k == 2:
+        return candidate_pairs(frequent)
+    keyed = lambda name: frequent.select(F.explode(subsets_without_one("itemset", k - 1)).alias("shared"), F.col("itemset").alias(name))
+    return keyed("a").join(keyed("b"), "shared").filter("a < b").select(F.array_sort(F.array_union("a", "b")).alias("cand")).distinct()
+
+
 def subsets_without_one(array: str, k: int):
     """The k subsets of k - 1 items, in order."""
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.filter(F.col(array), lambda _, j: j != i))

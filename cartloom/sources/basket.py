@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartloom import schema as S
+from cartloom.sources.shared import exists
 
 
 def read_csv(spark: SparkSession, path: str, kind) -> DataFrame:
@@ -57,9 +59,21 @@ def load_config(spark: SparkSession, path: str) -> S.MiningConfig:
 
 
 def read_results(spark: SparkSession, *paths: str) -> DataFrame:
-    """Result rows of runs from JSON files, with the file each came from; malformed rows are left out, missing files skipped."""
-    found = spark.read.schema(S.RUNS).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).option("multiLine", True).json(list(paths))
-    return found.withColumn("source_file", F.input_file_name())
+    """Result rows of runs from JSON files, with the file each came from: a file is an array of rows, or rows one after another.
+
+    Malformed rows are left out (an array that isn't well formed as a whole), and so are paths that don't exist.
+    """
+    kind, bad = T.StructType([*S.RUNS.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}
+    parts = [spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("source_file")) for path in paths if exists(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], S.RUNS).withColumn("source_file", F.lit(None).cast("string"))
+    files = union_chunks(*parts)
+    is_array = F.col("value").rlike(r"^\s*\[")
+    # no string of a JSON text has a line break in it, so rows are cut between } and {
+    rows = files.filter(~is_array).select("source_file", F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    single = rows.filter(F.length(F.trim("value")) > 0).select("source_file", F.from_json("value", kind, bad).alias("r"))
+    listed = files.filter(is_array).select("source_file", F.explode(F.from_json("value", T.ArrayType(kind), bad)).alias("r"))
+    return single.unionByName(listed).filter("r._bad IS NULL").select(*[f"r.{c}" for c in S.RUNS.names], "source_file")
 
 
 def _listing(spark: SparkSession, pattern: str) -> DataFrame:

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +40,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, or any of this pattern."""
+    try:
+        spark.read.text(path).schema  # noqa: B018  (resolves the path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder."""
     path = scratch(df.sparkSession, name)

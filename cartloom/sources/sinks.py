@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.metrics import summary_rows
+from cartloom.sources.shared import exists
 
 
 def write_analysis(results: DataFrame, folder: str, tag: str = "", suffix: str = "") -> str:
@@ -79,16 +80,14 @@ def index_key(spark, sample_size: int | None, max_items: int | None, seed: int,
 def cached_index(spark, root: str, key: str, build) -> DataFrame:
     """The index under a key; it is built and saved if it isn't there."""
     path = f"{root}/tid-{key}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/_SUCCESS"):
         save_index(build(), path)
     return read_index(spark, path)
 
 
 def next_run_folder(spark, root: str, sample_size: int) -> str:
     """The first unused name {root}/benchmark_{thousands}k_{number}."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     n = 1
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(name := f"{root}/benchmark_{sample_size // 1000}k_{n:03d}")):
+    while exists(spark, name := f"{root}/benchmark_{sample_size // 1000}k_{n:03d}"):
         n += 1
     return name

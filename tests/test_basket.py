@@ -277,7 +277,29 @@ def test_benchmark_run(spark, demo, tmp_path):
     assert json.loads(spark.read.json(str(tmp_path / "run/metadata.json")).first().config)["min_supports"] == [0.4]
     K.write_scalability(spark, [{"sample_size": 3, "max_items": 2, "min_support": 0.1, "itemsets": 4, "seconds": 0.5, "status": "success"}], str(tmp_path / "scal"))
     assert spark.read.json(str(tmp_path / "scal")).first().itemsets == 4
-    assert B.read_results(spark, str(tmp_path / "run/benchmark_results.json/*.json")).count() >= 1
+    assert B.read_results(spark, str(tmp_path / "run/benchmark_results.json/*.json")).count() == 7
+
+
+def test_results_of_any_layout(spark, tmp_path):
+    row = {"support": 0.1, "algorithm": "wdpa", "strategy": "BL }\n{ x", "processors": 2, "total_time": 1.5, "status": "success", "more": [1]}
+    (tmp_path / "pretty.json").write_text(json.dumps(row, indent=2))
+    (tmp_path / "array.json").write_text("\n " + json.dumps([row, row], indent=1))
+    (tmp_path / "rows.json").write_text("\n".join([json.dumps(row), '{"support": "much"}', json.dumps(row), '{"support": 0.1', ""]))
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "broken.json").write_text('[{"support": 0.1}, {"supp')
+    got = B.read_results(spark, str(tmp_path / "*.json"), str(tmp_path / "absent"), str(tmp_path / "absent*"))
+    assert sorted(r.source_file.rsplit("/", 1)[1] for r in got.collect()) == ["array.json", "array.json", "pretty.json", "rows.json", "rows.json"]
+    assert {(r.strategy, r.processors, r.itemsets) for r in got.collect()} == {("BL }\n{ x", 2, None)}
+    assert B.read_results(spark, str(tmp_path / "absent")).columns == got.columns
+    assert B.read_results(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_difference_join(spark):
+    frequent = spark.createDataFrame([([1, 2],), ([1, 3],), ([2, 3],), ([3, 4],)], "itemset array<long>")
+    got = {tuple(r.cand) for r in C.difference_join(frequent, 3).collect()}
+    assert got == {(1, 2, 3), (1, 3, 4), (2, 3, 4)} and C.difference_join(frequent, 3).count() == 3
+    pruned = lambda x: {tuple(r.cand) for r in C.prune(x, frequent, 3).collect()}
+    assert pruned(C.difference_join(frequent, 3)) == pruned(C.candidate_join(frequent, 3)) == {(1, 2, 3)}
 
 
 def test_scaling_summary_and_preview(spark):
