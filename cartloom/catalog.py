@@ -117,13 +117,13 @@ def basket_top_items(spark, sf):
 CHUNK, WANTED = 500, 2000
 
 
-@query(f"""WITH numbered AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // {CHUNK} chunk FROM lineitem),
+@query(f"""WITH numbered AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1) // {CHUNK} chunk FROM lineitem),
 kept AS (SELECT * FROM numbered WHERE l_quantity > 25), counts AS (SELECT chunk, count(*) n FROM kept GROUP BY 1),
 done AS (SELECT chunk, coalesce(sum(n) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM counts)
 SELECT l_orderkey order_id, l_linenumber line, l_partkey product_id FROM kept WHERE chunk IN (SELECT chunk FROM done WHERE before < {2 * WANTED})""")
 def early_stop_scan(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product_id"), "l_quantity")
-    return B.early_stop_scan(rows, ["order_id", "line"], F.col("l_quantity") > 25, CHUNK, WANTED).drop("l_quantity")
+    return B.early_stop_scan(rows, ["order_id", "line", "product_id", "l_quantity"], F.col("l_quantity") > 25, CHUNK, WANTED).drop("l_quantity")
 
 
 @query("SELECT p_name product_name, max(p_partkey) product_id, count(DISTINCT p_partkey) n_ids FROM part GROUP BY 1")

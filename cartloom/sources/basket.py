@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,23 +166,22 @@ def name_dictionary(products: DataFrame) -> DataFrame:
 def early_stop_scan(rows: DataFrame, order: list[str], keep: Column, chunk_size: int, sample_size: int | None) -> DataFrame:
     """The rows that a reader in chunks keeps that stops once it has 2 * sample_size filtered rows; whole chunks are kept.
 
-    order must be total. The row number is counted within range partitions and shifted by the rows
-    before, so no task sees all rows; only a row for each chunk is summed in one.
+    order must be total. The table is neither shuffled nor kept: three scans take the place of the last
+    row that is wanted (a top-n of the order columns alone), how many rows there are up to it, and
+    what its chunk holds behind it.
     """
-    kept_all = rows.filter(keep)
+    kept = rows.filter(keep)
     if sample_size is None:
-        return kept_all
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).join(F.broadcast(before), "_part")
-    chunked = numbered.withColumn("_chunk", F.floor((F.col("_base") + F.col("_i")) / chunk_size)).filter(keep)
-    counts = chunked.groupBy("_chunk").agg(F.count("*").alias("_n"))
-    done = F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = counts.withColumn("_done", done).filter(F.col("_done") < 2 * sample_size).select("_chunk")
-    return chunked.join(wanted, "_chunk", "left_semi").select(rows.columns)
+        return kept
+    place, wanted = F.struct(*order), 2 * sample_size
+    top = kept.select(place.alias("p")).orderBy("p").limit(wanted).agg(F.count("*").alias("n"), F.max("p").alias("p")).first()
+    if top.n < wanted:
+        return kept
+    if not wanted:
+        return rows.limit(0)
+    last = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, top.p, strict=True)])
+    behind = -rows.filter(place <= last).count() % chunk_size
+    return kept.filter(place <= last).unionByName(rows.filter(place > last).orderBy(*order).limit(behind).filter(keep))
 
 
 def union_chunks(*chunks: DataFrame) -> DataFrame:

@@ -173,6 +173,14 @@ def test_early_stop(spark):
     even = F.col("i") % 2 == 0
     assert B.early_stop_scan(rows, ["i"], even, 10, None).count() == 50
     assert sorted(r.i for r in B.early_stop_scan(rows, ["i"], even, 10, 4).collect()) == list(range(0, 20, 2))
+    assert sorted(r.i for r in B.early_stop_scan(rows, ["i"], even, 10, 5).collect()) == list(range(0, 20, 2))  # the last row of a chunk
+    assert B.early_stop_scan(rows, ["i"], even, 10, 0).count() == 0 and B.early_stop_scan(rows, ["i"], even, 10, 26).count() == 50
+    pairs = spark.createDataFrame([(i % 7 if i % 7 else None, i) for i in range(60)], "a long, i long")
+    by_hand = sorted(((r.a, r.i) for r in pairs.collect()), key=lambda x: (x[0] is not None, x))
+    for n in (1, 4, 9):
+        kept = [i for i, x in enumerate(by_hand) if x[1] % 2 == 0]
+        end = (kept[2 * n - 1] // 8 + 1) * 8
+        assert sorted((r.a or 0, r.i) for r in B.early_stop_scan(pairs, ["a", "i"], even, 8, n).collect()) == sorted((by_hand[i][0] or 0, by_hand[i][1]) for i in kept if i < end)
 
 
 def test_statistics(spark, demo):
