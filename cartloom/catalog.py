@@ -22,6 +22,7 @@ from cartloom.operators.running import numbered
 from cartloom.plans import mine as M
 from cartloom import schema as T
 from cartloom.sources import basket as B
+from cartloom.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,7 +259,7 @@ C3 = "c3 AS (SELECT a.i1, a.i2, b.i2 i3 FROM f2 a JOIN f2 b ON a.i1 = b.i1 AND a
 
 @query(f"WITH {pairs_sql('p_brand')}, {F2}, {C3} SELECT concat_ws(',', i1, i2, i3) itemset FROM c3")
 def candidate_prune(spark, sf):
-    f2 = _brand_f2(spark, sf).persist()
+    f2 = _brand_f2(spark, sf)
     return _text(C.prune(C.candidate_join(f2, 3), f2, 3), "cand")
 
 
@@ -350,7 +351,7 @@ size AS (SELECT count(*) m, sum(weight) w FROM cands)"""
 
 
 def _weighted(spark, sf):
-    f1 = M.frequent_items(_brand_pairs(spark, sf), BRAND).persist()
+    f1 = written(M.frequent_items(_brand_pairs(spark, sf), BRAND), "frequent-items")
     counts = f1.select(F.get("itemset", F.lit(0)).alias("item"), "count")
     return D.weighted(D.indexed(C.candidate_pairs(f1), counts), counts)
 
@@ -399,7 +400,7 @@ def worker_intersections(spark, sf):
 
 @query(f"{CANDS} SELECT idx, itemset, idx // greatest(1, m // {P}) chunk FROM cands, size")
 def chunk_candidates(spark, sf):
-    rows = _weighted(spark, sf).persist()
+    rows = written(_weighted(spark, sf), "weighted")
     return _text(D.chunked(rows.select("idx", "cand"), P, rows.count()), "cand")
 
 
@@ -424,8 +425,7 @@ FROM sides s JOIN fi a ON a.itemset = s.antecedent JOIN fi c ON c.itemset = s.co
 
 
 def _rules(spark, sf, metric="lift", least=0.0):
-    # the level loop's plan is read several times by the rules, so its rows are kept
-    return A.association_rules(frequent_itemsets_type_rows(spark, sf).persist(), metric, least)
+    return A.association_rules(frequent_itemsets_type_rows(spark, sf), metric, least)
 
 
 def _rule_text(df: DataFrame) -> DataFrame:

@@ -94,11 +94,10 @@ def support_folders(spark, sf):
 @query(f"SELECT 0.1::DOUBLE min_support, count(*) frequent_itemsets_count, sum((1::BIGINT << k) - 2)::BIGINT rules_count FROM ({TYPE_PAIRS})")
 def summary_json(spark, sf):
     """Numbers of itemsets and of all their rules."""
-    itemsets, folder = _types(spark, sf).persist(), scratch(spark, "summary")
+    itemsets, folder = _types(spark, sf), scratch(spark, "summary")
     rules = A.association_rules(itemsets, "lift", 0.0).agg(F.count("*").alias("rules_count"))
     counts = itemsets.agg(F.count("*").alias("frequent_itemsets_count"))
     K.write_summary(counts.crossJoin(rules).withColumn("min_support", F.lit(0.1)), folder)  # a row on each side
-    itemsets.unpersist()
     return spark.read.schema("min_support double, frequent_itemsets_count long, rules_count long").json(folder)
 
 
