@@ -144,6 +144,42 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in eight clusters after ten rounds."""
+    from cartloom.llm.kmeans import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means, a pair of tables for each round."""
+    parts = ["""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""
+c0 AS MATERIALIZED (
+  SELECT r - 1 AS c, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, q) AS r FROM kept) WHERE r <= {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, q, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS place FROM (
+      SELECT v.rid, v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM kept v, c{i} c))
+  WHERE place = 1)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.q, o.q) AS q FROM c{i} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q
+    FROM (SELECT c, j, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM a{i}) GROUP BY c, j)
+    GROUP BY c) n ON n.c = o.c)""")
+    return ",".join(parts) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_image_copies": op1_image_copies,
     "op2_token_files": op2_token_files,
@@ -155,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
+    "op13_elkan_clusters": op13_elkan_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op13_elkan_clusters": _op13_sql()}
