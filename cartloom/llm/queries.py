@@ -144,6 +144,35 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that a smaller doc_id has in a string of 50: how many go, in how many spans, and a digest of what stays."""
+    from cartloom.llm.suffix_dedup import drop_repeated_bytes
+
+    found = drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Texts as hexadecimal digits, two for a byte.
+OP12_SQL = """
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS MATERIALIZED (SELECT *, length(h) // 2 AS n FROM texts),
+windows AS MATERIALIZED (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM sized WHERE n >= 50)),
+least AS MATERIALIZED (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM windows JOIN least USING (w) WHERE doc_id > first),
+grouped AS (SELECT rid, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS g FROM hit),
+spans AS MATERIALIZED (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM grouped GROUP BY rid, g),
+gaps AS (
+  SELECT rid, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY rid ORDER BY a)
+  UNION ALL SELECT rid, max(b), NULL FROM spans GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM gaps JOIN sized USING (rid) GROUP BY rid),
+totals AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, s.h))) AS kept_sha256
+FROM sized s LEFT JOIN totals USING (rid) LEFT JOIN kept k USING (rid)
+"""
+
+
 def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in eight clusters after ten rounds."""
     from cartloom.llm.kmeans import clusters
@@ -191,7 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_elkan_clusters": op13_elkan_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op13_elkan_clusters": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op12_suffix_dedup": OP12_SQL, "op13_elkan_clusters": _op13_sql()}
