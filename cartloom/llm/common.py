@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cartloom.sources.shared import free_name, scratch, shared_root, written
 
-__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "joined_components", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
+__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "in_blocks", "joined_components", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
     """Python workers can import this package, and get rows in small batches, as texts can be long."""
@@ -75,6 +78,32 @@ def column(held: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([b.column(name) for b in held])
 
 
+def in_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """rows, of which n_bytes tells the size, as a table with two more columns: block, some megabytes of rows, and no, the place in it.
+
+    The table is bucketed by block and named cartloom_blocks_*; its files are in the shared folder. What
+    is grouped by block later meets the rows where they lie.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            blocks, numbers = [], []
+            for x in batch.column("n_bytes").to_pylist():
+                if n and size + x > block_bytes:
+                    block, n, size = block + 1, 0, 0
+                blocks.append(block)
+                numbers.append(n)
+                n, size = n + 1, size + x
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), *batch.columns], ["block", "no", *batch.schema.names])
+
+    spark = rows.sparkSession
+    kinds = StructType([StructField("block", LongType()), StructField("no", IntegerType()), *rows.schema.fields])
+    name, n = f"cartloom_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(run, kinds).write.format("parquet").option("path", scratch(spark, "text-blocks")).bucketBy(n, "block").sortBy("block").saveAsTable(name)
+    return spark.table(name)
+
+
 def bucket_links(buckets: DataFrame, key: str, node: str) -> DataFrame:
     """Pairs (a, b) of each node and the least node of each of its buckets, b < a, each pair once.
 

@@ -144,6 +144,40 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op11_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language of all documents."""
+    from cartloom.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, array_to_string(g, ' ') AS phrase, len(g) AS size, count(*)::BIGINT AS f
+  FROM (SELECT lang, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)))
+  GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[:k], ' ') AS left_, array_to_string(w[k + 1:], ' ') AS right_, w
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM grams WHERE size > 1)),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score, k
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = left_ JOIN grams y ON y.lang = c.lang AND y.phrase = right_),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS m FROM grams WHERE size > 2))
+  GROUP BY ALL),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that a smaller doc_id has in a string of 50: how many go, in how many spans, and a digest of what stays."""
     from cartloom.llm.suffix_dedup import drop_repeated_bytes
@@ -220,8 +254,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
+    "op11_pivot_phrases": op11_pivot_phrases,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_elkan_clusters": op13_elkan_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op12_suffix_dedup": OP12_SQL, "op13_elkan_clusters": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op11_pivot_phrases": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_elkan_clusters": _op13_sql()}

@@ -18,18 +18,16 @@ Texts that are equal as a whole are found by their digest: those behind the firs
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import scratch, written
+from cartloom.llm.common import in_blocks, written
 
 WINDOW, GRAM = 50, 24
 #: A suffix run has so many windows at most, so that a mask of them fits 32 bits.
@@ -49,28 +47,9 @@ _LOW = (1 << 40) - 1
 
 def text_blocks_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) as a table bucketed by block: block, no (place in the block), doc_id, n_bytes, digest, text (bytes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n, size = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            lengths = batch.column("n_bytes").to_pylist()
-            blocks, numbers = [], []
-            for x in lengths:
-                if n and size + x > block_bytes:
-                    block, n, size = block + 1, 0, 0
-                blocks.append(block)
-                numbers.append(n)
-                n, size = n + 1, size + x
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), *batch.columns], ["block", "no", *batch.schema.names])
-
-    spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("digest"), raw.alias("text"))
-    name = f"cartloom_blocks_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.mapInArrow(run, "block long, no int, doc_id long, n_bytes long, digest binary, text binary")
-    blocks.write.format("parquet").option("path", scratch(spark, "text-blocks")).bucketBy(n, "block").sortBy("block").saveAsTable(name)
-    return spark.table(name)
+    return in_blocks(rows, block_bytes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
