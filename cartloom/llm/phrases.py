@@ -27,9 +27,8 @@ BLOCK_BYTES = 8 << 20
 #: A pivot with more occurrences than this is split.
 PIVOT_ROWS = 200_000
 #: Fragments that are counted at a time; a pivot's part isn't cut.
-AT_ONCE = 400_000
+AT_ONCE = 150_000
 _SIDE = LONGEST - 1
-_RARE = np.iinfo(np.int64).max
 #: The byte that stands for the end of a piece; no word holds it.
 _END = b"."
 _PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
@@ -76,14 +75,20 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "lang", "text").mapInArrow(run, "block long, lang string, word binary, n long")
 
 
+def rare(kind: np.dtype) -> int:
+    """Stands for a rare word or an end among numbers of this type."""
+    return np.iinfo(kind).max
+
+
 def fragments(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From word numbers in order (_RARE: an end): distinct rewritten fragments, seven numbers with the pivot in the middle and -1 for blanks, and how often each is there."""
-    padded = np.concatenate([np.full(_SIDE, _RARE), ids, np.full(_SIDE, _RARE)])
+    """From word numbers in order (see rare): distinct rewritten fragments, seven numbers with the pivot in the middle and -1 for blanks, and how often each is there."""
+    end = rare(ids.dtype)
+    padded = np.concatenate([np.full(_SIDE, end, ids.dtype), ids, np.full(_SIDE, end, ids.dtype)])
     middle = padded[_SIDE : len(padded) - _SIDE]
-    rows = np.full((len(ids), 2 * _SIDE + 1), -1, np.int64)
+    rows = np.full((len(ids), 2 * _SIDE + 1), -1, ids.dtype)
     rows[:, _SIDE] = middle
     for side in (-1, 1):
-        on = middle != _RARE
+        on = middle != end
         for j in range(1, _SIDE + 1):
             other = padded[_SIDE + side * j : len(padded) - _SIDE + side * j]
             on = on & ((other < middle) if side < 0 else (other <= middle))
@@ -117,23 +122,23 @@ def _fragment_rows(texts: pa.Table, words: pa.Table) -> pa.Table:
     for lang, word, i, p in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "id", "parts")), strict=True):
         numbers.setdefault(lang, {})[word] = i
         parts[i] = p
+    kind = np.dtype(np.int32 if max(parts, default=0) < rare(np.dtype(np.int32)) else np.int64)
+    end = rare(kind)
     gathered = []
     for lang, text in zip(texts.column("lang").to_pylist(), texts.column("text").to_pylist(), strict=True):
         got = words_of(text)
         own = numbers.get(lang, {})
-        gathered.append(np.fromiter((own.get(w, _RARE) for w in got), np.int64, len(got)))
-        gathered.append(np.array([_RARE]))
-    rows, n = fragments(np.concatenate(gathered)) if gathered else (np.zeros((0, 7), np.int64), np.zeros(0, np.int64))
+        gathered.append(np.fromiter((own.get(w, end) for w in got), kind, len(got)))
+        gathered.append(np.array([end], kind))
+    rows, n = fragments(np.concatenate(gathered) if gathered else np.zeros(0, kind))
     pivot = rows[:, _SIDE]
     order = np.argsort(pivot, kind="stable")
-    pivot, data = pivot[order], np.column_stack([rows[order], n[order]])
+    pivot, data = pivot[order], np.column_stack([rows[order], n[order].astype(kind)])  # a block has fewer than 2**31 words
     new = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])) if len(pivot) else np.zeros(0, np.int64)
-    wide = len(data) and data.max() > np.iinfo(np.int32).max
-    flat, each = data.astype(np.int64 if wide else np.int32).tobytes(), data.shape[1] * (8 if wide else 4)
-    cuts = np.append(new, len(pivot)) * each
+    flat, cuts = data.tobytes(), np.append(new, len(pivot)) * data.shape[1] * kind.itemsize
     block = texts.column("block")[0].as_py() if texts.num_rows else 0
     part = [hash((block, p)) % parts[p] if parts[p] > 1 else 0 for p in pivot[new].tolist()]
-    return pa.table({"pivot": pa.array(pivot[new], pa.int64()), "part": pa.array(part, pa.int64()), "parts": pa.array([parts[p] for p in pivot[new].tolist()], pa.int64()), "wide": pa.array([bool(wide)] * len(new), pa.bool_()),
+    return pa.table({"pivot": pa.array(pivot[new], pa.int64()), "part": pa.array(part, pa.int64()), "parts": pa.array([parts[p] for p in pivot[new].tolist()], pa.int64()), "wide": pa.array([kind.itemsize == 8] * len(new), pa.bool_()),
                      "data": pa.array([flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
@@ -146,7 +151,7 @@ def owned_ngrams(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 continue
             part = rows[:, _SIDE - left : _SIDE + right + 1]
             there = np.flatnonzero((part[:, 0] >= 0) & (part[:, -1] >= 0))
-            grams = np.full((len(there), LONGEST), -1, np.int64)
+            grams = np.full((len(there), LONGEST), -1, rows.dtype)
             grams[:, : left + right + 1] = part[there]
             found.append(grams)
             counts.append(n[there])
@@ -161,18 +166,18 @@ def _mined(least: int):
         kinds = [np.int64 if w else np.int32 for w in rows.column("wide").to_pylist()]
         data = [np.frombuffer(x, t).reshape(-1, 2 * _SIDE + 2) for x, t in zip(raw, kinds, strict=True)]
         sizes = [len(x) for x in data]
-        all_rows = np.concatenate(data).astype(np.int64)
+        all_rows = np.concatenate(data)
         split = np.repeat(rows.column("parts").to_numpy() > 1, sizes)
         grams, total = [], []
         for which in (False, True):
             own = all_rows[split == which]
-            g, n = owned_ngrams(own[:, :-1], own[:, -1])
+            g, n = owned_ngrams(own[:, :-1], own[:, -1].astype(np.int64))
             keep = n >= (1 if which else least)
             grams.append(g[keep])
             total.append(n[keep])
         g, n = np.concatenate(grams), np.concatenate(total)
         size = (g >= 0).sum(1)
-        flat = pa.array(g[g >= 0], pa.int64())
+        flat = pa.array(g[g >= 0].astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat), pa.array(n, pa.int64())], ["ids", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
