@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.operators.candidates import item_pairs
 from cartloom.operators.running import numbered, running_sums
 from cartloom.sources.shared import written
 
@@ -27,14 +28,22 @@ def indexed(candidates: DataFrame, counts: DataFrame | None = None, many: int |
     return numbered(placed, [F.col("place")], "idx", many).select("idx", "cand")
 
 
+def weighted_pairs(counts: DataFrame, found: int) -> DataFrame:
+    """All pairs of the items of counts (item, count), of which there are found: cand, place (what indexed orders pairs by) and weight."""
+    one = lambda side: F.struct((-F.col(f"{side}.count")).alias("c"), F.col(f"{side}.item").alias("item"))
+    weight = F.col("a.count").cast("decimal(19,0)") * F.col("b.count").cast("decimal(19,0)")
+    return item_pairs(counts.select("item", "count"), found).select(F.array("a.item", "b.item").alias("cand"), F.array_sort(F.array(one("a"), one("b"))).alias("place"), weight.cast("long").alias("weight"))
+
+
 def weighted(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """weight: the sum over pairs of the candidate's items of the product of their counts; unknown items count 0.
 
-    ((sum c)**2 - sum c**2) / 2, exact in longs; single items weigh 0.
+    ((sum c)**2 - sum c**2) / 2, in decimals, as the squares of large counts have no room in a long; single items weigh 0.
     """
     each = candidates.select("idx", "cand", F.explode("cand").alias("item")).join(counts.select("item", F.col("count").alias("c")), "item", "left").na.fill(0, ["c"])
-    sums = each.groupBy("idx", "cand").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return sums.select("idx", "cand", F.expr("(s * s - q) div 2").alias("weight"))
+    wide = F.col("c").cast("decimal(18,0)")
+    sums = each.groupBy("idx", "cand").agg(F.sum("c").cast("decimal(19,0)").alias("s"), F.sum((wide * wide).cast("decimal(28,0)")).alias("q"))
+    return sums.select("idx", "cand", F.expr("cast((s * s - q) div 2 as long)").alias("weight"))
 
 
 def block(candidates: DataFrame, p: int, n: int) -> DataFrame:
@@ -111,6 +120,6 @@ def ceil_chunked(rows: DataFrame, p: int, n: int) -> DataFrame:
     return rows.withColumn("chunk", F.expr(f"idx div {max(1, -(-n // p))}"))
 
 
-def runs_parallel(candidates: int, p: int) -> bool:
-    """Whether a level is worth p processors."""
+def worth(candidates: int, p: int) -> bool:
+    """Whether a level has a hundred candidates for each of p processors; smaller ones are one processor's."""
     return p > 1 and candidates >= 100 * p

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartloom import schema as S
 from cartloom.functions.metrics import memory_admission
 from cartloom.operators import encode as E
-from cartloom.plans.mine import PRESETS, mine, mine_fpgrowth
+from cartloom.plans.mine import PRESETS, Work, mine, mine_fpgrowth
 from cartloom.plans.sweeps import timed
 
 DEFAULT = (S.Algorithm("wdpa", True, ("BL", "CL", "BWT", "CWT"), (1, 2, 4, 8, 16), 5),)
@@ -17,8 +17,8 @@ def run_benchmark(spark: SparkSession, pairs: DataFrame, config: S.MiningConfig)
     """Rows of schema.BENCHMARK for pairs (order_id, item), a row for each run, in the order of supports and miners.
 
     A dense miner whose memory isn't admitted is not run; its row has that status. A run's total time
-    is its wall clock, its computation time that of counting candidates (the total for miners without
-    levels of their own). A speedup is measured against the same strategy on one processor by
+    is its wall clock, its computation time that of its levels from 2 on, candidates and counts (the total for
+    miners without levels of their own); candidates and intersections are the levels' own counters. A speedup is measured against the same strategy on one processor by
     computation time, else against the traditional miner, else the naive one, whichever succeeded.
     """
     algorithms = {a.name: a for a in config.algorithms or DEFAULT if a.enabled}
@@ -27,11 +27,12 @@ def run_benchmark(spark: SparkSession, pairs: DataFrame, config: S.MiningConfig)
     for support in config.min_supports:
         general: tuple[str, float] | None = None
 
-        def add(name: str, strategy: str | None, p: int, job, gate: str = "success", timeout: float | None = None, times: dict | None = None, base: tuple[str, float] | None = None, support=support) -> tuple:
+        def add(name: str, strategy: str | None, p: int, job, gate: str = "success", timeout: float | None = None, work: dict | None = None, base: tuple[str, float] | None = None, support=support) -> tuple:
             status, seconds, n = timed(spark, job, timeout) if gate == "success" else (gate, 0.0, 0)
-            computation = sum(times.values()) if times else seconds
+            computation = sum(w.seconds for w in work.values()) if work else seconds
             speedup = base[1] / computation if base and status == "success" and computation > 0 else None
-            rows.append((float(support), name, strategy, p, seconds, computation, n, status, base[0] if speedup else None, speedup, speedup / p if speedup else None))
+            counters = (sum(w.candidates for w in work.values()), sum(w.intersections for w in work.values())) if work else (None, None)
+            rows.append((float(support), name, strategy, p, seconds, computation, n, status, base[0] if speedup else None, speedup, speedup / p if speedup else None, *counters))
             return status, seconds, computation
 
         if a := algorithms.get("traditional"):
@@ -45,13 +46,13 @@ def run_benchmark(spark: SparkSession, pairs: DataFrame, config: S.MiningConfig)
             for strategy in a.strategies:
                 own = None
                 for p in a.processors:
-                    times: dict[int, float] = {}
-                    job = lambda s=support, strategy=strategy, p=p, times=times, k=a.max_k: mine(pairs, s, max_k=k, counting="bitmap", strategy=strategy, processors=p, times=times).count()
+                    work: dict[int, Work] = {}
+                    job = lambda s=support, strategy=strategy, p=p, work=work, k=a.max_k: mine(pairs, s, max_k=k, counting="bitmap", strategy=strategy, processors=p, work=work).count()
                     base = own or (general if p > 1 else None)
-                    status, _, computation = add("wdpa", strategy, p, job, timeout=a.timeout, times=times, base=base)
+                    status, _, computation = add("wdpa", strategy, p, job, timeout=a.timeout, work=work, base=base)
                     if p == 1 and status == "success":
                         own = (f"wdpa {strategy} 1p", computation)
-                        rows[-1] = (*rows[-1][:8], own[0], 1.0, 1.0)
+                        rows[-1] = (*rows[-1][:8], own[0], 1.0, 1.0, *rows[-1][11:])
         if a := algorithms.get("ye_parallel"):
             for p in a.processors:
                 add("ye_parallel", None, p, lambda s=support, k=a.max_k: mine(pairs, s, **(PRESETS["ye"] | {"max_k": k})).count(), timeout=a.timeout, base=general)

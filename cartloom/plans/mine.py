@@ -8,6 +8,7 @@ shuffle by order; only candidates and counts, combined before the shuffle, move.
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -19,26 +20,47 @@ from cartloom.operators import candidates as C
 from cartloom.operators import distribute as D
 from cartloom.operators import encode as E
 from cartloom.operators import support as S
-from cartloom.sources.shared import written
+from cartloom.operators.running import numbered
+from cartloom.sources.shared import observed, written
 
 PRESETS = {
-    "tid": {"threshold": "floor", "max_k": 10, "counting": "extension"},
+    "tid": {"threshold": "floor", "max_k": 10, "counting": "bitmap", "strategy": "BL", "processors": 1},
     "wdpa": {"threshold": "floor", "max_k": 5, "counting": "bitmap"},
-    "naive": {"threshold": "fraction", "max_k": None, "counting": "extension"},
+    "naive": {"threshold": "fraction", "max_k": None, "counting": "matrix"},
     "ye": {"threshold": "floor_min1", "max_k": 5, "counting": "containment"},
 }
+COUNTING = ("extension", "containment", "bitmap", "matrix")
 
 
-def _keep(df: DataFrame) -> tuple[DataFrame, int]:
-    """df as a table, and its rows: a level's plan would hold those of all levels before it, several times."""
-    df = written(df, "level")
-    return df, df.count()
+@dataclass
+class Work:
+    """What a level took: its candidates (none are listed where all pairs are counted at once), the ANDs of bitmaps, its frequent itemsets, and the seconds from its first candidate to its last count."""
+
+    candidates: int
+    intersections: int
+    frequent: int
+    seconds: float
 
 
 def _level(k: int, counted: DataFrame, n: int) -> DataFrame:
     return counted.select(F.lit(k).alias("k"), "itemset", F.col("count").cast("long"), (F.col("count") / F.lit(float(n))).alias("support"))
 
 
+def _frequent(k: int, counted: DataFrame, n: int, least: int) -> tuple[DataFrame, int, int]:
+    """The frequent ones of (cand, count) as a table, their number, and the ANDs, from one job. A row without cand has ANDs as its count."""
+    real = F.col("cand").isNotNull()
+    good = real & (F.col("count") >= least)
+    zero = F.lit(0).cast("long")
+    rows, seen = observed(counted, "level", {"found": F.sum(F.when(good, 1).otherwise(zero)), "work": F.sum(F.when(real, zero).otherwise(F.col("count")))}, good)
+    return _level(k, rows.withColumnRenamed("cand", "itemset"), n), seen["found"] or 0, seen["work"] or 0
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df as a table, and its rows, from one job."""
+    df, seen = observed(df, name, {"n": F.count(F.lit(1))})
+    return df, seen["n"]
+
+
 def frequent_items(pairs: DataFrame, min_support: float, threshold: str = "floor", n: int | None = None, strict: bool = False) -> DataFrame:
     """Level 1: k, itemset of one item, count, support."""
     n = E.count_orders(pairs) if n is None else n
@@ -49,69 +71,99 @@ def frequent_items(pairs: DataFrame, min_support: float, threshold: str = "floor
 
 def mine(
     pairs: DataFrame, min_support: float, threshold: str = "floor", max_k: int | None = None, counting: str = "extension",
-    strategy: str = "CWT", processors: int = 4, strict: bool = False, times: dict[int, float] | None = None,
+    strategy: str = "CWT", processors: int = 4, strict: bool = False, work: dict[int, Work] | None = None,
 ) -> DataFrame:
     """Frequent itemsets of rows (order_id, item): k, itemset (sorted), count, support. Repeated rows count once.
 
-    counting: extension (of occurrences), containment (candidates offered to transactions) or bitmap
-    (candidates dealt to processors by strategy, bitmaps ANDed). All give the same rows. No orders, or
-    no frequent item, give no rows. strict keeps a floor of 0, at which candidates that no order
-    holds are frequent too; it needs the bitmap counting. times is filled with the seconds that the
-    candidates of each level took to be counted, for levels from 2 on that have any frequent itemset.
+    counting: extension (of occurrences), containment (transactions walk a trie of candidates), bitmap (candidates
+    dealt to processors by strategy, prefixes of them ANDed once) or matrix (pairs by products of blocks of the one-hot
+    matrix, larger ones in contiguous chunks by bitmaps). All give the same rows. No orders, or no frequent item, give no rows.
+    strict keeps a floor of 0, at which candidates that no order holds are frequent too; it needs the bitmap
+    counting. work is filled with a Work for each level from 2 on that has any frequent itemset.
     """
-    if counting not in ("extension", "containment", "bitmap"):
+    if counting not in COUNTING:
         raise ValueError(f"unknown counting {counting}")
     if strategy not in D.STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strict and counting != "bitmap":
         raise ValueError("strict needs the bitmap counting")
-    whole = E.transactions(pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = []
+    try:
+        return _mine(pairs, min_support, threshold, max_k, counting, strategy, processors, strict, {} if work is None else work, held)
+    finally:  # also of a run that was cancelled
+        for df in held:
+            df.unpersist()
+
+
+def _mine(pairs, min_support, threshold, max_k, counting, strategy, processors, strict, work, held) -> DataFrame:
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def bitmaps_of(each: DataFrame, level: DataFrame, found: int) -> tuple[DataFrame, S.BitmapSize]:
+        frequent = S.near(level.select(F.get("itemset", F.lit(0)).alias("item")), found)
+        data = keep(E.tid_bitmaps(each.join(frequent, "item", "left_semi")))
+        return data, S.bitmap_size(data)
+
+    whole = keep(E.transactions(pairs))
     n, each = whole.count(), whole.select("order_id", F.explode("items").alias("item"))
     least = S.min_count(min_support, n, threshold, strict)
-    level, found = _keep(frequent_items(each, min_support, threshold, n, strict))
-    levels, k, held = [level], 1, [whole]
-    if counting == "bitmap":
-        data = E.tid_bitmaps(each).persist(StorageLevel.MEMORY_AND_DISK)
+    level, found = _counted(frequent_items(each, min_support, threshold, n, strict), "level")
+    levels, k = [level], 1
+    if not found or max_k == 1:
+        return level
+    if counting in ("bitmap", "matrix"):
+        data, size = bitmaps_of(each, level, found)
         counts = level.select(F.get("itemset", F.lit(0)).alias("item"), "count")
     else:
         # whole is already dealt by order, so the regrouping of the frequent items doesn't shuffle
         kept = each.join(S.near(level.select(F.get("itemset", F.lit(0)).alias("item")), found), "item", "left_semi")
-        data = E.transactions(kept).persist(StorageLevel.MEMORY_AND_DISK)
+        data = keep(E.transactions(kept))
         occurrences = data.select(F.posexplode("items").alias("i", "x"), "items").select(F.array("x").alias("itemset"), F.slice("items", F.col("i") + 2, F.size("items")).alias("rest"))
-    held.append(data)
     while found and (max_k is None or k < max_k):
         k += 1
-        if counting == "extension" and k == 2:
-            cands, many = None, 0  # all pairs that an order holds are of frequent items; others need no count
+        began = time.perf_counter()
+        if k == 2 and counting in ("extension", "matrix"):
+            cands, many = None, 0  # all pairs that an order holds are counted
+        elif k == 2 and counting == "bitmap":
+            cands, many = _counted(D.weighted_pairs(counts, found), "candidates")
+            if not many:
+                break
         else:
-            cands, many = _keep(C.next_candidates(level, k))
+            cands, many = _counted(C.next_candidates(level, k, found), "candidates")
             if not many:
                 break
         if counting == "bitmap":
-            numbered = D.weighted(D.indexed(cands, counts if k == 2 else None, many), counts)
-            if D.runs_parallel(many, processors):
-                dealt = written(D.distribute(numbered, strategy, processors, many), "dealt")
+            p = processors if D.worth(many, processors) else 1
+            if p > 1:
+                weights = numbered(cands, [F.col("place")], "idx", many).drop("place") if k == 2 else D.weighted(D.indexed(cands, None, many), counts)
+                dealt = D.distribute(weights, strategy, p, many)
+                dealt = written(dealt, "dealt") if many > S.BROADCAST_CANDIDATES else dealt
             else:  # a level that isn't worth the processors is one processor's
-                dealt = numbered.withColumn("proc_id", F.lit(0).cast("long"))
-            counted = S.placed_support(dealt, data).withColumnRenamed("cand", "itemset")
+                dealt = cands.select("cand").withColumn("proc_id", F.lit(0).cast("long"))
+            counted = S.placed_counts(dealt, data, p, many, size).select("cand", "count")
+            if least == 0:
+                zeros = cands.join(counted.filter("cand IS NOT NULL"), "cand", "left").select("cand", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+                counted = zeros.unionByName(counted.filter("cand IS NULL"))
+        elif counting == "matrix" and k == 2:
+            counted = S.matrix_pairs(data, counts.select("item"), found, size)
+        elif counting == "matrix":
+            chunks = max(1, min(processors, many))
+            dealt = D.chunked(D.indexed(cands, None, many), chunks, many).withColumnRenamed("chunk", "proc_id")
+            counted = S.placed_counts(dealt, data, chunks, many, size).select("cand", "count")
         elif counting == "containment":
-            counted = S.containment_support(S.near(cands, many), data).withColumnRenamed("cand", "itemset")
+            counted = S.containment_support(cands, data, many)
         else:
             grown = occurrences.filter(F.size("rest") > 0).select("itemset", "rest", F.posexplode("rest").alias("i", "x"))
             grown = grown.select(F.concat("itemset", F.array("x")).alias("itemset"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"))
             if cands is not None:
                 grown = grown.join(S.near(cands.withColumnRenamed("cand", "itemset"), many), "itemset", "left_semi")
-            occurrences = grown.persist(StorageLevel.MEMORY_AND_DISK)
-            counted = occurrences.groupBy("itemset").agg(F.count("*").alias("count"))
-        began = time.perf_counter()
-        level, found = _keep(_level(k, counted.filter(F.col("count") >= least), max(n, 1)))
-        if times is not None and found:
-            times[k] = time.perf_counter() - began
+            occurrences = keep(grown)
+            counted = occurrences.groupBy(F.col("itemset").alias("cand")).agg(F.count("*").alias("count"))
+        level, found, ands = _frequent(k, counted, max(n, 1), least)
+        if found:
+            work[k] = Work(many, ands, found, time.perf_counter() - began)
         levels.append(level)
-        if counting == "extension":
-            held.append(occurrences)
-    for df in held:
-        df.unpersist()
     return reduce(DataFrame.unionByName, levels)
 
 

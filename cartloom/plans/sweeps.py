@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartloom import schema as S
-from cartloom.plans.mine import mine
+from cartloom.plans.mine import Work, mine
 from cartloom.sources import basket as B
 
 
@@ -45,9 +45,9 @@ def run_grid(spark: SparkSession, pairs: DataFrame, supports: Iterable[float], s
     for s in supports:
         for strategy in strategies:
             for p in processors:
-                times: dict[int, float] = {}
-                status, seconds, n = timed(spark, lambda s=s, strategy=strategy, p=p, times=times: mine(pairs, s, max_k=max_k, counting="bitmap", strategy=strategy, processors=p, times=times).count(), timeout)
-                rows.append((float(s), "wdpa", strategy, p, seconds, sum(times.values()), n, status))
+                work: dict[int, Work] = {}
+                status, seconds, n = timed(spark, lambda s=s, strategy=strategy, p=p, work=work: mine(pairs, s, max_k=max_k, counting="bitmap", strategy=strategy, processors=p, work=work).count(), timeout)
+                rows.append((float(s), "wdpa", strategy, p, seconds, sum(w.seconds for w in work.values()), n, status))
     return spark.createDataFrame(rows, S.RUNS)
 
 

@@ -22,8 +22,9 @@ RUNS = _struct(
     support=T.DoubleType(), algorithm=STRING, strategy=STRING, processors=T.IntegerType(),
     total_time=T.DoubleType(), computation_time=T.DoubleType(), itemsets=LONG, status=STRING,
 )
-#: Rows of a benchmark: runs with what their speedup is measured against; null where there is nothing.
-BENCHMARK = T.StructType([*RUNS.fields, *_struct(baseline=STRING, speedup=T.DoubleType(), efficiency=T.DoubleType()).fields])
+#: Rows of a benchmark: runs with what their speedup is measured against, and the candidates and ANDs of their levels; null where there is nothing.
+#: baseline names the run and so the time: "wdpa S 1p" is a computation time, the others are total times.
+BENCHMARK = T.StructType([*RUNS.fields, *_struct(baseline=STRING, speedup=T.DoubleType(), efficiency=T.DoubleType(), candidates=LONG, intersections=LONG).fields])
 
 
 @dataclass(frozen=True)

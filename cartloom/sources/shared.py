@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 #: The folders that were made where no shared one is set, by application.
@@ -29,6 +31,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers can import this package."""
+    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, or the first of name_1, name_2, ... that no column has; case doesn't tell names apart."""
     used = {x.lower() for x in taken}
@@ -56,3 +65,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, metrics: dict[str, Column], keep: Column | None = None) -> tuple[DataFrame, dict]:
+    """df as a table, without the rows that keep rules out, and the metrics of all its rows, from the job that writes it."""
+    watch = Observation()
+    rows = df.observe(watch, *[x.alias(n) for n, x in metrics.items()])
+    table = written(rows if keep is None else rows.filter(keep), name)
+    return table, watch.get
