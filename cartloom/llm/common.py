@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs
@@ -14,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from cartloom.sources.shared import free_name, scratch, shared_root, written
+from cartloom.sources.shared import free_name, importable, scratch, shared_root, written
 
-__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "in_blocks", "joined_components", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
+__all__ = ["bucket_links", "column", "components", "file_system", "free_name", "importable", "in_blocks", "joined_components", "prepare", "scratch", "shared_root", "table", "text_blocks", "texts", "written"]
 
 def prepare(spark: SparkSession) -> None:
-    """Python workers can import this package, and get rows in small batches, as texts can be long."""
-    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Python workers can import this package, and get rows in small batches, as texts can be long, unless the session has a size of its own."""
+    importable(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):  # unset, or the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
