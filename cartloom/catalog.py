@@ -410,12 +410,6 @@ def chunk_transactions(spark, sf):
     return D.ceil_chunked(numbered(orders, [F.col("order_id")], "idx"), P, orders.count()).groupBy("chunk").agg(F.count("*").alias("transactions"))
 
 
-@query(f"SELECT idx, proc_id, proc_id::INT AS partition, true AS in_place FROM ({ASSIGNED['CWT']})")
-def physical_placement(spark, sf):
-    dealt = D.placed(D.distribute(_weighted(spark, sf), "CWT", P), P)
-    return dealt.select("idx", "proc_id", F.spark_partition_id().alias("partition"), (F.spark_partition_id() == F.col("proc_id")).alias("in_place"))
-
-
 # Rules ----------------------------------------------------------------------------------------------
 RULES = f"""WITH fi AS ({mine_sql("p_type", 0.1, 5)}), sets AS (SELECT *, string_split(itemset, ',') items FROM fi),
 splits AS (SELECT s.*, unnest(range(1, (1::BIGINT << k) - 1)) m FROM sets s WHERE k >= 2),
@@ -452,13 +446,47 @@ def rules_by_confidence(spark, sf):
     return _rule_text(_rules(spark, sf, "confidence", 0.5))
 
 
-# Reports over the published runs --------------------------------------------------------------------
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::INT"
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names}))"
+# Reports over a log of runs ---------------------------------------------------------------------------
+#: The lines are read as a log: each is a measurement of a run, whose parameters its numbers tell; a run's times are
+#: whole hundredths, so both engines have the same doubles.
+LOG_SUPPORTS, LOG_STRATEGIES, LOG_PROCESSORS = (0.001, 0.0015, 0.002, 0.003), ("BL", "CL", "BWT", "CWT"), (1, 2, 4, 8, 16)
+
+
+def _pick_sql(values: tuple, number: str, kind: str) -> str:
+    return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v!r}{kind}" for i, v in enumerate(values)) + " END"
+
+
+def log_sql(where: str = "true") -> str:
+    return f"""(SELECT support, strategy, processors, computation_time, computation_time + extra AS total_time FROM (
+  SELECT {_pick_sql(LOG_SUPPORTS, "l_suppkey", "::DOUBLE")} AS support, {_pick_sql(LOG_STRATEGIES, "l_partkey", "")} AS strategy, {_pick_sql(LOG_PROCESSORS, "l_orderkey", "::INT")} AS processors,
+    ((sum(round(l_extendedprice * 100)::BIGINT)::BIGINT // count(*)) % 50000 + 100) / 100.0::DOUBLE AS computation_time, (sum(l_quantity::BIGINT)::BIGINT // count(*))::DOUBLE AS extra
+  FROM lineitem WHERE {where} GROUP BY ALL))"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet")
+
+
+def run_log(lines: DataFrame, *more: str) -> DataFrame:
+    """support, strategy, processors, computation_time and total_time of the runs of a log, and of each of further columns."""
+
+    def pick(values: tuple, number: str):
+        return F.element_at(F.array(*map(F.lit, values)), (F.col(number) % len(values) + 1).cast("int"))
+
+    keyed = lines.select(
+        *more, pick(LOG_SUPPORTS, "l_suppkey").alias("support"), pick(LOG_STRATEGIES, "l_partkey").alias("strategy"), pick(LOG_PROCESSORS, "l_orderkey").alias("processors"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("quantity"),
+    )
+    sums = keyed.groupBy(*more, "support", "strategy", "processors").agg(F.sum("cents").alias("c"), F.sum("quantity").alias("q"), F.count("*").alias("n"))
+    time = F.expr("((c div n) % 50000 + 100) / 100.0D")
+    return sums.select(*more, "support", "strategy", "processors", time.alias("computation_time"), (time + F.expr("cast(q div n as double)")).alias("total_time"))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_log(_lines(spark, sf))
 
 
-RUNS = _values(R.published_rows(), "support, strategy, processors, computation_time, total_time")
+RUNS = log_sql()
 BASED = f"runs AS {RUNS}, based AS (SELECT r.*, b.computation_time base FROM runs r LEFT JOIN runs b ON b.support = r.support AND b.strategy = r.strategy AND b.processors = 1)"
 
 
@@ -469,12 +497,12 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query(f"""WITH {BASED} SELECT support, strategy, processors, base baseline_time, computation_time parallel_time, round(base / computation_time, 6) speedup, round(base / computation_time / processors, 6) efficiency,
 round(base - computation_time, 6) time_saved, round((base - computation_time) / base * 100, 6) percent_faster FROM based""")
 def speedup_metrics(spark, sf):
-    return _rounded(R.speedup_metrics(R.published_runs(spark)))
+    return _rounded(R.speedup_metrics(_runs(spark, sf)))
 
 
 @query(f"WITH {BASED} SELECT support, strategy, processors, round(greatest(0, (total_time - computation_time) / total_time * 100), 4) overhead_pct FROM based")
 def overhead_pct(spark, sf):
-    return _rounded(R.overhead(R.published_runs(spark)), 4)
+    return _rounded(R.overhead(_runs(spark, sf)), 4)
 
 
 def _table(value: str, average: bool = False) -> str:
@@ -484,31 +512,31 @@ def _table(value: str, average: bool = False) -> str:
 
 @query(_table("computation_time"))
 def time_table(spark, sf):
-    return _rounded(R.by_processors(R.published_runs(spark), "computation_time", list(R.PROCESSORS)), 4)
+    return _rounded(R.by_processors(_runs(spark, sf), "computation_time", list(R.PROCESSORS)), 4)
 
 
 @query(_table("base / computation_time"))
 def speedup_table(spark, sf):
-    return _rounded(R.by_processors(R.speedup_metrics(R.published_runs(spark)), "speedup", list(R.PROCESSORS)), 4)
+    return _rounded(R.by_processors(R.speedup_metrics(_runs(spark, sf)), "speedup", list(R.PROCESSORS)), 4)
 
 
 @query(_table("base / computation_time / processors * 100", True))
 def efficiency_table(spark, sf):
-    m = R.speedup_metrics(R.published_runs(spark)).withColumn("e", F.col("efficiency") * 100)
+    m = R.speedup_metrics(_runs(spark, sf)).withColumn("e", F.col("efficiency") * 100)
     return _rounded(R.by_processors(m, "e", list(R.PROCESSORS), True), 4)
 
 
 @query(_table("greatest(0, (total_time - computation_time) / total_time * 100)"))
 def overhead_table(spark, sf):
-    return _rounded(R.by_processors(R.overhead(R.published_runs(spark)), "overhead_pct", list(R.PROCESSORS)), 4)
+    return _rounded(R.by_processors(R.overhead(_runs(spark, sf)), "overhead_pct", list(R.PROCESSORS)), 4)
 
 
-LEVEL_ROWS = _values([(s, k + 1, n) for s, ns in R.LEVELS.items() for k, n in enumerate(ns)], "support, k, itemsets")
+LEVEL_ROWS = " UNION ALL ".join(f"SELECT {s}::DOUBLE AS support, k, count(*) AS itemsets FROM ({mine_sql('p_type', s, 5)}) GROUP BY k" for s in SWEEP)
 
 
-@query(f"SELECT support, sum(itemsets)::BIGINT total, max(CASE WHEN itemsets > 0 THEN k END) max_k, {', '.join(f'max(CASE WHEN k = {k} THEN itemsets END)::BIGINT l{k}' for k in range(1, 5))} FROM {LEVEL_ROWS} GROUP BY 1")
+@query(f"SELECT support, sum(itemsets)::BIGINT total, max(CASE WHEN itemsets > 0 THEN k END) max_k, {', '.join(f'max(CASE WHEN k = {k} THEN itemsets END)::BIGINT l{k}' for k in range(1, 5))} FROM ({LEVEL_ROWS}) GROUP BY 1")
 def levels_table(spark, sf):
-    rows = R.published_levels(spark)
+    rows = M.support_sweep(_type_pairs(spark, sf), list(SWEEP)).groupBy(F.col("min_support").alias("support"), "k").agg(F.count("*").alias("itemsets"))
     return rows.groupBy("support").agg(
         F.sum("itemsets").alias("total"), F.max(F.when(F.col("itemsets") > 0, F.col("k"))).alias("max_k"), *[F.max(F.when(F.col("k") == k, F.col("itemsets"))).alias(f"l{k}") for k in range(1, 5)]
     )
@@ -517,65 +545,74 @@ def levels_table(spark, sf):
 @query(f"""WITH {BASED}, m AS (SELECT strategy, base / computation_time speedup, base / computation_time / processors efficiency FROM based)
 SELECT strategy, round(avg(speedup), 6) avg_speedup, round(min(speedup), 6) min_speedup, round(max(speedup), 6) max_speedup, round(avg(efficiency), 6) avg_efficiency, round(min(efficiency), 6) min_efficiency, round(max(efficiency), 6) max_efficiency FROM m GROUP BY 1""")
 def strategy_averages(spark, sf):
-    return _rounded(R.strategy_averages(R.published_runs(spark)))
+    return _rounded(R.strategy_averages(_runs(spark, sf)))
 
 
 @query(f"WITH runs AS {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY support ORDER BY computation_time, list_position(['BL', 'CL', 'BWT', 'CWT'], strategy)) x FROM runs WHERE processors = 16) SELECT support, strategy, computation_time FROM r WHERE x = 1")
 def best_config(spark, sf):
-    return R.best_config(R.published_runs(spark))
+    return R.best_config(_runs(spark, sf))
 
 
 @query(f"WITH runs AS {RUNS}, m AS (SELECT strategy, processors, avg(computation_time) mean_time FROM runs GROUP BY 1, 2) SELECT m.strategy, m.processors, round(m.mean_time, 6) mean_time, round(b.mean_time / m.mean_time, 6) speedup FROM m JOIN m b ON b.strategy = m.strategy AND b.processors = 1")
 def speedup_of_means(spark, sf):
-    return _rounded(R.speedup_of_means(R.published_runs(spark)))
+    return _rounded(R.speedup_of_means(_runs(spark, sf)))
 
 
-NAIVE = _values(list(R.NAIVE_TIMES.items()), "support, total_time")
+NAIVE = f"(SELECT support, max(total_time) * 16 AS total_time FROM {RUNS} GROUP BY 1)"
 
 
 @query(f"SELECT round(a, 6) wdpa_avg, round(b, 6) naive_avg, round(b / a, 6) ratio FROM (SELECT avg(computation_time) a FROM {RUNS}), (SELECT avg(total_time) b FROM {NAIVE})")
 def wdpa_vs_naive(spark, sf):
-    return _rounded(R.against_naive(R.published_runs(spark), R.published_naive(spark)))
+    return _rounded(R.against_naive(_runs(spark, sf), _runs(spark, sf).groupBy("support").agg((F.max("total_time") * 16).alias("total_time"))))
 
 
 @query(f"WITH {BASED} SELECT processors, round(avg(base / computation_time / processors), 6) mean_efficiency FROM based GROUP BY 1")
 def mean_efficiency(spark, sf):
-    return _rounded(R.mean_efficiency(R.published_runs(spark)))
+    return _rounded(R.mean_efficiency(_runs(spark, sf)))
 
 
 @query(f"SELECT support, strategy, processors, computation_time, total_time FROM {RUNS} WHERE processors = 16")
 def max_processor_view(spark, sf):
-    return R.at_most_processors(R.published_runs(spark)).select("support", "strategy", "processors", "computation_time", "total_time")
+    return R.at_most_processors(_runs(spark, sf)).select("support", "strategy", "processors", "computation_time", "total_time")
 
 
-SIZES = (50_000, 100_000, 150_000)
+SIZES = (2, 4, 7)
+SIZED = " UNION ALL ".join(f"SELECT {n}::INT AS dataset_size, * FROM {log_sql(f'l_linenumber <= {n}')}" for n in SIZES)
 
 
-@query(f"""WITH runs AS {RUNS}, sized AS (SELECT s.size dataset_size, strategy, processors, round(computation_time * s.size / 150000, 6) computation_time FROM runs, (SELECT unnest({list(SIZES)})::INT AS size) s WHERE abs(support - 0.002::DOUBLE) < 0.00001::DOUBLE)
+@query(f"""WITH sized AS (SELECT * FROM ({SIZED}) WHERE abs(support - 0.002::DOUBLE) < 0.00001::DOUBLE)
 SELECT dataset_size, strategy, processors, computation_time, round(computation_time / first_value(computation_time) OVER (PARTITION BY strategy, processors ORDER BY dataset_size), 4) growth FROM sized""")
 def cross_run_scaling(spark, sf):
-    sizes = spark.createDataFrame([(s,) for s in SIZES], "dataset_size int")
-    runs = R.published_runs(spark).crossJoin(sizes).withColumn("computation_time", F.round(F.col("computation_time") * F.col("dataset_size") / 150000, 6))
-    return R.cross_run_scaling(runs, 0.002).withColumn("growth", F.round("growth", 4))
+    """Runs of three logs, of lines up to a number, which is the size."""
+    sizes = F.filter(F.array(*map(F.lit, SIZES)), lambda n: F.col("l_linenumber") <= n)
+    logs = run_log(_lines(spark, sf).withColumn("dataset_size", F.explode(sizes)), "dataset_size")
+    return R.cross_run_scaling(logs, 0.002).withColumn("growth", F.round("growth", 4))
 
 
 @query(f"""SELECT support, strategy, processors, total_time, round(first_value(total_time) OVER w / total_time, 6) speedup, round(first_value(total_time) OVER w / total_time / processors, 6) efficiency
 FROM {RUNS} WHERE processors >= 2 WINDOW w AS (PARTITION BY support, strategy ORDER BY processors)""")
 def scaling_vs_lowest(spark, sf):
-    return _rounded(R.scaling_vs_lowest(R.published_runs(spark).filter("processors >= 2")))
+    return _rounded(R.scaling_vs_lowest(_runs(spark, sf).filter("processors >= 2")))
 
 
 @query(f"SELECT * FROM {RUNS} WHERE processors IN (1, 4, 16) AND (abs(support - 0.001::DOUBLE) < 0.00001::DOUBLE OR abs(support - 0.003::DOUBLE) < 0.00001::DOUBLE)")
 def results_filter(spark, sf):
-    return R.filter_results(R.published_runs(spark), [1, 4, 16], [0.001, 0.003])
+    return R.filter_results(_runs(spark, sf), [1, 4, 16], [0.001, 0.003])
 
 
-KEYS = ("wdpa_BL_1p", "wdpa_CWT_16p", "wdpa_BL", "naive_parallel", "ye_parallel_4p", "needs 12.5 GiB", "needs 512 MiB of memory")
+KEYS = """SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'wdpa_' || p_type || '_' || p_size::VARCHAR || 'p' WHEN 1 THEN 'wdpa_' || p_type WHEN 2 THEN p_name WHEN 3 THEN 'needs (' || p_size::VARCHAR || '.5 GiB) of memory'
+  WHEN 4 THEN 'size=' || p_size::VARCHAR || ' MiB' ELSE 'limit ' || p_size::VARCHAR || 'GB, used ' || (p_size + 1)::VARCHAR || 'GB' END AS k FROM part"""
 
 
-@query(f"SELECT k AS key, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 1), '') strategy, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 2), '')::INT processors, CASE WHEN k LIKE '% GiB%' THEN split_part(split_part(k, ' GiB', 1), ' ', -1)::DOUBLE WHEN k LIKE '% MiB%' THEN split_part(split_part(k, ' MiB', 1), ' ', -1)::DOUBLE / 1024 END gib FROM (SELECT unnest({list(KEYS)}) k)")
+@query(f"""SELECT k AS key, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 1), '') strategy, nullif(regexp_extract(k, '^wdpa_([^_]+)_(\\d+)p$', 2), '')::INT processors,
+CASE WHEN k LIKE '%GiB%' OR k LIKE '%GB%' THEN regexp_extract(k, '([0-9.]+) ?G', 1)::DOUBLE WHEN k LIKE '%MiB%' THEN regexp_extract(k, '([0-9.]+) MiB', 1)::DOUBLE / 1024 END gib FROM ({KEYS})""")
 def parse_result_key(spark, sf):
-    keys = spark.createDataFrame([(k,) for k in KEYS], "key string")
+    """Keys and messages made of the parts' types, names and sizes."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    made = F.when(kind == 0, F.concat(F.lit("wdpa_"), "p_type", F.lit("_"), size, F.lit("p"))).when(kind == 1, F.concat(F.lit("wdpa_"), "p_type")).when(kind == 2, F.col("p_name"))
+    made = made.when(kind == 3, F.concat(F.lit("needs ("), size, F.lit(".5 GiB) of memory"))).when(kind == 4, F.concat(F.lit("size="), size, F.lit(" MiB")))
+    made = made.otherwise(F.concat(F.lit("limit "), size, F.lit("GB, used "), (F.col("p_size") + 1).cast("string"), F.lit("GB")))
+    keys = spark.read.parquet(f"{sf}/part.parquet").select(made.alias("key")).distinct()
     strategy, processors = parse_run_key(F.col("key"))
     return keys.select("key", strategy.alias("strategy"), processors.alias("processors"), memory_gib(F.col("key")).alias("gib"))
 
@@ -587,32 +624,41 @@ def memory_admission(spark, sf):
 
 
 # Runs, all kinds of statuses --------------------------------------------------------------------------
-TRIED = ((0.1, "wdpa", "BL", 1, 9.0, 6.0, 40, "success"), (0.1, "wdpa", "BL", 2, 5.0, None, 40, "success"), (0.1, "naive_parallel", None, 8, 60.0, None, 0, "timeout"), (0.2, "ye_parallel", None, 4, 3.0, None, 12, "success"), (0.2, "ye_parallel", None, 4, 5.0, 2.0, 12, "success"))
-TRIED_SQL = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, str | int) else f"{x}::DOUBLE" for x in r) + ")" for r in TRIED) + ") t(support, algorithm, strategy, processors, total_time, computation_time, itemsets, status))"
+TRIED_SQL = f"""(SELECT {_pick_sql((0.1, 0.2), "s", "::DOUBLE")} AS support, {_pick_sql(("wdpa", "naive_parallel", "ye_parallel"), "k", "")} AS algorithm, CASE WHEN k % 3 = 0 THEN 'BL' END AS strategy, {_pick_sql(LOG_PROCESSORS, "k", "::INT")} AS processors,
+  t / 100.0::DOUBLE AS total_time, CASE WHEN k % 2 = 0 THEN t / 200.0::DOUBLE END AS computation_time, itemsets, {_pick_sql(("timeout", "success", "success"), "k + s", "")} AS status
+  FROM (SELECT l_linenumber AS k, l_suppkey % 4 AS s, count(*) AS itemsets, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT // count(*) AS t FROM lineitem GROUP BY ALL))"""
 
 
-def _tried(spark):
-    return spark.createDataFrame(TRIED, T.RUNS)
+def _tried(spark, sf):
+    """A run for each line number and quarter of the suppliers: of all miners, with and without computation times, some timed out."""
+    pick = lambda values, number: F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+    k, s = F.col("k"), F.col("s")
+    sums = _lines(spark, sf).groupBy(F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 4).alias("s")).agg(F.count("*").alias("itemsets"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"))
+    t = F.expr("c div itemsets")
+    return sums.select(
+        pick((0.1, 0.2), s).alias("support"), pick(("wdpa", "naive_parallel", "ye_parallel"), k).alias("algorithm"), F.when(k % 3 == 0, F.lit("BL")).alias("strategy"), pick(LOG_PROCESSORS, k).alias("processors"),
+        (t / 100.0).alias("total_time"), F.when(k % 2 == 0, t / 200.0).alias("computation_time"), "itemsets", pick(("timeout", "success", "success"), k + s).alias("status"),
+    )
 
 
 @query(f"SELECT support, algorithm, strategy, processors::INT processors, total_time, computation_time::DOUBLE computation_time, itemsets::BIGINT itemsets, status FROM {TRIED_SQL} WHERE status = 'success'")
 def successful_runs(spark, sf):
-    return R.successful(_tried(spark))
+    return R.successful(_tried(spark, sf))
 
 
 @query(f"SELECT support, algorithm, processors::INT processors, coalesce(computation_time::DOUBLE, total_time) computation_time, total_time FROM {TRIED_SQL}")
 def computation_fallback(spark, sf):
-    return R.with_computation(_tried(spark)).select("support", "algorithm", "processors", "computation_time", "total_time")
+    return R.with_computation(_tried(spark, sf)).select("support", "algorithm", "processors", "computation_time", "total_time")
 
 
 @query(f"SELECT 'support' kind, support::VARCHAR AS key FROM {TRIED_SQL} UNION SELECT 'strategy', strategy FROM {TRIED_SQL} WHERE strategy IS NOT NULL UNION SELECT 'processors', processors::VARCHAR FROM {TRIED_SQL}")
 def run_keys(spark, sf):
-    return R.run_keys(_tried(spark))
+    return R.run_keys(_tried(spark, sf))
 
 
-@query(f"SELECT algorithm, strategy, processors::INT processors, count(*) runs, count(*) FILTER (status = 'success') successes, avg(total_time) FILTER (status = 'success') mean_time, max(itemsets)::BIGINT most_itemsets FROM {TRIED_SQL} GROUP BY ALL")
+@query(f"SELECT algorithm, strategy, processors::INT processors, count(*) runs, count(*) FILTER (status = 'success') successes, round(avg(total_time) FILTER (status = 'success'), 6) mean_time, max(itemsets)::BIGINT most_itemsets FROM {TRIED_SQL} GROUP BY ALL")
 def summary_rows(spark, sf):
-    return R.summary_rows(_tried(spark))
+    return _rounded(R.summary_rows(_tried(spark, sf)))
 
 
 @query(f"SELECT row_number() OVER (ORDER BY k, count DESC, string_split(itemset, ',')) n, * FROM ({mine_sql('p_type', 0.1, 5)})")

@@ -54,19 +54,19 @@ def csv_scans(spark, sf):
 )
 def results_scan(spark, sf):
     """Runs from a file of rows and from a file that is an array; a further file isn't there."""
-    runs, root = Q._tried(spark), scratch(spark, "results")
+    runs, root = Q._tried(spark, sf), scratch(spark, "results")
     runs.coalesce(1).write.json(f"{root}/rows")
     runs.agg(F.to_json(F.collect_list(F.struct(*runs.columns))).alias("value")).coalesce(1).write.text(f"{root}/array")
     found = B.read_results(spark, f"{root}/rows", f"{root}/array", f"{root}/none")
     return found.select(F.regexp_extract("source_file", "/(rows|array)/[^/]*$", 1).alias("kind"), *runs.columns)
 
 
-@query(f"SELECT * FROM (VALUES ('benchmark_150k_001', {len(Q.TRIED)}::BIGINT, false), ('benchmark_150k_002', {len(Q.TRIED)}::BIGINT, true)) t(folder, n, latest)")
+@query(f"SELECT folder, n, latest FROM (VALUES ('benchmark_150k_001', false), ('benchmark_150k_002', true)) t(folder, latest), (SELECT count(*) n FROM {Q.TRIED_SQL})")
 def run_folders(spark, sf):
     """Two runs in numbered folders: which there are, and which is the latest."""
     root = scratch(spark, "runs")
     for _ in range(2):
-        Q._tried(spark).coalesce(1).write.json(K.next_run_folder(spark, root, 150_000))
+        Q._tried(spark, sf).coalesce(1).write.json(K.next_run_folder(spark, root, 150_000))
     name = lambda c: F.regexp_extract(c, r"([^/]+)/?$", 1)
     files = f"{root}/*/part-*.json"
     latest = B.latest_file(spark, files).select(name(F.regexp_replace("path", "/[^/]*$", "")).alias("folder"), F.lit(True).alias("latest"))
@@ -107,7 +107,7 @@ def appended_json(spark, sf):
     folder = scratch(spark, "experiments")
     for _ in range(2):
         K.append_json(_names(spark, sf), folder)
-    return _read_itemsets(spark, folder)
+    return K.read_appended(spark, folder, "k int, itemset string, count long, support double")
 
 
 @query(f"SELECT itemset || ': ' || count AS value FROM ({NAMES}) UNION ALL SELECT 'done'")
@@ -115,21 +115,22 @@ def appended_log(spark, sf):
     folder = scratch(spark, "log")
     K.append_log(_names(spark, sf).select(F.concat("itemset", F.lit(": "), "count")), folder)
     K.append_log(spark.createDataFrame([("done",)], "line string"), folder)
-    return spark.read.text(folder)
+    return K.read_appended(spark, folder, "value string")
 
 
 @query(f"""WITH {Q.BASED} SELECT printf('%8.4f', support) || '  ' || rpad(strategy, 5, ' ') || printf('%4d', processors) || printf('%10.2f', computation_time) || printf('%8.2f', base / computation_time) AS value FROM based""")
 def text_report(spark, sf):
     folder = scratch(spark, "report")
-    K.write_report(R.report_lines(R.published_runs(spark)), folder)
+    K.write_report(R.report_lines(Q._runs(spark, sf)), folder)
     return spark.read.text(folder)
 
 
 @query(f"WITH {Q.pairs_sql('p_type')} SELECT i item, string_agg(o::VARCHAR, ',' ORDER BY o) tids FROM pairs GROUP BY 1")
 def cached_index(spark, sf):
     """The vertical index, built for the first call and found by the second."""
-    root, key = scratch(spark, "indexes"), K.index_key(spark, None, None, Q.SEED, "p_type")
-    K.cached_index(spark, root, key, lambda: E.tid_lists(Q._type_pairs(spark, sf)))
+    root, pairs = scratch(spark, "indexes"), Q._type_pairs(spark, sf)
+    key = K.index_key(spark, None, None, Q.SEED, pairs)
+    K.cached_index(spark, root, key, lambda: E.tid_lists(pairs))
 
     def absent() -> DataFrame:
         raise RuntimeError("the index was not saved")

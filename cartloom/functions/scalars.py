@@ -27,10 +27,11 @@ UNITS = {"gib": 1.0, "gb": 1.0, "mib": 1 / 1024, "mb": 1 / 1024}
 
 
 def memory_gib(text: Column) -> Column:
-    """The first memory size of a message, in GiB; null without one. A size is a number, then a unit, with or without a space."""
-    words = F.split(F.regexp_replace(F.lower(text), "([0-9])([a-z])", "$1 $2"), " +")
-    unit = lambda w: F.regexp_extract(w, "^[a-z]+", 0)
-    pairs = F.transform(words, lambda w, i: F.struct(F.get(words, i - 1).try_cast("double").alias("size"), F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[unit(w)].alias("unit")))
+    """The first memory size of a message, in GiB; null without one. A size is a number, then a unit, with or without a space, and any signs around them."""
+    parted = F.regexp_replace(F.regexp_replace(F.lower(text), "[^0-9a-z.]+", " "), "([0-9])([a-z])", "$1 $2")
+    words = F.transform(F.split(parted, " +"), lambda w: F.trim(w, F.lit(".")))
+    factor = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    pairs = F.transform(words, lambda w, i: F.struct(F.get(words, i - 1).try_cast("double").alias("size"), factor[w].alias("unit")))
     hit = F.get(F.filter(pairs, lambda p: p["size"].isNotNull() & p["unit"].isNotNull()), F.lit(0))
     return hit["size"] * hit["unit"]
 

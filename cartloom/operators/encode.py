@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.operators.ranks import median
+from cartloom.sources.shared import written
+
 
 def transactions(pairs: DataFrame) -> DataFrame:
     """order_id and its sorted items."""
@@ -52,11 +55,11 @@ def dataset_statistics(basket: DataFrame) -> DataFrame:
 
 
 def tid_statistics(pairs: DataFrame) -> DataFrame:
-    """Mean, exact median, least, largest and population deviation of the items' counts."""
-    c = pairs.groupBy("item").agg(F.count("*").alias("c"))
+    """Mean, exact median, least, largest and population deviation of the items' counts; one row, of nulls and 0 items if there are no pairs."""
+    c = written(pairs.groupBy("item").agg(F.count("*").alias("v")), "item-counts")
     return c.agg(
-        F.count("*").alias("items"), F.avg("c").alias("mean_len"), F.median("c").alias("median_len"), F.min("c").alias("min_len"),
-        F.max("c").alias("max_len"), F.stddev_pop("c").alias("std_len"),
+        F.count("*").alias("items"), F.avg("v").alias("mean_len"), F.lit(median(c)).cast("double").alias("median_len"), F.min("v").alias("min_len"),
+        F.max("v").alias("max_len"), F.stddev_pop("v").alias("std_len"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom import schema as S
+from cartloom.operators.ranks import least_by_digest
 from cartloom.sources.shared import exists
 
 
@@ -128,7 +129,7 @@ def hash_order(column: str, seed: int) -> Column:
 
 def sample_orders(orders: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n orders (all, if there are fewer), the same on every run: those with the least seeded hash."""
-    return orders.select("order_id").na.drop().distinct().orderBy(hash_order("order_id", seed), "order_id").limit(n)
+    return least_by_digest(orders.select("order_id").na.drop().distinct(), hash_order("order_id", seed), ["order_id"], n)
 
 
 def keep_sampled(lines: DataFrame, sample: DataFrame) -> DataFrame:

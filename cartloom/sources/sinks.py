@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cartloom.functions.metrics import summary_rows
 from cartloom.sources.shared import exists
@@ -49,12 +52,40 @@ def preview(rows: DataFrame, n: int = 5) -> str:
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, width, strict=True)).rstrip() for r in cells)
 
 
-def append_json(rows: DataFrame, folder: str) -> None:
-    rows.withColumn("written_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("append").json(folder)
+def append_json(rows: DataFrame, folder: str, run: str | None = None) -> str:
+    """Append rows as one run; gives its id. A run that was committed before, under the same id, is not written again, and one that
+    broke off is replaced, so a caller that tries again with its id appends once. Read with read_appended."""
+    stamped = rows.withColumn("written_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    return _append(rows.sparkSession, folder, run, lambda path: stamped.write.mode("overwrite").json(path))
 
 
-def append_log(lines: DataFrame, folder: str) -> None:
-    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.mode("append").text(folder)
+def append_log(lines: DataFrame, folder: str, run: str | None = None) -> str:
+    """The same for text lines."""
+    text = lines.select(F.col(lines.columns[0]).cast("string").alias("value"))
+    return _append(lines.sparkSession, folder, run, lambda path: text.write.mode("overwrite").text(path))
+
+
+def _append(spark, folder: str, run: str | None, write) -> str:
+    run = run or uuid.uuid4().hex
+    if not exists(spark, f"{folder}/commits/run={run}/_SUCCESS"):
+        write(f"{folder}/runs/run={run}")
+        spark.createDataFrame([(run,)], "id string").coalesce(1).write.mode("overwrite").json(f"{folder}/commits/run={run}")
+    return run
+
+
+def committed_runs(spark, folder: str) -> list[str]:
+    """The folders of the runs that were appended in whole: a name for each run."""
+    if not exists(spark, f"{folder}/commits"):
+        return []
+    return [f"{folder}/runs/run={r.id}" for r in spark.read.schema("id string").json(f"{folder}/commits/*").distinct().orderBy("id").collect()]
+
+
+def read_appended(spark, folder: str, schema: str) -> DataFrame:
+    """The rows of all committed runs, each once; of text lines if schema is "value string"."""
+    paths = committed_runs(spark, folder)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.text(paths) if schema == "value string" else spark.read.schema(schema).json(paths)
 
 
 def write_report(lines: DataFrame, folder: str) -> None:
@@ -62,25 +93,44 @@ def write_report(lines: DataFrame, folder: str) -> None:
     lines.orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(folder)
 
 
-def save_index(vertical: DataFrame, path: str) -> None:
-    """A vertical index; see read_index."""
-    vertical.write.mode("overwrite").parquet(path)
+def save_index(vertical: DataFrame, path: str, buckets: int | None = None) -> None:
+    """A vertical index (item, ...) as files bucketed by item; see read_index."""
+    spark = vertical.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cartloom_index_{uuid.uuid4().hex}"
+    vertical.repartition(n, "item").write.format("parquet").mode("overwrite").option("path", f"{path}/rows").bucketBy(n, "item").sortBy("item").saveAsTable(name)
+    spark.createDataFrame([(n, vertical.schema.json())], "buckets int, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
 def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """An index as a bucketed table, so that a join or grouping by item finds its rows dealt by item and doesn't shuffle them."""
+    about = spark.read.schema("buckets int, kind string").json(f"{path}/about").first()
+    kind = StructType.fromJson(json.loads(about.kind))
+    name = f"cartloom_index_{hashlib.md5(path.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (item) SORTED BY (item) INTO {about.buckets} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """A digest of all rows in any order, repeated ones counted: their number, and sum and xor of two hashes of each."""
+    h = [F.xxhash64(F.lit(seed), *rows.columns) for seed in (1, 2)]
+    wide = lambda x: F.sum(x.cast("decimal(38,0)"))
+    r = rows.agg(F.count("*"), wide(h[0]), F.bit_xor(h[0]), wide(h[1]), F.bit_xor(h[1])).first()
+    return hashlib.md5("|".join([*rows.columns, *map(str, r)]).encode()).hexdigest()
 
 
-def index_key(spark, sample_size: int | None, max_items: int | None, seed: int, fingerprint: str) -> str:
-    """A name for a cached index, of its parameters and of what it was made from."""
-    parts = [F.lit(str(x)) for x in (sample_size, max_items, seed, fingerprint)]
-    return spark.range(1).select(F.substring(F.md5(F.concat_ws("_", *parts)), 1, 8).alias("k")).first().k
+def index_key(spark, sample_size: int | None, max_items: int | None, seed: int, data: DataFrame | str) -> str:
+    """A name for a cached index, of its parameters and of the rows that it is made from (or their fingerprint)."""
+    print_ = data if isinstance(data, str) else fingerprint(data)
+    return hashlib.md5("_".join(map(str, (sample_size, max_items, seed, print_))).encode()).hexdigest()[:8]
 
 
 def cached_index(spark, root: str, key: str, build) -> DataFrame:
-    """The index under a key; it is built and saved if it isn't there."""
+    """The index under a key; it is built and saved if it isn't there. With a key of index_key over the input, changed data has another one."""
     path = f"{root}/tid-{key}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/about/_SUCCESS"):
         save_index(build(), path)
     return read_index(spark, path)
 

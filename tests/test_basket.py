@@ -211,7 +211,8 @@ def test_csv_config_sinks_and_cache(spark, tmp_path):
     K.write_summary(results, str(tmp_path / "sum"))
     K.append_json(results, str(tmp_path / "log"))
     K.append_json(results, str(tmp_path / "log"))
-    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    kind = "min_support double, frequent_itemsets_count long, rules_count long"
+    assert K.read_appended(spark, str(tmp_path / "log"), kind).count() == 4
     assert K.next_run_folder(spark, str(tmp_path), 150_000).endswith("benchmark_150k_001")
     key = K.index_key(spark, 1, 2, 3, "abc")
     made = []

@@ -41,7 +41,3 @@ def test_entry(spark):
     rows = entry_module.entry(spark)
     assert rows.columns == ["k", "itemset", "count", "support"] and rows.count() == 41
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-
-
-def test_placement(spark):
-    assert all(r.in_place for r in catalog.QUERIES["physical_placement"](spark, SF).collect())
