@@ -74,30 +74,35 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+#: Pages in an archive of op7.
+OP7_PAGES = 100
+
+
 def damaged_replica(pages: DataFrame) -> DataFrame:
-    """The records of pages as a replica that has lost bits: a byte of about one in 256 records, the last record
-    of one archive in 16, and one in the middle of another one in 16, which shifts all behind it."""
+    """The records of pages as a replica that has lost bits: a byte of about one in 64 records; by the archive's number modulo
+    three the last record, one in the middle, which shifts all behind it, or none but one that is there twice."""
     from cartloom.llm.warc import archives
 
-    own = archives(pages)
-    digest, of_archive = F.md5(F.col("page_id").cast("string")), F.md5(F.col("archive").cast("string"))
-    flipped = own.withColumn("record", F.when(digest.startswith("00"), F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
-    last = own.groupBy("archive").agg(F.max("page_id").alias("page_id")).filter(of_archive.startswith("0"))
-    middle = of_archive.startswith("1") & (F.col("page_id") % 1000 == 500)
-    return flipped.join(last, ["archive", "page_id"], "left_anti").filter(~F.coalesce(middle, F.lit(False)))
+    own = archives(pages, OP7_PAGES)
+    digest, kind, place = F.md5(F.col("page_id").cast("string")), F.col("archive") % 3, F.col("page_id") % OP7_PAGES
+    flipped = own.withColumn("record", F.when(digest.startswith("0") & F.substring(digest, 2, 1).isin("0", "1", "2", "3"), F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
+    last = own.groupBy("archive").agg(F.max("page_id").alias("page_id")).filter(kind == 0)
+    times = F.when((kind == 1) & (place == OP7_PAGES // 2), 0).when((kind == 2) & (place == OP7_PAGES // 4), 2).otherwise(1)
+    copies = flipped.join(last, ["archive", "page_id"], "left_anti").withColumn("_n", F.explode(F.array_repeat(F.lit(0), times)))
+    return copies.drop("_n")
 
 
 def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, and a damaged replica of them: the records that the audit finds."""
+    """All pages as WARC records, and a damaged replica of them: the records that the audit finds, shifted ones among them."""
     from cartloom.llm.warc import archives, audit, build_tree, manifest
 
     pages = table(spark, sf_dir, "pages")
-    return audit(spark, build_tree(manifest(archives(pages))), build_tree(manifest(damaged_replica(pages))))
+    return audit(spark, build_tree(manifest(archives(pages, OP7_PAGES))), build_tree(manifest(damaged_replica(pages))), moved=True)
 
 
-OP7_SQL = """
+OP7_SQL = f"""
 WITH records AS (
-  SELECT coalesce(page_id // 1000, -1) AS archive, page_id,
+  SELECT coalesce(page_id // {OP7_PAGES}, -1) AS archive, page_id,
     concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(page_id::VARCHAR, ''),
       '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, ''))::VARCHAR,
       chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
@@ -105,15 +110,21 @@ WITH records AS (
 placed AS (
   SELECT archive, page_id, record, strlen(record) AS length, sha256(record) AS digest FROM records),
 ordered AS (
-  SELECT *, row_number() OVER w - 1 AS pos,
+  SELECT *, row_number() OVER w - 1 AS pos, archive % 3 AS kind, page_id % {OP7_PAGES} AS place,
     sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length ROWS UNBOUNDED PRECEDING) - length AS offset_,
-    (page_id = max(page_id) OVER (PARTITION BY archive) AND md5(archive::VARCHAR) LIKE '0%') OR (page_id % 1000 = 500 AND md5(archive::VARCHAR) LIKE '1%') AS lost,
-    coalesce(md5(page_id::VARCHAR) LIKE '00%', false) AS hit
-  FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length))
+    max(page_id) OVER (PARTITION BY archive) AS final,
+    coalesce(md5(page_id::VARCHAR) LIKE '00%' OR md5(page_id::VARCHAR) LIKE '01%' OR md5(page_id::VARCHAR) LIKE '02%' OR md5(page_id::VARCHAR) LIKE '03%', false) AS hit
+  FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest, length)),
+known AS (
+  SELECT *, coalesce((kind = 0 AND page_id = final) OR (kind = 1 AND place = {OP7_PAGES // 2}), false) AS lost, coalesce(kind = 2 AND place = {OP7_PAGES // 4}, false) AS twice,
+    CASE WHEN hit THEN sha256('w' || substr(record, 2)) ELSE digest END AS other,
+    coalesce((kind = 1 AND place > {OP7_PAGES // 2}) OR (kind = 2 AND place > {OP7_PAGES // 4}), false) AS shifted
+  FROM ordered)
 SELECT archive::BIGINT AS archive, pos::BIGINT AS pos, page_id, offset_::BIGINT AS "offset", length::BIGINT AS length,
-  CASE WHEN lost THEN 'missing' ELSE 'altered' END AS status, digest,
-  CASE WHEN lost THEN NULL ELSE sha256('w' || substr(record, 2)) END AS replica_digest
-FROM ordered WHERE coalesce(lost, false) OR hit
+  CASE WHEN lost THEN 'missing' WHEN hit THEN 'altered' ELSE 'moved' END AS status, digest, CASE WHEN lost THEN NULL ELSE other END AS replica_digest
+FROM known WHERE lost OR hit OR shifted
+UNION ALL
+SELECT archive::BIGINT, pos + 1, page_id, (offset_ + length)::BIGINT, length::BIGINT, 'added', NULL, other FROM known WHERE twice
 """
 
 

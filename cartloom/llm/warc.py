@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import scratch, written
+from cartloom.operators.running import running_sums
 
 FAN = 16
 #: Up to so many archives with differences are named in a scan's filter; beyond, the level is joined with the suspect nodes alone.
@@ -40,20 +41,20 @@ def archives(pages: DataFrame, archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
 def manifest(records: DataFrame) -> DataFrame:
     """archive, pos, page_id, offset, length, digest: the records (archive, page_id, record) in the order that they lie in.
 
-    Only digests are shuffled. Order: page_id, nulls first, then digest, so repeated rows have places of their own.
+    Only digests are shuffled. Order: page_id, nulls first, then digest, so repeated rows have places of their own. Places and
+    offsets are running sums over ranges of that order, so an archive of very many records is split among tasks.
     """
     each = records.select("archive", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("archive").orderBy(F.asc_nulls_first("page_id"), "digest", "length")
-    return each.select(
-        "archive", (F.row_number().over(order) - 1).cast("long").alias("pos"), "page_id",
-        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).alias("offset"), "length", "digest",
-    )
+    order = [F.col("archive"), F.asc_nulls_first("page_id"), F.col("digest"), F.col("length")]
+    placed = written(running_sums(each, order, {"pos": F.lit(1), "offset": F.col("length")}), "manifest")
+    first = placed.groupBy("archive").agg(F.min("pos").alias("_pos"), F.min("offset").alias("_offset"))
+    return placed.join(first, "archive").select("archive", (F.col("pos") - F.col("_pos")).alias("pos"), "page_id", (F.col("offset") - F.col("_offset")).alias("offset"), "length", "digest")
 
 
 def build_tree(places: DataFrame, fan: int = FAN) -> str:
     """Write the tree over a manifest; the folder has level=0 (records) to the roots, and "height", and is returned.
 
-    Level 0 also keeps the manifest's columns. Each group has at most fan rows. Each level is ordered
+    No records give a tree of one empty level. Level 0 also keeps the manifest's columns. Each group has at most fan rows. Each level is ordered
     by archive, so that a reader of few archives skips most of its files.
     """
     spark = places.sparkSession
@@ -99,7 +100,9 @@ def audit(spark: SparkSession, tree: str, replica: str, fan: int = FAN, moved: b
     A record that is lost or added shifts those behind it, so in the ranges that differ records are
     aligned: by page_id and digest first (the same record at another offset: status moved, left out
     unless asked for), then what is left by page_id. status: altered, missing (in the replica) or added.
-    pos and offset are the place in the tree, for added records in the replica.
+    pos and offset are the place in the tree, for added records in the replica. Records without page_id are aligned like those
+    of one page_id; of repeated rows the first ones are matched, and those that are left are missing or added. An empty tree has all of
+    the other's records as added or missing; two empty ones give no rows.
     """
     height = min(tree_height(spark, tree), tree_height(spark, replica))
     suspect, archives = None, None
