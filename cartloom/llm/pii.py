@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.sources.shared import free_name
@@ -247,6 +247,14 @@ def pseudonym(key: str, value: Column) -> Column:
     )
 
 
+def hide_key(spark: SparkSession) -> None:
+    """Plans show the key redacted, beside what the session's own pattern hides."""
+    name = "spark.sql.redaction.string.regex"
+    own = spark.conf.get(name, None) or spark.conf.get("spark.redaction.string.regex", None)
+    if KEY_PATTERN not in (own or ""):
+        spark.conf.set(name, f"(?:{own})|{KEY_PATTERN}" if own else KEY_PATTERN)
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs (text, ...) with the values of text as pseudonyms, and n_found: how many values of each kind were found.
 
@@ -258,7 +266,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     The key is hashed, and plans show it redacted.
     """
     spark, names = docs.sparkSession, docs.columns
-    spark.conf.set("spark.sql.redaction.string.regex", KEY_PATTERN)
+    hide_key(spark)
     key = KEY_MARK + hashlib.sha256(key.encode()).hexdigest()
     held, made, gaps, number_name = (free_name(names, x) for x in ("_found", "_new", "_between", "n_found"))
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))

@@ -105,3 +105,19 @@ def test_address_case_long_parts_and_clashing_names(spark):
 def test_plans_hide_the_key(spark):
     plan = pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), KEY)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
     assert MARKED not in plan
+
+
+def test_redaction_of_the_session_stays(spark):
+    name = "spark.sql.redaction.string.regex"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "my-secret-[a-z]+")
+        docs = spark.createDataFrame([(1, "call 555 my-secret-abc")], "doc_id long, text string")
+        for _ in range(2):
+            made = pii.pseudonymise(docs.filter("text <> 'my-secret-xyz'"), "hidden")
+        plan = made._jdf.queryExecution().toString()
+        assert "my-secret-xyz" not in plan and pii.KEY_MARK not in plan
+        assert spark.conf.get(name).count(pii.KEY_PATTERN) == 1
+        assert [r.doc_id for r in made.collect()] == [1]
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
