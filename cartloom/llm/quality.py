@@ -2,7 +2,8 @@
 
 A ratio has to lie in a general band for texts of its length, which holds for any corpus (random and
 encoded bytes below it, loops above), and in one of the corpus: SPREADS robust standard deviations
-about the median of all documents of like length that pass the base rules.
+about the median of documents of like length that pass the base rules. A length of few documents borrows from
+its neighbours, the more the fewer it has, so no number of documents switches a band on or off.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ BANDS = (
     (16384, 1.45, 3.6), (65536, 1.5, 4.2), (float("inf"), 1.5, 5.0),
 )
 #: The same for each chunk of CHUNK_BYTES, the last bytes among them: a part of a long text that is a loop or noise.
-#: The least is that of a whole text of this size: over base64 (1.31), under prose (2.05 at least on sf0.1). A block
-#: of base64 that lies half in one chunk and half in the next can be over it.
-CHUNK_BAND = (1.45, 4.0)
-#: The corpus's bands: lengths in quarters of a doubling; a band needs LEAST_DOCS documents, and is LEAST_WIDTH of its median wide at least.
-SPREADS, LEAST_DOCS, LEAST_WIDTH, STEPS = 6.0, 100, 0.05, 4
+#: The least is that of a whole text of this size: over base64 (1.31), under prose (2.05 at least on sf0.1). Chunks
+#: overlap by half, so a block of twice CHUNK_STEP fills three quarters of a chunk at least, wherever it lies.
+CHUNK_BAND, CHUNK_STEP = (1.45, 4.0), CHUNK_BYTES // 2
+#: The corpus's bands: lengths in quarters of a doubling. A band's quartiles are means over all bands, weighed by their
+#: documents and by FADE for each step away. It is LEAST_WIDTH of its median wide at least, and wider by
+#: 1 + DOUBT / sqrt(n), n being the weight of documents that it rests on.
+SPREADS, LEAST_WIDTH, STEPS, FADE, DOUBT = 6.0, 0.05, 4, 1 / 8, 3.0
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_general boolean, size long, ratio double, chunk_low double, chunk_high double"
 #: Band (size is in it if floor(STEPS * log2(size)) is), measure -> least, largest.
 Limits = dict[tuple[int, str], tuple[float, float]]
@@ -69,13 +72,13 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def ratios(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """The ratio of the whole, and the least and largest of its chunks (the whole's, if it is shorter): one after another, and its last bytes."""
+    """The ratio of the whole, and the least and largest of its chunks (the whole's, if it is shorter): one each CHUNK_STEP bytes, and its last bytes."""
     if not raw:
         return 1.0, 1.0, 1.0
     whole = len(raw) / len(squeeze.compress(raw))
-    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
-    if starts and len(raw) % CHUNK_BYTES:
-        starts.append(len(raw) - CHUNK_BYTES)  # overlaps the chunk before
+    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_STEP))
+    if starts and starts[-1] != len(raw) - CHUNK_BYTES:
+        starts.append(len(raw) - CHUNK_BYTES)
     each = [CHUNK_BYTES / len(squeeze.compress(raw[i : i + CHUNK_BYTES])) for i in starts]
     return whole, min(each, default=whole), max(each, default=whole)
 
@@ -138,12 +141,17 @@ def corpus_limits(found: DataFrame) -> Limits:
     each = [good.select(band_column().alias("band"), F.lit("ratio").alias("measure"), F.col("ratio").alias("x"))]
     each += [good.filter(F.col("size") >= CHUNK_BYTES).select(F.lit(-1).alias("band"), F.lit(c).alias("measure"), F.col(c).alias("x")) for c in ("chunk_low", "chunk_high")]
     points = each[0].union(each[1]).union(each[2]).groupBy("band", "measure").agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("n"))
-    got: Limits = {}
-    for r in points.filter(F.col("n") >= LEAST_DOCS).collect():
-        a, middle, b = r.q
-        half = max(SPREADS * (b - a) / 1.349, LEAST_WIDTH * middle)  # 1.349: quartiles of a normal distribution lie so many deviations apart
-        got[r.band, r.measure] = middle - half, middle + half
-    return got
+    rows = points.collect()
+    return {(r.band, r.measure): limit([(abs(x.band - r.band), x.n, x.q) for x in rows if x.measure == r.measure]) for r in rows}
+
+
+def limit(bands: list[tuple[int, int, list[float]]]) -> tuple[float, float]:
+    """Least and largest ratio of a band, from all bands of its measure: steps away, documents, quartiles."""
+    n = sum(count * FADE**away for away, count, _ in bands)
+    a, middle, b = (sum(count * FADE**away * q[i] for away, count, q in bands) / n for i in range(3))
+    # 1.349: quartiles of a normal distribution lie so many deviations apart
+    half = max(SPREADS * (b - a) / 1.349, LEAST_WIDTH * middle) * (1 + DOUBT / math.sqrt(n))
+    return middle - half, middle + half
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

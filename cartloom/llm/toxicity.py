@@ -7,7 +7,7 @@ one small negative score. A linear scan gives all maximal segments of a document
 segment's score S among n tokens has an expected number of equal or better chance segments
 E = K n exp(-lambda S), with lambda the root of the clean scores' moment equation (Karlin and
 Altschul) and K from the number of high segments in clean documents. The evidence of a document is
-the sum of -ln E over its significant segments; a logistic curve makes it a probability.
+the sum of -ln E over its significant segments; a logistic curve of its logarithm makes it a probability.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from cartloom.llm.common import written
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
-#: The prior's weight in documents, and what a token needs: documents, z score, log-odds.
-PRIOR, LEAST_DOCS, LEAST_Z, LEAST_ODDS = 50.0, 8, 4.0, 1.5
+#: The prior's weight in documents, and what a token needs: z score, log-odds.
+PRIOR, LEAST_Z, LEAST_ODDS = 50.0, 3.0, 1.5
 #: Labelled documents for the calibration.
 FIT_DOCS = 30_000
 #: Up to so many rows of labels (two numbers each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-LEAST_E, MOST_EVIDENCE = 0.05, 30.0
+LEAST_E = 0.05
 
 
 @dataclass
@@ -132,7 +132,12 @@ def tail_factor(scores: np.ndarray, counts: np.ndarray, words: int, decay: float
 
 def evidence(good: list[tuple[int, int, float, float]]) -> float:
     """The sum of -ln E of the significant segments."""
-    return min(sum(x for *_, x in good), MOST_EVIDENCE)
+    return sum(x for *_, x in good)
+
+
+def weight(evidence: float) -> float:
+    """What the logistic curve takes of an evidence: it grows without end, so stronger evidence never ties, but long texts don't pull the fit."""
+    return math.log1p(evidence)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -189,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a = F.lit(PRIOR / (n1 + n0)) * (F.col("n1") + F.col("n0"))
     odds = F.log((F.col("n1") + a) / (n1 + PRIOR - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0 + PRIOR - F.col("n0") - a))
     z = odds / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    rated = counts.filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).select("token", "n1", odds.alias("odds"), z.alias("z"))
-    toxic_sign = (F.col("n1") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)
+    rated = counts.select("token", odds.alias("odds"), z.alias("z"))
+    toxic_sign = (F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)
     clean_sign = F.col("z") <= -LEAST_Z
     model = Model({r.token: r.odds for r in rated.filter(toxic_sign | clean_sign).select("token", "odds").toLocalIterator()})
 
@@ -232,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [evidence(significant(n, segments, model)) for n, segments in zip(batch.column("n").to_pylist(), segments_of(batch), strict=True)]
+            x = [weight(evidence(significant(n, segments, model))) for n, segments in zip(batch.column("n").to_pylist(), segments_of(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], ["toxic", "x"])
 
     rows = found.mapInArrow(weigh, "toxic int, x double").collect()
@@ -261,7 +266,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
                 good = significant(n, segments, model)
                 x = evidence(good)
                 spans = [{"first": i, "last": j, "score": s, "e": math.exp(-y)} for i, j, s, y in good]
-                rows.append((1 / (1 + math.exp(-(a + b * x))), x, spans))
+                rows.append((1 / (1 + math.exp(-min(max(a + b * weight(x), -700.0), 700.0))), x, spans))
             kinds = (pa.float64(), pa.float64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e", pa.float64())])))
             own = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *own], ["doc_id", "score", "evidence", "segments"])

@@ -218,15 +218,44 @@ def test_quality_bands_of_the_corpus(spark):
     assert {r.doc_id for r in quality.kept_documents(docs).collect()} == set(range(300))
     limits = quality.corpus_limits(quality.measures(docs))
     assert len(limits) >= 3
-    for (band, measure), (least, most) in limits.items():
-        of = [getattr(got[i], measure) for i, t in rows if not got[i].base_failed and (band == -1 and len(t) >= 4096 or quality.band_of(len(t)) == band)]
-        a, m, b = (sorted(of)[math.ceil(q * len(of)) - 1] for q in (0.25, 0.5, 0.75))
-        half = max(6 * (b - a) / 1.349, 0.05 * m)
-        assert (least, most) == pytest.approx((m - half, m + half)), (band, measure)
+    quartiles = {}
+    for band, measure in limits:
+        of = [getattr(got[i], measure) for i, t in rows if not got[i].base_failed and (band == -1 and len(t) >= 4096 or band >= 0 and quality.band_of(len(t)) == band)]
+        quartiles[band, measure] = len(of), [sorted(of)[math.ceil(q * len(of)) - 1] for q in (0.25, 0.5, 0.75)]
+    for (band, measure), found in limits.items():
+        near = [(n / 8 ** abs(b - band), q) for (b, m), (n, q) in quartiles.items() if m == measure]
+        total = sum(w for w, _ in near)
+        a, m, b = (sum(w * q[i] for w, q in near) / total for i in range(3))
+        half = max(6 * (b - a) / 1.349, 0.05 * m) * (1 + 3 / total**0.5)
+        assert found == pytest.approx((m - half, m + half)), (band, measure)
     plain = {i: quality.verdict(t, zstandard.ZstdCompressor(level=3), limits) for i, t in rows}
     assert plain == {i: r.kept for i, r in got.items()}
 
 
+@pytest.mark.parametrize("others", [1, 20, 99, 100, 101])
+def test_quality_does_not_turn_on_a_number(spark, others):
+    """A text of few kinds of words goes, and a plain one stays, however many others have its length."""
+    rng = random.Random(19)
+    of = lambda kinds, n: words(rng, n, kinds)
+    rows = [(i, of(5000, rng.randrange(900, 1400))) for i in range(400)] + [(1000 + i, of(5000, 4000)) for i in range(others)]
+    rows += [(1, of(5000, 4000)), (2000, of(60, 4000)), (2001, of(5000, 9000))]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs_of(spark, rows)).collect()}
+    assert not got.pop(2000) and all(got.values())
+
+
+def test_half_overlapping_chunks():
+    """Noise that lies half in one chunk and half in the next is seen."""
+    import base64
+
+    import zstandard
+
+    squeeze, rng = zstandard.ZstdCompressor(level=3), random.Random(13)
+    prose = "".join(f"{w} " for w in words(rng, 30_000, 3000).split())
+    coded = base64.b64encode(rng.randbytes(6000)).decode()[:4096]
+    for shift in range(0, 4096, 512):
+        assert not quality.verdict(prose[: 8192 + shift] + coded + prose[: 20_000], squeeze, {}), shift
+
+
 def brute_lines(docs, least):
     """Text and deleted lines by comparing all starts: docs is a list of (key, text) in order."""
     lines = [[(j, x, len(x.encode().split())) for j, x in enumerate((t or "").split("\n"))] for _, t in docs]
