@@ -5,8 +5,14 @@ Candidates are rows (idx, cand), idx numbering them from 0; results add weight a
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cartloom.operators.candidates import item_pairs
 from cartloom.operators.running import numbered, running_sums
@@ -66,24 +72,85 @@ def cyclic_by_weight(candidates: DataFrame, p: int, many: int | None = None) ->
     return numbered(candidates, _order(), "r", many).withColumn("proc_id", F.col("r") % p).drop("r")
 
 
+#: Ends of processors that are looked up at a time, and rows that are brought to the driver for them.
+ENDS, END_ROWS = 2000, 2_000_000
+
+
+def processor_ends(sums: DataFrame, p: int, target: float) -> list[int]:
+    """The ranks (r) after which a processor ends: the first whose running sum has grown by target since the processor before ended.
+
+    sums has r, before and after (running sums of weights) by descending weight. An end lies behind the one before by target
+    and less than the weight of its own row, so the i-th can't be further behind i targets than the weights of the rows that reach the first i
+    targets, which are heavier than the ends' rows. Only the rows of these spans are brought to the driver, so a few jobs find all
+    ends; if the spans hold too many rows, fewer ends are looked up at a time and the spans start anew at the last of them.
+    """
+    cuts: list[int] = []
+    if p < 2:
+        return cuts
+    base, first, step = 0, 0, ENDS
+    heavy = sums.filter(F.col("weight") >= F.lit(target)).agg(F.count("*").alias("n"), F.max("after").alias("after")).first()
+    if heavy.n and target > 0:  # each is a processor of its own, and all come first
+        n = min(heavy.n, p - 1)
+        last = heavy.after if n == heavy.n else sums.filter(F.col("r") == n - 1).first().after
+        cuts, base, first = list(range(1, n + 1)), last, n
+    if target <= 0:
+        return list(range(1, p))
+    while len(cuts) < p - 1:
+        want = min(step, p - 1 - len(cuts))
+        rows = sums.filter(F.col("r") >= first)
+        place = lambda c: F.floor((F.col(c) - F.lit(base)).cast("double") / F.lit(target)).cast("long")
+        reach = rows.filter((place("after") > place("before")) & (place("after") <= want)).select(place("after").alias("i"), "weight").collect()  # a row for each target
+        weights = {r.i: r.weight for r in reach}
+        slack, spans = 0.0, []
+        for i in range(1, want + 1):
+            slack += weights.get(i, 0)
+            spans.append(slack * (1 + 1e-9) + 1)
+        i = F.least(F.greatest(place("after"), F.lit(1)), F.lit(want))
+        behind = (F.col("after") - F.lit(base)).cast("double") - i * F.lit(target)
+        inside = rows.withColumn("_i", i.cast("int")).filter((behind >= -1 - F.lit(1e-9) * F.col("after")) & (behind <= F.element_at(F.array(*map(F.lit, spans)), F.col("_i"))))
+        counts = {r["_i"]: r["count"] for r in inside.groupBy("_i").count().collect()}
+        total, most = 0, 0
+        for most in range(1, want + 1):
+            total += counts.get(most, 0)
+            if total > END_ROWS and most > 1:
+                most -= 1
+                break
+        near = sorted((r.r, int(r.after)) for r in inside.filter(F.col("_i") <= most).select("r", "after").collect())
+        ranks, found = [r for r, _ in near], len(cuts)
+        while len(cuts) - found < most:
+            at = bisect.bisect_left(ranks, first)
+            while at < len(near) and float(near[at][1] - base) < target:
+                at += 1
+            if at == len(near):
+                break
+            first, base = near[at][0] + 1, near[at][1]
+            cuts.append(first)
+        if len(cuts) == found:
+            break  # what is left doesn't reach the target
+        step = max(1, most) if most < want else ENDS
+    return cuts
+
+
 def block_by_weight(candidates: DataFrame, p: int) -> DataFrame:
     """BWT: by descending weight to one processor until it has total / p, then to the next, which starts from 0; the last takes the rest.
 
-    A processor ends at the first candidate whose running sum of weights has grown by total / p since
-    the processor before ended. The p - 1 ends are looked up one after another in the written sums.
+    A processor ends at the first candidate whose running sum of weights has grown by total / p since the processor before ended.
     """
     sums = written(running_sums(candidates, _order(), {"before": F.col("weight"), "r": F.lit(1)}), "weights")
     sums = sums.withColumn("after", F.col("before") + F.col("weight"))
     target = (sums.agg(F.sum("weight")).first()[0] or 0) / p
-    cuts, base = [], 0
-    for _ in range(p - 1):
-        last = sums.filter((F.col("r") >= (cuts[-1] if cuts else 0)) & ((F.col("after") - base).cast("double") >= target)).agg(F.min(F.struct("r", "after"))).first()[0]
-        if last is None:
-            break
-        cuts.append(last.r + 1)
-        base = last.after
-    proc = sum(((F.col("r") >= c).cast("long") for c in cuts), F.lit(0).cast("long"))
-    return sums.withColumn("proc_id", proc).select(*candidates.columns, "proc_id")
+    cuts = processor_ends(sums, p, target)
+    if len(cuts) <= 64:
+        proc = sum(((F.col("r") >= c).cast("long") for c in cuts), F.lit(0).cast("long"))
+        return sums.select(*candidates.columns, proc.alias("proc_id"))
+    own, names = np.array(cuts, np.int64), candidates.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            proc = pa.array(np.searchsorted(own, batch.column("r").to_numpy(), side="right"), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), proc], [*names, "proc_id"])
+
+    return sums.select(*candidates.columns, "r").mapInArrow(place, StructType([*candidates.schema.fields, StructField("proc_id", LongType())]))
 
 
 def distribute(candidates: DataFrame, strategy: str, p: int, many: int | None = None) -> DataFrame:
