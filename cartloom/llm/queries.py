@@ -147,6 +147,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of the quality rules alone, which SQL has too."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_BASE_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS MATERIALIZED (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+windows AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
+counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words FROM words LEFT JOIN lines l USING (rid) LEFT JOIN again a USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+"""
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document with its near-duplicate class; kept: it is the one that stays."""
     from cartloom.llm.minhash import near_duplicates
@@ -265,9 +283,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_quality_rules": op9_quality_rules,
+    "quality_base_counts": quality_base_counts,
     "op11_pivot_phrases": op11_pivot_phrases,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_elkan_clusters": op13_elkan_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "op11_pivot_phrases": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_elkan_clusters": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_fixity": OP7_SQL, "quality_base_counts": QUALITY_BASE_SQL, "op11_pivot_phrases": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_elkan_clusters": _op13_sql()}
