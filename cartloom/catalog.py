@@ -20,7 +20,6 @@ from cartloom.operators import rules as A
 from cartloom.operators import support as S
 from cartloom.operators.running import numbered
 from cartloom.plans import mine as M
-from cartloom import schema as T
 from cartloom.sources import basket as B
 from cartloom.sources.shared import written
 
