@@ -19,7 +19,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings as pictures, with the class of their copies. The tables have no media column, so the pictures are rendered."""
+    """All embeddings as pictures, with the class of their copies. The tables have no media column, so the pictures are rendered, those with odd numbers as edited copies."""
     from cartloom.llm.media import image_copies, rendered
 
     return image_copies(rendered(table(spark, sf_dir, "embeddings")))

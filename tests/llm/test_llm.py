@@ -646,9 +646,71 @@ def test_cells_of_a_bucket():
 
 
 def test_rendering(spark):
-    rows = spark.createDataFrame([(1, [0.5] * 8), (2, None), (None, [0.1] * 8)], "vec_id long, embedding array<float>")
-    got = {r.vec_id: r.image for r in media.rendered(rows).collect()}
-    assert len(got[1]) == 4096 and got[2] is None and len(got[None]) == 4096
+    """Rows 2 n and 2 n + 1 share a canvas of both vectors; null and repeated rows, rows without vec_id."""
+    rows = [(1, [0.5] * 8), (2, None), (3, []), (None, [0.1] * 8), (4, [1.0] + [0.0] * 7), (5, [0.0] * 7 + [1.0]), (-2, [0.3] * 8), (-1, None), (4, [2.0] * 8)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "vec_id long, embedding array<float>, album string")
+    got = media.rendered(df).collect()
+    by_id = {r.vec_id: r.image for r in got}
+    assert len(got) == len(rows) and by_id[2] is None and by_id[3] is None and all(len(by_id[i]) == 4096 for i in (1, 4, 5, None, -2, -1))
+    assert len({r.image for r in got if r.vec_id == 4}) == 1  # the least embedding counts
+    assert by_id[1] != by_id[None] and by_id[4] != by_id[5] and by_id[-2] != by_id[-1]
+    assert {r.vec_id: r.image for r in media.rendered(df.repartition(3)).collect()} == by_id
+    assert media.rendered(df.limit(0)).count() == 0
+
+
+def test_op1_finds_the_edited_views(spark):
+    """On the table: of all edited pictures, and of those that consensus accepts, at least 0.9 are in the class of their canvas; no class has two canvases."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = {r.vec_id: r.class_id for r in QUERIES["op1_image_copies"](spark, SF).collect()}
+    assert len(got) == vectors.count() and all(c >> 1 == v >> 1 for v, c in got.items())
+    pictures = {r.vec_id: np.frombuffer(r.image, np.uint8).reshape(64, 64) for r in media.rendered(vectors).collect()}
+    ids = sorted(v for v in pictures if v & 1 and v - 1 in pictures)
+    odd, even = (media.features(np.stack([pictures[v - shift] for v in ids])) for shift in (0, 1))
+    accepted = [v for v, x, y in zip(ids, odd, even, strict=True) if media.consensus(x, y) >= media.LEAST_INLIERS]
+    assert sum(got[v] == v - 1 for v in ids) >= 0.9 * len(ids)
+    assert sum(got[v] == v - 1 for v in accepted) >= 0.9 * len(accepted)
+
+
+def test_counts_of_keys(spark):
+    """Keys that several images have, and hot ones with their images, as counted plainly; several batches and slots."""
+    rng = np.random.default_rng(4)
+    few = rng.integers(0, 2**63, (5, 4)).astype(np.uint64)
+    rows = [(i, np.concatenate([few[rng.integers(0, 5, 3)], rng.integers(0, 2**63, (2, 4)).astype(np.uint64)])) for i in range(60)]
+    found = spark.createDataFrame([(i, x.tobytes()) for i, x in rows] + [(99, b"")], "node long, bits binary").repartition(4)
+    seen = {}
+    for i, x in rows:
+        for key in set(media.table_keys(x).ravel().tolist()):
+            seen.setdefault(key, set()).add(i)
+    got = media.key_counts(found, 10).collect()
+    common = {r.slot * media.SLOT + int(k) for r in got for k in np.flatnonzero(np.unpackbits(np.frombuffer(r.common, np.uint8)))}
+    assert common == {k for k, v in seen.items() if len(v) > 1}
+    assert {k: n for r in got for k, n in zip(r.hot, r.images, strict=True)} == {k: len(v) for k, v in seen.items() if len(v) > 10}
+    bits = np.zeros((media.TABLES << media.KEY_BITS) // 8, np.uint8)
+    for k in common:
+        bits[k >> 3] |= 1 << (7 - (k & 7))
+    kept = {(r.key, r.node) for r in media.bucket_rows(found, bits).collect()}
+    assert kept == {(k, i) for k in common for i in seen[k]}
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    """Buckets cut to many parts, and leaders to many blocks, give the classes that whole buckets give; no task gets over a part."""
+    rng = np.random.default_rng(6)
+    base = canvas_views(4)[0].astype(float)
+    rows = [(i, np.clip(np.rint(base[i % 4] + rng.normal(0, 3, (64, 64))), 0, 255).astype(np.uint8).tobytes()) for i in range(160)]
+    path = scratch(spark, "hot-images")
+    spark.createDataFrame(rows, "vec_id long, image binary").write.parquet(path)
+    images = spark.read.parquet(path)
+    plain = {r.vec_id: r.class_id for r in media.image_copies(images).collect()}
+    sizes, whole = [], media.celled
+
+    def watched(rows, bits_too=False):
+        sizes.append(rows.groupBy("key", "part").count().agg(F.max("count")).first()[0] or 0)
+        return whole(rows, bits_too)
+
+    monkeypatch.setattr(media, "celled", watched)
+    monkeypatch.setattr(media, "BUCKET_ROWS", 8)
+    assert {r.vec_id: r.class_id for r in media.image_copies(images).collect()} == plain == {i: i % 4 for i in range(160)}
+    assert len(sizes) == 2 and max(sizes) <= 24
 
 
 def test_pipeline_stages(spark):
