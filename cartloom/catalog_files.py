@@ -15,6 +15,7 @@ from cartloom.operators import rules as A
 from cartloom.plans import mine as M
 from cartloom.plans import sweeps
 from cartloom.plans.benchmark import run_benchmark
+from cartloom.plans.nested import nested_scalability
 from cartloom.sources import basket as B
 from cartloom.sources import sinks as K
 from cartloom.sources.shared import scratch
@@ -173,6 +174,12 @@ def scalability_sweep(spark, sf):
     return spark.read.schema("sample_size long, max_items long, min_support double, itemsets long, status string").json(path)
 
 
+@query(" UNION ALL ".join(f"SELECT sample_size, max_items, min_support, itemsets FROM ({_scaled(n, items, s)})" for n, items in SIZES for s in SUPPORTS))
+def scalability_nested(spark, sf):
+    """All sizes and supports from one run: samples nested by hash order, counts as vectors."""
+    return nested_scalability(spark, sf, list(SIZES), list(SUPPORTS))
+
+
 WDPA = "wdpa CWT 1p"
 
 
