@@ -9,8 +9,12 @@
    line before is that of its neighbour in the order has one line less in common with it than the
    suffix before has with its own neighbour. So only the other pairs, the irreducible ones, are compared by their
    lines: a run that is shared by two documents is compared once, not at each of its lines.
-4. A scan with a stack over each cluster's LCP intervals gives for each suffix the longest prefix
-   that an earlier suffix has too: a later copy. Of these, the maximal runs go.
+4. A scan with a stack over the LCP intervals gives for each suffix the longest prefix that an earlier
+   suffix has too: a later copy. Of these, the maximal runs go.
+
+Steps 3 and 4 work on ranges of the suffix order, so a run that a third of all documents go on from in
+different ways is no task of its own: the intervals that are open at the ends of ranges, a few for each,
+are joined by a second scan.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,26 +144,70 @@ def _suffixes(min_words: int):
     return run, "cluster long, rank long, sid long, i int, doc_id long, th long, k int, need int, reach int, prev long"
 
 
+_NEIGHBOURS = (
+    "part int, cluster long, rank long, sid long, i int, doc_id long, th long, k int, need int, p_sid long, p_i int, reach int, compare boolean, prev long, edge int"
+)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clusters come sorted; the suffix before each in its cluster (p_sid null: none), and whether their common prefix has to be compared."""
+    """Suffixes come in order, a range of the order to a task: the suffix before each in its cluster (p_sid null: none).
+
+    compare tells whether their common prefix has to be compared. The first row of a range has its neighbour in
+    another one: it comes with edge 1, its own reach and its line before (prev), and the last row comes once more
+    with edge 2.
+    """
+    part = TaskContext.get().partitionId()
     last = None
+
+    def raw(row: pa.Table, edge: int) -> pa.RecordBatch:
+        values = {c: row.column(c).combine_chunks() for c in row.column_names}
+        blank = {"p_sid": pa.nulls(1, pa.int64()), "p_i": pa.nulls(1, pa.int32()), "compare": pa.nulls(1, pa.bool_())}
+        return _rows({**values, **blank, "part": pa.array([part], pa.int32()), "edge": pa.array([edge], pa.int32())})
+
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         own = pa.Table.from_batches([batch])
-        table = pa.concat_tables([last, own]) if last is not None else own
-        first = table.num_rows - own.num_rows
-        shift = lambda c: pa.concat_arrays([pa.nulls(1 - first, table.schema.field(c).type), table.column(c).combine_chunks()[: own.num_rows - 1 + first]])
-        before = {c: shift(c) for c in ("cluster", "sid", "i", "reach", "prev")}
-        met = pc.fill_null(pc.equal(before["cluster"], batch.column("cluster")), False)
-        reducible = pc.fill_null(pc.equal(before["prev"], batch.column("prev")), False)
-        blank = lambda x: pc.if_else(met, x, pa.scalar(None, x.type))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("cluster", "rank", "sid", "i", "doc_id", "th", "k", "need")), blank(before["sid"]), blank(before["i"]),
-             pc.min_element_wise(before["reach"], batch.column("reach")), pc.and_(met, pc.invert(reducible))],
-            ["cluster", "rank", "sid", "i", "doc_id", "th", "k", "need", "p_sid", "p_i", "reach", "compare"],
-        )
-        last = own.slice(own.num_rows - 1)
+        if last is None:
+            yield raw(own.slice(0, 1), 1)
+            table = own
+        else:
+            table = pa.concat_tables([last, own])
+        size = table.num_rows - 1
+        get = lambda c, at: table.column(c).combine_chunks().slice(at, size)  # noqa: E731, B023
+        met = pc.fill_null(pc.equal(get("cluster", 0), get("cluster", 1)), False)
+        reducible = pc.fill_null(pc.equal(get("prev", 0), get("prev", 1)), False)
+        values = {c: get(c, 1) for c in ("cluster", "rank", "sid", "i", "doc_id", "th", "k", "need")}
+        before = {f"p_{c}": pc.if_else(met, get(c, 0), pa.scalar(None, get(c, 0).type)) for c in ("sid", "i")}
+        more = {"reach": pc.min_element_wise(get("reach", 0), get("reach", 1)), "compare": pc.and_(met, pc.invert(reducible)), "prev": pa.nulls(size, pa.int64())}
+        yield _rows({**values, **before, **more, "part": pa.array(np.full(size, part), pa.int32()), "edge": pa.array(np.zeros(size), pa.int32())})
+        last = own.slice(n - 1)
+    if last is not None:
+        yield raw(last, 2)
+
+
+def _rows(values: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [x.split(" ")[0] for x in _NEIGHBOURS.split(", ")]
+    return pa.RecordBatch.from_arrays([values[c] for c in names], names)
+
+
+def neighbours_in_order(suffixes: DataFrame) -> DataFrame:
+    """suffixes in ranges (part) of their order, with the suffix before each: see _neighbours. No cluster has to be in one task."""
+    order = ("cluster", "rank", "doc_id", "th", "k")
+    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEIGHBOURS), "line-neighbours")
+    # two rows for each range, however many suffixes there are
+    along = Window.orderBy("part", "edge")
+    before = F.lag(F.struct("cluster", "sid", "i", "reach", "prev")).over(along)
+    edges = rows.filter("edge > 0").withColumn("b", before).filter("edge = 1")
+    met = F.coalesce(F.col("b.cluster") == F.col("cluster"), F.lit(False))
+    changed = {
+        "p_sid": F.when(met, F.col("b.sid")), "p_i": F.when(met, F.col("b.i")), "reach": F.least("reach", "b.reach"),
+        "compare": met & ~F.coalesce(F.col("b.prev") == F.col("prev"), F.lit(False)),
+    }
+    heads = written(edges.withColumns(changed).select(*(c for c in rows.columns if c not in ("prev", "edge"))), "line-heads")
+    return rows.filter("edge = 0").drop("prev", "edge").unionByName(heads)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,41 +254,100 @@ def common_prefix(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clusters come sorted, with low (see common_prefixes); rows (sid, i, n): n lines from i on are a later copy.
+_SCANNED = "cluster long, rank long, doc_id long, th long, k int, sid long, i int, need int, low int, n int, open boolean"
 
-    The stack goes on from batch to batch, so a task holds the open intervals of one cluster alone.
-    """
-    stack: list[list] = []  # [place, row, lcp with the suffix below it on the stack, lines needed]
-    cluster = None
-    out: list[tuple] = []
 
-    def settle(top: list, lcp: int) -> None:
-        if lcp >= top[3]:
-            out.append((*top[1], lcp))
+def scan_ranges(whole: bool):
+    """A scan of suffixes that come by part and in order, with low (see common_prefixes): rows (sid, i, n), n lines from i on are a later copy.
 
-    def rows() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        got = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["sid", "i", "n"])
-        out.clear()
-        return got
+    The stack of open intervals goes on from batch to batch; low is 0 where a cluster begins. At the ends of a range
+    (part) a suffix may find an earlier one in another range. If that one could have more in common with it
+    than what the range itself gave (n), its row is open, and low is what it has in common with the open row before.
+    All others of the range have a neighbour that stands for them: one of a lesser place with the same prefix up to the end. So
+    of each range no more rows are open than twice the different lengths of prefixes, and a scan of the
+    open rows (whole) settles them.
+    """
+    names = [x.split(" ")[0] for x in _SCANNED.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split(" ")[1]] for x in _SCANNED.split(", ")]
 
-    for batch in batches:
-        for c, sid, i, doc, th, k, need, low in zip(*(batch.column(x).to_pylist() for x in ("cluster", "sid", "i", "doc_id", "th", "k", "need", "low")), strict=True):
-            if c != cluster:
-                for top in stack:
-                    settle(top, top[2])
-                stack, cluster = [], c
-            place = (doc is not None, doc or 0, th, k)
-            while stack and place < stack[-1][0]:
-                top = stack.pop()
-                settle(top, max(top[2], low))
-                low = min(low, top[2])
-            stack.append([place, (sid, i), low, need])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple] = []  # (place, row, low: lines in common with the one below it, or with what was before the range)
+        out: list[tuple] = []
+
+        def settle(row: tuple, lcp: int) -> None:
+            n = max(lcp, row[8])
+            if n >= row[7]:
+                out.append((*(None,) * 5, row[5], row[6], None, None, n, False))
+
+        def leave(row: tuple, low: int, lcp: int) -> None:
+            out.append((*row[:8], low, max(lcp, row[8]), True))
+
+        def lowest(row: tuple, low: int, right: int) -> None:
+            """No suffix of a lesser place is before it in its range."""
+            if low > right:
+                leave(row, low, right)
+            else:
+                settle(row, right)
+
+        def end(last: bool) -> None:
+            """The end of a cluster, or (last) of the range, after which the cluster may go on."""
+            if not stack:
+                return
+            ahead = [1 << 31] * len(stack)  # what each has in common with all that follow in the range
+            for i in range(len(stack) - 1, 0, -1):
+                ahead[i - 1] = min(ahead[i], stack[i][2])
+            _, row, low = stack[0]
+            if last:
+                leave(row, low, 0)
+            else:
+                lowest(row, low, 0)
+            low = 1 << 31
+            for (_, row, left), most in zip(stack[1:], ahead[1:], strict=True):
+                low = min(low, left)
+                if last and most > left:
+                    leave(row, low, left)
+                    low = 1 << 31
+                else:
+                    settle(row, left)
+            stack.clear()
+
+        def rows() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
+            out.clear()
+            return got
+
+        part = None
+        for batch in batches:
+            for at, low, *row in zip(*(batch.column(x).to_pylist() for x in ("part", "low", *names[:8], "n")), strict=True):
+                if at != part:
+                    end(not whole)
+                    part = at
+                elif not low:
+                    end(False)
+                doc, th, k = row[2:5]
+                place = (doc is not None, doc or 0, th, k)
+                while stack and place < stack[-1][0]:
+                    _, top, below = stack.pop()
+                    if stack:
+                        settle(top, max(below, low))
+                    else:
+                        lowest(top, below, low)
+                    low = min(low, below)
+                stack.append((place, tuple(row), low))
+            yield rows()
+        end(not whole)
         yield rows()
-    for top in stack:
-        settle(top, top[2])
-    yield rows()
+
+    return run
+
+
+def later_copies(placed: DataFrame) -> DataFrame:
+    """From suffixes with part and low: sid, i and n, the longest prefix of at least need lines that an earlier suffix has too."""
+    order = ("cluster", "rank", "doc_id", "th", "k")
+    mine = placed.withColumn("n", F.lit(0)).repartition("part").sortWithinPartitions("part", *order)
+    scanned = written(mine.mapInArrow(scan_ranges(False), _SCANNED), "line-scanned")
+    open_rows = scanned.filter("open").withColumn("part", F.lit(0)).repartition("cluster").sortWithinPartitions(*order)
+    return scanned.filter("NOT open").select("sid", "i", "n").unionByName(open_rows.mapInArrow(scan_ranges(True), _SCANNED).select("sid", "i", "n"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -263,11 +371,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = suffix_ranks(distinct.select("sid", "ids"))
     cut, kinds = _suffixes(min_words)
     suffixes = distinct.drop("lines").join(ranks, "sid").mapInArrow(cut, kinds)
-    order = ("cluster", "rank", "doc_id", "th", "k")
-    kinds = "cluster long, rank long, sid long, i int, doc_id long, th long, k int, need int, p_sid long, p_i int, reach int, compare boolean"
-    neighbours = written(suffixes.repartition("cluster").sortWithinPartitions(*order).mapInArrow(_neighbours, kinds), "line-neighbours")
-    placed = common_prefixes(neighbours, distinct).select(*order, "sid", "i", "need", "low")
-    found = placed.repartition("cluster").sortWithinPartitions(*order).mapInArrow(_scan, "sid long, i int, n int")
+    neighbours = neighbours_in_order(suffixes)
+    found = later_copies(common_prefixes(neighbours, distinct).select("part", "cluster", "rank", "doc_id", "th", "k", "sid", "i", "need", "low"))
     covered = F.max(F.col("i") + F.col("n")).over(Window.partitionBy("sid").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     maximal = found.withColumn("c", covered).filter("c IS NULL OR i + n > c")
     # back from numbers in a stretch to lines

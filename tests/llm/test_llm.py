@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -321,6 +323,51 @@ def test_earlier_prefixes():
     assert dict(zip(order, line_dedup.earlier_prefixes(order, lcps), strict=True)) == {0: 0, 1: 0, 2: 3, 3: 2, 4: 1}
 
 
+def test_scan_of_ranges_equals_scan_of_whole_clusters():
+    """Open intervals at the ends of ranges are joined, and few rows stay open."""
+    names = ("part", "cluster", "rank", "doc_id", "th", "k", "sid", "i", "need", "low", "n")
+    rng = random.Random(5)
+    for trial in range(150):
+        alphabet = rng.choice(("ab", "abc"))
+        texts = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 60))})
+        places = rng.sample(range(1000), len(texts)) if trial % 3 else sorted(rng.sample(range(1000), len(texts)), reverse=trial % 2)
+        need = 1
+        lows = [0] + [len(os.path.commonprefix(x)) for x in zip(texts, texts[1:], strict=False)]
+        cuts = sorted(rng.randrange(len(texts) + 1) for _ in range(rng.randrange(0, 6)))
+        rows = [(sum(c <= n for c in cuts), ord(x[0]), n, p, 0, 0, p, 0, need, low, 0) for n, (x, p, low) in enumerate(zip(texts, places, lows, strict=True))]
+
+        def scanned(rows, whole):
+            batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + 7]]) for a in range(0, len(rows), 7)]
+            return [r for b in line_dedup.scan_ranges(whole)(batches) for r in b.to_pylist()]
+
+        first = scanned(rows, False)
+        left = sorted((r for r in first if r["open"]), key=lambda r: r["rank"])
+        second = scanned([(0, *(r[c] for c in names[1:])) for r in left], True)
+        assert not any(r["open"] for r in second)
+        got = {r["sid"]: r["n"] for r in [*first, *second] if not r["open"]}
+        assert len(got) == sum(not r["open"] for r in [*first, *second])
+        want = line_dedup.earlier_prefixes(places, lows)
+        assert got == {p: n for p, n in zip(places, want, strict=True) if n >= need}
+        assert len(left) <= (len(cuts) + 1) * 2 * 9
+
+
+def test_line_dedup_of_a_run_with_very_many_continuations(spark):
+    """One run that all documents begin with: its suffixes are in all ranges, none of which has most of them."""
+    rng = random.Random(17)
+    head = [words(rng, 9, 10**6) for _ in range(3)]
+    pool = [words(rng, 9, 10**6) for _ in range(5)]
+    rows = [(i, "\n".join(head + [rng.choice(pool) for _ in range(rng.randrange(1, 6))])) for i in range(400)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs_of(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_lines(rows, line_dedup.MIN_WORDS)
+    suffixes = spark.range(4000).selectExpr(
+        "IF(id % 10 = 0, id, 7) cluster", "id rank", "id sid", "0 i", "id doc_id", "0L th", "0 k", "3 need", "4 reach", "CAST(NULL AS BIGINT) prev"
+    ).withColumn("i", F.col("i").cast("int"))
+    placed = line_dedup.neighbours_in_order(suffixes)
+    assert placed.count() == 4000 and placed.filter("cluster = 7 AND p_sid IS NULL").count() == 1
+    assert placed.filter("p_sid IS NOT NULL").filter("compare").count() == 3599
+    assert max(r["count"] for r in placed.groupBy("part").count().collect()) < 0.45 * 4000  # of four ranges
+
+
 def test_line_dedup_edges(spark, edge, empty):
     got = line_dedup.drop_repeated_lines(edge)
     assert got.columns == [*edge.columns, "n_deleted"] and got.count() == edge.count()
