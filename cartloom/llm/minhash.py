@@ -32,6 +32,8 @@ K = BANDS * BAND_ROWS
 DRAWN, TURNS = 4, 3
 #: Counters of how many open documents have a unit region. They only order the regions, so a shared counter costs time, not links.
 COUNTERS = 1 << 18
+#: Rows of a unit region that a task compares with as many others, and bits of a document's parity mark.
+UNIT_ROWS, MARK_BITS = 20_000, 512
 #: So many darts in expectation: with K ln K + 2 K few coordinates stay empty, and those get a second throw.
 DARTS = K * np.log(K) + 2 * K
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -194,10 +196,12 @@ def bridges(buckets: DataFrame, roots: DataFrame, tested: DataFrame, turn: int)
 
 
 def prefix_rows(regions: DataFrame, opened: DataFrame, threshold: float) -> DataFrame:
-    """unit, node, root, size and rest for the rarest unit regions of opened (node, root), enough of them for any link.
+    """unit, node, root, size, rest and mark for the rarest unit regions of opened (node, root), enough of them for any link.
 
     The regions of all documents are in one order, rare ones first. rest is how many of its size regions a document
     has from this one on: two documents whose first common region this is have no more than the smaller rest in common.
+    mark has a bit for each class of regions, which tells if the document has an odd number of them: where two marks
+    differ, there is a region that only one of the documents has.
     """
     own = regions.join(opened, "node")
     spot = F.pmod(F.col("unit"), F.lit(COUNTERS)).cast("int").alias("spot")
@@ -211,70 +215,95 @@ def prefix_rows(regions: DataFrame, opened: DataFrame, threshold: float) -> Data
                 x = x.values.to_numpy()
                 often = counters[x % COUNTERS]
                 order = np.lexsort((x, often))
+                mark = np.packbits((np.bincount((x >> 20) % MARK_BITS, minlength=MARK_BITS) & 1).astype(bool)).tobytes()
                 rest = len(x) - np.arange(len(x))
                 order = order[rest >= threshold * len(x) - 1e-6]
                 chosen = often[order] > 1  # the others are in one document
                 order, rest = order[chosen], rest[: len(order)][chosen]
                 n = len(order)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[order]), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(np.full(n, len(x))), pa.array(rest)], ["unit", "node", "root", "size", "rest"]
+                    [pa.array(x[order]), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(np.full(n, len(x))), pa.array(rest), pa.array([mark] * n, pa.binary())],
+                    ["unit", "node", "root", "size", "rest", "mark"],
                 )
 
-    return own.select("node", "root", "units").mapInArrow(run, "unit long, node long, root long, size long, rest long")
+    return own.select("node", "root", "units").mapInArrow(run, "unit long, node long, root long, size long, rest long, mark binary")
 
 
-def pairs_of_unit(node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_unit(
+    node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray, side: np.ndarray, mark: np.ndarray, threshold: float
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of the documents of a unit region that are of two components and, if it is their first common one, can be a link.
 
     A link of sizes s and t has threshold / (1 + threshold) * (s + t) regions in common or more, so its shorter
     document has a rest of twice that share of its size. Pairs have such a document, and one outside of the largest
-    component: the fewer of these are walked.
+    component: the fewer of these are walked. A link has (1 - threshold) / (1 + threshold) * (s + t) regions
+    at most that only one of its documents has, so its marks differ in no more bits. If there are two sides, a pair has one of each.
     """
     share = threshold / (1 + threshold)
     able = np.flatnonzero(rest >= 2 * share * size - 1e-6)
     values, counts = np.unique(root, return_counts=True)
     minor = np.flatnonzero(root != values[counts.argmax()])
+    apart = side.min() < side.max()
     got = []
     for i in able if len(able) < len(minor) else minor:
-        j = np.flatnonzero((root != root[i]) & (np.minimum(rest[i], rest) >= share * (size[i] + size) - 1e-6))
+        can = (root != root[i]) & (np.minimum(rest[i], rest) >= share * (size[i] + size) - 1e-6)
+        j = np.flatnonzero(can & (side != side[i]) if apart else can)
+        j = j[np.bitwise_count(mark[j] ^ mark[i]).sum(1) <= (1 - 2 * share) * (size[i] + size[j]) + 1e-6]
         if len(j):
             got.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
     return got
 
 
-def left_pairs(buckets: DataFrame, roots: DataFrame, regions: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+def in_unit_blocks(rows: DataFrame, unit_rows: int) -> DataFrame:
+    """rows of prefix_rows with lo, hi and side: what a task compares has one unit, lo and hi.
+
+    A unit of more than unit_rows rows is dealt to blocks by the hash of the node, side being a row's own. Each two
+    blocks, lo and hi, meet once, and each block itself (lo = hi), so each pair of rows of a unit meets, in one task.
+    """
+    many = rows.groupBy("unit").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("blocks")).filter("blocks > 1")
+    sided = rows.join(written(many, "dart-hot-units"), "unit", "left").withColumn("side", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")))
+    other = sided.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1)))
+    return other.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("blocks", "other")
+
+
+def left_pairs(buckets: DataFrame, roots: DataFrame, regions: DataFrame, tested: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """All untested pairs that can be links between the components that a bucket still holds."""
     of = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     opened = written(of.join(several, "key").select("node", "root").distinct(), "dart-open")
+    names = ("unit", "lo", "hi", "node", "root", "size", "rest", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("unit", "node", "root", "size", "rest")
-
-        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            unit, node, root, size, rest = np.concatenate(parts, 1)
-            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            rows, mark = np.concatenate([x for x, _ in parts], 1), np.concatenate([x for _, x in parts])
+            starts = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
+            node, root, size, rest, side = rows[3:]
             able = rest >= 2 * threshold / (1 + threshold) * size - 1e-6
             mixed = (np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)) & np.logical_or.reduceat(able, starts)
-            for a, b in zip(starts[mixed], np.append(starts[1:], len(unit))[mixed], strict=True):
-                for x, y in pairs_of_unit(node[a:b], root[a:b], size[a:b], rest[a:b], threshold):
+            mixed &= (rows[1] == rows[2])[starts] | (np.minimum.reduceat(side, starts) < np.maximum.reduceat(side, starts))
+            for a, b in zip(starts[mixed], np.append(starts[1:], len(root))[mixed], strict=True):
+                for x, y in pairs_of_unit(node[a:b], root[a:b], size[a:b], rest[a:b], side[a:b], mark[a:b], threshold):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-        held: list[np.ndarray] = []  # of the last unit, whose rows may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last unit and blocks, whose rows may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy() for c in names])
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))
-            if cut or (held and held[0][0, 0] != rows[0, 0]):
-                if held or cut:
-                    yield from out([*held, rows[:, :cut]])
+            mark = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            cut = int((rows[:3] != rows[:3, -1:]).any(0).sum())  # rows are sorted, so the last group is at the end
+            if held and (cut or (held[0][0][:3, 0] != rows[:3, 0]).any()):
+                yield from out([*held, (rows[:, :cut], mark[:cut])])
                 held = []
-            held.append(rows[:, cut:])
+            elif cut:
+                yield from out([(rows[:, :cut], mark[:cut])])
+            held.append((rows[:, cut:], mark[cut:]))
         if held:
             yield from out(held)
 
-    rows = prefix_rows(regions, opened, threshold).repartition("unit").sortWithinPartitions("unit")
+    key = ("unit", "lo", "hi")
+    rows = in_unit_blocks(written(prefix_rows(regions, opened, threshold), "dart-prefixes"), unit_rows)
+    rows = rows.select(*names, "mark").repartition(*key).sortWithinPartitions(*key)
     return rows.mapInArrow(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 

@@ -323,6 +323,50 @@ def test_earlier_prefixes():
     assert dict(zip(order, line_dedup.earlier_prefixes(order, lcps), strict=True)) == {0: 0, 1: 0, 2: 3, 3: 2, 4: 1}
 
 
+def left_pairs_of(spark, texts, root_of, unit_rows):
+    """Pairs of the last join if all texts are of one bucket, and the similarities of all pairs of two components, by brute force."""
+    docs = docs_of(spark, list(enumerate(texts)))
+    regions = minhash.regions_of(docs, docs.select("doc_id"))
+    sets = {r.node: set(r.units) for r in regions.collect()}
+    hashes = minhash.WordHashes()
+    number = {frozenset(minhash.unit_regions(t.encode().split(), hashes).view(np.int64).tolist()): i for i, t in enumerate(texts)}
+    root = {node: root_of(number[frozenset(x)]) for node, x in sets.items()}
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    buckets = regions.select("node", F.lit(1).alias("key"))
+    found = minhash.left_pairs(buckets, roots, regions, spark.createDataFrame([], "a long, b long"), 0.8, unit_rows)
+    got = {(r.a, r.b) for r in found.collect()}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if b < a and root[a] != root[b]}
+    return got, likeness
+
+
+def test_last_join_of_near_duplicates_in_blocks(spark):
+    """Units dealt to blocks lose no link, whatever the size of the blocks."""
+    rng = random.Random(31)
+    base = words(rng, 90, 10**6).split()
+
+    def edited(n):
+        text = list(base)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = words(rng, 1, 10**6)
+        return " ".join(text[: rng.randrange(80, 91)])
+
+    texts = [edited(rng.randrange(4)) for _ in range(80)]
+    for unit_rows in (3, 16, minhash.UNIT_ROWS):
+        got, likeness = left_pairs_of(spark, texts, lambda i: i, unit_rows)
+        links = {x for x, v in likeness.items() if v >= 0.8}
+        assert len(links) > 100 and links <= got <= set(likeness)
+
+
+def test_last_join_leaves_out_families_below_the_threshold(spark):
+    """Two families of texts whose likeness is just under 0.8: the marks rule their pairs out before these leave the task."""
+    rng = random.Random(37)
+    common, own = words(rng, 260, 10**6).split(), [words(rng, 40, 10**6).split() for _ in range(2)]
+    texts = [" ".join(common[:100] + own[i % 2] + common[100:] + [words(rng, 1, 10**6)]) for i in range(80)]
+    got, likeness = left_pairs_of(spark, texts, lambda i: i % 2, 32)
+    assert len(likeness) == 1600 and all(0.7 < v < 0.8 for v in likeness.values())
+    assert len(got) < 160
+
+
 def test_scan_of_ranges_equals_scan_of_whole_clusters():
     """Open intervals at the ends of ranges are joined, and few rows stay open."""
     names = ("part", "cluster", "rank", "doc_id", "th", "k", "sid", "i", "need", "low", "n")
