@@ -5,7 +5,9 @@
 2. Hamming tables: each table keys a descriptor by KEY_BITS bits of its own choice, so descriptors that
    differ in few bits meet in some table, however many images there are. A bucket is cut to cells by
    the whole descriptors: the first one without a leader within CELL_DISTANCE leads a new cell, the
-   others join theirs. An image is a candidate with the leaders of its cells, never all with all.
+   others join theirs. An image is first a candidate with the leaders of its cells alone, which joins large
+   groups of copies without comparing all with all. Then all descriptors of a bucket within CELL_DISTANCE meet
+   whose images are still in different classes, so no link between classes depends on who leads.
 3. Geometric consensus: descriptors of a candidate pair are matched by Hamming distance; each match
    implies a similarity transform, and the pair holds if enough matches agree with one.
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import components, written
+from cartloom.llm.common import components, joined_components, written
 
 SIDE = 64
 SCALES = ((1.0, 20), (0.75, 12), (0.5, 6))  # of the image, with the most corners kept on each
@@ -215,11 +217,15 @@ def image_features(images: DataFrame) -> DataFrame:
     return images.select("node", "image", "height", "width").mapInArrow(run, "node long, spots binary, bits binary")
 
 
+def _corners(batch: pa.RecordBatch) -> list[int]:
+    """The number of corners of each image of a batch (bits)."""
+    return [len(x) // (BITS // 8) for x in batch.column("bits").to_pylist()]
+
+
 def _descriptors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """node and descriptor (4 unsigned longs) of each corner of a batch (node, bits)."""
-    blobs = batch.column("bits").to_pylist()
-    bits = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, BITS // 64)
-    return np.repeat(batch.column("node").to_numpy(), [len(x) // (BITS // 8) for x in blobs]), bits
+    bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    return np.repeat(batch.column("node").to_numpy(), _corners(batch)), bits
 
 
 def key_counts(found: DataFrame, limit: int) -> DataFrame:
@@ -269,17 +275,49 @@ def key_counts(found: DataFrame, limit: int) -> DataFrame:
 
 
 def bucket_rows(found: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, node and descriptor d for each descriptor of found (node, bits) and table whose key has its bit in common."""
+    """key, node and descriptor d for each descriptor of found (node, bits) and table whose key has its bit in common; also root, if found has it."""
+    rooted = "root" in found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, bits = _descriptors(batch)
+            roots = np.repeat(batch.column("root").to_numpy(), _corners(batch)) if rooted else None
             for keys in table_keys(bits):
                 at = np.flatnonzero(common[keys >> 3] >> (7 - (keys & 7)).astype(np.uint8) & 1)
                 d = pa.Array.from_buffers(pa.binary(BITS // 8), len(at), [None, pa.py_buffer(bits[at].tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at], pa.int64()), d], ["key", "node", "d"])
+                more = [pa.array(roots[at], pa.int64())] if rooted else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at], pa.int64()), d, *more], ["key", "node", "d", "root"][: 3 + rooted])
+
+    return found.select("node", "bits", *["root"] * rooted).mapInArrow(run, "key long, node long, d binary" + ", root long" * rooted)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """columns (key, part, further numbers) and descriptors d of whole groups of key and part; a batch's last one may go on in the next."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(c).to_numpy() for c in columns]
+        key, part = numbers[:2]
+        bits = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        same = (key == key[-1]) & (part == part[-1])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        rows = (*numbers, bits)
+        if held and (held[0][0][0], held[0][1][0]) != (key[0], part[0]):
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        if cut:
+            yield tuple(np.concatenate(x) for x in zip(*held, [y[:cut] for y in rows], strict=True))
+            held = []
+        held.append(tuple(y[cut:] for y in rows))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-    return found.select("node", "bits").mapInArrow(run, "key long, node long, d binary")
+
+def _cuts(key: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each group of key and part begins and ends."""
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+    return zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True)
 
 
 def celled(rows: DataFrame, bits_too: bool = False) -> DataFrame:
@@ -288,32 +326,10 @@ def celled(rows: DataFrame, bits_too: bool = False) -> DataFrame:
     A part of a bucket is held in one task. The least node of a cell's first descriptors leads, so the same images lead in many buckets.
     """
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """key, part, node and descriptors of whole groups; a batch's last one may go on in the next."""
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, part, node = (batch.column(c).to_numpy() for c in ("key", "part", "node"))
-            bits = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            same = (key == key[-1]) & (part == part[-1])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            rows = (key, part, node, bits)
-            if held and (held[0][0][0], held[0][1][0]) != (key[0], part[0]):
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
-            if cut:
-                yield tuple(np.concatenate(x) for x in zip(*held, [y[:cut] for y in rows], strict=True))
-                held = []
-            held.append(tuple(y[cut:] for y in rows))
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, node, bits in groups(batches):
-            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        for key, part, node, bits in _groups(batches, ("key", "part", "node")):
             leader, far = np.arange(len(key)), np.zeros(len(key), np.int32)
-            for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+            for a, b in _cuts(key, part):
                 if b - a > 1:
                     of, far[a:b] = cells(bits[a:b])
                     leader[a:b] = a + of
@@ -325,8 +341,14 @@ def celled(rows: DataFrame, bits_too: bool = False) -> DataFrame:
     return ordered.mapInArrow(run, "key long, node long, leader long, far int, d binary")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of images one of which leads a cell of the other: LEAST_VOTES cells or more, or one with descriptors within SURE_DISTANCE.
+def _voted(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, far) that met LEAST_VOTES times or more, or once within SURE_DISTANCE."""
+    votes = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("far").alias("far"))
+    return votes.filter((F.col("n") >= LEAST_VOTES) | (F.col("far") <= SURE_DISTANCE)).select("a", "b")
+
+
+def led(found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """key, node, leader and far for each descriptor of found that joins another image's cell; and the hot buckets (key, images), None if there are none.
 
     A hot bucket is cut to parts of at most BUCKET_ROWS images or so. Its parts' leaders are dealt to blocks, and each two
     blocks meet in a task of their own, so any two of them meet and no task holds more than it does at first.
@@ -337,12 +359,12 @@ def candidates(found: DataFrame) -> DataFrame:
     for slot, bits in zip(known["slot"].to_pylist(), known["common"].to_pylist(), strict=True):
         common[slot] = np.frombuffer(bits, np.uint8)
     rows = bucket_rows(found, common.ravel())
-    hot = counts.select(F.explode(F.arrays_zip("hot", "images")).alias("x")).select(F.col("x.hot").alias("key"), F.ceil(F.col("x.images") / BUCKET_ROWS).alias("parts"))
+    hot = counts.select(F.explode(F.arrays_zip("hot", "images")).alias("x")).select(F.col("x.hot").alias("key"), F.col("x.images").alias("images"))
     if hot.isEmpty():
-        met = celled(rows.withColumn("part", F.lit(0).cast("long")))
+        met, hot = celled(rows.withColumn("part", F.lit(0).cast("long"))), None
     else:
         hot = written(hot, "image-hot")
-        part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long"))
+        part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("images") / BUCKET_ROWS)), F.lit(0).cast("long"))
         first = written(celled(rows.join(hot, "key", "left").select("key", part.alias("part"), "node", "d"), True), "image-cells")
         leaders = first.filter("d IS NOT NULL").select("key", "node", "d").join(hot.select("key"), "key", "left_semi")
         sizes = written(leaders.groupBy("key").agg(F.ceil(F.count("*") * 2 / BUCKET_ROWS).alias("blocks")), "image-leaders")
@@ -350,9 +372,88 @@ def candidates(found: DataFrame) -> DataFrame:
         placed = leaders.join(sizes, "key").withColumn("own", own).withColumn("to", to).filter("blocks = 1 OR own <> to")
         again = placed.select("key", (F.least("own", "to") * F.col("blocks") + F.greatest("own", "to")).alias("part"), "node", "d")
         met = first.drop("d").unionByName(celled(again).drop("d"))
-    met = met.filter("node <> leader")
-    votes = met.groupBy(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).agg(F.count("*").alias("n"), F.min("far").alias("far"))
-    return votes.filter((F.col("n") >= LEAST_VOTES) | (F.col("far") <= SURE_DISTANCE)).select("a", "b")
+    return written(met.filter("node <> leader").select("key", "node", "leader", "far"), "image-led"), hot
+
+
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bit for each key of keys (key), as bucket_rows takes them: 8 MB for any number of keys."""
+    bits = np.zeros(((TABLES << KEY_BITS) // 32768, 4096), np.uint8)
+    own = keys.groupBy(F.shiftright("key", 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit(32767))).alias("bm")).toArrow()
+    for at, bm in zip(own["at"].to_pylist(), own["bm"].to_pylist(), strict=True):
+        bits[at] = np.packbits(np.unpackbits(np.frombuffer(bm, np.uint8), bitorder="little"))
+    return bits.ravel()
+
+
+def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """a, b and far for each two descriptors of a bucket of rows (key, node, root, d) within CELL_DISTANCE whose images have different roots; b < a.
+
+    A hot bucket of several roots is dealt to blocks of BUCKET_ROWS / 2 images or so, and each two blocks meet in a task of
+    their own. Rows of one root lie together, so those of a large class are compared with the others' alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, root, node, own, bits in _groups(batches, ("key", "part", "root", "node", "own")):
+            found: list[tuple[np.ndarray, ...]] = []
+            for start, end in _cuts(key, part):
+                if root[start] == root[end - 1]:  # sorted by root
+                    continue
+                cross = own[start:end].min() != own[start:end].max()  # of two blocks, which meet themselves elsewhere
+                for i in range(start, end, 256):
+                    i_end = min(i + 256, end)
+                    # further rows of the class of these all are nothing to them
+                    first = int(np.searchsorted(root[start:end], root[i], side="right")) + start if root[i] == root[i_end - 1] else i
+                    for j in range(first, end, 4096):
+                        j_end = min(j + 4096, end)
+                        near = distances(bits[i:i_end], bits[j:j_end])
+                        ok = (near <= CELL_DISTANCE) & (root[i:i_end, None] < root[None, j:j_end])
+                        if cross:
+                            ok &= own[i:i_end, None] != own[None, j:j_end]
+                        x, y = np.nonzero(ok)
+                        if len(x):
+                            found.append((node[i + x], node[j + y], near[x, y]))
+                    if sum(len(x[0]) for x in found) > 100_000:
+                        yield out(found)
+                        found = []
+            if found:
+                yield out(found)
+
+    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, y, far = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(far, pa.int32())], ["a", "b", "far"])
+
+    zero = F.lit(0).cast("long")
+    if hot is None:
+        dealt = rows.withColumn("part", zero).withColumn("own", zero)
+    else:
+        mixed = rows.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("images").alias("images")).filter("low < high")
+        blocks = written(mixed.select("key", F.ceil(F.col("images") * 2 / BUCKET_ROWS).alias("blocks")), "image-mixed")
+        cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("part", zero).withColumn("own", zero)
+        own, to = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(zero, F.col("blocks") - 1))
+        placed = rows.join(F.broadcast(blocks), "key").withColumn("own", own).withColumn("to", to)
+        dealt = cold.unionByName(placed.select(*rows.columns, (F.least("own", "to") * F.col("blocks") + F.greatest("own", "to")).alias("part"), "own"))
+    ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "root", "node", "d")
+    return ordered.mapInArrow(run, "a long, b long, far int")
+
+
+def image_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between images of found (node, spots, bits), and the roots (node, root) of those with links.
+
+    Pairs that meet in buckets and pass the consensus are links. Images are compared with their cells' leaders
+    first, and then, exactly, with all images of the buckets that are not in their class by then; so the
+    classes are those of all such links, while inside a class links are those that were looked at.
+    """
+    members, hot = led(found)
+    a, b = F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
+    tested = written(matched(written(_voted(members.select(a, b, "far")), "image-pairs"), found), "image-matched")
+    links = tested.filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b")
+    roots = written(components(links, "image-components"), "image-joined")
+    # where no descriptor joined a cell, none of the bucket are within CELL_DISTANCE
+    rooted = found.select("node", "bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _voted(between_classes(bucket_rows(rooted, marked(members.select("key"))), hot)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(matched(written(rest, "image-rest"), found), "image-rest-matched").filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b")
+    if more.isEmpty():
+        return links, roots
+    return links.unionByName(more), joined_components(roots, more, "image-rest-components")
 
 
 def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -374,8 +475,8 @@ def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def image_copies(images: DataFrame, side: int = SIDE) -> DataFrame:
     """A row for each image of images (vec_id, image, and height and width if they differ): vec_id, class_id, n_links.
 
-    class_id is the least vec_id of its copies, n_links the number of links that were found between its
-    content and other contents. Equal images of one shape are one content. Images whose bytes aren't
+    class_id is the least vec_id of its copies: of all images that links join, see image_links. n_links is the number
+    of links that were looked at between its content and other contents, not of all pairs of its class. Equal images of one shape are one content. Images whose bytes aren't
     height * width (side * side without these columns), null ones and plain ones have no corners; they
     are copies of equal bytes alone. Rows with a null vec_id get the class of their content. No images
     give no rows; further columns are not read.
@@ -386,9 +487,7 @@ def image_copies(images: DataFrame, side: int = SIDE) -> DataFrame:
     keyed_rows = rows.withColumn("node", F.xxhash64("image", "height", "width"))
     named = written(keyed_rows.select("vec_id", "node"), "images")
     found = written(image_features(keyed_rows).dropDuplicates(["node"]), "image-features")  # features are shuffled, images aren't
-    tested = written(matched(written(candidates(found), "image-pairs"), found), "image-matched")
-    links = tested.filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b")
-    roots = components(links, "image-components")
+    links, roots = image_links(found)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     own = written(named.groupBy("node").agg(F.min("vec_id").alias("vec_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "image-roots")
     least = written(own.groupBy("root").agg(F.min("vec_id").alias("class_id")), "image-least")

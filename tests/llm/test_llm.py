@@ -804,6 +804,25 @@ def test_hot_buckets_are_split(spark, monkeypatch):
     assert len(sizes) == 2 and max(sizes) <= 24
 
 
+@pytest.mark.parametrize("limit", [media.BUCKET_ROWS, 6])
+def test_images_are_compared_beyond_the_leaders_of_their_cells(spark, monkeypatch, limit):
+    """All images have like descriptors, so one leads all cells, but it has another geometry: the others are only found with each other."""
+    rng = np.random.default_rng(12)
+    images = spark.createDataFrame([(i, bytes([i]) * 4096) for i in range(12)], "vec_id long, image binary")
+    nodes = [r.node for r in images.select(F.xxhash64("image", F.lit(media.SIDE), F.lit(media.SIDE)).alias("node")).orderBy("node").collect()]
+    ids = {r.node: r.vec_id for r in images.select("vec_id", F.xxhash64("image", F.lit(media.SIDE), F.lit(media.SIDE)).alias("node")).collect()}
+    places = [np.stack([rng.uniform(0, 64, 12), rng.uniform(0, 64, 12), np.ones(12), rng.uniform(-3, 3, 12)], 1).astype("<f2") for _ in nodes]
+    bits = rng.integers(0, 2**63, (12, 4)).astype(np.uint64)
+    for x, y in ((8, 3), (9, 6), (10, 3), (11, 3)):  # in the order of nodes: copies by geometry
+        places[x] = places[y]
+    rows = [(n, x.tobytes(), bits.tobytes()) for n, x in zip(nodes, places, strict=True)]
+    monkeypatch.setattr(media, "image_features", lambda _: spark.createDataFrame(rows, "node long, spots binary, bits binary"))
+    monkeypatch.setattr(media, "BUCKET_ROWS", limit)
+    got = {r.vec_id: r.class_id for r in media.image_copies(images).collect()}
+    classes = [[3, 8, 10, 11], [6, 9], *([x] for x in (0, 1, 2, 4, 5, 7))]
+    assert got == {ids[nodes[i]]: min(ids[nodes[j]] for j in own) for own in classes for i in own}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
