@@ -357,3 +357,13 @@ def test_rules_of_large_itemsets(spark):
     sets += [(20, whole[1:], 0.5), (1, [0], 0.8)]
     rules = A.association_rules(spark.createDataFrame(sets, kind)).collect()
     assert [(list(r.antecedent), list(r.consequent), r.confidence, r.lift) for r in rules] == [(whole[1:], [0], 1.0, 1.25)]
+
+
+def test_one_hot_rows_take_one_aggregate(spark):
+    """No pairs are grouped on the way to the matrix; repeated rows, more items than a long has bits, unknown and null ones."""
+    rows = [(o, i) for o in range(1, 9) for i in range(1, 140) if (o * i) % 7 < 2] * 2 + [(9, 500), (10, None)]
+    wide = E.basket_matrix(spark.createDataFrame(rows, "order_id long, item long"), list(range(1, 140)))
+    want = {o: [int((o, i) in set(rows)) for i in range(1, 140)] for o in range(1, 11)}
+    assert {r[0]: list(r[1:]) for r in wide.collect()} == want
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
