@@ -367,3 +367,11 @@ def test_one_hot_rows_take_one_aggregate(spark):
     assert {r[0]: list(r[1:]) for r in wide.collect()} == want
     plan = wide._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_fpgrowth_groups_orders_once(spark, demo, tmp_path):
+    """Its itemsets are a table: reading them doesn't group the orders again, and repeated rows count once."""
+    found = M.mine_fpgrowth(demo.unionByName(demo), 0.5, "floor")
+    assert sets(found) == FREQUENT
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "RDD" not in plan
