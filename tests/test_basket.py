@@ -375,3 +375,17 @@ def test_fpgrowth_groups_orders_once(spark, demo, tmp_path):
     assert sets(found) == FREQUENT
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "RDD" not in plan
+
+
+def test_runs_share_held_orders(spark, demo):
+    """Pairs held by order are the distinct ones, orders of nulls stay, and miners group them without a shuffle; the density makes no copies of rows."""
+    rows = demo.unionByName(demo).unionByName(spark.createDataFrame([(99, None)], demo.schema))
+    whole, pairs = E.held_orders(rows)
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in rows.collect()} and pairs.count() == rows.distinct().count()
+    assert "Exchange" not in E.transactions(pairs)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0].split("InMemoryRelation")[0]
+    whole.unpersist()
+    density = E.matrix_density(demo)
+    assert "Expand" not in density._jdf.queryExecution().optimizedPlan().toString()
+    got, pairs = density.first(), {tuple(r) for r in demo.collect()}
+    assert (got.orders, got["items"], got.ones) == (len({o for o, _ in pairs}), len({i for _, i in pairs}), len(pairs))
+    assert E.matrix_density(demo.limit(0)).first().ones == 0
