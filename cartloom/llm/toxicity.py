@@ -218,7 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rate = {y: ((sums[y].hits or 0 if y in sums else 0) + 0.5) / (words[y] + 1) for y in (0, 1)}
     model.other = min(-1e-3, math.log((1 - min(rate[1], 0.5)) / (1 - min(rate[0], 0.5))))
     clean = found.filter("toxic = 0")
-    chance = {r.s: r["count"] for r in clean.select(F.explode("score").alias("s")).groupBy(F.round("s", 2).alias("s")).count().collect()}
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            seen.update(dict(zip(*(x.tolist() for x in np.unique(batch.column("score").flatten().to_numpy(), return_counts=True)), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], ["s", "n"])
+
+    # a task passes on how often it has each score, of which there are no more than tokens
+    chance = {r.s: r.n for r in clean.select("score").mapInArrow(tally, "s double, n long").groupBy(F.round("s", 2).alias("s")).agg(F.sum("n").alias("n")).collect()}
     typical = sorted(set(round(s, 2) for s in tokens.values()))
     rates = np.array([(chance.get(s, 0) + 0.5 / max(len(typical), 1)) / (words[0] + 1) for s in typical])
     if typical:

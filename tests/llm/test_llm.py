@@ -875,3 +875,21 @@ def test_near_duplicate_stage_keeps_one(spark):
 def test_queries_cover_all_documents(spark, name):
     want = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()} == want
+
+
+def test_calibration_counts_scores_in_the_tasks(spark, monkeypatch):
+    """A row for each score of a task, not for each scored word; the chance rates are those of all words."""
+    words = ["awful", "vile", "nasty", "table", "river", "stone"]
+    docs = spark.createDataFrame([(i, " ".join([*(words[:3] * 40 if i % 2 else words[3:] * 40), str(i)])) for i in range(600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+
+    def none(*_):
+        raise AssertionError("a row for each word")
+
+    seen, root = [], toxicity.root_decay
+    monkeypatch.setattr(toxicity.F, "explode", none)
+    monkeypatch.setattr(toxicity, "root_decay", lambda scores, rates, other: seen.append((scores, rates)) or root(scores, rates, other))
+    model = toxicity.fit(docs, labels)
+    scores, rates = seen[0]
+    clean = {round(toxicity.WordScores(model.tokens)[w], 2) for w in words[3:]}
+    assert sum(r for s, r in zip(scores, rates, strict=True) if s in clean) == pytest.approx(1, abs=0.01)
