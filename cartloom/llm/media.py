@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import components, joined_components, written
+from cartloom.sources.shared import shuffles_dropped
 
 SIDE = 64
 SCALES = ((1.0, 20), (0.75, 12), (0.5, 6))  # of the image, with the most corners kept on each
@@ -43,6 +44,10 @@ CELL_DISTANCE, SURE_DISTANCE = 30, 22
 MOST_SIDE, LEAST_SIDE = 512, 24
 #: Images of a bucket that go to one task; larger ones are cut to parts, and then the parts' leaders meet, two blocks of them in a task.
 BUCKET_ROWS = 50_000
+#: Bytes of features of a block of images; a task that compares pairs holds two of these.
+MATCHED_BYTES = 16 << 20
+#: Meetings that a task holds before it passes them on.
+HELD_MEETINGS = 1_000_000
 #: Keys of a slot, which are counted together, and keys that a task holds before it passes their counts on.
 SLOT, HELD_KEYS = 1 << 16, 4_000_000
 _random = np.random.default_rng(20240229)
@@ -387,13 +392,15 @@ def marked(keys: DataFrame) -> np.ndarray:
 def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """a, b and far for each two descriptors of a bucket of rows (key, node, root, d) within CELL_DISTANCE whose images have different roots; b < a.
 
+    A task passes on one row for an image a and all that it met by then, so an image's number is shuffled once for many meetings.
     A hot bucket of several roots is dealt to blocks of BUCKET_ROWS / 2 images or so, and each two blocks meet in a task of
     their own. Rows of one root lie together, so those of a large class are compared with the others' alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for key, part, root, node, own, bits in _groups(batches, ("key", "part", "root", "node", "own")):
-            found: list[tuple[np.ndarray, ...]] = []
             for start, end in _cuts(key, part):
                 if root[start] == root[end - 1]:  # sorted by root
                     continue
@@ -410,16 +417,22 @@ def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
                             ok &= own[i:i_end, None] != own[None, j:j_end]
                         x, y = np.nonzero(ok)
                         if len(x):
-                            found.append((node[i + x], node[j + y], near[x, y]))
-                    if sum(len(x[0]) for x in found) > 100_000:
+                            found.append((node[i + x], node[j + y], near[x, y].astype(np.int8)))
+                            held += len(x)
+                    if held > HELD_MEETINGS:
                         yield out(found)
-                        found = []
-            if found:
-                yield out(found)
+                        found, held = [], 0
+        if found:
+            yield out(found)
 
     def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         x, y, far = (np.concatenate(v) for v in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(far, pa.int32())], ["a", "b", "far"])
+        a, b = np.maximum(x, y), np.minimum(x, y)
+        order = np.argsort(a, kind="stable")
+        a = a[order]
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        ends = pa.array(np.append(starts, len(a)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(a[starts]), *(pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (b, far))], ["a", "b", "far"])
 
     zero = F.lit(0).cast("long")
     if hot is None:
@@ -432,7 +445,8 @@ def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
         placed = rows.join(F.broadcast(blocks), "key").withColumn("own", own).withColumn("to", to)
         dealt = cold.unionByName(placed.select(*rows.columns, (F.least("own", "to") * F.col("blocks") + F.greatest("own", "to")).alias("part"), "own"))
     ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "root", "node", "d")
-    return ordered.mapInArrow(run, "a long, b long, far int")
+    met = ordered.mapInArrow(run, "a long, b array<long>, far array<tinyint>").repartition("a")
+    return met.select("a", F.explode(F.arrays_zip("b", "far")).alias("x")).select("a", "x.b", "x.far")
 
 
 def image_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -456,20 +470,40 @@ def image_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links.unionByName(more), joined_components(roots, more, "image-rest-components")
 
 
+def tiles(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows tile, a, b, spots and bits: pairs (a, b) dealt to tiles, and the features of each image a of a tile, once, with null for b.
+
+    Images are dealt to blocks of about MATCHED_BYTES of features and a tile has the pairs of two blocks. So an image's features
+    are moved once for each block of those that it is paired with, however many pairs there are.
+    """
+    size = found.agg(F.sum(F.length("spots") + F.length("bits"))).first()[0] or 0
+    blocks = F.lit(max(1, -(-size // MATCHED_BYTES)))
+    x, y = (F.pmod(F.xxhash64(c), blocks) for c in ("a", "b"))
+    placed = pairs.select((F.least(x, y) * blocks + F.greatest(x, y)).alias("tile"), "a", "b")
+    needed = placed.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    features = needed.join(found, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "spots", "bits")
+    return features.unionByName(placed, allowMissingColumns=True)
+
+
 def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs (a, b) with the number of matches in geometric consensus."""
 
-    def read(spots: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(spots, "<f2").reshape(-1, 4).astype(np.float64), np.frombuffer(bits, np.uint64).reshape(-1, BITS // 64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
-            got = [consensus(read(s, x), read(t, y)) for s, x, t, y in zip(*(batch.column(c).to_pylist() for c in ("s", "x", "t", "y")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.int32())], ["a", "b", "inliers"])
+            got: list[tuple[int, int, int]] = []
+            for own, a, b, spots, bits in zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "b", "spots", "bits")), strict=True):
+                if own != tile:
+                    tile, held = own, {}
+                if b is None:
+                    held[a] = np.frombuffer(spots, "<f2").reshape(-1, 4).astype(np.float64), np.frombuffer(bits, np.uint64).reshape(-1, BITS // 64)
+                else:
+                    got.append((a, b, consensus(held[a], held[b])))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "inliers"])
 
-    x = found.select(F.col("node").alias("a"), F.col("spots").alias("s"), F.col("bits").alias("x"))
-    y = found.select(F.col("node").alias("b"), F.col("spots").alias("t"), F.col("bits").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, inliers int")
+    ordered = tiles(pairs, found).repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())  # features first
+    return ordered.mapInArrow(run, "a long, b long, inliers int")
 
 
 def image_copies(images: DataFrame, side: int = SIDE) -> DataFrame:
@@ -481,6 +515,11 @@ def image_copies(images: DataFrame, side: int = SIDE) -> DataFrame:
     are copies of equal bytes alone. Rows with a null vec_id get the class of their content. No images
     give no rows; further columns are not read.
     """
+    with shuffles_dropped(images.sparkSession):
+        return _image_copies(images, side)
+
+
+def _image_copies(images: DataFrame, side: int) -> DataFrame:
     sized = {"height", "width"} <= set(images.columns)
     shape = [F.col(c).cast("int").alias(c) if sized else F.lit(side).alias(c) for c in ("height", "width")]
     rows = images.select(F.col("vec_id").cast("long"), F.coalesce("image", F.lit(b"")).alias("image"), *shape)

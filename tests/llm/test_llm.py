@@ -823,6 +823,52 @@ def test_images_are_compared_beyond_the_leaders_of_their_cells(spark, monkeypatc
     assert got == {ids[nodes[i]]: min(ids[nodes[j]] for j in own) for own in classes for i in own}
 
 
+def test_image_pairs_move_features_once_a_block(spark, monkeypatch):
+    """All pairs of 60 images: each image's features go to a tile once, with every pair of it, however many pairs there are."""
+    rng = np.random.default_rng(3)
+    rows = [(n, rng.uniform(0, 64, (12, 4)).astype("<f2").tobytes(), rng.integers(0, 2**63, (12, 4)).astype(np.uint64).tobytes()) for n in range(60)]
+    rows[41] = (41, *rows[7][1:])
+    found = spark.createDataFrame(rows, "node long, spots binary, bits binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long")
+    monkeypatch.setattr(media, "MATCHED_BYTES", 60 * 12 * 40 // 4)
+    dealt = media.tiles(pairs, found).collect()
+    held = {(r.tile, r.a): (bytes(r.spots), bytes(r.bits)) for r in dealt if r.b is None}
+    assert held == {k: rows[k[1]][1:] for k in held} and len(held) == sum(r.b is None for r in dealt) <= 60 * 4
+    assert sorted((r.a, r.b) for r in dealt if r.b is not None) == [(a, b) for a in range(60) for b in range(a)]
+    assert all((r.tile, x) in held for r in dealt if r.b is not None for x in (r.a, r.b))
+    got = {(r.a, r.b): r.inliers for r in media.matched(pairs, found).collect()}
+    assert len(got) == 60 * 59 // 2 and [p for p, n in got.items() if n >= media.LEAST_INLIERS] == [(41, 7)]
+
+
+def test_image_meetings_are_whole(spark, monkeypatch):
+    """Meetings passed on a few at a time are those of all descriptors of a bucket within the distance, of two roots."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    bits = [base[i % 3] ^ np.array([1 << int(rng.integers(0, 60)), 0, 0, 0], np.uint64) for i in range(90)]
+    rows = [(i % 2, i % 40, i % 40 // 4, x.tobytes()) for i, x in enumerate(bits)]
+    want = Counter()
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            far = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            if x[0] == y[0] and x[2] != y[2] and far <= media.CELL_DISTANCE:
+                want[max(x[1], y[1]), min(x[1], y[1]), far] += 1
+    monkeypatch.setattr(media, "HELD_MEETINGS", 50)
+    got = media.between_classes(spark.createDataFrame(rows, "key long, node long, root long, d binary"), None)
+    assert Counter((r.a, r.b, r.far) for r in got.collect()) == want and want
+
+
+def test_image_copies_leave_no_shuffle_files(spark):
+    """The shuffles of jobs that end in tables go with these jobs; the setting is as before then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    had = files()
+    views = canvas_views(12)
+    rows = [(100 * k + i, v[i].tobytes()) for k, v in enumerate(views) for i in range(6)]
+    media.image_copies(spark.createDataFrame(rows, "vec_id long, image binary"))  # its last step is not run
+    assert files() <= had and spark.conf.get(name, None) == before
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
