@@ -4,6 +4,9 @@ A text is cut at each space; a chunk keeps the space before it. Chunks are encod
 once for each worker and put together by NumPy. Where the cut could change the library's own split
 (white space on both sides of it, for a tokenizer that keeps white space), the whole text is encoded
 by the library at once. The results equal those of encode() on whole texts.
+
+Where a tokenizer cuts lower-cased texts to WORDS, a chunk of plain characters is cut to its words here, so
+the library gets each distinct word once, not once for each case and punctuation that it is found with.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 from collections import defaultdict
 from pathlib import Path
 
@@ -19,6 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: A tokenizer's words, and the same for lower-cased texts of PLAIN characters: those that NFC leaves alone, without apostrophes (of 's and the like) and < (of special tokens).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[\t\n\r !-&(-;=-~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+
 BLANK = np.array([c for c in range(0x110000) if chr(c).isspace() or c == 0x180E], np.uint32)
 
 
@@ -68,6 +77,12 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = next(iter(marks.items()))
         self.first = os.path.commonprefix(self.special)
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        end = spec["model"].get("end_of_word_suffix")
+        self.by_words = not keeps_space and bool(end) and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": WORDS}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # the tokens that end a word
+        self.ends[[i for token, i in vocab.items() if end and token.endswith(end)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -80,6 +95,15 @@ class ChunkEncoder:
         self.opens = np.zeros(0, bool)
         self.closes = np.zeros(0, bool)
         self.seen = np.zeros(0, np.int64)
+        self.clear_units()
+
+    def clear_units(self) -> None:
+        """Forget the words, and the other chunks (in tuples), that chunks are made of."""
+        self.units: defaultdict = defaultdict()
+        self.units.default_factory = self.units.__len__
+        self.unit_flat = np.zeros(0, np.uint32)
+        self.unit_starts = np.zeros(0, np.int64)
+        self.unit_sizes = np.zeros(0, np.int64)
 
     def renew(self) -> None:
         """Keep the chunks that were found twice or more, the most frequent half of the limit at most; forget the others."""
@@ -116,13 +140,53 @@ class ChunkEncoder:
                 ids.append(own[~cut])
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for PLAIN_WORDS: 200 at a time, with spaces between them; the tokens tell where words end."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), 20_000):
+            batches = [words[i : i + 200] for i in range(start, min(start + 20_000, len(words)), 200)]
+            for own_words, x in zip(batches, self.tokenizer.encode_batch_fast([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
+                own = np.array(x.ids, np.uint32)
+                n = np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
+                if len(n) != len(own_words):  # a vocabulary without some word's end
+                    own, n = self.encode_each(own_words)
+                ids.append(own)
+                sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode_by_words(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as encode_each, by the words of plain strings; others are encoded whole."""
+        if len(self.units) > self.limit:
+            self.clear_units()
+        known = len(self.units)
+        made = [PLAIN_WORDS.findall(x.lower()) if PLAIN.fullmatch(x) else [(x,)] for x in strings]
+        where = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(made)), np.int64)
+        new = list(itertools.islice(self.units, known, None))
+        words, others = [x for x in new if type(x) is str], [x[0] for x in new if type(x) is tuple]
+        ids, n = self.encode_words(words)
+        if others:
+            other_ids, other_n = self.encode_each(others)
+            ids, n = np.concatenate([ids, other_ids]), np.concatenate([n, other_n])
+        is_word = np.fromiter((type(x) is str for x in new), bool, len(new))
+        place = np.append(np.flatnonzero(is_word), np.flatnonzero(~is_word))  # of the words, then of the others
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        starts[place], sizes[place] = len(self.unit_flat) + np.cumsum(n) - n, n
+        for name, x in (("unit_flat", ids), ("unit_starts", starts), ("unit_sizes", sizes)):
+            setattr(self, name, np.concatenate([getattr(self, name), x]))
+        ids, n = gathered(self.unit_flat, self.unit_starts, self.unit_sizes, where)
+        before, ends = np.append(0, np.cumsum(n)), np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        return ids, np.diff(before[ends], prepend=0)
+
     def learn(self) -> None:
         """Encode the chunks that are new in index."""
         new = list(itertools.islice(self.index, self.known, None))
         if not new:
             return
         self.known = len(self.index)
-        ids, sizes = self.encode_each([x[0] if type(x) is tuple else f" {x}" for x in new])
+        if self.by_words:
+            ids, sizes = self.encode_by_words([x[0] if type(x) is tuple else x for x in new])
+        else:
+            ids, sizes = self.encode_each([x[0] if type(x) is tuple else f" {x}" for x in new])
         starts = np.cumsum(sizes) - sizes
         added = [("flat", ids), ("starts", len(self.flat) + starts), ("sizes", sizes), ("seen", np.zeros(len(new), np.int64))]
         if self.keeps_space:

@@ -141,6 +141,32 @@ def test_first_fit_decreasing_equals_brute_force():
         packing.first_fit_decreasing(np.array([101]), 100)
 
 
+def test_packing_encodes_each_word_once(monkeypatch):
+    """The same words in another case and with other punctuation cost the library nothing more, and ids are those of whole texts."""
+    held = ChunkEncoder(tokenizer_file("word_bpe_49k.json"), False, limit=500)
+    whole = held.tokenizer
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, strings, **more):
+            sent.append(sum(map(len, strings)))
+            return whole.encode_batch_fast(strings, **more)
+
+    monkeypatch.setattr(held, "tokenizer", Counted())
+    held.encode([" ".join(f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10))])
+    first = sum(sent)
+    held.encode([" ".join(f"Wort{chr(97 + i)}{chr(97 + j)}," for i in range(20) for j in range(10)), "WORTAA! Wortab\n(wortac)"])
+    assert first and sum(sent) - first < first / 20
+    rng = np.random.default_rng(8)
+    chars = [*map(chr, range(0x20, 0x17F)), *"\t\n\r\x0b\x1c\x1f\x85\u00a0\u0301\u2028\u212aſΣς²½٣🙂\0", "'s", "'ll", "<|endoftext|>", "E\u0301", " ", " ", "ÉÀ"]
+    texts = ["".join(chars[i] for i in rng.integers(0, len(chars), rng.integers(0, 50))) for _ in range(3000)]
+    for at in range(0, len(texts), 300):
+        own = texts[at : at + 300]
+        ids, sizes = held.encode(own)
+        want = [x.ids for x in whole.encode_batch_fast(own, add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def test_packing(spark, edge, empty):
     from tokenizers import Tokenizer
 
