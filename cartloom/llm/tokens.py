@@ -7,6 +7,7 @@ by the library at once. The results equal those of encode() on whole texts.
 
 Where a tokenizer cuts lower-cased texts to WORDS, a chunk of plain characters is cut to its words here, so
 the library gets each distinct word once, not once for each case and punctuation that it is found with.
+So are the plain chunks of a byte-level tokenizer, by its own regular expression.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ import pyarrow.compute as pc
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[\t\n\r !-&(-;=-~À-ÖØ-öø-ÿ]*")
 PLAIN_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+#: The byte-level split of the library for texts of PLAIN_BYTES: those whose letters, numbers and white space are these, without < (of special tokens).
+PLAIN_BYTES = re.compile(r"[\t\n\r !-;=-~À-ÖØ-öø-ÿ]*")
+BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
 BLANK = np.array([c for c in range(0x110000) if chr(c).isspace() or c == 0x180E], np.uint32)
 
@@ -80,9 +84,12 @@ class ChunkEncoder:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         end = spec["model"].get("end_of_word_suffix")
         self.by_words = not keeps_space and bool(end) and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": WORDS}
+        self.by_bytes = keeps_space and all(x.startswith("<") for x in self.special)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # the tokens that end a word
         self.ends[[i for token, i in vocab.items() if end and token.endswith(end)]] = True
+        self.starts_word = np.zeros(len(self.ends), bool)  # the byte-level tokens that begin with a space
+        self.starts_word[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -138,16 +145,16 @@ class ChunkEncoder:
                 cut = own == mark_id
                 sizes.append(np.diff(np.append(np.flatnonzero(cut), len(own)), prepend=-1) - 1)
                 ids.append(own[~cut])
-        return np.concatenate(ids), np.concatenate(sizes)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for PLAIN_WORDS: 200 at a time, with spaces between them; the tokens tell where words end."""
+        """The same for PLAIN_WORDS, or BYTE_WORDS that begin with a space: 200 at a time, with spaces between them; the tokens tell where words end."""
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for start in range(0, len(words), 20_000):
             batches = [words[i : i + 200] for i in range(start, min(start + 20_000, len(words)), 200)]
-            for own_words, x in zip(batches, self.tokenizer.encode_batch_fast([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
+            for own_words, x in zip(batches, self.tokenizer.encode_batch_fast([("" if self.by_bytes else " ").join(b) for b in batches], add_special_tokens=False), strict=True):
                 own = np.array(x.ids, np.uint32)
-                n = np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
+                n = np.diff(np.flatnonzero(self.starts_word[own]), append=len(own)) if self.by_bytes else np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
                 if len(n) != len(own_words):  # a vocabulary without some word's end
                     own, n = self.encode_each(own_words)
                 ids.append(own)
@@ -159,15 +166,22 @@ class ChunkEncoder:
         if len(self.units) > self.limit:
             self.clear_units()
         known = len(self.units)
-        made = [PLAIN_WORDS.findall(x.lower()) if PLAIN.fullmatch(x) else [(x,)] for x in strings]
+        if self.by_bytes:
+            made = [BYTE_WORDS.findall(x) or [(x,)] if PLAIN_BYTES.fullmatch(x) else [(x,)] for x in strings]
+        else:
+            made = [PLAIN_WORDS.findall(x.lower()) if PLAIN.fullmatch(x) else [(x,)] for x in strings]
         where = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(made)), np.int64)
         new = list(itertools.islice(self.units, known, None))
-        words, others = [x for x in new if type(x) is str], [x[0] for x in new if type(x) is tuple]
+        if self.by_bytes:
+            is_word = np.fromiter((type(x) is str and x[0] == " " and not x.isspace() for x in new), bool, len(new))
+        else:
+            is_word = np.fromiter((type(x) is str for x in new), bool, len(new))
+        words = list(itertools.compress(new, is_word))
+        others = [x if type(x) is str else x[0] for x in itertools.compress(new, ~is_word)]
         ids, n = self.encode_words(words)
         if others:
             other_ids, other_n = self.encode_each(others)
             ids, n = np.concatenate([ids, other_ids]), np.concatenate([n, other_n])
-        is_word = np.fromiter((type(x) is str for x in new), bool, len(new))
         place = np.append(np.flatnonzero(is_word), np.flatnonzero(~is_word))  # of the words, then of the others
         starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         starts[place], sizes[place] = len(self.unit_flat) + np.cumsum(n) - n, n
@@ -183,7 +197,9 @@ class ChunkEncoder:
         if not new:
             return
         self.known = len(self.index)
-        if self.by_words:
+        if self.by_bytes:
+            ids, sizes = self.encode_by_words([x[0] if type(x) is tuple else f" {x}" for x in new])
+        elif self.by_words:
             ids, sizes = self.encode_by_words([x[0] if type(x) is tuple else x for x in new])
         else:
             ids, sizes = self.encode_each([x[0] if type(x) is tuple else f" {x}" for x in new])
@@ -202,7 +218,7 @@ class ChunkEncoder:
 
         Arrow cuts the texts and finds the distinct chunks of the block, so Python sees each of these once.
         """
-        if len(self.index) > self.limit:
+        if len(self.index) > (self.limit // 2 if self.by_bytes else self.limit):  # a byte-level tokenizer has as many words, and they are what costs
             self.renew()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):

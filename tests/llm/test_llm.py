@@ -141,6 +141,20 @@ def test_first_fit_decreasing_equals_brute_force():
         packing.first_fit_decreasing(np.array([101]), 100)
 
 
+def test_byte_level_words_are_encoded_once(monkeypatch):
+    """Chunks of the same words with other punctuation, line ends and apostrophes: the library gets each distinct word once; ids equal the library's."""
+    held = ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), True, limit=3_000)
+    given = []
+    for name in ("encode_each", "encode_words"):
+        plain = getattr(held, name)
+        monkeypatch.setattr(held, name, lambda strings, plain=plain: given.extend(strings) or plain(strings))
+    ends = ["", ",", ".", "!?", "\n", "\n\nand", "'s", "'S", "-2", "\r\n\t", "÷²", "ª", "\x0b", "<", "<|endoftext|>", "’"]
+    texts = [" ".join(f"wørd{chr(97 + i % 7)}é{e}" for e in ends) + " " * (i % 3) for i in range(40)] + ["", " ", "\n", " \n x", "x  y", "'"]
+    ids, lengths = held.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x.ids for x in held.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert given.count(" wørdaé") == 1 and " wørdaé," not in given and " wørdaé\n" not in given
+
+
 def test_packing_encodes_each_word_once(monkeypatch):
     """The same words in another case and with other punctuation cost the library nothing more, and ids are those of whole texts."""
     held = ChunkEncoder(tokenizer_file("word_bpe_49k.json"), False, limit=500)
