@@ -231,8 +231,8 @@ def prefix_rows(regions: DataFrame, opened: DataFrame, threshold: float) -> Data
 
 def pairs_of_unit(
     node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray, side: np.ndarray, mark: np.ndarray, threshold: float
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the documents of a unit region that are of two components and, if it is their first common one, can be a link.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the documents of a unit region, one document's at a time, that are of two components and, if it is their first common one, can be a link.
 
     A link of sizes s and t has threshold / (1 + threshold) * (s + t) regions in common or more, so its shorter
     document has a rest of twice that share of its size. Pairs have such a document, and one outside of the largest
@@ -244,14 +244,12 @@ def pairs_of_unit(
     values, counts = np.unique(root, return_counts=True)
     minor = np.flatnonzero(root != values[counts.argmax()])
     apart = side.min() < side.max()
-    got = []
     for i in able if len(able) < len(minor) else minor:
         can = (root != root[i]) & (np.minimum(rest[i], rest) >= share * (size[i] + size) - 1e-6)
         j = np.flatnonzero(can & (side != side[i]) if apart else can)
         j = j[np.bitwise_count(mark[j] ^ mark[i]).sum(1) <= (1 - 2 * share) * (size[i] + size[j]) + 1e-6]
         if len(j):
-            got.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
-    return got
+            yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
 
 
 def in_unit_blocks(rows: DataFrame, unit_rows: int) -> DataFrame:

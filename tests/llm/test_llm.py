@@ -141,6 +141,21 @@ def test_first_fit_decreasing_equals_brute_force():
         packing.first_fit_decreasing(np.array([101]), 100)
 
 
+def test_pairs_of_a_unit_are_not_held():
+    """2,000 documents of as many components make 2 million pairs: they leave one document's at a time."""
+    import tracemalloc
+
+    from cartloom.llm.minhash import pairs_of_unit
+
+    n = 2_000
+    node, ten, zero = np.arange(n), np.full(n, 10), np.zeros(n, np.int64)
+    tracemalloc.start()
+    pairs = sum(len(a) for a, _ in pairs_of_unit(node, node, ten, ten, zero, np.zeros((n, 8), np.uint64), 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs >= n * (n - 1) // 2 and peak < 4_000_000
+    
+
 def test_byte_level_words_are_encoded_once(monkeypatch):
     """Chunks of the same words with other punctuation, line ends and apostrophes: the library gets each distinct word once; ids equal the library's."""
     held = ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), True, limit=3_000)
