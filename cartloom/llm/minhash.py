@@ -30,6 +30,8 @@ BANDS, BAND_ROWS = 25, 5
 K = BANDS * BAND_ROWS
 #: Members of a bucket's largest component that a turn compares others with, and turns at most before the exact join.
 DRAWN, TURNS = 4, 3
+#: Words whose hashes a task remembers: they are some 150 bytes each.
+HELD_WORDS = 250_000
 #: Counters of how many open documents have a unit region. They only order the regions, so a shared counter costs time, not links.
 COUNTERS = 1 << 18
 #: Rows of a unit region that a task compares with as many others, and bits of a document's parity mark.
@@ -127,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys = band_keys(dart_minhash(unit_regions(words, hashes))) if words else np.zeros(0, np.int64)
                     known[digest] = keys
                 rows.append((*np.frombuffer(digest, np.int64).tolist(), keys))
-            if len(hashes) > 1_000_000:
+            if len(hashes) > HELD_WORDS:
                 hashes.clear()
             if len(known) > 20_000:
                 known.clear()
@@ -154,7 +156,7 @@ def regions_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = (text or "").encode().split()
                 nodes.append(int(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)[0]))
                 units.append(unit_regions(words, hashes).view(np.int64))
-            if len(hashes) > 1_000_000:
+            if len(hashes) > HELD_WORDS:
                 hashes.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(units, pa.list_(pa.int64()))], ["node", "units"])
 

@@ -61,20 +61,21 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, block in text_blocks(batches, BLOCK_CHARS):
-            ids, lengths = encoder(tokenizer, False).encode(block)
-            docs = column(held, "doc_id").cast(pa.int64()).to_pylist()
-            tail = np.array([end_id], np.uint32)
-            out: list[list] = [[], [], [], [], []]
-            at = 0
-            for doc, n in zip(docs, lengths.tolist(), strict=True):
-                own = np.concatenate([ids[at : at + n], tail]).astype("<u4")
-                at += n
-                for start in range(0, n + 1, capacity):
-                    piece = own[start : start + capacity]
-                    for x, v in zip(out, (doc, start, len(piece), zlib.crc32(piece.tobytes()), n + 1), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        with encoder(tokenizer, False) as chunks:
+            for held, block in text_blocks(batches, BLOCK_CHARS):
+                ids, lengths = chunks.encode(block)
+                docs = column(held, "doc_id").cast(pa.int64()).to_pylist()
+                tail = np.array([end_id], np.uint32)
+                out: list[list] = [[], [], [], [], []]
+                at = 0
+                for doc, n in zip(docs, lengths.tolist(), strict=True):
+                    own = np.concatenate([ids[at : at + n], tail]).astype("<u4")
+                    at += n
+                    for start in range(0, n + 1, capacity):
+                        piece = own[start : start + capacity]
+                        for x, v in zip(out, (doc, start, len(piece), zlib.crc32(piece.tobytes()), n + 1), strict=True):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

@@ -139,19 +139,20 @@ def _writing(tokenizer: str, folder: str, end_id: int, width: int, dictionary: b
             writer.close()
             done.append((shard, part, len(writer.rows), writer.n, writer.at))
 
-        for held, block in text_blocks(batches, BLOCK_CHARS):
-            ids, lengths = encoder(tokenizer, True).encode(block)
-            if width == 2 and len(ids) and ids.max() > 0xFFFF:
-                raise ValueError("ids need a width of 4 bytes")
-            small = ids.astype(f"<u{width}")
-            tail = np.array([end_id], f"<u{width}").tobytes()
-            docs = column(held, "doc_id").to_pylist()
-            for doc, e, n in zip(docs, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
-                if writer and writer.at >= shard_bytes:
-                    end()
-                    writer, part = None, part + 1
-                writer = writer or ShardWriter(folder, f"shard-{shard:08d}-{part:06d}.tok", dictionary, width)
-                writer.add(doc, squeeze.compress(small[e - n : e].tobytes() + tail), n + 1)
+        with encoder(tokenizer, True) as chunks:
+            for held, block in text_blocks(batches, BLOCK_CHARS):
+                ids, lengths = chunks.encode(block)
+                if width == 2 and len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("ids need a width of 4 bytes")
+                small = ids.astype(f"<u{width}")
+                tail = np.array([end_id], f"<u{width}").tobytes()
+                docs = column(held, "doc_id").to_pylist()
+                for doc, e, n in zip(docs, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                    if writer and writer.at >= shard_bytes:
+                        end()
+                        writer, part = None, part + 1
+                    writer = writer or ShardWriter(folder, f"shard-{shard:08d}-{part:06d}.tok", dictionary, width)
+                    writer.add(doc, squeeze.compress(small[e - n : e].tobytes() + tail), n + 1)
         if writer:
             end()
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -180,10 +181,11 @@ def write_token_files(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in text_blocks(batches, BLOCK_CHARS):
-            ids, lengths = encoder(tokenizer, True).encode(block)
-            each = [x[:sample_ids].astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary())], ["ids"])
+        with encoder(tokenizer, True) as chunks:
+            for _, block in text_blocks(batches, BLOCK_CHARS):
+                ids, lengths = chunks.encode(block)
+                each = [x[:sample_ids].astype(f"<u{width}").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary())], ["ids"])
 
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").limit(sample_docs)

@@ -17,6 +17,8 @@ import json
 import os
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -250,8 +252,12 @@ class ChunkEncoder:
 _held: dict = {}
 
 
-def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer file; it keeps its chunks from task to task."""
+@contextmanager
+def encoder(path: str, keeps_space: bool) -> Iterator[ChunkEncoder]:
+    """This worker's encoder for a tokenizer file. Its chunks go with the task, as the worker's next one can be of another operator, which needs the memory."""
     if (path, keeps_space) not in _held:
         _held[path, keeps_space] = ChunkEncoder(path, keeps_space)
-    return _held[path, keeps_space]
+    try:
+        yield _held[path, keeps_space]
+    finally:
+        _held[path, keeps_space].clear()

@@ -156,6 +156,20 @@ def test_pairs_of_a_unit_are_not_held():
     assert pairs >= n * (n - 1) // 2 and peak < 4_000_000
     
 
+def test_chunks_go_with_their_task():
+    """A worker's encoder holds no chunks after a task of packing, ended or not: the next task can be of another operator."""
+    from cartloom.llm import tokens
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", "other words"])], ["doc_id", "text"])
+    for whole in (True, False):
+        rows = packing._pieces(tokenizer_file("word_bpe_49k.json"), 2, 16)(iter([batch]))
+        assert next(rows).num_rows == 2
+        held = tokens._held[tokenizer_file("word_bpe_49k.json"), False]
+        assert len(held.index) and len(held.units)
+        list(rows) if whole else rows.close()
+        assert not len(held.index) and not len(held.units) and not len(held.flat)
+
+
 def test_byte_level_words_are_encoded_once(monkeypatch):
     """Chunks of the same words with other punctuation, line ends and apostrophes: the library gets each distinct word once; ids equal the library's."""
     held = ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), True, limit=3_000)
