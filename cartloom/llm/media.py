@@ -7,7 +7,9 @@
    the whole descriptors: the first one without a leader within CELL_DISTANCE leads a new cell, the
    others join theirs. An image is first a candidate with the leaders of its cells alone, which joins large
    groups of copies without comparing all with all. Then all descriptors of a bucket within CELL_DISTANCE meet
-   whose images are still in different classes, so no link between classes depends on who leads.
+   whose images are still in different classes, so no link between classes depends on who leads. Descriptors
+   are alike by chance, the more often the larger the table is, so these carry their corner's surroundings: two that meet make a
+   candidate if as many corners around them agree as consensus asks for.
 3. Geometric consensus: descriptors of a candidate pair are matched by Hamming distance; each match
    implies a similarity transform, and the pair holds if enough matches agree with one.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,10 @@ TABLES, KEY_BITS = 4, 24
 LEAST_VOTES, MOST_DISTANCE, LEAST_INLIERS, REPROJECTION = 2, 48, 6, 3.0
 #: A descriptor joins a cell within this distance of its leader: that is nearer than a match may be, as chance ones are.
 CELL_DISTANCE, SURE_DISTANCE = 30, 22
+#: Corners around one that its surroundings hold, which lie APART pixels from it or more; how many must agree for a meeting to count: with the
+#: corner itself they are the inliers of a link. They agree within so many of 32 bits, pixels and 128ths of a half turn.
+AROUND, APART, LEAST_AGREEING = 24, 2.5, LEAST_INLIERS - 1
+LIKE_BITS, LIKE_PIXELS, LIKE_TURN = 7, 5.0, 20
 #: Larger images are made smaller by whole factors; smaller ones than LEAST_SIDE have no corners.
 MOST_SIDE, LEAST_SIDE = 512, 24
 #: Images of a bucket that go to one task; larger ones are cut to parts, and then the parts' leaders meet, two blocks of them in a task.
@@ -193,6 +200,44 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return len({(round(u), round(v)) for u, v in p[best, :2]})
 
 
+def surroundings(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each corner of an image, 7 * AROUND + 4 bytes: of the AROUND nearest others 32 bits of the descriptor, place (x, y) and angle; then its own scale.
+
+    Places are in half pixels of the corner's scale, and turned with it, so they and the angles are the same in any copy. -128: there is none.
+    """
+    n = len(spots)
+    at = spots[:, 0] + 1j * spots[:, 1]
+    far = np.abs(at[:, None] - at[None, :])
+    far[far < APART] = np.inf
+    k = min(AROUND, n)
+    near = np.argpartition(far, k - 1, axis=1)[:, :k] if n else np.zeros((0, 0), np.int64)
+    place = (at[near] - at[:, None]) * np.exp(-1j * spots[:, 3:]) / spots[:, 2:3] * 2
+    x, y = np.rint(place.real), np.rint(place.imag)
+    known = np.isfinite(np.take_along_axis(far, near, 1)) & (np.abs(x) < 128) & (np.abs(y) < 128)
+    turn = np.rint((spots[near, 3] - spots[:, 3:]) * (128 / np.pi)).astype(np.int64).astype(np.int8)
+    codes, places = np.zeros((n, AROUND), "<u4"), np.full((n, 3 * AROUND), -128, np.int8)
+    codes[:, :k] = np.ascontiguousarray(bits[:, :1]).view("<u4")[:, 0][near]
+    for i, v in enumerate((np.where(known, x, -128), np.where(known, y, -128), turn)):
+        places[:, i * AROUND : i * AROUND + k] = v
+    scale = np.repeat(np.rint(spots[:, 2:3] * 32).astype(np.uint8), 4, axis=1)
+    return np.concatenate([codes.view(np.uint8), places.view(np.uint8), scale], 1)
+
+
+def supported(x: np.ndarray, y: np.ndarray, of: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether LEAST_AGREEING corners or more agree, for each corner of surroundings x, by the numbers of, and one of y, by to."""
+    got = np.zeros(len(of), bool)
+    for start in range(0, len(of), 10_000):
+        a, b = x[of[start : start + 10_000]], y[to[start : start + 10_000]]
+        own, other = (np.ascontiguousarray(v[:, : 4 * AROUND]).view("<u4") for v in (a, b))
+        n, i, j = np.nonzero(np.bitwise_count(own[:, :, None] ^ other[:, None, :]) <= LIKE_BITS)
+        p, q = (v[:, 4 * AROUND : -4].view(np.int8).reshape(-1, 3, AROUND) for v in (a, b))
+        p, q = p[n, :, i].astype(np.int16), q[n, :, j].astype(np.int16)
+        shift, turn = np.hypot(p[:, 0] - q[:, 0], p[:, 1] - q[:, 1]), (p[:, 2] - q[:, 2]).astype(np.int8).astype(np.int16)
+        ok = (p[:, 0] > -128) & (q[:, 0] > -128) & (np.abs(turn) < LIKE_TURN) & (shift * np.minimum(a[:, -1], b[:, -1])[n] < LIKE_PIXELS * 2 * 32)
+        got[start : start + 10_000] = np.bincount(np.unique(n[ok] * AROUND + i[ok]) // AROUND, minlength=len(a)) >= LEAST_AGREEING
+    return got
+
+
 def image_features(images: DataFrame) -> DataFrame:
     """For each image (node, image, height, width): node, spots (4 half floats a corner) and bits (4 unsigned longs each). Equal nodes give equal rows."""
 
@@ -233,6 +278,11 @@ def _descriptors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(batch.column("node").to_numpy(), _corners(batch)), bits
 
 
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    return pa.Array.from_buffers(pa.binary(rows.shape[1] * rows.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
 def key_counts(found: DataFrame, limit: int) -> DataFrame:
     """For each slot of keys of found (node, bits; a node has one row): common, a bit for each key that two images or more have, and the keys that over limit images have, with their number (hot, images)."""
 
@@ -279,25 +329,28 @@ def key_counts(found: DataFrame, limit: int) -> DataFrame:
     return counted.repartition("slot").sortWithinPartitions("slot").mapInArrow(merge, "slot int, common binary, hot array<long>, images array<long>")
 
 
-def bucket_rows(found: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, node and descriptor d for each descriptor of found (node, bits) and table whose key has its bit in common; also root, if found has it."""
+def bucket_rows(found: DataFrame, common: np.ndarray, tables: tuple[int, ...] = tuple(range(TABLES))) -> DataFrame:
+    """key, node and descriptor d for each descriptor of found (node, bits) and table whose key has its bit in common; if found has root (and spots), also root and around, the surroundings."""
     rooted = "root" in found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, bits = _descriptors(batch)
             roots = np.repeat(batch.column("root").to_numpy(), _corners(batch)) if rooted else None
-            for keys in table_keys(bits):
+            if rooted:
+                cuts = np.cumsum(_corners(batch))[:-1]
+                spots = [np.frombuffer(x, "<f2").reshape(-1, 4).astype(np.float64) for x in batch.column("spots").to_pylist()]
+                around = np.concatenate([surroundings(x, y) for x, y in zip(spots, np.split(bits, cuts), strict=True)])
+            for keys in table_keys(bits)[list(tables)]:
                 at = np.flatnonzero(common[keys >> 3] >> (7 - (keys & 7)).astype(np.uint8) & 1)
-                d = pa.Array.from_buffers(pa.binary(BITS // 8), len(at), [None, pa.py_buffer(bits[at].tobytes())]).cast(pa.binary())
-                more = [pa.array(roots[at], pa.int64())] if rooted else []
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at], pa.int64()), d, *more], ["key", "node", "d", "root"][: 3 + rooted])
+                more = [pa.array(roots[at], pa.int64()), _binaries(around[at])] if rooted else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at], pa.int64()), _binaries(bits[at]), *more], ["key", "node", "d", "root", "around"][: 3 + 2 * rooted])
 
-    return found.select("node", "bits", *["root"] * rooted).mapInArrow(run, "key long, node long, d binary" + ", root long" * rooted)
+    return found.select("node", "bits", *["root", "spots"] * rooted).mapInArrow(run, "key long, node long, d binary" + ", root long, around binary" * rooted)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """columns (key, part, further numbers) and descriptors d of whole groups of key and part; a batch's last one may go on in the next."""
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], around: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """columns (key, part, further numbers), descriptors d and, if asked for, surroundings of whole groups of key and part; a batch's last one may go on in the next."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -307,7 +360,8 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         bits = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         same = (key == key[-1]) & (part == part[-1])
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        rows = (*numbers, bits)
+        more = [np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint8).reshape(batch.num_rows, -1)] if around else []
+        rows = (*numbers, bits, *more)
         if held and (held[0][0][0], held[0][1][0]) != (key[0], part[0]):
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held = []
@@ -392,6 +446,8 @@ def marked(keys: DataFrame) -> np.ndarray:
 def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """a, b and far for each two descriptors of a bucket of rows (key, node, root, d) within CELL_DISTANCE whose images have different roots; b < a.
 
+    If rows have surroundings (around), only those of them that are supported by these: the others are alike by chance, and their number grows with the square of the images.
+
     A task passes on one row for an image a and all that it met by then, so an image's number is shuffled once for many meetings.
     A hot bucket of several roots is dealt to blocks of BUCKET_ROWS / 2 images or so, and each two blocks meet in a task of
     their own. Rows of one root lie together, so those of a large class are compared with the others' alone.
@@ -400,7 +456,7 @@ def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for key, part, root, node, own, bits in _groups(batches, ("key", "part", "root", "node", "own")):
+        for key, part, root, node, own, bits, *more in _groups(batches, ("key", "part", "root", "node", "own"), around):
             for start, end in _cuts(key, part):
                 if root[start] == root[end - 1]:  # sorted by root
                     continue
@@ -416,6 +472,9 @@ def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
                         if cross:
                             ok &= own[i:i_end, None] != own[None, j:j_end]
                         x, y = np.nonzero(ok)
+                        if around and len(x):
+                            agree = supported(more[0][i:i_end], more[0][j:j_end], x, y)
+                            x, y = x[agree], y[agree]
                         if len(x):
                             found.append((node[i + x], node[j + y], near[x, y].astype(np.int8)))
                             held += len(x)
@@ -434,6 +493,7 @@ def between_classes(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
         ends = pa.array(np.append(starts, len(a)), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(a[starts]), *(pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (b, far))], ["a", "b", "far"])
 
+    around = "around" in rows.columns
     zero = F.lit(0).cast("long")
     if hot is None:
         dealt = rows.withColumn("part", zero).withColumn("own", zero)
@@ -453,8 +513,8 @@ def image_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between images of found (node, spots, bits), and the roots (node, root) of those with links.
 
     Pairs that meet in buckets and pass the consensus are links. Images are compared with their cells' leaders
-    first, and then, exactly, with all images of the buckets that are not in their class by then; so the
-    classes are those of all such links, while inside a class links are those that were looked at.
+    first, and then with all images of the buckets that are not in their class by then and that they have a supported
+    meeting with; inside a class links are those that were looked at. One table of keys at a time is shuffled.
     """
     members, hot = led(found)
     a, b = F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
@@ -462,8 +522,10 @@ def image_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = tested.filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b")
     roots = written(components(links, "image-components"), "image-joined")
     # where no descriptor joined a cell, none of the bucket are within CELL_DISTANCE
-    rooted = found.select("node", "bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _voted(between_classes(bucket_rows(rooted, marked(members.select("key"))), hot)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rooted = written(found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "image-rooted")
+    common = marked(members.select("key"))
+    met = [written(between_classes(bucket_rows(rooted, common, (t,)), hot).select("a", "b").distinct(), "image-met") for t in range(TABLES)]
+    rest = reduce(DataFrame.unionByName, met).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = written(matched(written(rest, "image-rest"), found), "image-rest-matched").filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b")
     if more.isEmpty():
         return links, roots

@@ -926,6 +926,20 @@ def test_image_meetings_are_whole(spark, monkeypatch):
     assert Counter((r.a, r.b, r.far) for r in got.collect()) == want and want
 
 
+def test_images_alike_by_chance_are_no_pairs(spark):
+    """40 images have the same descriptors, so all 780 pairs of them meet; only those whose corners lie alike are left to compare, one turned and made larger among them."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2**63, (12, 4)).astype(np.uint64)
+    spots = [np.stack([rng.uniform(0, 64, 12), rng.uniform(0, 64, 12), np.ones(12), rng.uniform(-3, 3, 12)], 1) for _ in range(40)]
+    spots[30], spots[31] = spots[4], spots[7].copy()
+    turned = (spots[7][:, 0] + 1j * spots[7][:, 1]) * 1.5 * np.exp(0.4j)
+    spots[31][:, 0], spots[31][:, 1], spots[31][:, 2], spots[31][:, 3] = turned.real, turned.imag, 1.5, spots[7][:, 3] + 0.4
+    found = spark.createDataFrame([(i, i, x.astype("<f2").tobytes(), bits.tobytes()) for i, x in enumerate(spots)], "node long, root long, spots binary, bits binary")
+    rows = media.bucket_rows(found, np.full((media.TABLES << media.KEY_BITS) // 8, 255, np.uint8))
+    met = media.between_classes(rows, None).select("a", "b").distinct().collect()
+    assert sorted((r.a, r.b) for r in met) == [(30, 4), (31, 7)]
+
+
 def test_image_copies_leave_no_shuffle_files(spark):
     """The shuffles of jobs that end in tables go with these jobs; the setting is as before then."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
