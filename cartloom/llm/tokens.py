@@ -7,7 +7,8 @@ by the library at once. The results equal those of encode() on whole texts.
 
 Where a tokenizer cuts lower-cased texts to WORDS, a chunk of plain characters is cut to its words here, so
 the library gets each distinct word once, not once for each case and punctuation that it is found with.
-So are the plain chunks of a byte-level tokenizer, by its own regular expression.
+So are the plain chunks of a byte-level tokenizer, by its own regular expression. Texts of SPLIT_BYTES alone are cut to
+these words by NumPy, a block at a time, without chunks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ PLAIN_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 PLAIN_BYTES = re.compile(r"[\t\n\r !-;=-~À-ÖØ-öø-ÿ]*")
 BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
+#: Classes of the bytes of texts that NumPy cuts as BYTE_WORDS does: letters, numbers, other characters, spaces, other white space. Not of them: apostrophes, < and all beyond PLAIN_BYTES.
+SPLIT_BYTES = np.full(256, 5, np.uint8)
+for _kind, _own in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"0123456789", b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~", b" ", b"\t\n\r")):
+    SPLIT_BYTES[list(_own)] = _kind
+ODD = r"[^\t\n\r !-&(-;=-~À-ÖØ-öø-ÿ]"
+SPLIT_BYTES[0x80:0xC0] = SPLIT_BYTES[0xC3] = 0  # where ODD finds nothing these are À to ÿ
+
 BLANK = np.array([c for c in range(0x110000) if chr(c).isspace() or c == 0x180E], np.uint32)
 
 
@@ -163,16 +171,8 @@ class ChunkEncoder:
                 sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def encode_by_words(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same as encode_each, by the words of plain strings; others are encoded whole."""
-        if len(self.units) > self.limit:
-            self.clear_units()
-        known = len(self.units)
-        if self.by_bytes:
-            made = [BYTE_WORDS.findall(x) or [(x,)] if PLAIN_BYTES.fullmatch(x) else [(x,)] for x in strings]
-        else:
-            made = [PLAIN_WORDS.findall(x.lower()) if PLAIN.fullmatch(x) else [(x,)] for x in strings]
-        where = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(made)), np.int64)
+    def learn_units(self, known: int) -> None:
+        """Encode the units from number known on."""
         new = list(itertools.islice(self.units, known, None))
         if self.by_bytes:
             is_word = np.fromiter((type(x) is str and x[0] == " " and not x.isspace() for x in new), bool, len(new))
@@ -189,10 +189,44 @@ class ChunkEncoder:
         starts[place], sizes[place] = len(self.unit_flat) + np.cumsum(n) - n, n
         for name, x in (("unit_flat", ids), ("unit_starts", starts), ("unit_sizes", sizes)):
             setattr(self, name, np.concatenate([getattr(self, name), x]))
+
+    def encode_by_words(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as encode_each, by the words of plain strings; others are encoded whole."""
+        if len(self.units) > self.limit:
+            self.clear_units()
+        known = len(self.units)
+        if self.by_bytes:
+            made = [BYTE_WORDS.findall(x) or [(x,)] if PLAIN_BYTES.fullmatch(x) else [(x,)] for x in strings]
+        else:
+            made = [PLAIN_WORDS.findall(x.lower()) if PLAIN.fullmatch(x) else [(x,)] for x in strings]
+        where = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(made)), np.int64)
+        self.learn_units(known)
         ids, n = gathered(self.unit_flat, self.unit_starts, self.unit_sizes, where)
         before, ends = np.append(0, np.cumsum(n)), np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
         return ids, np.diff(before[ends], prepend=0)
 
+    def encode_split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same as encode for a byte-level tokenizer and texts (large strings) in which there is no ODD character."""
+        if len(self.units) > self.limit:
+            self.clear_units()
+        cut = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data, cut = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]], cut - cut[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        kind = SPLIT_BYTES[data]
+        white, first, begins = kind >= 3, np.zeros(len(data) + 1, bool), np.zeros(len(data), bool)
+        first[cut] = True  # of a text
+        begins[1:] = (np.minimum(kind[1:], 3) != np.minimum(kind[:-1], 3)) & ((kind[:-1] != 3) | white[1:])  # a space goes with what follows
+        begins[:-1] |= white[:-1] & ~white[1:] & ~first[1:-1]  # as the last white character before something does, or it is alone
+        begins |= first[:-1]
+        at = np.append(np.flatnonzero(begins), len(data))
+        coded = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        known = len(self.units)
+        where = np.fromiter(map(self.units.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        self.learn_units(known)
+        ids, n = gathered(self.unit_flat, self.unit_starts, self.unit_sizes, where)
+        return ids, np.diff(np.append(0, np.cumsum(n))[np.searchsorted(at, cut)])
+
     def learn(self) -> None:
         """Encode the chunks that are new in index."""
         new = list(itertools.islice(self.index, self.known, None))
@@ -225,7 +259,20 @@ class ChunkEncoder:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        texts = texts.cast(pa.large_string())
+        if self.by_bytes:
+            odd = pc.match_substring_regex(texts, ODD)
+            n_odd = pc.sum(odd).as_py()
+            if not n_odd:
+                return self.encode_split(texts)
+            if n_odd < len(texts):
+                is_odd = odd.to_numpy(zero_copy_only=False)
+                parts = [self.encode(texts.filter(pc.invert(odd))), self.encode(texts.filter(odd))]
+                sizes, starts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                for own, before, (_, n) in zip((~is_odd, is_odd), (0, len(parts[0][0])), parts, strict=True):
+                    sizes[own], starts[own] = n, before + np.cumsum(n) - n
+                return gathered(np.concatenate([x for x, _ in parts]), starts, sizes, np.arange(len(texts)))
+        cut = pc.split_pattern(texts, " ")
         chunks, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy())
         firsts = np.append(0, ends[:-1])
         coded = chunks.dictionary_encode()

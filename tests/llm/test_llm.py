@@ -184,6 +184,21 @@ def test_byte_level_words_are_encoded_once(monkeypatch):
     assert given.count(" wørdaé") == 1 and " wørdaé," not in given and " wørdaé\n" not in given
 
 
+def test_plain_texts_are_split_without_chunks():
+    """Random texts of all kinds of characters, plain ones and others in a block: ids equal the library's; plain ones add no chunk, only words."""
+    rng = random.Random(8)
+    plain = ["a", "Zq", "é", "ÿß", "7", "42", ".", "!?", " ", "  ", "\n", "\t", "\r\n", "-", "À"]
+    texts = ["", " ", "\n", "a ", " \n x", "a  b", "a \n", "\n\n a"] + ["".join(rng.choices(plain, k=rng.randrange(30))) for _ in range(3_000)]
+    mixed = ["".join(rng.choices([*plain, "'s", "'", "×", "<", "<|endoftext|>", "“", "\x0b", "\xa0", "字"], k=rng.randrange(30))) for _ in range(2_000)]
+    held = ChunkEncoder(tokenizer_file("byte_bpe_50k.json"), True)
+    for own in (texts, [x for pair in zip(texts, mixed) for x in pair], mixed, ["", ""]):
+        want = [x.ids for x in held.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        for given in (own, pa.array(["zz", *own], pa.large_string())[1:]):
+            ids, lengths = held.encode(given)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+        assert own is not texts or not len(held.index) and len(held.units)
+
+
 def test_packing_encodes_each_word_once(monkeypatch):
     """The same words in another case and with other punctuation cost the library nothing more, and ids are those of whole texts."""
     held = ChunkEncoder(tokenizer_file("word_bpe_49k.json"), False, limit=500)
