@@ -289,6 +289,14 @@ def test_benchmark_run(spark, demo, tmp_path):
     assert B.read_results(spark, str(tmp_path / "run/benchmark_results.json/*.json")).count() == 7
 
 
+def test_benchmark_runs_every_miner_at_any_size(spark):
+    # a byte for each cell would take 10.1 GiB, the pair table more; the items -2 and -1 are in every order
+    wide = spark.range(104_000).selectExpr("id order_id", "explode(array(-2L, -1L, id)) item")
+    config = S.MiningConfig(min_supports=(0.4,), algorithms=(S.Algorithm("traditional", True), S.Algorithm("naive_parallel", True, (), (2,)), S.Algorithm("ye_parallel", True, (), (2,), 5)))
+    got = [(r.algorithm, r.status, r.itemsets, r.baseline) for r in run_benchmark(spark, wide, config).collect()]
+    assert got == [("traditional", "success", 3, None), ("naive_parallel", "success", 3, "traditional"), ("ye_parallel", "success", 3, "traditional")]
+
+
 def test_results_of_any_layout(spark, tmp_path):
     row = {"support": 0.1, "algorithm": "wdpa", "strategy": "BL }\n{ x", "processors": 2, "total_time": 1.5, "status": "success", "more": [1]}
     (tmp_path / "pretty.json").write_text(json.dumps(row, indent=2))
